@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a worker handles at once.
+SLICE_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
@@ -29,17 +35,49 @@ def written(df: DataFrame) -> DataFrame:
 
 def id_remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id's decimal text modulo ``divisor``; null for a null id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % divisor
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the smallest hash of ``key``: the same rows on every run and any partitioning.
+def bounded_sample(rows: DataFrame, key: str, label: str, most: int) -> DataFrame:
+    """About ``most`` rows of each label at most, those with the smallest hash of ``key``.
 
-    The cut-off is set from the count, so no sort of all rows is needed; the final limit only trims the excess.
+    The cut-offs follow from the counts of the labels, so that no sort of all rows is needed, and the same rows come
+    out on any partitioning; a final limit keeps the total at ``most`` times the number of labels even if one key
+    has very many rows. The labels are a handful of classes.
     """
-    n = rows.count()
-    if n <= most:
-        return rows
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20))
-    cut = int((1 << 20) * min(1.0, 1.1 * most / n + 50 / n))
-    return rows.where(h < cut).orderBy(F.xxhash64(F.col(key)), key).limit(most)
+    cut = F.lit(0)
+    for value, n in counts.items():
+        share = 1.0 if n <= most else min(1.0, most / n)
+        cut = F.when(F.col(label) == F.lit(value), F.lit(int((1 << 20) * share) + 1)).otherwise(cut)
+    return rows.where(h < cut).orderBy(F.xxhash64(F.col(key)), key).limit(most * max(1, len(counts)))
+
+
+def slices(batch: pa.RecordBatch, text_at: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in consecutive pieces of about ``most`` bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, pa.Array, "object"]:
+    """Lower-cased words of each text, split at white space: (codes, distinct words, offsets of each text's words)."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists.offsets) else 0)
+    keep = pc.not_equal(flat, "")
+    if not pc.all(keep).as_py():
+        import numpy as np
+
+        kept = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
+        offsets, flat = kept[offsets], flat.filter(keep)
+    coded = flat.dictionary_encode()
+    return coded.indices, coded.dictionary, offsets
