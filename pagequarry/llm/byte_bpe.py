@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Steps, and encoded pieces, that a worker keeps before it starts its tables anew.
-MAX_STEPS, MAX_PIECES = 300_000, 300_000
+MAX_STEPS, MAX_PIECES = 400_000, 250_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -41,6 +41,18 @@ def merge_plainly(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+class State:
+    """What is undecided after some bytes: ``window`` holds them, ``last[p]`` the last token of the encoding of its first p bytes.
+
+    ``last[p]`` is None where no later token can start at p. ``go`` has the steps taken so far, ``tail`` the ids at an end here.
+    """
+
+    __slots__ = ("window", "last", "go", "tail")
+
+    def __init__(self, window: bytes, last: list[bytes | None]):
+        self.window, self.last, self.go, self.tail = window, last, {}, None
+
+
 class Transducer:
     """Bytes in, token ids out; states are determinised when first reached."""
 
@@ -49,108 +61,137 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.alone: dict[bytes, bool] = {}
+        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.max_steps = max_steps
         self.forget()
 
     def forget(self) -> None:
-        self.steps: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self.numbers: dict[tuple[bytes, bytes], int] = {(b"", b""): 0}
-        self.states: list[tuple[bytes, bytes]] = [(b"", b"")]
+        self.n_steps = 0
+        self.start = State(b"", [b""])
+        self.states: dict[tuple, State] = {}
+
+    def split(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts whose merge makes ``token``; a byte gives (byte, byte), an entry that merges don't reach None."""
+        if token not in self.halves:
+            whole, parts = merge_plainly(token, self.ranks), None
+            if whole == [token]:
+                parts = (token, token)
+                if len(token) > 1:
+                    below = {x: r for x, r in ((token[i:j], self.ranks.get(token[i:j])) for i in range(len(token)) for j in range(i + 2, len(token) + 1)) if r is not None and x != token}
+                    parts = tuple(merge_plainly(token, below))
+            self.halves[token] = parts
+        return self.halves[token]
+
+    def holds(self, left: bytes, right: bytes) -> bool:
+        """Whether merging leaves ``left`` and ``right`` apart.
+
+        The tokens at the border are undone from the merge of highest rank downwards; the two stay apart unless, at some
+        time at which both were there, they had a merge that came before the next merge on either side.
+        """
+        ranks, split, before = self.ranks, self.split, 1 << 60
+        while True:
+            joined = ranks.get(left + right)
+            if joined is not None and joined < before:
+                return False
+            a, b = (ranks[left] if len(left) > 1 else -1), (ranks[right] if len(right) > 1 else -1)
+            if a < 0 and b < 0:
+                return True
+            if a > b:  # of equal merges the leftmost comes first, so the right one is undone first
+                before, left = a, split(left)[1]
+            else:
+                before, right = b + 1, split(right)[0]
 
     def follows(self, before: bytes, token: bytes) -> bool:
         """Whether ``token`` can stand after ``before`` (nothing, at a start) in an encoding."""
+        if self.split(token) is None:
+            return False
         if not before:
-            if token not in self.alone:
-                self.alone[token] = merge_plainly(token, self.ranks) == [token]
-            return self.alone[token]
+            return True
         key = (before, token)
-        if key not in self.pairs:
+        known = self.pairs.get(key)
+        if known is None:
             if len(self.pairs) > self.max_steps:
                 self.pairs.clear()
-            self.pairs[key] = merge_plainly(before + token, self.ranks) == [before, token]
-        return self.pairs[key]
-
-    def last_tokens(self, before: bytes, window: bytes) -> list[bytes | None]:
-        """For each prefix of ``window``, the last token of its encoding; ``before`` is the token ahead of it.
-
-        None where the encoding has no boundary at the window's start; no later token starts there.
-        """
-        last: list[bytes | None] = [before]
-        for end in range(1, len(window) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = window[start:end]
-                if last[start] is not None and token in self.ranks and self.follows(last[start], token):
-                    last.append(token)
-                    break
-            else:
-                last.append(None)
-        return last
+            known = self.pairs[key] = self.holds(before, token)
+        return known
+
+    def step(self, state: State, byte: int) -> tuple[State, str]:
+        """The next state, and the ids (each after a comma) that no later byte can change."""
+        window, ranks, prefixes = state.window + bytes((byte,)), self.ranks, self.prefixes
+        last, n = [*state.last, None], len(state.window) + 1
+        for at in range(max(0, n - self.longest), n):
+            if last[at] is not None and (token := window[at:]) in ranks and self.follows(last[at], token):
+                last[n] = token
+                break
+        ends = [p for p in range(n) if last[p] is not None and window[p:] in prefixes]
+        if last[n] is not None:
+            ends.append(n)
+        common = ends[-1]
+        for p in ends[:-1]:  # where the paths back from all open ends meet
+            while common != p:
+                if common > p:
+                    common -= len(last[common])
+                else:
+                    p -= len(last[p])
+        emitted = "".join(f",{ranks[window[a:b]]}" for a, b in self.cuts(last, common))
+        used = set()
+        for p in ends:  # what the open encodings consist of after the common part; the token before it counts only if one can start there
+            while p > common and p not in used:
+                used.add(p)
+                p -= len(last[p])
+        kept: list[bytes | None] = [last[p] if p in used else None for p in range(common, n + 1)]
+        if ends[0] <= common:
+            kept[0] = last[common]
+        key = (window[common:], tuple(kept))
+        after = self.states.get(key)
+        if after is None:
+            after = self.states[key] = State(key[0], kept)
+        state.go[byte] = out = (after, emitted)
+        self.n_steps += 1
+        return out
 
     @staticmethod
-    def path(last: list[bytes], end: int) -> list[int]:
-        """The boundaries of the encoding of the window's first ``end`` bytes, from 0."""
-        out = [end]
+    def cuts(last: list[bytes | None], end: int) -> list[tuple[int, int]]:
+        """The tokens, as (from, to), of the encoding of the window's first ``end`` bytes."""
+        out = []
         while end:
-            end -= len(last[end])
-            out.append(end)
+            out.append((end - len(last[end]), end))
+            end = out[-1][0]
         return out[::-1]
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, window = self.states[state]
-        window += bytes((byte,))
-        last = self.last_tokens(before, window)
-        n = len(window)
-        open_ends = [p for p in range(n + 1) if last[p] is not None and (p == n or window[p:] in self.prefixes)]
-        paths = [self.path(last, p) for p in open_ends]
-        common = 0
-        for at in zip(*paths, strict=False):
-            if len(set(at)) > 1:
-                break
-            common = at[0]
-        done = [b for b in paths[-1] if b <= common]
-        emitted = tuple(self.ranks[window[a:b]] for a, b in zip(done, done[1:], strict=False))
-        key = (last[common], window[common:]) if common else (before, window)
-        if key not in self.numbers:
-            self.numbers[key] = len(self.states)
-            self.states.append(key)
-        return self.numbers[key], emitted
-
-    def end(self, state: int) -> tuple[int, ...]:
-        before, window = self.states[state]
-        cuts = self.path(self.last_tokens(before, window), len(window))
-        return tuple(self.ranks[window[a:b]] for a, b in zip(cuts, cuts[1:], strict=False))
-
-    def encode(self, piece: bytes) -> list[int]:
-        if len(self.steps) > self.max_steps:
+    def encode(self, piece: bytes) -> str:
+        """The ids of ``piece``, joined by commas."""
+        if self.n_steps > self.max_steps:
             self.forget()
-        steps, state, out = self.steps, 0, []
+        state, out = self.start, ""
         for byte in piece:
-            key = (state, byte)
-            found = steps.get(key)
-            if found is None:
-                found = steps[key] = self.step(state, byte)
-            state, emitted = found
+            state, emitted = state.go.get(byte) or self.step(state, byte)
             if emitted:
                 out += emitted
-        if state not in self.ends:
-            self.ends[state] = self.end(state)
-        return out + list(self.ends[state])
+        if state.tail is None:
+            w = state.window
+            state.tail = "".join(f",{self.ranks[w[a:b]]}" for a, b in self.cuts(state.last, len(w)))
+        return (out + state.tail)[1:]
 
 
 class Pieces(dict):
-    """From a piece of text to its ids as text with commas; bounded, refilled by the transducer."""
+    """From a piece of text to its ids, joined by commas.
+
+    Two generations of at most ``most`` pieces each are kept: pieces in use move to the younger, the rest go.
+    """
 
     def __init__(self, ranks: dict[bytes, int], most: int = MAX_PIECES):
-        self.ranks, self.machine, self.most = ranks, Transducer(ranks), most
+        self.ranks, self.machine, self.most, self.old = ranks, Transducer(ranks), most, {}
 
     def __missing__(self, piece: str) -> str:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)  # an entry stands for itself, also one that merges don't reach
-        ids = str(whole) if whole is not None else ",".join(map(str, self.machine.encode(raw)))
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(raw)  # an entry stands for itself, also one that merges don't reach
+            ids = str(whole) if whole is not None else self.machine.encode(raw)
         if len(piece) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
