@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, toxicity
+from . import byte_bpe, fingerprints, language_id, packing, toxicity, url_filter
 from .common import id_remainder
 
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, host + path)
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs that a rule judges are the labelled ones; the trees carry their verdicts over to the rest."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    _, verdict = url_filter.rule_for(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), URL_RULES)
+    fitted = url_filter.train(pages.select("url", verdict.alias("verdict")))
+    return url_filter.judge(pages, fitted, URL_RULES)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic")
@@ -24,12 +36,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.col("offending.position").alias("offending_sentences"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.n_words(F.col("text")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(id_remainder("doc_id", 4) != 2))
@@ -38,8 +58,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
+    "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_packing": op7_packing,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
