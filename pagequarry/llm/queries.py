@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, packing, toxicity, url_filter
+from . import byte_bpe, fingerprints, language_id, line_dedup, packing, quality, toxicity, url_filter
 from .common import id_remainder
 
 
@@ -36,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.col("offending.position").alias("offending_sentences"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,29 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.n_words(F.col("text")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+#: The same removal by exact distinct counts.
+OP9_SQL = rf"""
+with lines as (
+  select doc_id, source, p - 1 as pos, ls[p] as line, md5(regexp_replace(ls[p], '^[\s]+|[\s]+$', '', 'g')) as h, trim(regexp_replace(ls[p], '^[\s]+|[\s]+$', '', 'g')) = '' as blank
+  from (select doc_id, source, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as p from documents)
+), bad as (
+  select h from lines where not blank group by h having count(distinct coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}
+), firsts as (
+  select h, min((doc_id, pos)) as first from lines join bad using (h) where not blank group by h
+), gone as (
+  select l.doc_id, l.pos from lines l join firsts f on l.h = f.h where not l.blank and (l.doc_id, l.pos) <> f.first
+), kept as (
+  select l.doc_id, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null), '') as text, count(*) as n_lines, count(g.pos) as n_removed
+  from lines l left join gone g on l.doc_id = g.doc_id and l.pos = g.pos group by l.doc_id
+)
+select doc_id, text, cast(n_lines as integer) as n_lines, cast(n_removed as integer) as n_removed from kept
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(id_remainder("doc_id", 4) != 2))
@@ -60,9 +87,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
