@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, line_dedup, packing, quality, toxicity, url_filter
+from . import byte_bpe, fingerprints, language_id, line_dedup, near_duplicates, packing, quality, toxicity, url_filter
 from .common import id_remainder
 
 
@@ -36,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.col("offending.position").alias("offending_sentences"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "representative", "n_links", "n_shingles")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
