@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, line_dedup, near_duplicates, packing, quality, toxicity, url_filter
+from . import byte_bpe, fingerprints, language_id, line_dedup, lm_score, near_duplicates, packing, quality, toxicity, url_filter
 from .common import id_remainder
 
 
@@ -58,6 +58,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.n_words(F.col("text")))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
+
+
+#: The same counts by grouping; for bigrams.
+OP8_SQL = f"""
+with words as (
+  select doc_id, p, ws[p] as w, case when p > 1 then ws[p - 1] end as v
+  from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as ws from documents))
+), total as (select count(*) as n from words),
+uni as (select w, count(*) as c from words group by w), own_uni as (select doc_id, w, count(*) as c from words group by doc_id, w),
+bi as (select v, w, count(*) as c from words where v is not null group by v, w), own_bi as (select doc_id, v, w, count(*) as c from words where v is not null group by doc_id, v, w),
+size as (select doc_id, count(*) as n from words group by doc_id),
+scored as (
+  select a.doc_id, case
+    when coalesce(bi.c - ob.c, 0) > 0 then (bi.c - ob.c) / greatest(1, uv.c - ov.c)
+    else (case when a.v is null then 1.0::double else {lm_score.ALPHA}::double end) * (case when uw.c - ow.c > 0 then (uw.c - ow.c) / greatest(1, t.n - s.n) else {lm_score.ALPHA}::double / greatest(1, t.n - s.n) end) end as value
+  from words a join size s using (doc_id) cross join total t
+  join uni uw on uw.w = a.w join own_uni ow on ow.doc_id = a.doc_id and ow.w = a.w
+  left join uni uv on uv.w = a.v left join own_uni ov on ov.doc_id = a.doc_id and ov.w = a.v
+  left join bi on bi.v = a.v and bi.w = a.w left join own_bi ob on ob.doc_id = a.doc_id and ob.v = a.v and ob.w = a.w
+)
+select d.doc_id, coalesce(s.n, 0) as n_words, round(coalesce(x.l, 0), 4) as log10_score, round(x.l / s.n, 6) as mean_log10
+from documents d left join size s using (doc_id) left join (select doc_id, sum(log10(value)) as l from scored group by doc_id) x using (doc_id)
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -96,7 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op8_lm_score": op8_lm_score,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_lm_score": OP8_SQL, "op9_line_dedup": OP9_SQL}
