@@ -1,0 +1 @@
+"""Scholarly landing pages as Spark tables: extraction, evaluation and corpus analytics with DataFrames."""
