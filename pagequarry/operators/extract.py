@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import url as U
+from . import openaccess
 
 AUTHOR = "struct<name:string,affiliations:array<string>,is_corresponding:boolean>"
 # --- fixed values: meta keys that open an author and that attach to the one before ---
@@ -170,7 +171,7 @@ def pdf_link(page_url: Column, html: Column) -> Column:
     def of(u: Column) -> Column:
         first = F.try_element_at(F.filter(links(html), lambda x: accepts(u, x)), F.lit(1))["href"]
         base = X.let(H.base_url(html), lambda b: F.when(b != "", b).otherwise(u))
-        target = X.let(first, lambda href: X.let(base, lambda b: F.when(href.isNotNull(), U.resolve(b, href))))
+        target = X.let(first, lambda href: X.let(base, lambda b: F.when(href.isNotNull(), U.resolve(openaccess.router_base(href, b), href))))
         return X.let(target, U.rewrite_pdf_url)
 
     return X.let(X.text_of(page_url), of)
@@ -182,7 +183,7 @@ def version_of(html: Column, publisher: bool) -> Column:
 
 
 def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", namespace: Column | None = None) -> DataFrame:
-    """Each page's record: authors, urls, license, version, abstract, and ``error`` for blocked pages, whose payload is empty.
+    """Each page's record: authors, urls, license, version, abstract, oa_status, and ``error`` for blocked pages, whose payload is empty.
 
     ``namespace`` 'doi' reads a publisher's page, 'pmh' a repository's, anything else gives an empty record.
     """
@@ -193,14 +194,16 @@ def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     shaped = lambda a: F.struct(a["name"].alias("name"), F.transform(a["affiliations"], lambda x: F.struct(x.alias("name"))).alias("affiliations"), a["is_corresponding"].alias("is_corresponding"))
     authors = F.transform(dedupe_authors(fold_metas(html)), shaped)
     own, pdf = F.col("__own"), F.col("__pdf")
-    rows = pages.withColumn("__blocked", blocked).withColumn("__own", H.page_url(html, url)).withColumn("__pdf", pdf_link(own, html))
+    rows = pages.withColumn("__blocked", blocked).withColumn("__own", H.page_url(html, url)).withColumn("__pdf", F.coalesce(openaccess.science_direct_pdf(own, html), pdf_link(own, html), openaccess.fallback_pdf(own, html)))
+    rows = rows.withColumn("__pdf", F.when(F.col("__pdf").startswith("http") & ~openaccess.journal_index(html), F.col("__pdf"))).withColumn("__oa", F.when(live & (space == "doi"), openaccess.status(own, html)))
     return rows.select(
         F.col(f"`{id_col}`"),
         F.when(live, authors).otherwise(F.array().cast("array<struct<name:string,affiliations:array<struct<name:string>>,is_corresponding:boolean>>")).alias("authors"),
         F.when(live & pdf.isNotNull(), F.array(F.struct(pdf.alias("url"), F.lit("pdf").alias("content_type")))).otherwise(F.array().cast("array<struct<url:string,content_type:string>>")).alias("urls"),
-        F.when(live & U.trusts_license(own), X.license_of(html)).alias("license"),
+        F.when(live & U.trusts_license(own), F.coalesce(F.when(F.col("__oa.oa_status") == "hybrid", F.col("__oa.license")), X.license_of(html))).alias("license"),
         F.when(live & pdf.isNotNull(), F.when(space == "doi", version_of(html, True)).otherwise(version_of(html, False))).alias("version"),
         F.when(live, abstract_of(html)).alias("abstract"),
+        F.col("__oa.oa_status").alias("oa_status"),
         F.when(F.col("__blocked"), F.lit("UnusualTraffic")).alias("error"),
     )
 
@@ -227,16 +230,6 @@ def dispatch(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: st
     return rows.select(id_col, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r")).groupBy(id_col, "r.rule_id").agg(F.min("r.ord").alias("ord"))
 
 
-#: Rule rows of extractors that read lists: (rule_id, signal, needle, author path, name path or '', affiliation path or '', corresponding path or '', abstract path).
-CSS_RULES = [
-    ("mdpi", "canonical", "mdpi.com", "div.art-authors span.inlineblock", "", "", "", "section.html-abstract"),
-    ("frontiers", "canonical", "frontiersin.org", "div.authors span.author-wrapper", "", "", "", "div.JournalAbstract p"),
-    ("plos", "og_url", "plos.org", "ul.author-list li", "a.author-name", "p.aff", "span.email", "div.abstract-content"),
-    ("hindawi", "canonical", "hindawi.com", "div.articleHeader__authors span", "", "", "", "div.abstract"),
-    ("aps", "canonical", "journals.aps.org", "section.authors ul.authors li", "a", "", "", "section.abstract p"),
-]
-
-
 def by_css(table: DataFrame, author: str, name: str = "", affiliation: str = "", corresponding: str = "", id_col: str = "page_id") -> DataFrame:
     """Authors of each page from lists: elements at ``author``; their name, affiliations and mark are at paths within them."""
     from . import dom

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import fuzzy, html, text, url
-from ..operators import corpus, dom, evaluate, extract
+from ..operators import corpus, dom, evaluate, extract, families, openaccess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -424,3 +424,11 @@ def fuzzy_ratios(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("p"), F.lower(F.substring("text", 1, 4)).alias("k"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 120).alias("q"), F.lower(F.substring("text", 1, 4)).alias("k"))
     return d.join(b, "k").select("doc_id", "item_id", F.round(fuzzy.indel_ratio("p", "q"), 4).alias("indel"), F.round(fuzzy.token_set_ratio("p", "q"), 4).alias("token_set"))
+
+
+@query()
+def page_extraction(spark, sf_dir):
+    """The chosen extractor's candidate of each page that has one, with the page's open-access status."""
+    pages = table(spark, sf_dir, "pages")
+    best = families.extract_pages(pages).select("page_id", "rule_id", "rung", F.size("authors").alias("n_authors"), "abstract")
+    return pages.select("page_id", openaccess.status(F.col("url"), F.col("html"))["oa_status"].alias("oa_status")).join(best, "page_id", "left")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagequarry import rules
-from pagequarry.operators import corpus, dom, evaluate, extract
+from pagequarry.operators import corpus, dom, evaluate, extract, families
 
 PAGE = """<html><head><title>T</title><meta name="citation_author" content="Ann Lee"><meta name="citation_author_institution" content="Inst A"><meta name="citation_author" content="Bo Ray">
 <meta name="citation_author_email" content="bo@x.org"><meta name="citation_author" content="Ann  Lee"><meta name="description" content="Abstract: {long}"></head>
@@ -66,8 +66,8 @@ def test_dom(spark):
 
 
 def test_dispatch(spark):
-    df = pages(spark, (1, "", '<link rel="canonical" href="https://www.mdpi.com/1">'), (2, "", "<p>"))
-    assert [(r["page_id"], r["rule_id"]) for r in extract.dispatch(df, [r[:3] for r in extract.CSS_RULES]).collect()] == [(1, "mdpi")]
+    df = pages(spark, (1, "", '<link rel="canonical" href="https://www.sciencedirect.com/1">'), (2, "", "<p>"))
+    assert [(r["page_id"], r["rule_id"]) for r in extract.dispatch(df, [r[:3] for r in families.FAMILIES]).collect()] == [(1, "elsevier")]
 
 
 def test_author_matching():
