@@ -14,6 +14,7 @@ pieces; repeated rows and ids each keep their own result row; other columns are
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Steps, and encoded pieces, that a worker keeps before it starts its tables anew.
-MAX_STEPS, MAX_PIECES = 400_000, 250_000
+MAX_STEPS, MAX_PIECES = 400_000, 300_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -66,6 +67,7 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
+        gc.unfreeze()  # states refer to each other in circles
         self.n_steps = 0
         self.start = State(b"", [b""])
         self.states: dict[tuple, State] = {}
@@ -197,6 +199,21 @@ class Pieces(dict):
         return ids
 
 
+#: What this worker process has compiled, by the digest of its rank table; later tasks find it warm.
+COMPILED: dict[bytes, tuple[Pieces, "StreamDecoder"]] = {}
+
+
+def compiled(data: bytes) -> tuple[Pieces, "StreamDecoder"]:
+    """The pieces and the decoder for a rank table; those of the last table are kept."""
+    key = hashlib.sha256(data).digest()
+    if key not in COMPILED:
+        COMPILED.clear()
+        ranks = load_ranks(data)
+        COMPILED[key] = Pieces(ranks), StreamDecoder({str(i): raw for raw, i in ranks.items()})
+        gc.freeze()  # the tables stay; the collector need not go through them again and again
+    return COMPILED[key]
+
+
 #: UTF-8 automaton. States: 0 between characters; 1-3 so many continuation bytes to come;
 #: 4 after E0, 5 after ED, 6 after F0, 7 after F4 (their first continuation byte has a narrower range).
 def utf8_next(state: int, byte: int) -> int:
@@ -287,10 +304,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        ranks = load_ranks(shared.value)
-        memo, split = Pieces(ranks), regex.compile(pattern).findall
-        decoder = StreamDecoder({str(i): raw for raw, i in ranks.items()})
+        memo, decoder = compiled(shared.value)
+        split = regex.compile(pattern).findall
         for batch in batches:
+            gc.freeze()
             count, first, second = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = ",".join([memo[p] for p in split(text)]) if text else ""
