@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import url as U
 from ..functions.fuzzy import indel_ratio, token_set
+from ..functions.names import split_name
 from ..rules import FILLER_WORDS
 
 SOFT = 85.0
@@ -37,12 +38,10 @@ def alpha(name: str) -> str:
 
 
 def key_of(name: str) -> tuple[str, str]:
-    """(last, initial): before the comma where there is one, else the last word."""
-    head, comma, tail = name.partition(",")
+    """(last name, first initial), without titles and suffixes."""
+    _, first, _, last, _ = split_name(name)
     words = alpha(name).split()
-    if not words:
-        return "", ""
-    return (alpha(head), alpha(tail)[:1]) if comma and alpha(tail) else (words[-1], words[0][:1])
+    return (alpha(last) or words[-1], (alpha(first) or words[0])[:1]) if words else ("", "")
 
 
 def greedy(scored: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:

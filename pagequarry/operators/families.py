@@ -111,6 +111,51 @@ def candidates(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     )
 
 
+# --- fixed values: families whose authors carry the ids of their affiliations: (rule, signal, needle, author, ids inside it, affiliation, label inside that) ---
+ID_FAMILIES = [
+    ("mdpi_ids", "og_url", "mdpi.com", "span.inlineblock", "sup", "div.affiliation", "sup"),
+    ("frontiers_ids", "og_url", "frontiersin.org", "span.author-wrapper", "sup", "li[class*=affiliation]", "sup"),
+    ("copernicus", "og_url", "copernicus.org", "nobr", "sup", "li.aff", "sup"),
+    ("ame", "publisher", "AME ", "span.author", "sup", "aff", "sup"),
+    ("csj", "og_url", "journal.csj.jp", "[class*=ContribAuthor]", "sup", "div.affiliationsGroup", "sup"),
+    ("nejm", "og_url", "nejm.org", "li.m-article-header__author", "sup", "div.affiliation", "sup"),
+    ("rsc_ids", "og_url", "pubs.rsc.org", ".article__author-link", "sup", ".article__author-affiliation", "sup"),
+    ("spie", "og_url", "spiedigitallibrary.org", "a.author", "sup", "div.affiliation", "sup"),
+    ("medknow", "publisher", "medknow", "font.articleAuthor", "sup", "font.AuthorAff", "sup"),
+]
+
+
+def by_ids(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", families: list[tuple] = ID_FAMILIES) -> DataFrame:
+    """Candidates of the families whose authors name their affiliations by ids: labels such as ``1`` or ``a`` in small raised text.
+
+    Ids are cut at commas and spaces; a star among them marks a corresponding author. An author without ids gets the
+    affiliations without a label, and a single affiliation goes to all.
+    """
+    roles = ["author", "ids", "affiliation", "label"]
+    met = extract.dispatch(pages, [f[:3] for f in families], id_col, html_col)
+    found = dom.nodes(pages.join(met.select(id_col).distinct(), id_col, "left_semi"), id_col, html_col)
+    rows = [(f[0], role, *p) for f in families for role, s in zip(roles, f[3:], strict=True) if (p := parsed(s))]
+    table = pages.sparkSession.createDataFrame(rows, "rule_id string, role string, s_tag string, s_id string, s_class string, s_attr string, s_op string, s_value string")
+    marked = found.join(met, id_col).join(F.broadcast(table), "rule_id").where(fits())
+    outer = marked.where("role in ('author', 'affiliation')").select(id_col, "rule_id", "ord", "role", "id", "pre", "post")
+    raised = marked.where("role in ('ids', 'label')").select(F.col(id_col).alias("__p"), F.col("rule_id").alias("__r"), F.col("role").alias("__role"), F.col("pre").alias("s_pre"), F.col("post").alias("s_post"), F.col("text").alias("s_text"))
+    inner = found.select(F.col(id_col).alias("__q"), F.col("pre").alias("t_pre"), "text").where("text <> ''")
+    whole = outer.join(inner, (F.col(id_col) == F.col("__q")) & F.col("t_pre").between(F.col("pre"), F.col("post")))
+    labels = outer.join(raised, (F.col(id_col) == F.col("__p")) & (F.col("rule_id") == F.col("__r")) & (F.col("s_pre") > F.col("pre")) & (F.col("s_pre") <= F.col("post")) & (F.col("__role") == F.when(F.col("role") == "author", "ids").otherwise("label")))
+    inside = labels.select(id_col, "rule_id", "id", "s_pre", "s_post", "s_text")
+    own = whole.join(inside.select(id_col, "rule_id", "id", "s_pre", "s_post"), [id_col, "rule_id", "id"], "left").withColumn("raised", F.coalesce(F.col("t_pre").between(F.col("s_pre"), F.col("s_post")), F.lit(False)))
+    own = own.groupBy(id_col, "rule_id", "ord", "role", "id", "t_pre", "text").agg(F.bool_or("raised").alias("raised")).where("not raised")
+    told = own.groupBy(id_col, "rule_id", "ord", "role", "id").agg(X.squeezed(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_pre", "text"))), lambda x: x["text"]), " ")).alias("t"))
+    keys = inside.groupBy(id_col, "rule_id", "id").agg(F.array_join(F.sort_array(F.collect_list("s_text")), ",").alias("k"))
+    both = told.join(keys, [id_col, "rule_id", "id"], "left")
+    ids = F.filter(F.split(F.regexp_replace(F.coalesce("k", F.lit("")), r"[^A-Za-z0-9,\s]", ""), r"[,\s]+"), lambda x: x != "")
+    person = F.struct(F.trim(F.regexp_replace("t", r"[\s,;*†‡§]+$", "")).alias("name"), ids.alias("aff_ids"), F.when(F.coalesce("k", F.lit("")).contains("*"), True).alias("is_corresponding"))
+    place = F.struct(F.trim(F.regexp_replace("t", r"^[\s,;]+", "")).alias("organization"), F.try_element_at(ids, F.lit(1)).alias("aff_id"))
+    listed = lambda role, what: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("id", what.alias("v"))))), lambda x: x["v"])
+    lists = both.groupBy(id_col, "rule_id", "ord").agg(listed("author", person).alias("people"), listed("affiliation", place).alias("places"))
+    return lists.select(id_col, "rule_id", F.lit(True).alias("is_specific"), F.lit(False).alias("prefer"), F.col("ord").cast("int").alias("ord"), extract.join_affiliations(F.col("people"), F.col("places")).alias("authors"), F.lit(None).cast("string").alias("abstract"))
+
+
 def generic(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The generic candidate: meta fold, else the people of LD-JSON; abstract from the metas."""
     html = F.col(f"`{html_col}`")
@@ -120,7 +165,8 @@ def generic(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The chosen candidate of each page that has one: (``id_col``, rule_id, rung, authors, abstract)."""
-    return extract.ladder(candidates(pages, id_col, html_col).unionByName(generic(pages, id_col, html_col)), id_col)
+    named = by_ids(pages, id_col, html_col).withColumn("ord", F.col("ord") - 1000)  # before the lists of the same publisher
+    return extract.ladder(named.unionByName(candidates(pages, id_col, html_col)).unionByName(generic(pages, id_col, html_col)), id_col)
 
 
 def ld_authors(html: Column) -> Column:

@@ -50,3 +50,23 @@ def test_pdf_fallbacks(spark):
         "https://www.sciencedirect.com/science/article/pii/S1/pdf", "https://www.sciencedirect.com/science/article/pii/S1/pdfft?md5=m&pid=p", "https://www.tandfonline.com/doi/pdf/10.1/x", "https://osf.io/abc/download", None,
     ]
     assert df.limit(1).select(openaccess.router_base(F.lit("/doi/pdf/10.1080/a"), F.lit("https://doi.org/10.1080/a")).alias("x")).first()["x"] == "https://www.tandfonline.com"
+
+
+def test_ids(spark):
+    h = """<meta property="og:url" content="https://www.mdpi.com/1"><span class="inlineblock">Ann Lee<sup>1,2,*</sup></span><span class="inlineblock">Bo Ray<sup>2</sup></span><span class="inlineblock">Cy</span>
+    <div class="affiliation"><sup>1</sup>Inst A</div><div class="affiliation"><sup>2</sup><div>Inst B</div></div>"""
+    got = families.extract_pages(pages(spark, ("", h))).first()
+    assert (got["rule_id"], got["rung"]) == ("mdpi_ids", 1)
+    assert [(a["name"], a["affiliations"], a["is_corresponding"]) for a in got["authors"]] == [("Ann Lee", ["Inst A", "Inst B"], True), ("Bo Ray", ["Inst B"], None), ("Cy", [], None)]
+
+
+def test_names(spark):
+    from pagequarry.functions import names
+
+    assert names.split_name("Dr. John Q. van der Berg Jr.") == ("Dr.", "John", "Q.", "van der Berg", "Jr.")
+    assert names.split_name("Smith, Éva Maria") == ("", "Éva", "Maria", "Smith", "")
+    assert names.split_name("Éva Smith, PhD, MD") == ("", "Éva", "", "Smith", "PhD MD")
+    assert names.split_name("Plato") == ("", "", "", "Plato", "") and names.split_name(None) == ("", "", "", "", "")
+    df = spark.createDataFrame([("J. Smith", "Smith, John"), ("A Smith", "B Smith"), (None, "x")], "a string, b string")
+    assert [r["m"] for r in df.select(names.names_match(F.col("a"), F.col("b")).alias("m")).collect()] == [True, False, False]
+    assert df.select(names.parts(F.col("a")).alias("p")).first()["p"]["last"] == "Smith"
