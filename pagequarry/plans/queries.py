@@ -176,12 +176,20 @@ def failure_modes_explode(spark, sf_dir):
     return rows.groupBy("mode").agg(F.count("*").alias("docs"), F.countDistinct("source").alias("sources"))
 
 
-@query("""select d.doc_id, b.item_id, round(case when greatest(length(d.p), length(b.p)) = 0 then 1.0 else 1 - levenshtein(d.p, b.p) / greatest(length(d.p), length(b.p)) end, 6) as ratio
-from (select doc_id, substr(text, 1, 120) as p, lower(substr(text, 1, 4)) as k from documents) d join (select item_id, substr(text, 1, 120) as p, lower(substr(text, 1, 4)) as k from benchmark) b using (k)""")
+OPENING = f"regexp_replace({FOLD.format('lower(substr(text, 1, 120))')}, '[^ -~]', '', 'g')"
+
+
+def opening() -> F.Column:
+    """The first 120 characters, folded to plain letters, so that a letter is one unit of editing everywhere."""
+    return F.regexp_replace(text.fold_latin(F.lower(F.substring("text", 1, 120))), "[^ -~]", "")
+
+
+@query(f"""select d.doc_id, b.item_id, round(case when greatest(length(d.p), length(b.p)) = 0 then 1.0 else 1 - levenshtein(d.p, b.p) / greatest(length(d.p), length(b.p)) end, 6) as ratio
+from (select doc_id, {OPENING} as p, lower(substr(text, 1, 4)) as k from documents) d join (select item_id, {OPENING} as p, lower(substr(text, 1, 4)) as k from benchmark) b using (k)""")
 def near_dup_ratio(spark, sf_dir):
-    """Edit ratio of openings of documents and benchmark items that begin alike; 120 characters are what is compared."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("p"), F.lower(F.substring("text", 1, 4)).alias("k"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 120).alias("q"), F.lower(F.substring("text", 1, 4)).alias("k"))
+    """Edit ratio of openings of documents and benchmark items that begin alike; the opening is what is compared."""
+    d = table(spark, sf_dir, "documents").select("doc_id", opening().alias("p"), F.lower(F.substring("text", 1, 4)).alias("k"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", opening().alias("q"), F.lower(F.substring("text", 1, 4)).alias("k"))
     return d.join(b, "k").select("doc_id", "item_id", F.round(fuzzy.levenshtein_ratio(F.col("p"), F.col("q")), 6).alias("ratio"))
 
 
