@@ -24,14 +24,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents with a toxicity of 0.5 or more. The weights learn from ``labels``."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites stay only where they come first; ``n_chars`` follows the text."""
-    cleaned = line_dedup.remove(docs)
+    """Lines on many sites stay only where they come first; ``n_chars`` follows the text. Goes: a copy that is left with no line of its own, as all it said stays elsewhere."""
+    cleaned = line_dedup.remove(docs).where("n_removed = 0 or trim(text) <> ''")
     return cleaned.select(*[F.coalesce(F.length("text"), F.lit(0)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -29,9 +29,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic")
-    labelled = docs.join(labels, "doc_id").where(id_remainder("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.train(labelled))
+    labels = table(spark, sf_dir, "labels").where(id_remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
     held = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.col("offending.position").alias("offending_sentences"))
 

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences (cut at ``. ! ?`` and line ends). A sentence's logit is a bias plus the weights of its
-words; a word's weight is the sum over its features: the word itself and its beginnings of three to five letters.
+distinct words; a word's weight is the sum over its features: the word itself and its beginnings of three to five letters.
 Sentence probabilities combine by noisy-or, 1 - prod(1 - p), and the weights are fitted to document labels alone, so
 that the sentences which must explain a label are found by training; they can be located afterwards.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, slices, split_words
 
 #: Labelled documents of each label, and characters of each, that the weights are fitted on at most.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 #: Passes over the sample, documents in a step, step size, and pull of the weights to zero.
 PASSES, STEP_DOCS, RATE, SHRINK = 30, 100, 0.3, 2e-4
 #: The bias at the start: a sentence is clean unless its words say otherwise. Weights nearer to zero than the floor are left out.
@@ -46,6 +46,13 @@ def sentences(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), offsets - offsets[0]
 
 
+def sentence_words(found: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each sentence's words, each once however often it stands there: (codes, distinct words, where sentences' words begin)."""
+    codes, words, at = split_words(found)
+    key = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) * max(1, len(words)) + codes.to_numpy())
+    return key % max(1, len(words)), words, np.searchsorted(key, np.arange(len(at)) * max(1, len(words)))
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offsets) - 1)
     full = np.flatnonzero(np.diff(offsets))
@@ -70,25 +77,34 @@ class Model:
         if len(set(labels)) < 2:
             return cls({}, -np.inf)
         found, doc_at = sentences(pa.array(texts, pa.string()))
-        codes, words, word_at = split_words(found)
+        codes, words, word_at = sentence_words(found)
         names: dict[str, int] = {}
         lists = [[names.setdefault(f, len(names)) for f in features(w)] for w in words.to_pylist()]
-        codes = codes.to_numpy()
         n_of = np.array([len(x) for x in lists])
         start = np.concatenate([[0], np.cumsum(n_of)])
-        flat = np.array([f for x in lists for f in x], np.int64)
+        flat = np.array([f for x in lists for f in x], np.int32)
+        del lists
         reps = n_of[codes]  # features of each word in its place
         ends = np.cumsum(reps)
-        use = flat[np.arange(int(reps.sum())) - np.repeat(ends - reps, reps) + np.repeat(start[codes], reps)]
         use_at = np.concatenate([[0], ends])[word_at]  # where the features of each sentence begin
-        docs_of = np.repeat(np.arange(len(texts)), np.diff(use_at[doc_at]))
-        pairs = np.unique(docs_of * len(names) + use)
-        df = np.bincount(pairs % len(names), minlength=len(names))
+        use = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        df, toxic_df = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        word_of_doc = word_at[doc_at]
+        for d in range(len(texts)):
+            lo, hi = word_of_doc[d], word_of_doc[d + 1]
+            if lo < hi:
+                first, n = ends[lo] - reps[lo], reps[lo:hi]
+                inside = np.arange(ends[hi - 1] - first) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[codes[lo:hi]], n)
+                use[first : ends[hi - 1]] = flat[inside]
+                own = np.unique(use[first : ends[hi - 1]])
+                df[own] += 1
+                toxic_df[own] += labels[d]
+        del flat, codes, reps, ends
         alive = (df >= MIN_DOCS).astype(float)
         w, g2, bias, b2 = np.zeros(len(names)), np.full(len(names), 1e-8), BIAS, 1e-8
         order, rng = np.arange(len(texts)), np.random.default_rng(seed)
         balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        w += alive * 0.5 * np.maximum(0, np.log((np.bincount(pairs % len(names), weights=y[pairs // len(names)], minlength=len(names)) + 0.5) / (df + 1) / max(y.mean(), 1e-9)))
+        w += alive * 0.5 * np.maximum(0, np.log((toxic_df + 0.5) / (df + 1) / max(y.mean(), 1e-9)))
         for _ in range(PASSES):
             rng.shuffle(order)
             for i in range(0, len(order), STEP_DOCS):
@@ -119,7 +135,7 @@ class Model:
     def sentence_logits(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """All sentences, where each text's begin, and their logits."""
         found, doc_at = sentences(texts)
-        codes, words, word_at = split_words(found)
+        codes, words, word_at = sentence_words(found)
         memo, get = self.memo, self.weights.get
         if len(memo) + len(words) > MAX_WORDS:
             memo.clear()
@@ -129,7 +145,7 @@ class Model:
             if v is None:
                 v = memo[word] = sum(get(f, 0.0) for f in features(word))
             value[i] = v
-        return found, doc_at, self.bias + sums(value[codes.to_numpy()], word_at)
+        return found, doc_at, self.bias + sums(value[codes], word_at)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """Document scores; then all sentences, where each text's begin, and their probabilities."""
@@ -139,10 +155,15 @@ class Model:
         return -np.expm1(sums(-np.logaddexp(0, z), doc_at)), found, doc_at, p
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on a bounded sample: at most about ``most`` documents of each label, among those of ``chars`` characters or fewer."""
-    rows = labelled.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t is not null and y in (0, 1)").where(F.length("t") <= chars)
-    sample = [(r["t"], r["y"]) for r in bounded_sample(rows, "k", "y", most).toLocalIterator()]
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
+    """Fit on a bounded sample of the labels: at most about ``most`` of each kind, whose documents have ``chars`` characters or fewer.
+
+    The sampled labels, so few, go to the documents by a broadcast; no text is shuffled.
+    """
+    rows = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    picked = bounded_sample(rows, "k", "y", most).dropDuplicates(["k"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")).where(F.length("t") <= chars)
+    sample = [(r["t"], r["y"]) for r in texts.join(F.broadcast(picked), "k").orderBy(F.xxhash64("k", "t")).limit(2 * most).toLocalIterator()]
     return Model.fit([t for t, _ in sample], [y for _, y in sample])
 
 

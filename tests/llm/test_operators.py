@@ -83,7 +83,7 @@ def test_toxicity_on_held_out_documents(spark):
             parts[rnd.randrange(6)] += f" {rnd.choice(['vileaxe', 'vilebor', 'grubber'])}"
         rows.append((i, ". ".join(parts) + ".", int(i % 3 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(df.where("doc_id % 4 <> 0"))
+    model = toxicity.train(df.drop("toxic"), df.where("doc_id % 4 <> 0").select("doc_id", "toxic"))
     got = toxicity.score(df.where("doc_id % 4 = 0"), model).join(df, "doc_id").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.97 * len(got)
     for r in got:
