@@ -58,6 +58,19 @@ def grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, at
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Small integers, most of them equal, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x, np.int64).tobytes())
+
+
+def loose(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
+
+
 def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     all_of = np.concatenate(found)
     return np.unique(all_of[all_of != 0], return_counts=True)
@@ -112,8 +125,8 @@ def asked(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                 h, n = distinct(grams(unpacked(blob.as_py()), order)[0])
                 cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
                 full = [i for i in range(buckets) if cuts[i + 1] > cuts[i]]
-                part = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.string()), part(h), part(n.astype(np.int64))], names=["bucket", "chunk", "hashes", "counts"])
+                part = lambda x, form: pa.array([form(x[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.string()), part(h, np.ndarray.tobytes), part(n, squeezed)], names=["bucket", "chunk", "hashes", "counts"])
 
     return chunks.select("chunk", "texts").mapInArrow(work, "bucket int, chunk string, hashes binary, counts binary")
 
@@ -124,11 +137,11 @@ def counted(requests: DataFrame) -> DataFrame:
     def totals(rows: list[tuple]) -> pa.RecordBatch:
         hashes = [np.frombuffer(r[2], np.uint64) for r in rows]
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+        counts = np.concatenate([loose(r[3]) for r in rows])
         total = np.zeros(int(at.max()) + 1, np.int64)
         np.add.at(total, at, counts)
         ends = np.cumsum([len(x) for x in hashes])
-        parts = [x.tobytes() for x in np.split(total[at], ends[:-1])]
+        parts = [squeezed(x) for x in np.split(total[at], ends[:-1])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array(parts, pa.binary())], names=["bucket", "chunk", "totals"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +200,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 found, at = grams(unpacked(batch.column(1)[i].as_py()), order)
                 h, _ = distinct(found)
                 parts = sorted((x["bucket"], x["totals"]) for x in batch.column(2)[i].as_py() or [])
-                totals = np.frombuffer(b"".join(t for _, t in parts), np.int64)
+                totals = np.concatenate([np.zeros(0, np.int64), *(loose(t) for _, t in parts)])
                 n, total = text_scores(found, at, h, totals, n_all, alpha)
                 mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(batch.column(0)[i].as_py(), to_arrow_type(kind)), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean, pa.float64())], names=names)
