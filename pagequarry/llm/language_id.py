@@ -1,7 +1,7 @@
 """Language identification by error-correcting output codes.
 
-Each language has a codeword of +1/-1 bits. For each bit a binary n-gram classifier (log-odds of character n-grams
-inside words, each n-gram counted once for each use of its word) gives a margin for a document, and the language whose
+Each language has a codeword of +1/-1 bits. For each bit a binary n-gram classifier (log-odds of n-grams of the
+lower-cased text's bytes) gives a margin for a document, and the language whose
 codeword has the least logistic loss against the margins wins. A document is ambiguous where the runner-up is nearly as
 near, or where the signs of the margins lie half the code's distance or more from the winner's codeword.
 
@@ -13,7 +13,6 @@ result; other columns are not read, so that their names can't clash. Without lab
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, split_words
+from .common import bounded_sample, slices
 
 #: Labelled documents of each language, and characters of each, that the classifiers are fitted on at most.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
-#: Lengths of the character n-grams; n-grams seen less often in training are left out.
-NGRAMS, MIN_COUNT = (1, 2, 3, 4), 5
-#: Margins are mean log-odds of an n-gram times this; a bounded table of words' sums is kept by each worker.
-SCALE, MAX_WORDS = 6.0, 200_000
+#: Lengths of the n-grams of lower-cased UTF-8 bytes, bits of their hash; buckets met less often in training are left out.
+NGRAMS, BUCKET_BITS, MIN_COUNT = (3, 4), 17, 10
+#: Margins are mean log-odds of an n-gram times this.
+SCALE = 6.0
+#: Bytes of text that are scored at once.
+PART_BYTES = 1 << 20
 #: Share of the probability that the winner must have, or the text is ambiguous.
 CLEAR = 0.6
 
@@ -52,66 +53,62 @@ def code_matrix(n: int) -> np.ndarray:
     return best
 
 
-def grams(word: str) -> list[str]:
-    padded = f"^{word[:40]}$"
-    return [padded[i : i + n] for n in NGRAMS for i in range(len(padded) - n + 1)]
+def hashed_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n-gram of bytes that begins at each place; the last n - 1 places have none."""
+    h = data[: len(data) - n + 1].astype(np.uint32)
+    for i in range(1, n):
+        h *= np.uint32(0x01000193)
+        h ^= data[i : len(data) - n + 1 + i]
+    h *= np.uint32(0x9E3779B1)
+    return (h >> np.uint32(32 - BUCKET_BITS)) + np.uint32(NGRAMS.index(n) << BUCKET_BITS)
+
+
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased texts' bytes on end, and where each begins."""
+    low = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    at = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+    data = np.frombuffer(low.buffers()[2], np.uint8) if low.buffers()[2] is not None and at[-1] else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
 
 
 class Model:
-    """Codewords and, for each n-gram, its log-odds for each bit; at most some ten thousand n-grams."""
+    """Codewords and, for each bucket of n-grams, its log-odds for each bit; the size follows from the number of languages."""
 
-    def __init__(self, langs: list[str], code: np.ndarray, weights: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], code: np.ndarray, weights: np.ndarray):
         self.langs, self.code, self.weights = langs, code, weights
         d = ((code[:, None] != code[None]).sum(2) + np.eye(len(langs)) * 10**6) if len(langs) else np.zeros((0, 0))
         self.distance = int(d.min()) if len(langs) > 1 else code.shape[1] if len(langs) else 0
-        self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1024, code.shape[1] + 1), np.float32)
 
     @classmethod
     def fit(cls, sample: list[tuple[str, str]]) -> "Model":
         langs = sorted({lang for lang, _ in sample})
         code = code_matrix(len(langs))
-        counts: dict[str, np.ndarray] = {}
-        for k, lang in enumerate(langs):
-            words: Counter = Counter()
-            for _, text in (x for x in sample if x[0] == lang):
-                words.update(text.lower().split())
-            for word, n in words.items():
-                for g in grams(word):
-                    if g not in counts:
-                        counts[g] = np.zeros(len(langs))
-                    counts[g][k] += n
-        kept = [g for g, c in counts.items() if c.sum() >= MIN_COUNT]
-        if not kept:
-            return cls(langs, code, {})
-        table = np.array([counts[g] for g in kept]) + 0.5
-        table /= table.sum(0)  # each language counts alike
+        table = np.zeros((len(NGRAMS) << BUCKET_BITS, len(langs)))
+        for lang, text in sample:
+            data, _ = lowered(pa.array([text], pa.string()))
+            for n in NGRAMS:
+                if len(data) >= n:
+                    table[:, langs.index(lang)] += np.bincount(hashed_grams(data, n), minlength=len(table))
+        rare = table.sum(1) < MIN_COUNT
+        table += 0.5
+        table /= np.maximum(table.sum(0), 1)  # each language counts alike
         pos, neg = (code > 0).astype(float), (code < 0).astype(float)
-        odds = np.log(np.maximum(table @ pos / np.maximum(pos.sum(0), 1), 1e-9)) - np.log(np.maximum(table @ neg / np.maximum(neg.sum(0), 1), 1e-9))
-        return cls(langs, code, dict(zip(kept, odds.astype(np.float32), strict=True)))
-
-    def word(self, word: str) -> int:
-        """The row that holds the sums over the word's n-grams, and their number."""
-        at = self.memo.get(word)
-        if at is None:
-            at = self.memo[word] = len(self.memo)
-            if at >= len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            found = [w for g in grams(word) if (w := self.weights.get(g)) is not None]
-            self.rows[at, :-1] = np.sum(found, 0) if found else 0
-            self.rows[at, -1] = len(found)
-        return at
+        odds = np.log(np.maximum(table @ pos / np.maximum(pos.sum(0), 1), 1e-12)) - np.log(np.maximum(table @ neg / np.maximum(neg.sum(0), 1), 1e-12))
+        odds[rare] = 0
+        return cls(langs, code, odds.astype(np.float32))
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        codes, words, offsets = split_words(texts)
-        if len(self.memo) + len(words) > MAX_WORDS:
-            self.memo.clear()
-        at = np.fromiter((self.word(w) for w in words.to_pylist()), np.int64, len(words))
-        out = np.zeros((len(texts), self.rows.shape[1]))
-        full = np.flatnonzero(np.diff(offsets))
-        if len(full):
-            out[full] = np.add.reduceat(self.rows[at[codes.to_numpy()]], offsets[full], axis=0, dtype=np.float64)
-        return SCALE * out[:, :-1] / np.maximum(out[:, -1:], 1)
+        data, at = lowered(texts)
+        total, count = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts))
+        for n in NGRAMS:
+            own = np.maximum(np.diff(at) - n + 1, 0)
+            full = np.flatnonzero(own)
+            if len(full):
+                w = np.vstack([self.weights[hashed_grams(data, n)], np.zeros((1, self.code.shape[1]), np.float32)])
+                edges = np.stack([at[full], at[full] + own[full]], 1).ravel()  # the places past own belong to no text
+                total[full] += np.add.reduceat(w, edges, axis=0)[::2]
+            count += own
+        return SCALE * total / np.maximum(count, 1)[:, None]
 
     def decide(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and ambiguity of each text."""
@@ -138,7 +135,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``id_col``, the columns in ``keep``, ``lang_pred``, ``score`` (0 to 1), ``ambiguous``; one row for each input row. No shuffle.
 
-    The model (under 10 MB) goes to the workers by a broadcast.
+    The model (a few MB) goes to the workers by a broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.code, model.weights))
     names = [id_col, text_col, *(c for c in keep or [] if c not in (id_col, text_col))]
@@ -149,7 +146,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 lang, score, unclear = own.decide(part.column(1))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())], names=[*(names[i] for i in kept), "lang_pred", "score", "ambiguous"])
 
