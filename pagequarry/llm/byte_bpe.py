@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Steps, and encoded pieces, that a worker keeps before it starts its tables anew.
-MAX_STEPS, MAX_PIECES = 400_000, 300_000
+MAX_STEPS, MAX_PIECES = 400_000, 400_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -31,14 +31,18 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-def merge_plainly(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The defining procedure: join the adjacent pair of lowest rank, leftmost first, until none is left."""
+def merge_plainly(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
+    """The defining procedure: join the adjacent pair of lowest rank, leftmost first, until none is left, or ``least`` parts are."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+    while len(parts) > least and (known := [r for r in pairs if r is not None]):
+        i = pairs.index(min(known))
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1])
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
     return parts
 
 
@@ -75,12 +79,9 @@ class Transducer:
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes ``token``; a byte gives (byte, byte), an entry that merges don't reach None."""
         if token not in self.halves:
-            whole, parts = merge_plainly(token, self.ranks), None
-            if whole == [token]:
-                parts = (token, token)
-                if len(token) > 1:
-                    below = {x: r for x, r in ((token[i:j], self.ranks.get(token[i:j])) for i in range(len(token)) for j in range(i + 2, len(token) + 1)) if r is not None and x != token}
-                    parts = tuple(merge_plainly(token, below))
+            parts = tuple(merge_plainly(token, self.ranks, 2)) if len(token) > 1 else (token, token)
+            if len(parts) > 2:
+                parts = None
             self.halves[token] = parts
         return self.halves[token]
 
