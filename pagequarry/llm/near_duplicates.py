@@ -260,22 +260,25 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Labels travel along edges that are re-hung, in each round, from a node to the least neighbour seen so far (large star,
     then small star), so that the rounds grow with the logarithm of a component's length; each round is a written
-    table. A hub's neighbours meet as partial minima and are not gathered in a list.
+    table. A hub's neighbours meet as partial minima and are not gathered in a list; as long as there are at most
+    ``MAX_BROADCAST`` nodes the minima go to the edges, so that a hub's edges stay spread.
     """
+    sent = lambda low, n: F.broadcast(low) if 2 * n <= MAX_BROADCAST else low
     now, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    n = now.count()
     for _ in range(most):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(sent(low, n), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = written(large.where("u <> v").distinct())
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        met = down.join(low, "u")
+        met = down.join(sent(low, n), "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(met.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct())
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == before:
             break
-        before = found
+        before, n = found, found[0]
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
