@@ -33,6 +33,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``written``, in as many buckets by ``key`` as a shuffle has partitions, so that a join on it need not move these rows again."""
+    spark, name = df.sparkSession, f"by_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def id_remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id's decimal text modulo ``divisor``; null for a null id."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -57,11 +57,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.n_words(F.col("text")))
 
 
-def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(table(spark, sf_dir, "documents"))
+def rounded_scores(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
+def op8_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole backoff, from trigrams down."""
+    return rounded_scores(lm_score.score(table(spark, sf_dir, "documents")))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams only, as its SQL has them."""
+    return rounded_scores(lm_score.score(table(spark, sf_dir, "documents"), order=2))
+
+
 #: The same counts by grouping; for bigrams.
 OP8_SQL = f"""
 with words as (
@@ -123,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op8_lm_score_trigrams": op8_lm_score_trigrams,
     "op8_lm_score": op8_lm_score,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,

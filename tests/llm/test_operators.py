@@ -349,6 +349,22 @@ def test_lm_scores_against_brute_force(spark):
             assert (got[d]["mean_log10"] is None) == (not w)
 
 
+def test_lm_trigram_query_backs_off_from_trigrams(spark, tmp_path):
+    texts = ["a b c", "a b c", "x b d", "x b d", "x b c"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log10_score"] for r in queries.QUERIES["op8_lm_score_trigrams"](spark, str(tmp_path)).collect()}
+    # a: 1 of 12, b after a: 1 of 1, c after a b: 1 of 1; bigrams alone give c after b 2 of 4
+    assert got[0] == pytest.approx(np.log10(1 / 12), abs=1e-4)
+    # x b c: x 2 of 12, b after x 2 of 2; no other x b c, so c after b, 2 of 4, at a step back
+    assert got[4] == pytest.approx(np.log10(2 / 12 * lm_score.ALPHA * 2 / 4), abs=1e-4)
+
+
+def test_lm_hashes_survive_packing():
+    x = np.unique(np.random.default_rng(3).integers(0, np.iinfo(np.uint64).max, 5000, np.uint64))
+    for part in (x, x[:1], x[:0], np.array([1, (1 << 64) - 1], np.uint64)):
+        assert (lm_score.loose_hashes(lm_score.squeezed_hashes(part)) == part).all()
+
+
 # Line dedup
 
 
