@@ -187,7 +187,7 @@ def opening() -> F.Column:
 @query(f"""select d.doc_id, b.item_id, round(case when greatest(length(d.p), length(b.p)) = 0 then 1.0 else 1 - levenshtein(d.p, b.p) / greatest(length(d.p), length(b.p)) end, 6) as ratio
 from (select doc_id, {OPENING} as p, lower(substr(text, 1, 4)) as k from documents) d join (select item_id, {OPENING} as p, lower(substr(text, 1, 4)) as k from benchmark) b using (k)""")
 def near_dup_ratio(spark, sf_dir):
-    """Edit ratio of openings of documents and benchmark items that begin alike; the opening is what is compared."""
+    """Edit ratio of openings of documents and benchmark items that begin alike, as its SQL has it; ``fuzzy_ratios`` has the ratio of whole texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", opening().alias("p"), F.lower(F.substring("text", 1, 4)).alias("k"))
     b = table(spark, sf_dir, "benchmark").select("item_id", opening().alias("q"), F.lower(F.substring("text", 1, 4)).alias("k"))
     return d.join(b, "k").select("doc_id", "item_id", F.round(fuzzy.levenshtein_ratio(F.col("p"), F.col("q")), 6).alias("ratio"))
@@ -426,12 +426,46 @@ def author_matching(spark, sf_dir):
     return g.select("s_nationkey", evaluate.score_authors(F.col("gold"), F.col("parsed")).alias("s")).select("s_nationkey", F.size("s.matched").alias("matched"), F.round("s.f1", 6).alias("f1"), F.round("s.f1_soft", 6).alias("f1_soft"))
 
 
+#: Words of a run that makes a document and an item candidates.
+RUN = 5
+WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
+
+
+def word_runs(words: F.Column, n: F.Column | int) -> F.Column:
+    """Hashes of the runs of ``n`` words, none for shorter texts; equal hashes only make candidates."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(n, F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def alike_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, p, q): whole texts of documents and items that begin alike or share a run of words anywhere; texts shorter than a run are looked for as a whole.
+
+    Words are letters and digits of any script, ideographs and kana one by one. A row is known by its id and its text's hash, so repeated rows stay.
+    """
+    d = docs.select("doc_id", F.col("text").alias("p"), F.xxhash64("text").alias("dh"))
+    b = items.select("item_id", F.col("text").alias("q"), F.xxhash64("text").alias("bh"))
+    words = lambda c: F.regexp_extract_all(F.lower(text.text_of(F.col(c))), F.lit(WORD), F.lit(0))
+    short = [r[0] for r in b.select(F.size(words("q")).alias("n")).where(f"n between 1 and {RUN - 1}").distinct().collect()]
+    whole = lambda ws: F.when(F.size(ws).between(1, RUN - 1), word_runs(ws, F.size(ws))).otherwise(F.array().cast("array<bigint>"))
+    # of runs: those of full length on both sides; short items in documents; short documents in items
+    tag = lambda k: lambda h: F.struct(F.lit(k).alias("kind"), h.alias("h"))
+    tagged = lambda kinds: F.explode(F.concat(*[F.transform(runs, tag(k)) for k, runs in kinds]))
+    of_doc = text.let(words("p"), lambda ws: F.struct(word_runs(ws, RUN).alias("full"), F.concat(F.array().cast("array<bigint>"), *[word_runs(ws, n) for n in short]).alias("item"), whole(ws).alias("doc")))
+    of_item = text.let(words("q"), lambda ws: F.struct(word_runs(ws, RUN).alias("full"), whole(ws).alias("item"), F.concat(*[word_runs(ws, n) for n in range(1, RUN)]).alias("doc")))
+    runs_of = lambda df, made, *keys: df.select(*keys, made.alias("r")).select(*keys, tagged([(k, F.col(f"r.{k}")) for k in ("full", "item", "doc")]).alias("g")).select(*keys, "g.kind", "g.h")
+    begins = lambda df, c, *keys: df.select(*keys, F.lower(F.substring(c, 1, 4)).alias("k"))
+    met = runs_of(d, of_doc, "doc_id", "dh").join(runs_of(b, of_item, "item_id", "bh").distinct(), ["kind", "h"]).select("doc_id", "dh", "item_id", "bh")
+    pairs = met.union(begins(d, "p", "doc_id", "dh").join(begins(b, "q", "item_id", "bh"), "k").select("doc_id", "dh", "item_id", "bh")).distinct().alias("x")
+    with_docs = pairs.join(d.alias("d"), F.expr("x.dh = d.dh and x.doc_id <=> d.doc_id")).select("x.doc_id", "x.item_id", "x.bh", "p").alias("y")
+    return with_docs.join(b.alias("b"), F.expr("y.bh = b.bh and y.item_id <=> b.item_id")).select("y.doc_id", "y.item_id", "p", "q")
+
+
 @query()
 def fuzzy_ratios(spark, sf_dir):
-    """Indel and token-set ratios of openings that begin alike."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("p"), F.lower(F.substring("text", 1, 4)).alias("k"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 120).alias("q"), F.lower(F.substring("text", 1, 4)).alias("k"))
-    return d.join(b, "k").select("doc_id", "item_id", F.round(fuzzy.indel_ratio("p", "q"), 4).alias("indel"), F.round(fuzzy.token_set_ratio("p", "q"), 4).alias("token_set"))
+    """Indel, token-set and Levenshtein ratios of whole documents and benchmark items that begin alike or share a run of words."""
+    pairs = alike_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ratios = F.round(fuzzy.indel_ratio("p", "q"), 4).alias("indel"), F.round(fuzzy.token_set_ratio("p", "q"), 4).alias("token_set"), F.round(fuzzy.levenshtein_ratio(F.col("p"), F.col("q")), 6).alias("levenshtein")
+    return pairs.select("doc_id", "item_id", *ratios)
 
 
 @query()
