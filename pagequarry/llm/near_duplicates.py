@@ -1,9 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by fixed-depth MinHash banding with exact verification.
 
 Documents with the same set of word shingles fall into one class representative first. Each representative has a
-MinHash signature of ``TREES`` tries times ``DEPTH`` levels. In each trie, sorted by signature, a document is looked
-up by the longest prefix first; a prefix is shortened, level by level, until the prefixes left find a pair of the
-threshold's similarity with the target recall (1 - (1 - t^d)^trees). Documents that share such a prefix, and whose
+MinHash signature of ``TREES`` bands of ``DEPTH`` values. All documents meet by the same prefix of each band: the
+longest that finds a pair of the threshold's similarity with the target recall (1 - (1 - t^d)^trees), 5 values of 8 by
+default; the whole signature serves the agreement test only. It is no LSH forest: no depth follows the data, as a depth
+that is deeper for documents with many matches would lose further pairs. Of pairs at exactly the threshold about
+(1 - t^d)^trees, 0.17 % by default, don't meet (fewer above it), and nothing looks for them again. Documents that share such a prefix, and whose
 signatures agree well enough, are tied into clusters by linearly many edges. In a cluster every pair is then compared
 exactly, by shared shingles; large clusters are compared block by block, by different tasks. What leaves a task is a
 link count for each document and a spanning forest of the links, never all pairs.
@@ -28,7 +30,7 @@ from .common import slices, split_words, written
 
 #: Words in a shingle, similarity of a link.
 WORDS, THRESHOLD = 5, 0.8
-#: Tries, deepest prefix, and the share of pairs at the threshold that must meet in a trie.
+#: Bands, values in a band, and the share of pairs at the threshold that must meet in a band.
 TREES, DEPTH, RECALL = 16, 8, 0.998
 #: Signature agreement below which a meeting is chance: five standard errors under the threshold for 128 positions.
 AGREE = 0.62
@@ -40,7 +42,7 @@ M64 = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEPTH) -> int:
-    """The prefix length reached by shortening from ``deepest`` until the recall at the threshold is met."""
+    """The longest prefix, of ``deepest`` values at most, that meets the recall at the threshold; it depends on these numbers alone, not on the data."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
