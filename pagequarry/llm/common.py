@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,9 +16,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a local session, as in tests, takes a temporary one; a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -47,14 +50,15 @@ def id_remainder(doc_id: Column | str, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
-def bounded_sample(rows: DataFrame, key: str, label: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label at most, those with the smallest hash of ``key``.
+def bounded_sample(rows: DataFrame, key: str, label: str, most: int, in_all: int = 20_000) -> DataFrame:
+    """About ``most`` rows of each label at most, and ``in_all`` altogether, those with the smallest hash of ``key``, in one partition.
 
     The cut-offs follow from the counts of the labels, so that no sort of all rows is needed, and the same rows come
-    out on any partitioning; a final limit keeps the total at ``most`` times the number of labels even if one key
-    has very many rows. The labels are a handful of classes.
+    out on any partitioning; a final limit keeps the total even if one key has very many rows. The labels are a
+    handful of classes.
     """
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    most = min(most, max(1, in_all // max(1, len(counts))))
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20))
     cut = F.lit(0)
     for value, n in counts.items():
@@ -63,6 +67,24 @@ def bounded_sample(rows: DataFrame, key: str, label: str, most: int) -> DataFram
     return rows.where(h < cut).orderBy(F.xxhash64(F.col(key)), key).limit(most * max(1, len(counts)))
 
 
+def fitted(sample: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], object]) -> object:
+    """What ``fit`` makes of a bounded sample, in one executor task; the driver gets the finished model, not the rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches))], pa.binary())], names=["model"])
+
+    made = sample.coalesce(1).mapInArrow(work, "model binary").first()  # none where the sample has not even an empty partition
+    return pickle.loads(made["model"]) if made else fit(iter(()))
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None, results: list[str]) -> tuple[DataFrame, list[int], list[str]]:
+    """(rows, positions, names): ``id_col`` and ``text_col`` in front of the columns in ``keep``, and which of them a result carries along. A result's own columns win over kept ones of their names."""
+    taken = {c.lower() for c in results}
+    names = [id_col, text_col, *(c for c in keep or [] if c not in (id_col, text_col))]
+    at = [i for i, c in enumerate(names) if c == id_col or c in (keep or []) and c.lower() not in taken]
+    return docs.select(*[F.col(f"`{c}`") for c in names]), at, [names[i] for i in at]
+
+
 def slices(batch: pa.RecordBatch, text_at: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in consecutive pieces of about ``most`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()

@@ -7,13 +7,13 @@ near, or where the signs of the margins lie half the code's distance or more fro
 
 Cases: null text, or text without a letter, gives ``und`` with score 0; very long texts are read whole, in slices of
 a batch; ties go to the language that sorts first; repeated rows each get their row; an empty table gives an empty
-result; other columns are not read, so that their names can't clash. Without labelled rows every text is ``und``.
+result; other columns are not read but for those to be kept. Without labelled rows every text is ``und``.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices
+from .common import bounded_sample, carried, fitted, slices
 
 #: Labelled documents of each language, and characters of each, that the classifiers are fitted on at most.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
@@ -46,9 +46,10 @@ def code_matrix(n: int) -> np.ndarray:
     width = int(np.ceil(10 * np.log2(n)))
     for _ in range(200):
         m = rng.choice([-1.0, 1.0], (n, width))
+        m[rng.integers(n), np.abs(m.sum(0)) == n] *= -1  # a bit that is the same for all tells nothing
         d = (width - (m @ m.T)) / 2
         np.fill_diagonal(d, width)
-        if d.min() > far and (np.abs(m.sum(0)) < n).all():
+        if d.min() > far:
             best, far = m, d.min()
     return best
 
@@ -80,15 +81,18 @@ class Model:
         self.distance = int(d.min()) if len(langs) > 1 else code.shape[1] if len(langs) else 0
 
     @classmethod
-    def fit(cls, sample: list[tuple[str, str]]) -> "Model":
-        langs = sorted({lang for lang, _ in sample})
-        code = code_matrix(len(langs))
-        table = np.zeros((len(NGRAMS) << BUCKET_BITS, len(langs)))
+    def fit(cls, sample: Iterable[tuple[str, str]]) -> "Model":
+        """From (language, text) one by one; what stays in memory are the counts."""
+        counts: dict[str, np.ndarray] = {}
         for lang, text in sample:
+            own = counts.setdefault(lang, np.zeros(len(NGRAMS) << BUCKET_BITS))
             data, _ = lowered(pa.array([text], pa.string()))
             for n in NGRAMS:
                 if len(data) >= n:
-                    table[:, langs.index(lang)] += np.bincount(hashed_grams(data, n), minlength=len(table))
+                    own += np.bincount(hashed_grams(data, n), minlength=len(own))
+        langs = sorted(counts)
+        code = code_matrix(len(langs))
+        table = np.stack([counts[x] for x in langs], 1) if langs else np.zeros((len(NGRAMS) << BUCKET_BITS, 0))
         rare = table.sum(1) < MIN_COUNT
         table += 0.5
         table /= np.maximum(table.sum(0), 1)  # each language counts alike
@@ -98,16 +102,18 @@ class Model:
         return cls(langs, code, odds.astype(np.float32))
 
     def margins(self, texts: pa.Array) -> np.ndarray:
+        """The mean log-odds of each text's n-grams, for each bit; ``PART_BYTES`` at a time, also within a text."""
         data, at = lowered(texts)
         total, count = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts))
         for n in NGRAMS:
-            own = np.maximum(np.diff(at) - n + 1, 0)
-            full = np.flatnonzero(own)
-            if len(full):
-                w = np.vstack([self.weights[hashed_grams(data, n)], np.zeros((1, self.code.shape[1]), np.float32)])
-                edges = np.stack([at[full], at[full] + own[full]], 1).ravel()  # the places past own belong to no text
-                total[full] += np.add.reduceat(w, edges, axis=0)[::2]
-            count += own
+            ends = np.maximum(at[1:] - n + 1, at[:-1])  # n-grams of a text begin before its end
+            count += ends - at[:-1]
+            for start in range(0, max(0, len(data) - n + 1), PART_BYTES):
+                w = np.vstack([self.weights[hashed_grams(data[start : start + PART_BYTES + n - 1], n)], np.zeros((1, self.code.shape[1]), np.float32)])
+                low, high = np.clip(at[:-1] - start, 0, len(w) - 1), np.clip(ends - start, 0, len(w) - 1)
+                full = np.flatnonzero(high > low)
+                if len(full):  # the places between a text's last n-gram and the next text belong to none
+                    total[full] += np.add.reduceat(w, np.stack([low[full], high[full]], 1).ravel(), axis=0, dtype=np.float64)[::2]
         return SCALE * total / np.maximum(count, 1)[:, None]
 
     def decide(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -127,27 +133,31 @@ class Model:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on a bounded sample: at most about ``most`` documents of each language, among those of ``chars`` characters or fewer."""
-    rows = labelled.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null").where(F.length("t") <= chars)
-    return Model.fit([(r["l"], r["t"]) for r in bounded_sample(rows, "k", "l", most).toLocalIterator()])
+    """Fit, in one executor task, on a bounded sample: at most about ``most`` documents of each language (20,000 altogether), among those of ``chars`` characters or fewer."""
+    rows = labelled.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l")).where("t is not null and l is not null").where(F.length("t") <= chars)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> tuple:
+        model = Model.fit((lang.as_py(), text.as_py()) for batch in batches for lang, text in zip(batch.column(0), batch.column(1), strict=True))
+        return model.langs, model.code, model.weights
+
+    return Model(*fitted(bounded_sample(rows, "k", "l", most).select("l", "t"), fit))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``id_col``, the columns in ``keep``, ``lang_pred``, ``score`` (0 to 1), ``ambiguous``; one row for each input row. No shuffle.
 
-    The model (a few MB) goes to the workers by a broadcast.
+    The model (a few MB) goes to the workers by a broadcast. A column of ``keep`` that has a result's name is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.code, model.weights))
-    names = [id_col, text_col, *(c for c in keep or [] if c not in (id_col, text_col))]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    kept = [i for i, c in enumerate(names) if c == id_col or c in (keep or [])]
-    schema = ", ".join(f"`{names[i]}` {rows.schema[i].dataType.simpleString()}" for i in kept) + ", lang_pred string, score double, ambiguous boolean"
+    results = ["lang_pred", "score", "ambiguous"]
+    rows, kept, names = carried(docs, id_col, text_col, keep, results)
+    schema = ", ".join(f"`{c}` {rows.schema[i].dataType.simpleString()}" for i, c in zip(kept, names, strict=True)) + ", lang_pred string, score double, ambiguous boolean"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
             for part in slices(batch, most=PART_BYTES):
                 lang, score, unclear = own.decide(part.column(1))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())], names=[*(names[i] for i in kept), "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())], names=[*names, *results])
 
     return rows.mapInArrow(work, schema)

@@ -1,19 +1,27 @@
-"""N-gram Jaccard join by fixed-depth MinHash banding with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Documents with the same set of word shingles fall into one class representative first. Each representative has a
-MinHash signature of ``TREES`` bands of ``DEPTH`` values. All documents meet by the same prefix of each band: the
-longest that finds a pair of the threshold's similarity with the target recall (1 - (1 - t^d)^trees), 5 values of 8 by
-default; the whole signature serves the agreement test only. It is no LSH forest: no depth follows the data, as a depth
-that is deeper for documents with many matches would lose further pairs. Of pairs at exactly the threshold about
-(1 - t^d)^trees, 0.17 % by default, don't meet (fewer above it), and nothing looks for them again. Documents that share such a prefix, and whose
-signatures agree well enough, are tied into clusters by linearly many edges. In a cluster every pair is then compared
-exactly, by shared shingles; large clusters are compared block by block, by different tasks. What leaves a task is a
-link count for each document and a spanning forest of the links, never all pairs.
+MinHash signature of ``TREES`` labels of ``DEPTH`` values, one label for each tree. A tree is the prefix trie of its
+labels, kept as rows sorted by label: the longest prefix that two labels share follows from their neighbours' in that
+order, and a shorter prefix is a longer stretch of rows.
+
+Each document starts from whole labels and shortens its prefix value by value until its recall is on target. After a
+depth d the links found by then, each weighed by the inverse of the chance that its pair meets in some tree at d
+values or more (1 - (1 - s^d)^trees for an agreement s of the signatures), estimate how many there are; one more link at
+exactly the threshold is assumed to be still unseen. A document stops at the first depth where found over estimated
+reaches ``RECALL``: one with many links stops at long prefixes, one without any goes on to ``shortest``, the depth where a
+pair at the threshold meets with that probability by itself. A pair is followed at the depth of its longest common
+prefix if either document is still open there, and it belongs to one tree only, the first with that prefix. So of pairs at
+the threshold a share of 1 - ``RECALL`` at most is expected to be missed (less above it).
+
+What is followed is verified exactly, by shared shingles, in the same trie node, for those documents alone that have
+something to verify there; large nodes are dealt out block by block to different tasks. What leaves a task is a link
+count for each document and a spanning forest of the links, never all pairs.
 
 Cases: a null text is empty; a text without words has no shingles, no links and a class of its own; a text of fewer words
 than a shingle has one shingle, all its words; repeated rows are members of one class and link to each other; equal
 ids count as members each; classes are named by their least id; an empty table gives an empty result. Only id and text
-are read.
+are read. Shingle sets are told apart by 128 bits, shingles by 64.
 """
 
 from __future__ import annotations
@@ -23,28 +31,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, split_words, written
 
 #: Words in a shingle, similarity of a link.
 WORDS, THRESHOLD = 5, 0.8
-#: Bands, values in a band, and the share of pairs at the threshold that must meet in a band.
-TREES, DEPTH, RECALL = 16, 8, 0.998
+#: Trees, values in a label, and the share of links that a document's prefixes must find.
+TREES, DEPTH, RECALL = 16, 8, 0.999
 #: Signature agreement below which a meeting is chance: five standard errors under the threshold for 128 positions.
 AGREE = 0.62
-#: Documents of a group or cluster that one task compares with as many others.
-BLOCK = 256
-#: Rows up to which (id, hash of text) pairs are broadcast, instead of shuffling the texts to them.
-MAX_BROADCAST = 500_000
+#: Documents of a trie node, and shingles of theirs, about, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 M64 = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEPTH) -> int:
-    """The longest prefix, of ``deepest`` values at most, that meets the recall at the threshold; it depends on these numbers alone, not on the data."""
+def meets(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that a pair shares ``depth`` values or more in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shortest(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEPTH) -> int:
+    """The depth at which shortening ends, as a pair at the threshold meets there with the target recall."""
     depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and meets(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -88,38 +99,37 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed(low) >> np.uint64(48)).astype(np.uint16)
 
 
-def signed(rows: DataFrame, trees: int, depth: int) -> DataFrame:
+def signed(rows: DataFrame, words: int) -> DataFrame:
     """(id, h, key, n, sig): the text's hash, a 128-bit key of the shingle set, its size, the signature (tree by tree). No shuffle."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        a, b = seeds(trees * depth)
+        a, b = seeds(TREES * DEPTH)
         for batch in batches:
             for part in slices(batch):
                 keys, sizes, sigs = [], [], []
-                for s in shingle_sets(part.column(1)):
+                for s in shingle_sets(part.column(1), words):
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sizes.append(len(s))
-                    sigs.append(signature(s, a, b).tobytes() if len(s) else None)
+                    sigs.append(signature(s, a, b).astype(">u2").tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "h", "key", "n", "sig"])
 
     return rows.mapInArrow(work, f"id {kind}, h long, key binary, n long, sig binary")
 
 
-def blocked(members: DataFrame, group: list[str], by: str, block: int = BLOCK) -> DataFrame:
-    """``members`` dealt out so that each pair of a group meets: rows get ``cell``, and ``side`` 0 or 1.
+def blocked(members: DataFrame, n: str, shingles: str) -> DataFrame:
+    """``members`` of trie nodes dealt out so that each pair of a node meets: rows get ``low``, ``high`` and ``side`` 0 or 1.
 
-    A group of at most ``block`` rows is one cell. A larger one is cut into k blocks by a hash of ``by``; block i goes to
-    the cells (i, j) and (j, i) for each j, k times altogether, so that no task sees more than two blocks.
+    A node of at most ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles (columns ``n``, ``shingles``) is one cell. A larger one is
+    cut into k blocks by a hash of the key; block i goes to the cells (i, j) and (j, i) for each j, k times altogether,
+    so that no task sees more than two blocks.
     """
-    sizes = members.groupBy(*group).count().where("count > 1").withColumn("k", F.ceil(F.col("count") / block).cast("int"))
-    rows = members.join(sizes.select(*group, "k"), group)
-    i = F.pmod(F.xxhash64(by), F.col("k")).cast("int")
+    k = F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    i = F.pmod(F.xxhash64("key"), k).cast("int")
     cell = lambda j: F.struct(F.least(i, j).alias("low"), F.greatest(i, j).alias("high"), F.when(i <= j, 0).otherwise(1).alias("side"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), cell)
-    return rows.withColumn("c", F.explode(cells)).select(*members.columns, F.col("c.low").alias("low"), F.col("c.high").alias("high"), F.col("c.side").alias("side"))
+    return members.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), k - 1), cell))).select(*members.columns, "c.*")
 
 
 class Forest:
@@ -140,12 +150,6 @@ class Forest:
         return a != b
 
 
-def spanning(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the given pairs of row numbers."""
-    forest = Forest(n)
-    return [(i, j) for i, j in zip(left.tolist(), right.tolist(), strict=True) if forest.join(i, j)]
-
-
 def cells_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Consecutive rows with equal first columns, as tables; a cell may run over several batches."""
     held: list[pa.RecordBatch] = []
@@ -170,91 +174,139 @@ def cells_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def near_by_signature(cells: DataFrame, width: int, agree: float) -> DataFrame:
-    """From (tree, prefix, low, high, rep, sig, side): edges (a, b) of a spanning forest of the pairs that agree in each cell."""
+class Node:
+    """The rows of a cell of a trie node: labels in all trees as pairs of 64-bit numbers, and the 16-bit values."""
+
+    def __init__(self, tree: int, sigs: list[bytes], side: np.ndarray, one_block: bool):
+        raw = b"".join(sigs)
+        self.tree, self.side, self.one_block = tree, side, one_block
+        self.values = np.frombuffer(raw, np.uint16).reshape(len(sigs), -1)
+        self.labels = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(sigs), TREES, 2)
+
+    def followed(self, i: int, agree: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The later rows that make a pair with row ``i`` which belongs to this tree: (rows, depth of their common prefix, agreement)."""
+        j = np.arange(i + 1, len(self.side))
+        if not self.one_block:
+            j = j[self.side[j] != self.side[i]]
+        apart = self.labels[j] ^ self.labels[i]
+        head = common(apart[:, :, 0])
+        depth = np.where(head == 4, 4 + common(apart[:, :, 1]), head)
+        own = depth.argmax(1) == self.tree  # the first of the deepest
+        j, depth = j[own], depth[own, self.tree]
+        same = (self.values[j] == self.values[i]).mean(1)
+        near = same >= agree
+        return j[near], depth[near], same[near]
+
+
+def common(apart: np.ndarray) -> np.ndarray:
+    """How many of four 16-bit values, from the front, are equal, given their difference by XOR."""
+    return (apart < 1 << 48).astype(np.int8) + (apart < 1 << 32) + (apart < 1 << 16) + (apart == 0)
+
+
+def walked(cells: DataFrame, threshold: float, least: int) -> DataFrame:
+    """From (tree, root, low, high, label, key, sig, side): for each document of a cell that has a pair there, ``f<d>``, pairs at depth d or more, and ``e<d>``, the number they stand for."""
+    depths = range(least, DEPTH + 1)
+    names = ["key", "tree", "root", "low", "high", "side", *[f"f{d}" for d in depths], *[f"e{d}" for d in depths]]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * len(depths), *[pa.float64()] * len(depths)]
+    agree = AGREE / THRESHOLD * threshold
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
         for cell in cells_of(batches, 4):
-            reps = np.asarray(cell.column(4).combine_chunks())
-            if len(reps) < 2:
+            n = cell.num_rows
+            if n < 2:
                 continue
-            side = np.asarray(cell.column(6).combine_chunks())
-            sig = np.frombuffer(b"".join(cell.column(5).to_pylist()), np.uint16).reshape(len(reps), width)
-            same = cell.column(2)[0].as_py() == cell.column(3)[0].as_py()
-            rows, cols = (np.arange(len(reps)), np.arange(len(reps))) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            i_all, j_all = [], []
-            for i in rows.tolist():
-                others = cols[cols > i] if same else cols
-                if len(others):
-                    j = others[(sig[others] == sig[i]).mean(1) >= agree]
-                    i_all.append(np.full(len(j), i))
-                    j_all.append(j)
-            if i_all:
-                for i, j in spanning(np.concatenate(i_all), np.concatenate(j_all), len(reps)):
-                    left.append(int(reps[i]))
-                    right.append(int(reps[j]))
-            if len(left) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-                left, right = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    keys = ["tree", "prefix", "low", "high"]
-    ordered = cells.select(*keys, "rep", "sig", "side").repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(work, "a long, b long")
-
-
-def verified(cells: DataFrame, threshold: float, words: int) -> DataFrame:
-    """From (cluster, low, high, rep, copies, text, side): link counts and spanning links, as rows (rep, other, links).
-
-    In a cell, shared shingles of all pairs are counted exactly, row by row, over an index of the cell's shingles.
-    ``other`` null: the rep links to ``links`` documents of the cell; else a link of the spanning forest.
+            side = np.asarray(cell.column(7).combine_chunks())
+            node = Node(cell.column(0)[0].as_py(), cell.column(6).to_pylist(), side, cell.column(2)[0].as_py() == cell.column(3)[0].as_py())
+            found, stand = np.zeros((len(depths), n), np.int64), np.zeros((len(depths), n))
+            for i in range(n - 1):
+                j, depth, same = node.followed(i, agree)
+                for k, d in enumerate(depths):
+                    deep = depth >= d
+                    weight = 1 / meets(np.maximum(same[deep], threshold), d)
+                    found[k, j[deep]] += 1
+                    stand[k, j[deep]] += weight
+                    found[k, i] += len(weight)
+                    stand[k, i] += weight.sum()
+            rows = np.flatnonzero(found[0])
+            if len(rows):
+                own = cell.take(pa.array(rows))
+                columns = [own.column(c).combine_chunks() for c in (5, 0, 1, 2, 3, 7)] + [pa.array(x[rows]) for x in (*found, *stand)]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    keys = ["tree", "root", "low", "high"]
+    ordered = cells.select(*keys, "label", "key", "sig", "side").repartition(*keys).sortWithinPartitions(*keys, "label", "key")
+    schema = "key binary, tree int, root binary, low int, high int, side int, " + ", ".join([f"f{d} long" for d in depths] + [f"e{d} double" for d in depths])
+    return ordered.mapInArrow(work, schema)
+
+
+def stops(walks: DataFrame, threshold: float, recall: float, least: int) -> DataFrame:
+    """(key, stop): the depth at which each document's prefixes reached the recall, for those with a pair."""
+    depths = range(least, DEPTH + 1)
+    sums = walks.groupBy("key").agg(*[F.sum(f"{c}{d}").alias(f"{c}{d}") for c in "fe" for d in depths])
+    stop = F.lit(least)
+    for d in depths[1:]:
+        stop = F.when((F.col(f"f{d}") + meets(threshold, d)) / (F.col(f"e{d}") + 1) >= recall, F.lit(d)).otherwise(stop)
+    return sums.select("key", stop.alias("stop"))
+
+
+def verified(cells: DataFrame, threshold: float) -> DataFrame:
+    """From (tree, root, low, high, label, key, sig, side, stop, copies, shingles): link counts and spanning links, as rows (key, other, links).
+
+    In a cell, shared shingles are counted exactly, row by row, over an index of the cell's shingles, for the pairs that
+    are followed. ``other`` null: the key links to ``links`` documents of the cell; else a link of the spanning forest.
     """
+    agree = AGREE / THRESHOLD * threshold
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["key", "other", "links"])
         out: list[tuple] = []
-        for cell in cells_of(batches, 3):
-            reps, copies, side = (np.asarray(cell.column(c).combine_chunks()) for c in (3, 4, 6))
-            if len(reps) < 2:
+        for cell in cells_of(batches, 4):
+            if cell.num_rows < 2:
                 continue
-            sets = [s for chunk in cell.column(5).chunks for s in shingle_sets(chunk, words)]
+            keys = cell.column(5).to_pylist()
+            side, stop, copies = (np.asarray(cell.column(c).combine_chunks()) for c in (7, 8, 9))
+            node = Node(cell.column(0)[0].as_py(), cell.column(6).to_pylist(), side, cell.column(2)[0].as_py() == cell.column(3)[0].as_py())
+            sets = [np.frombuffer(s.as_py(), np.uint64) for s in cell.column(10)]
             size = np.array([len(s) for s in sets])
-            same = cell.column(1)[0].as_py() == cell.column(2)[0].as_py()
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            links, i_all, j_all = np.zeros(len(reps), np.int64), [], []
-            for i in range(len(reps)):
-                if not same and side[i] == 1:
+            links, forest = np.zeros(len(keys), np.int64), Forest(len(keys))
+            for i in range(len(keys) - 1):
+                j, depth, _ = node.followed(i, agree)
+                j = j[depth >= np.minimum(stop[i], stop[j])]
+                if not len(j):
                     continue
                 lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                shared = np.bincount(owner[at], minlength=len(reps))
-                near = shared >= threshold * (size[i] + size - shared) - 1e-9
-                near[i] = False
-                if not same:
-                    near &= side == 1
-                j = np.flatnonzero(near)
+                shared = np.bincount(owner[at], minlength=len(keys))[j]
+                j = j[shared >= threshold * (size[i] + size[j] - shared) - 1e-9]
                 links[i] += copies[j].sum()
-                if not same:
-                    links[j] += copies[i]
-                else:
-                    j = j[j > i]
-                i_all.append(np.full(len(j), i))
-                j_all.append(j)
-            out += [(int(reps[i]), None, int(links[i])) for i in np.flatnonzero(links)]
-            if i_all:
-                out += [(int(reps[i]), int(reps[j]), 0) for i, j in spanning(np.concatenate(i_all), np.concatenate(j_all), len(reps))]
+                links[j] += copies[i]
+                out += [(keys[i], keys[x], 0) for x in j.tolist() if forest.join(i, x)]
+            out += [(keys[i], None, int(links[i])) for i in np.flatnonzero(links)]
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "other", "links"])
+                yield batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "other", "links"])
+            yield batch(out)
+
+    keys = ["tree", "root", "low", "high"]
+    ordered = cells.select(*keys, "label", "key", "sig", "side", "stop", "copies", "shingles").repartition(*keys).sortWithinPartitions(*keys, "label", "key")
+    return ordered.mapInArrow(work, "key binary, other binary, links long")
+
+
+def shingled(texts: DataFrame, words: int) -> DataFrame:
+    """(key, shingles) of (key, text): the sorted 64-bit shingle hashes on end."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["key", "shingles"])
 
-    keys = ["cluster", "low", "high"]
-    ordered = cells.select(*keys, "rep", "copies", "text", "side").repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(work, "rep long, other long, links long")
+    return texts.select("key", "text").mapInArrow(work, "key binary, shingles binary")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -262,25 +314,23 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Labels travel along edges that are re-hung, in each round, from a node to the least neighbour seen so far (large star,
     then small star), so that the rounds grow with the logarithm of a component's length; each round is a written
-    table. A hub's neighbours meet as partial minima and are not gathered in a list; as long as there are at most
-    ``MAX_BROADCAST`` nodes the minima go to the edges, so that a hub's edges stay spread.
+    table. A hub's neighbours meet as partial minima and are not gathered in a list. Joins are left to the planner: by
+    the tables' sizes in bytes it broadcasts small minima, and it splits a hub's partition where that is large.
     """
-    sent = lambda low, n: F.broadcast(low) if 2 * n <= MAX_BROADCAST else low
     now, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
-    n = now.count()
     for _ in range(most):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(sent(low, n), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = written(large.where("u <> v").distinct())
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        met = down.join(sent(low, n), "u")
+        met = down.join(low, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(met.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct())
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == before:
             break
-        before, n = found, found[0]
+        before = found
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
@@ -288,26 +338,27 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """One row for each document: ``id_col``, ``class_id`` (least id of its class), ``representative`` (least id with the same shingles), ``n_links`` (other documents at the threshold or more), ``n_shingles`` (distinct), and the hashes of its text and of the class leader's."""
-    depth = depth_for(threshold, recall)
+    least = shortest(threshold, recall)
     rows = hashed(docs, id_col, text_col)
-    sets = written(signed(rows, TREES, DEPTH))
-    full = sets.where("n > 0")
-    reps = full.groupBy("key").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
-    reps = written(reps.select("key", "first.*", "copies", "sig", F.xxhash64("key").alias("rep")))
-    cut = lambda t: F.substring("sig", 2 * DEPTH * t + 1, 2 * depth)
-    tries = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(cut(t)) for t in range(TREES)])).alias("tree", "prefix"))
-    shared = tries.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("tree", "prefix")
-    met = written(tries.join(shared, ["tree", "prefix"]))
-    cells = blocked(met.join(reps.select("rep", "sig"), "rep"), ["tree", "prefix"], "rep")
-    coarse = components(written(near_by_signature(cells, TREES * DEPTH, AGREE).distinct()))
-    members = coarse.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).join(reps.select("rep", "id", "h", "copies"), "rep")
-    texts = of_rows(rows, written(members)).select("cluster", "rep", "copies", "text").dropDuplicates(["rep"])
-    links = written(verified(blocked(texts, ["cluster"], "rep"), threshold, words))
-    degree = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    named = reps.join(classes, reps["rep"] == classes["node"], "left").select("key", "id", "h", "copies", "rep", F.coalesce("label", "rep").alias("label"))
-    least = named.groupBy("label").agg(F.min(F.struct("id", "h")).alias("leader"))
-    by_key = named.join(least, "label").join(degree, "rep", "left").select("key", F.col("id").alias("representative"), "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    sets = written(signed(rows, words))
+    reps = sets.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    reps = written(reps.select("key", "first.*", "copies", "n", "sig"))
+    label = lambda tree, values: F.substring(F.col("sig"), 2 * DEPTH * tree + 1, F.lit(2 * values))
+    tries = reps.select("key", "n", F.posexplode(F.array(*[label(F.lit(t), least) for t in range(TREES)])).alias("tree", "root"))
+    node = Window.partitionBy("tree", "root")
+    met = written(tries.withColumns({"size": F.count("*").over(node), "shingled": F.sum("n").over(node)}).where("size > 1").drop("n"))
+    cells = blocked(met.join(reps.select("key", "sig"), "key").withColumn("label", label(F.col("tree"), DEPTH)), "size", "shingled")
+    walks = written(walked(cells, threshold, least))
+    ends = written(reps.join(stops(walks, threshold, recall, least), "key"))
+    shingles = shingled(of_rows(rows, ends.select("key", "id", "h")).select("key", "text").dropDuplicates(["key"]), words)
+    own = written(ends.select("key", "copies", "sig", "stop").join(shingles, "key"))
+    places = walks.select("key", "tree", "root", "low", "high", "side")
+    links = written(verified(places.join(own, "key").withColumn("label", label(F.col("tree"), DEPTH)), threshold))
+    degree = links.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
+    classes = components(links.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    named = reps.join(classes, reps["key"] == classes["node"], "left").select("key", "id", "h", "copies", F.coalesce("label", "key").alias("label"))
+    leaders = named.groupBy("label").agg(F.min(F.struct("id", "h")).alias("leader"))
+    by_key = named.join(leaders, "label").join(degree, "key", "left").select("key", F.col("id").alias("representative"), "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return sets.drop("sig").join(by_key, "key", "left").select(
         F.col("id").alias(id_col), F.coalesce("leader.id", "id").alias("class_id"), F.coalesce("representative", "id").alias("representative"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.col("n").alias("n_shingles"), F.col("h").alias("text_hash"), F.coalesce("leader.h", "h").alias("class_text_hash"),
@@ -319,21 +370,20 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def of_rows(rows: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``wanted`` on id and text hash; up to ``MAX_BROADCAST`` wanted pairs travel to the texts, else both meet by a shuffle."""
+    """``rows`` joined with ``wanted`` on id and text hash. The planner sends a small ``wanted`` (by its bytes) to the texts, else both meet by a shuffle."""
     wanted = wanted.withColumnsRenamed({"id": "__i", "h": "__t"})
-    if wanted.count() <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
     return rows.join(wanted, rows["id"].eqNullSafe(wanted["__i"]) & (rows["h"] == wanted["__t"]), how)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class, that of least id; rows repeated in id and text stay once."""
-    found = written(join(docs, id_col, text_col).withColumnsRenamed({id_col: "id", "text_hash": "h"}))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of the table's can clash
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    found = written(join(plain, key, text).withColumnsRenamed({key: "id", "text_hash": "h"}))
     goes = written(found.where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_text_hash")))).select("id", "h").distinct())
-    own = docs.select(*docs.columns, F.xxhash64(F.col(f"`{text_col}`")).alias("__h"))
-    goes = goes.withColumnsRenamed({"id": "__i", "h": "__t"})
-    goes = F.broadcast(goes) if goes.count() <= MAX_BROADCAST else goes
-    kept = own.join(goes, own[f"`{id_col}`"].eqNullSafe(goes["__i"]) & (own["__h"] == goes["__t"]), "left_anti")
+    own = plain.withColumn("own_h", F.xxhash64(text))
+    kept = own.join(goes, own[key].eqNullSafe(goes["id"]) & (own["own_h"] == goes["h"]), "left_anti")
     if found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "__h"])
-    return kept.drop("__h")
+        kept = kept.dropDuplicates([key, "own_h"])
+    return kept.drop("own_h").toDF(*names)

@@ -1,13 +1,18 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences (cut at ``. ! ?`` and line ends). A sentence's logit is a bias plus the weights of its
-distinct words; a word's weight is the sum over its features: the word itself and its beginnings of three to five letters.
-Sentence probabilities combine by noisy-or, 1 - prod(1 - p), and the weights are fitted to document labels alone, so
-that the sentences which must explain a label are found by training; they can be located afterwards.
-
-Cases: null or empty text has no sentence and scores 0; very long texts are scored whole; repeated rows each get a
-row; an empty table gives an empty result; other columns are not read. Without a labelled document of each kind
-every score is 0.
+A document is a bag of sentences (cut at ``. ! ?`` and line ends; pieces without a letter or digit are none). A sentence's
+logit is a bias plus the weights of its distinct words; a word's weight is the sum over its features: the word itself
+and its beginnings of three to five letters. Sentence probabilities combine by noisy-or, 1 - prod(1 - p), and the weights
+are fitted to document labels alone, so that the sentences which must explain a label are found by training; they can
+be located afterwards.
+
+Every sentence has some small probability, and noisy-or would add these up until a text that is only long looks toxic.
+So, once fitted, what a clean sentence has anyway (the quantile ``LEAK`` over sentences of clean training documents) is
+taken off each sentence's share, -log(1 - p), but the largest's, before the shares are added.
+
+Cases: null or empty text, or one without a letter or digit, has no sentence and scores 0; very long texts are scored
+whole; repeated rows each get a row; an empty table gives an empty result; other columns are not read but for those to be
+kept. Without a labelled document of each kind every score is 0.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, split_words
+from .common import bounded_sample, carried, fitted, slices, split_words
 
-#: Labelled documents of each label, and characters of each, that the weights are fitted on at most.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
+#: Labelled documents of each label, and characters of each, that the weights are fitted on at most; longer documents,
+#: if clean, give so many of their sentences (each is clean as well), chosen by hash.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_SENTENCES = 1500, 20_000, 200
 #: Passes over the sample, documents in a step, step size, and pull of the weights to zero.
 PASSES, STEP_DOCS, RATE, SHRINK = 30, 100, 0.3, 2e-4
 #: The bias at the start: a sentence is clean unless its words say otherwise. Weights nearer to zero than the floor are left out.
@@ -32,6 +38,8 @@ BIAS, FLOOR = -9.0, 0.05
 PREFIXES, MIN_DOCS = (3, 4, 5), 4
 MAX_WORDS = 300_000
 SENTENCE_END = r"[.!?\n]+"
+#: Quantile, over clean sentences, of the share that is taken off each sentence.
+LEAK = 0.999
 
 
 def features(word: str) -> list[str]:
@@ -40,10 +48,11 @@ def features(word: str) -> list[str]:
 
 
 def sentences(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All sentences, and for each text where its own begin; pieces without a word count as sentences without weight."""
+    """All sentences that have a letter or digit, and for each text where its own begin."""
     lists = pc.split_pattern_regex(pc.fill_null(texts, ""), SENTENCE_END)
-    offsets = lists.offsets.to_numpy()
-    return lists.flatten(), offsets - offsets[0]
+    pieces, offsets = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.match_substring_regex(pieces, r"[\p{L}\p{N}]").to_numpy(zero_copy_only=False).astype(bool)
+    return pieces.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
 
 
 def sentence_words(found: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -68,8 +77,8 @@ def log1mexp(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.memo = weights, bias, {}
+    def __init__(self, weights: dict[str, float], bias: float, leak: float = 0.0):
+        self.weights, self.bias, self.leak, self.memo = weights, bias, leak, {}
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], seed: int = 5) -> "Model":
@@ -130,7 +139,11 @@ class Model:
                 bias += RATE * gb / np.sqrt(b2)
         keep = np.flatnonzero(np.abs(w * alive) >= FLOOR)
         by_number = list(names)
-        return cls({by_number[k]: float(w[k]) for k in keep}, float(min(bias, BIAS / 2)))
+        model = cls({by_number[k]: float(w[k]) for k in keep}, float(min(bias, BIAS / 2)))
+        clean = pa.array([t for t, label in zip(texts, labels, strict=True) if not label], pa.string())
+        shares = np.concatenate([np.logaddexp(0, model.sentence_logits(clean.slice(i, 100))[2]) for i in range(0, len(clean), 100)])
+        model.leak = float(np.quantile(shares, LEAK)) if len(shares) else 0.0
+        return model
 
     def sentence_logits(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """All sentences, where each text's begin, and their logits."""
@@ -150,34 +163,47 @@ class Model:
     def score(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """Document scores; then all sentences, where each text's begin, and their probabilities."""
         found, doc_at, z = self.sentence_logits(texts)
-        z = np.clip(z, -60, 60) if np.isfinite(self.bias) else np.full(len(found), -np.inf)
-        p = np.where(np.isfinite(z), 1 / (1 + np.exp(-z)), 0.0)
-        return -np.expm1(sums(-np.logaddexp(0, z), doc_at)), found, doc_at, p
+        share = np.logaddexp(0, z) if np.isfinite(self.bias) else np.zeros(len(found))
+        over = np.maximum(share - self.leak, 0)
+        most = np.zeros(len(texts))
+        full = np.flatnonzero(np.diff(doc_at))
+        if len(full):
+            most[full] = np.maximum.reduceat(share, doc_at[:-1][full])
+        return -np.expm1(-sums(over, doc_at) - np.minimum(most, self.leak)), found, doc_at, -np.expm1(-share)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on a bounded sample of the labels: at most about ``most`` of each kind, whose documents have ``chars`` characters or fewer.
+    """Fit, in one executor task, on a bounded sample of the labels: at most about ``most`` of each kind.
 
-    The sampled labels, so few, go to the documents by a broadcast; no text is shuffled.
+    Documents over ``chars`` characters count only if clean, by ``TRAIN_SENTENCES`` of their sentences. The sampled labels,
+    so few, go to the documents by a broadcast; no text is shuffled but the sample's.
     """
-    rows = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    rows = labels.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{label_col}`").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     picked = bounded_sample(rows, "k", "y", most).dropDuplicates(["k"])
-    texts = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")).where(F.length("t") <= chars)
-    sample = [(r["t"], r["y"]) for r in texts.join(F.broadcast(picked), "k").orderBy(F.xxhash64("k", "t")).limit(2 * most).toLocalIterator()]
-    return Model.fit([t for t, _ in sample], [y for _, y in sample])
+    texts = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(picked), "k").where((F.length("t") <= chars) | (F.col("y") == 0))
+    pieces = F.array_sort(F.transform(F.filter(F.split("t", SENTENCE_END), lambda x: F.trim(x) != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(x, 1, chars).alias("x"))))
+    some = F.array_join(F.transform(F.slice(pieces, 1, TRAIN_SENTENCES), lambda p: p["x"]), ". ")
+    sample = texts.withColumn("s", F.when(F.length("t") <= chars, F.col("t")).otherwise(some)).orderBy(F.xxhash64("k", "t")).limit(2 * most)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> tuple:
+        both = pa.Table.from_batches(list(batches), pa.schema([("s", pa.string()), ("y", pa.int32())]))
+        model = Model.fit(both.column(0).to_pylist(), both.column(1).to_pylist())
+        return model.weights, model.bias, model.leak
+
+    return Model(*fitted(sample.select("s", "y"), fit))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, at: float = 0.5) -> DataFrame:
     """``id_col``, the columns in ``keep``, ``score``, ``predicted`` and ``offending``, the sentences with a probability of ``at`` or more.
 
     ``offending`` is an array of (position among the text's sentences from 0, score, sentence). One row for each input
-    row, without a shuffle; the weights (a few MB at most) go to the workers by a broadcast.
+    row, without a shuffle; the weights (a few MB at most) go to the workers by a broadcast. A column of ``keep`` that
+    has a result's name is left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    names = [id_col, text_col, *(c for c in keep or [] if c not in (id_col, text_col))]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    kept = [i for i, c in enumerate(names) if c == id_col or c in (keep or [])]
-    schema = ", ".join(f"`{names[i]}` {rows.schema[i].dataType.simpleString()}" for i in kept) + ", score double, predicted int, offending array<struct<position:int,score:double,sentence:string>>"
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))
+    results = ["score", "predicted", "offending"]
+    rows, kept, names = carried(docs, id_col, text_col, keep, results)
+    schema = ", ".join(f"`{c}` {rows.schema[i].dataType.simpleString()}" for i, c in zip(kept, names, strict=True)) + ", score double, predicted int, offending array<struct<position:int,score:double,sentence:string>>"
     kind = pa.list_(pa.struct([("position", pa.int32()), ("score", pa.float64()), ("sentence", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +215,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 for s in np.flatnonzero(p >= at):
                     d = int(np.searchsorted(doc_at, s, side="right")) - 1
                     offending[d].append({"position": int(s - doc_at[d]), "score": float(p[s]), "sentence": found[int(s)].as_py().strip()})
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)), pa.array(offending, kind)], names=[*(names[i] for i in kept), "score", "predicted", "offending"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)), pa.array(offending, kind)], names=[*names, *results])
 
     return rows.mapInArrow(work, schema)
