@@ -1,14 +1,18 @@
 """Quality rules: base statistics, and robust multivariate outliers within each language and source.
 
-Main path in DataFrame functions alone. A vector of transformed statistics is taken from each whole text; for each
-(language, source) group a minimum-covariance-determinant estimate is found by concentration steps: from robust
-centres and scales, the ``H`` share of documents nearest by Mahalanobis distance gives the next mean and covariance,
-over again. Documents farther than a cut-off are rejected. Groups with too few documents use their language's
-estimate, and small languages that of all documents. All estimates are over all documents that pass the base rules.
+Main path in DataFrame functions alone. A vector of transformed statistics is taken from each whole text. For each
+(language, source) group, each language and all documents, a minimum-covariance-determinant estimate is sought: from
+three deterministic starts (medians with quartile ranges; spatial signs; hyperbolic tangents of the standardised vector),
+the share ``H`` of documents nearest by Mahalanobis distance gives the next mean and covariance, over again until the
+determinant falls no more, and the start that ends at the least determinant wins. All levels and starts go through the
+same aggregations. A group's estimate is the mixture of its own and its language's, weighed as n to ``PRIOR`` for n
+documents, and a language's that of its own and all documents': the same rule for every size. Documents farther than
+a cut-off from their group's centre are rejected. All estimates are over all documents that pass the base rules.
 
 Cases: a null text has no words; empty and wordless texts fail the base rules; null language or source is a group like
 any other; in a group without spread a floor on each variance keeps distances finite; repeated rows count and are
-judged each; an empty table gives an empty result. Only the named columns are read.
+judged each; an empty table gives an empty result. Only the named columns are read. Within ties at the cut of a
+concentration step all are taken; of starts with equal determinants the first is.
 """
 
 from __future__ import annotations
@@ -23,15 +27,18 @@ from .common import written
 #: Fixed by the rules: least words, most repeated words of a hundred, symbol characters, and the white space between words.
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS, SPACE = "#*$%&|<>", r"[\x20\x09-\x0D]+"
-#: Share of a group that an estimate rests on, concentration steps, least documents of a group of its own.
-H, STEPS, MIN_GROUP = 0.75, 3, 200
+#: Share of a group that an estimate rests on, most concentration steps, fall of the log determinant that still counts,
+#: and weight of the wider estimate in documents.
+H, STEPS, SETTLED, PRIOR = 0.75, 12, 1e-3, 30
 #: Squared distance beyond which a document is rejected: the 1 - 1e-9 quantile of chi-square with five degrees.
 CUT_OFF = 50.0
 #: Variances are held above the square of these, one for each statistic, which also bound what counts as spread.
 FLOORS = {"s_word": 0.06, "s_symbol": 0.05, "s_line": 0.08, "s_repeat": 0.08, "s_variety": 0.06}
-#: Groups up to which their estimates are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 20_000
 STATS = list(FLOORS)
+#: The statistics' pairs, as in the lower half of a covariance.
+PAIRS = [(a, b) for i, a in enumerate(STATS) for b in STATS[: i + 1]]
+#: What an estimate is for; the columns of wider levels hold an empty text.
+LEVEL = ["level", "lang", "source"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,11 +56,11 @@ def repeated_words(words: Column) -> Column:
         n = F.size(ordered)
         neighbours = F.arrays_zip(F.concat(F.array(none), F.slice(ordered, 1, n - 1)).alias("before"), ordered.alias("own"), F.concat(F.slice(ordered, 2, n), F.array(none)).alias("after"))
         twice = F.filter(neighbours, lambda x: F.coalesce(x["before"]["h"] == x["own"]["h"], F.lit(False)) | F.coalesce(x["after"]["h"] == x["own"]["h"], F.lit(False)))
-        starts = F.array_sort(F.transform(twice, lambda x: x["own"]["i"]))
+        starts = F.sort_array(F.transform(twice, lambda x: x["own"]["i"]))
         begin = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(starts, begin, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
 
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
 
 
 def base_statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -84,14 +91,12 @@ def transformed(n: dict[str, Column]) -> dict[str, Column]:
 
 def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and covariance of the vector for each key: plain sums, so that a large group meets as partial sums."""
-    sums = [F.avg(s).alias(f"m_{s}") for s in STATS]
-    sums += [F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for i, a in enumerate(STATS) for b in STATS[: i + 1]]
-    got = rows.groupBy(*keys).agg(*sums, F.count("*").alias("n"))
-    return got.select(*keys, "n", *[f"m_{s}" for s in STATS], *[(F.col(f"c_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}") + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))).alias(f"c_{a}_{b}") for i, a in enumerate(STATS) for b in STATS[: i + 1]])
+    got = rows.groupBy(*keys).agg(*[F.avg(s).alias(f"m_{s}") for s in STATS], *[F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a, b in PAIRS])
+    return got.select(*keys, *[f"m_{s}" for s in STATS], *[(F.col(f"c_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}") + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))).alias(f"c_{a}_{b}") for a, b in PAIRS])
 
 
 def with_factor(estimates: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor ``l_*`` of the covariance, whose variances the floors keep positive."""
+    """Adds the Cholesky factor ``l_*`` of the covariance, whose variances the floors keep positive, and ``log_det``."""
     out = estimates
     for i, a in enumerate(STATS):
         for j, b in enumerate(STATS[: i + 1]):
@@ -99,7 +104,7 @@ def with_factor(estimates: DataFrame) -> DataFrame:
             for c in STATS[:j]:
                 rest = rest - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 / 4))) if i == j else rest / F.col(f"l_{b}_{b}"))
-    return out
+    return out.withColumn("log_det", sum((F.log(f"l_{a}_{a}") for a in STATS[1:]), F.log(f"l_{STATS[0]}_{STATS[0]}")) * 2)
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
@@ -112,25 +117,60 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z_{a}") * F.col(f"z_{a}") for a in STATS[1:]), F.col(f"z_{STATS[0]}") * F.col(f"z_{STATS[0]}")))
 
 
-def joined(rows: DataFrame, estimates: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """``rows`` with their group's estimates: a broadcast of at most ``MAX_BROADCAST`` rows, else a join that adaptive execution may split where a key is hot."""
-    return rows.join(F.broadcast(estimates) if few else estimates, keys, "left")
+def starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key three first estimates, ``start`` 0 to 2, around the medians: no correlation, that of spatial signs, that of hyperbolic tangents."""
+    middle = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q_{s}") for s in STATS])
+    middle = written(middle.select(*keys, "n", *[F.col(f"q_{s}")[1].alias(f"m_{s}") for s in STATS], *[F.sqrt(F.pow((F.col(f"q_{s}")[2] - F.col(f"q_{s}")[0]) / 1.349, 2) + FLOORS[s] ** 2).alias(f"w_{s}") for s in STATS]))
+    z = {s: (F.col(s) - F.col(f"m_{s}")) / F.col(f"w_{s}") for s in STATS}
+    norm = F.sqrt(sum((z[s] * z[s] for s in STATS), F.lit(1e-12)))
+    forms = {1: {s: z[s] / norm for s in STATS}, 2: {s: F.tanh(z[s]) for s in STATS}}
+    seen = rows.join(middle, keys).groupBy(*keys).agg(*[F.avg(f[a] * f[b]).alias(f"r{k}_{a}_{b}") for k, f in forms.items() for a, b in PAIRS])
+
+    def of(k: int) -> DataFrame:
+        like = lambda a, b: F.col(f"r{k}_{a}_{b}") / F.sqrt((F.col(f"r{k}_{a}_{a}") + 1e-9) * (F.col(f"r{k}_{b}_{b}") + 1e-9)) * F.lit(0.95)
+        cell = lambda a, b: F.pow(f"w_{a}", 2) if a == b else F.col(f"w_{a}") * F.col(f"w_{b}") * (like(a, b) if k else F.lit(0.0))
+        return middle.join(seen, keys).select(*keys, F.lit(k).alias("start"), "n", *[f"m_{s}" for s in STATS], *[cell(a, b).alias(f"c_{a}_{b}") for a, b in PAIRS])
+
+    return written(with_factor(of(0).unionAll(of(1)).unionAll(of(2))))
+
+
+def robust(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the estimate of least determinant: ``n``, ``m_*`` and ``c_*``.
+
+    Each step handles the keys and starts that haven't settled, two aggregations for all of them. Estimates are
+    tables, which the planner broadcasts if they are small; else a hot key's rows are split by its skew join.
+    """
+    own = [*keys, "start"]
+    now = starts(rows, keys)
+    sizes = now.where("start = 0").select(*keys, "n")
+    now, ends = now.drop("n"), []
+    for step in range(STEPS):
+        far = with_distance(rows.join(now, keys)).select(*own, *STATS, "d2", F.col("log_det").alias("before"))
+        cut = written(far.groupBy(*own).agg(F.percentile_approx("d2", H, 1000).alias("cut"), F.first("before").alias("before")))
+        near = far.drop("before").join(cut, own).where("d2 <= cut")
+        after = written(with_factor(moments(near, own)).join(cut.select(*own, "before"), own))
+        fell = F.col("log_det") < F.col("before") - SETTLED if step else F.lit(True)
+        ends.append(after.where(~fell if step < STEPS - 1 else F.lit(True)).drop("before"))
+        now = after.where(fell).drop("before")
+        if not now.limit(1).count():
+            break
+    columns = [f"m_{s}" for s in STATS] + [f"c_{a}_{b}" for a, b in PAIRS]
+    every = ends[0]
+    for more in ends[1:]:
+        every = every.unionAll(more)
+    best = written(with_factor(every.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("e")).select(*keys, "e.*")))
+    # the nearest share understates the spread; scaled so that its median distance is that of chi-square with five degrees
+    scale = with_distance(rows.join(best, keys)).groupBy(*keys).agg((F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(4.351)) / 4.351).alias("scale"))
+    return written(best.join(scale, keys).join(sizes, keys).select(*keys, "n", *[f"m_{s}" for s in STATS], *[(F.col(f"c_{a}_{b}") * F.col("scale")).alias(f"c_{a}_{b}") for a, b in PAIRS]))
 
 
-def robust(rows: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """For each key the concentrated estimate: ``m_*``, ``l_*`` and ``n``."""
-    medians = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q_{s}") for s in STATS])
-    start = medians.select(*keys, "n", *[F.col(f"q_{s}")[1].alias(f"m_{s}") for s in STATS], *[(F.pow((F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349, 2) + FLOORS[a] ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for i, a in enumerate(STATS) for b in STATS[: i + 1]])
-    size, now = start.select(*keys, F.col("n").alias("n_all")), start
-    for _ in range(STEPS):
-        far = with_distance(joined(rows, written(with_factor(now)), keys, few))
-        cut = written(far.groupBy(*keys).agg(F.percentile_approx("d2", H, 1000).alias("cut")))
-        near = joined(far.select(*keys, "d2", *STATS), cut, keys, few).where("d2 <= cut")
-        now = moments(near, keys)
-    # the nearest share understates the spread; scaled so that its median distance is that of chi-square with five degrees
-    last = written(with_factor(now))
-    scale = with_distance(joined(rows, last, keys, few)).groupBy(*keys).agg((F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(4.351)) / 4.351).alias("scale"))
-    return written(last.join(scale, keys).join(size, keys).select(*keys, "n_all", *[f"m_{s}" for s in STATS], *[(F.col(f"l_{a}_{b}") * F.sqrt("scale")).alias(f"l_{a}_{b}") for i, a in enumerate(STATS) for b in STATS[: i + 1]]))
+def mixed(own: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
+    """``own`` estimates mixed with the ``wide`` ones of the same ``keys``, as n to ``PRIOR`` documents; the distance of the two centres counts as spread."""
+    met = own.join(wide.select(*keys, *[F.col(c).alias(f"wide_{c}") for c in wide.columns if c[:2] in ("m_", "c_")]), keys)
+    w = F.col("n") / (F.col("n") + PRIOR)
+    mix = lambda c: w * F.col(c) + (1 - w) * F.col(f"wide_{c}")
+    gap = lambda s: F.col(f"m_{s}") - F.col(f"wide_m_{s}")
+    return met.select(*own.columns[: own.columns.index("n") + 1], *[mix(f"m_{s}").alias(f"m_{s}") for s in STATS], *[(mix(f"c_{a}_{b}") + w * (1 - w) * gap(a) * gap(b)).alias(f"c_{a}_{b}") for a, b in PAIRS])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut_off: float = CUT_OFF) -> DataFrame:
@@ -140,18 +180,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED) * F.col("n_words"))
     base = base.withColumn("base_failed", failed)
     base = written(base.withColumns(transformed({k: F.col(k) for k in ("n_words", "n_repeat_words", "n_distinct", "n_lines", "n_dup_lines", "word_chars", "n_symbols")})))
-    rows = base.where("not base_failed").select("lang", "source", *STATS)
-    sizes = written(rows.groupBy("lang", "source").count())
-    own = sizes.where(F.col("count") >= MIN_GROUP).select("lang", "source")
-    few = sizes.count() <= MAX_BROADCAST
-    by_group = robust(rows.join(F.broadcast(own) if few else own, ["lang", "source"], "left_semi"), ["lang", "source"], few)
-    by_lang = robust(rows, ["lang"], few)
-    over_all = robust(rows.withColumn("all", F.lit(1)), ["all"], True)
-    names = [c for c in by_group.columns if c[1] == "_" and c[0] in "ml"]
-    pack = lambda df, keys, name: df.select(*keys, F.struct(*names).alias(name))
-    found = joined(base.withColumn("all", F.lit(1)), pack(by_group, ["lang", "source"], "g"), ["lang", "source"], few)
-    found = joined(found, pack(by_lang.where(F.col("n_all") >= MIN_GROUP), ["lang"], "h"), ["lang"], few)
-    found = joined(found, pack(over_all, ["all"], "a"), ["all"], True)
-    found = with_distance(found.withColumn("e", F.coalesce("g", "h", "a")).select("*", "e.*"))
+    of = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
+    levels = F.array(of(0, F.col("lang"), F.col("source")), of(1, F.col("lang"), F.lit("")), of(2, F.lit(""), F.lit("")))
+    rows = base.where("not base_failed").select(F.explode(levels).alias("g"), *STATS).select("g.*", *STATS)
+    found = robust(rows, LEVEL)
+    level = lambda n, *keys: found.where(F.col("level") == n).select(*keys, F.lit(1).alias("one"), "n", *[c for c in found.columns if c[:2] in ("m_", "c_")])
+    by_lang = mixed(level(1, "lang"), level(2), ["one"])
+    own = written(with_factor(mixed(level(0, "lang", "source"), by_lang, ["lang"])).select("lang", "source", *[f"m_{s}" for s in STATS], *[f"l_{a}_{b}" for a, b in PAIRS]))
+    met = with_distance(base.join(own, ["lang", "source"], "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2"))
-    return found.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & (F.col("d2") <= cut_off), F.lit(False)).alias("kept"), distance.alias("distance"))
+    return met.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & (F.col("d2") <= cut_off), F.lit(False)).alias("kept"), distance.alias("distance"))

@@ -275,23 +275,73 @@ def test_quality_base_against_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_distance_against_numpy(spark):
+def vectors(spark, groups):
+    rows = [(k, *map(float, v)) for k, x in groups.items() for v in x]
+    return spark.createDataFrame(rows, "k string, " + ", ".join(f"{s} double" for s in quality.STATS))
+
+
+def estimate(row):
+    c = np.zeros((5, 5))
+    for i, a in enumerate(quality.STATS):
+        for j, b in enumerate(quality.STATS[: i + 1]):
+            c[i, j] = c[j, i] = row[f"c_{a}_{b}"]
+    return np.array([row[f"m_{s}"] for s in quality.STATS]), c
+
+
+FLOOR = np.diag([v**2 for v in quality.FLOORS.values()])
+
+
+def exhaustive(x, h):
+    """Of all subsets of h rows, the mean and covariance with the least determinant."""
+    found = [(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) + FLOOR)[1], c) for c in itertools.combinations(range(len(x)), h)]
+    best = list(min(found)[1])
+    return x[best].mean(0), np.cov(x[best].T, bias=True) + FLOOR
+
+
+def test_quality_estimate_against_all_subsets(spark):
+    rnd = np.random.default_rng(3)
+    groups = {}
+    for g in range(6):
+        x = rnd.normal(size=(12, 5)) @ rnd.normal(size=(5, 5)) * 0.3 + g
+        x[:3] += rnd.choice([-6, 6], (3, 5))
+        groups[f"g{g}"] = x
+    got = {r["k"]: r for r in quality.robust(vectors(spark, groups), ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        m, c = estimate(got[k])
+        want_m, want_c = exhaustive(x, 9)
+        d2 = np.sort(np.einsum("ij,jk,ik->i", x - want_m, np.linalg.inv(want_c), x - want_m))
+        scale = max(d2[5], 4.351) / 4.351  # the median as the aggregate takes it, of twelve the sixth
+        assert got[k]["n"] == 12 and np.allclose(m, want_m, atol=1e-6) and np.allclose(c, want_c * scale, rtol=1e-5)
+
+
+def test_quality_estimate_and_distance_against_numpy(spark):
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(400, 5)) @ rnd.normal(size=(5, 5)) * 0.3 + 1
     x[:40] += 5
-    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "k string, " + ", ".join(f"{s} double" for s in quality.STATS))
-    est = quality.robust(rows, ["k"], True).first()
-    low = np.zeros((5, 5))
-    for i, a in enumerate(quality.STATS):
-        for j, b in enumerate(quality.STATS[: i + 1]):
-            low[i, j] = est[f"l_{a}_{b}"]
-    m = np.array([est[f"m_{s}"] for s in quality.STATS])
-    d2 = (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
-    ours = [r["d2"] for r in quality.with_distance(rows.join(F.broadcast(quality.robust(rows, ["k"], True)), "k")).collect()]
-    assert np.allclose(ours, d2)
-    clean = x[40:]
-    assert np.abs(m - np.median(clean, 0)).max() < 0.5  # the planted tenth doesn't move the estimate
-    assert d2[:40].min() > np.quantile(d2[40:], 0.95)
+    rows = vectors(spark, {"g": x})
+    m, c = estimate(quality.robust(rows, ["k"]).first())
+    best = (np.inf, None, None)
+    for _ in range(40):  # random starts, the usual concentration
+        own = rnd.choice(400, 6, replace=False)
+        for _ in range(30):
+            mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True) + FLOOR
+            own = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))[:300]
+        mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True) + FLOOR
+        best = min(best, (np.linalg.slogdet(cov)[1], mean, cov), key=lambda t: t[0])
+    assert np.allclose(m, best[1], atol=0.02) and np.linalg.slogdet(c / (np.trace(c) / np.trace(best[2])))[1] == pytest.approx(best[0], abs=0.05)
+    own = quality.with_factor(quality.robust(rows, ["k"]))
+    ours = sorted(r["d2"] for r in quality.with_distance(rows.join(F.broadcast(own), "k")).collect())
+    assert np.allclose(ours, np.sort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)))
+
+
+def test_quality_small_groups_lean_on_wider_ones(spark):
+    names = ["k", "n", *[f"m_{s}" for s in quality.STATS], *[f"c_{a}_{b}" for a, b in quality.PAIRS]]
+    own = spark.createDataFrame([("g", 10, *[1.0] * 5, *[2.0 if a == b else 0.0 for a, b in quality.PAIRS])], names)
+    wide = spark.createDataFrame([("g", 99, *[0.0] * 5, *[1.0 if a == b else 0.0 for a, b in quality.PAIRS])], names)
+    m, c = estimate(quality.mixed(own, wide, ["k"]).first())
+    w = 10 / (10 + quality.PRIOR)
+    assert np.allclose(m, w) and np.allclose(c, np.eye(5) * (1 + w) + w * (1 - w))
 
 
 def test_quality_rejects_planted_outliers(spark):
