@@ -2,7 +2,8 @@
 
 The trees see lexical features: lengths, depth, digit ratio, character entropy, counts of parameters, dots and hyphens,
 and statistics of suffixes (how often, in training, URLs with the same top-level domain, the same extension or the
-same first path segment were blocked). They are trained from labelled URLs.
+same first path segment were blocked). They are trained from labelled URLs; there, a URL's suffix statistics come from the
+other folds of the sample, so that its own label doesn't tell on itself.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; the trees judge it by its
 (then mostly zero) features; very long URLs are read whole; repeated rows each get a verdict; an empty table gives an
@@ -21,8 +22,8 @@ from .common import bounded_sample, written
 
 #: Labelled URLs of each verdict that the trees are fitted on at most; trees, their depth and step.
 TRAIN_URLS, TREES, DEPTH, STEP = 10_000, 15, 4, 0.2
-#: Suffixes in fewer training URLs have no statistic of their own; weight of the overall rate in each.
-MIN_URLS, PRIOR = 5, 10.0
+#: Suffixes in fewer training URLs have no statistic of their own; weight of the overall rate in each; folds of the sample.
+MIN_URLS, PRIOR, FOLDS = 5, 10.0, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUFFIXES = ("tld", "extension", "segment")
 
@@ -78,39 +79,60 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
 
 
 class Filter:
-    """Fitted trees and suffix statistics; ``model`` is None where only one verdict was seen."""
+    """Fitted trees and suffix statistics; ``model`` is None where only one verdict was seen.
 
-    def __init__(self, model: GBTClassificationModel | None, only: str, rates: dict[str, dict[str, float]], overall: float):
+    ``rates`` is a table (kind, suffix, rate) of at most 6 ``TRAIN_URLS`` / ``MIN_URLS`` rows, as each of the sample's
+    URLs has three suffixes; None where there are none.
+    """
+
+    def __init__(self, model: GBTClassificationModel | None, only: str, rates: DataFrame | None, overall: float):
         self.model, self.only, self.rates, self.overall = model, only, rates, overall
 
+    def rated(self, rows: DataFrame, host: Column, path: Column) -> DataFrame:
+        """``rows`` with ``__<kind>_rate`` for each kind of suffix; the bounded table meets them by broadcast joins."""
+        for kind, key in suffixes(host, path).items():
+            if self.rates is None:
+                rows = rows.withColumn(f"__{kind}_rate", F.lit(self.overall))
+                continue
+            known = self.rates.where(F.col("kind") == kind).select(F.col("suffix").alias("__key"), F.col("rate").alias("__rate"))
+            rows = rows.join(F.broadcast(known), key == F.col("__key"), "left").withColumn(f"__{kind}_rate", F.coalesce("__rate", F.lit(self.overall))).drop("__key", "__rate")
+        return rows
+
     def featured(self, rows: DataFrame, url: Column) -> DataFrame:
-        """``rows`` with a ``features`` vector; the statistics (at most ``TRAIN_URLS`` / ``MIN_URLS`` suffixes of each kind) stand in the plan as maps."""
+        """``rows`` (with the suffix rates) with a ``features`` vector."""
         host, path = host_of(url), path_of(url)
         values = lexical(url, host, path)
-        for name, key in suffixes(host, path).items():
-            known = self.rates[name]
-            table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair]) if known else None
-            values[f"{name}_rate"] = F.coalesce(F.try_element_at(table, key), F.lit(self.overall)) if table is not None else F.lit(self.overall)
         rows = rows.withColumns({f"__{k}": v for k, v in values.items()})
-        return VectorAssembler(inputCols=[f"__{k}" for k in values], outputCol="features").transform(rows).drop(*[f"__{k}" for k in values])
+        names = [*[f"__{k}" for k in values], *[f"__{k}_rate" for k in SUFFIXES]]
+        return VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names)
 
 
 def train(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict", most: int = TRAIN_URLS, trees: int = TREES, depth: int = DEPTH) -> Filter:
     """Fit on a bounded sample of the labelled URLs (``verdict_col`` holds ``allow`` or ``block``)."""
-    rows = labelled.select(F.col(url_col).alias("url"), F.col(verdict_col).alias("verdict")).where(F.col("verdict").isin("allow", "block"))
-    sample = written(bounded_sample(rows, "url", "verdict", most).withColumn("label", (F.col("verdict") == "block").cast("double")).coalesce(2))
+    rows = labelled.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{verdict_col}`").alias("verdict")).where(F.col("verdict").isin("allow", "block"))
+    sample = bounded_sample(rows, "url", "verdict", most).withColumns({"label": (F.col("verdict") == "block").cast("double"), "fold": F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS))})
+    sample = written(sample.coalesce(2))
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n = sum(kinds.values())
     overall = kinds.get(1.0, 0) / n if n else 0.0
-    rates = {}
-    for name, key in suffixes(host_of(F.col("url")), path_of(F.col("url"))).items():
-        seen = sample.groupBy(key.alias("k")).agg(F.sum("label").alias("bad"), F.count("*").alias("n")).where(F.col("n") >= MIN_URLS).collect()
-        rates[name] = {r["k"]: (r["bad"] + PRIOR * overall) / (r["n"] + PRIOR) for r in seen}
-    fitted = Filter(None, "block" if kinds.get(1.0) else "allow", rates, overall)
-    if len(kinds) > 1:
-        data = written(fitted.featured(sample, F.col("url")).select("label", "features")).coalesce(2)
-        fitted.model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=STEP, maxBins=32, seed=3, featuresCol="features", labelCol="label").fit(data)
-    return fitted
+    if len(kinds) < 2:
+        return Filter(None, "block" if kinds.get(1.0) else "allow", None, overall)
+    parts = suffixes(host_of(F.col("url")), path_of(F.col("url")))
+    keyed = sample.select("label", "fold", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("suffix")) for kind, key in parts.items()])).alias("s")).select("label", "fold", "s.*")
+    smooth = lambda bad, of: (bad + PRIOR * overall) / (of + PRIOR)
+    all_of = written(keyed.groupBy("kind", "suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("of")))
+    rates = written(all_of.where(F.col("of") >= MIN_URLS).select("kind", "suffix", smooth(F.col("bad"), F.col("of")).alias("rate")))
+    fold = keyed.groupBy("kind", "suffix", "fold").agg(F.sum("label").alias("own_bad"), F.count("*").alias("own"))
+    rest = fold.join(all_of, ["kind", "suffix"]).where(F.col("of") - F.col("own") >= MIN_URLS)
+    rest = written(rest.select("kind", "suffix", "fold", smooth(F.col("bad") - F.col("own_bad"), F.col("of") - F.col("own")).alias("rate")))
+    data = sample
+    for kind, key in parts.items():
+        known = rest.where(F.col("kind") == kind).select(F.col("suffix").alias("__key"), F.col("fold").alias("__fold"), F.col("rate").alias("__rate"))
+        data = data.join(F.broadcast(known), (key == F.col("__key")) & (F.col("fold") == F.col("__fold")), "left").withColumn(f"__{kind}_rate", F.coalesce("__rate", F.lit(overall))).drop("__key", "__fold", "__rate")
+    out = Filter(None, "block", rates, overall)
+    data = written(out.featured(data, F.col("url")).select("label", "features")).coalesce(2)
+    out.model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=STEP, maxBins=32, seed=3, featuresCol="features", labelCol="label").fit(data)
+    return out
 
 
 def judge(pages: DataFrame, fitted: Filter, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -120,7 +142,7 @@ def judge(pages: DataFrame, fitted: Filter, rules: list[tuple[str, str]], id_col
     if fitted.model is None:
         scored, p = rows, F.lit(float(fitted.only == "block"))
     else:
-        scored = fitted.model.transform(fitted.featured(rows, F.col("url")))
+        scored = fitted.model.transform(fitted.featured(fitted.rated(rows, F.col("host"), F.col("path")), F.col("url")))
         from pyspark.ml.functions import vector_to_array
 
         p = vector_to_array("probability")[1]
