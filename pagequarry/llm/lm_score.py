@@ -30,7 +30,7 @@ from .common import split_words, written_by
 #: Longest n-gram, factor of a step back.
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a chunk, and n-grams that one partition of the count tables gathers, about.
-CHUNK_BYTES, BUCKET_GRAMS = 8 << 20, 2_000_000
+CHUNK_BYTES, BUCKET_GRAMS = 16 << 20, 4_000_000
 M64, G64 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     kind = docs.schema[id_col].dataType
     chunks = chunked(docs, id_col, text_col, CHUNK_BYTES)
     n_all = chunks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, min(1 << 20, -(-n_all * order // BUCKET_GRAMS), ), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    buckets = max(1, -(-n_all * order // BUCKET_GRAMS), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     answers = counted(asked(chunks, order, buckets)).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "others")).alias("answers"))
     met = chunks.hint("merge").join(answers, "chunk", "left").select("ids", "texts", "answers")
     names = [id_col, "n_words", "log10_score", "mean_log10"]

@@ -61,33 +61,33 @@ def rounded_scores(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
-def op8_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole backoff, from trigrams down."""
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_scores(lm_score.score(table(spark, sf_dir, "documents")))
 
 
-def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams only, as its SQL has them."""
-    return rounded_scores(lm_score.score(table(spark, sf_dir, "documents"), order=2))
+def backed_off(value: str, given: str, context: str, shorter: str) -> str:
+    """SQL of one step: the share of an n-gram after its context, or ``ALPHA`` of the shorter n-gram's score; without a context the shorter one's."""
+    return f"(case when coalesce({value}, 0) > 0 then {value} / greatest(1, {context}) else (case when {given} is null then 1.0::double else {lm_score.ALPHA}::double end) * {shorter} end)"
 
 
-#: The same counts by grouping; for bigrams.
+#: The same counts by grouping, from trigrams down.
 OP8_SQL = f"""
 with words as (
-  select doc_id, p, ws[p] as w, case when p > 1 then ws[p - 1] end as v
+  select doc_id, p, ws[p] as w, case when p > 1 then ws[p - 1] end as v, case when p > 2 then ws[p - 2] end as u
   from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as ws from documents))
 ), total as (select count(*) as n from words),
 uni as (select w, count(*) as c from words group by w), own_uni as (select doc_id, w, count(*) as c from words group by doc_id, w),
 bi as (select v, w, count(*) as c from words where v is not null group by v, w), own_bi as (select doc_id, v, w, count(*) as c from words where v is not null group by doc_id, v, w),
+tri as (select u, v, w, count(*) as c from words where u is not null group by u, v, w), own_tri as (select doc_id, u, v, w, count(*) as c from words where u is not null group by doc_id, u, v, w),
 size as (select doc_id, count(*) as n from words group by doc_id),
 scored as (
-  select a.doc_id, case
-    when coalesce(bi.c - ob.c, 0) > 0 then (bi.c - ob.c) / greatest(1, uv.c - ov.c)
-    else (case when a.v is null then 1.0::double else {lm_score.ALPHA}::double end) * (case when uw.c - ow.c > 0 then (uw.c - ow.c) / greatest(1, t.n - s.n) else {lm_score.ALPHA}::double / greatest(1, t.n - s.n) end) end as value
+  select a.doc_id, {backed_off("(tri.c - ot.c)", "a.u", "(bc.c - obc.c)", backed_off("(bi.c - ob.c)", "a.v", "(uv.c - ov.c)", f"(case when uw.c - ow.c > 0 then (uw.c - ow.c) / greatest(1, t.n - s.n) else {lm_score.ALPHA}::double / greatest(1, t.n - s.n) end)"))} as value
   from words a join size s using (doc_id) cross join total t
   join uni uw on uw.w = a.w join own_uni ow on ow.doc_id = a.doc_id and ow.w = a.w
   left join uni uv on uv.w = a.v left join own_uni ov on ov.doc_id = a.doc_id and ov.w = a.v
   left join bi on bi.v = a.v and bi.w = a.w left join own_bi ob on ob.doc_id = a.doc_id and ob.v = a.v and ob.w = a.w
+  left join bi bc on bc.v = a.u and bc.w = a.v left join own_bi obc on obc.doc_id = a.doc_id and obc.v = a.u and obc.w = a.v
+  left join tri on tri.u = a.u and tri.v = a.v and tri.w = a.w left join own_tri ot on ot.doc_id = a.doc_id and ot.u = a.u and ot.v = a.v and ot.w = a.w
 )
 select d.doc_id, coalesce(s.n, 0) as n_words, round(coalesce(x.l, 0), 4) as log10_score, round(x.l / s.n, 6) as mean_log10
 from documents d left join size s using (doc_id) left join (select doc_id, sum(log10(value)) as l from scored group by doc_id) x using (doc_id)
@@ -132,7 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
-    "op8_lm_score_trigrams": op8_lm_score_trigrams,
     "op8_lm_score": op8_lm_score,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
