@@ -22,8 +22,6 @@ from .common import written
 MIN_SITES, LG_K = 10, 10
 #: Relative distance from the threshold, over four standard errors, within which distinct sites are counted exactly.
 NEAR = 0.15
-#: Boilerplate lines up to which their hashes are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 50_000
 
 
 def lines_of(text: Column) -> Column:
@@ -42,30 +40,30 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = written(spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")))
     sure = spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("h")
     near = spread.where(F.col("sites").between(int(min_sites * (1 - NEAR)), int(min_sites * (1 + NEAR)) + 1) & ~(F.col("sites") > min_sites * (1 + NEAR))).select("h")
-    near = F.broadcast(near) if near.count() <= MAX_BROADCAST else near
     exact = lines.join(near, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") >= min_sites).select("h")
     return written(sure.unionAll(exact))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``text_col`` cleaned, and ``n_lines`` and ``n_removed`` (both 0 for a null text) in front of no other column's name.
+    """``docs`` with ``text_col`` cleaned, and ``n_lines`` and ``n_removed`` (both 0 for a null text) behind its columns.
 
-    Texts cross the network once, to meet the numbers of the lines to be removed.
+    Texts are split and hashed once, into a narrow table of (site, id, place, hash); they cross the network once, to meet
+    the numbers of the lines to be removed. Which side of a join is small, the planner sees from the tables' bytes;
+    where none is, it splits a line that is on every page.
     """
     key = {"__id": F.col(f"`{id_col}`"), "__h": F.xxhash64(F.col(f"`{text_col}`"))}
     site = F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\x00"))
-    lines = docs.select(site.alias("site"), F.explode(F.transform(lines_of(F.col(f"`{text_col}`")), key_of)).alias("h")).where("h is not null")
-    bad = boilerplate(lines, min_sites)
-    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad
-    placed = docs.select(key["__id"].alias("id"), key["__h"].alias("text_h"), F.posexplode(F.transform(lines_of(F.col(f"`{text_col}`")), key_of)).alias("pos", "h"))
-    hits = written(placed.join(bad, "h"))
+    placed = docs.select(site.alias("site"), key["__id"].alias("id"), key["__h"].alias("text_h"), F.posexplode(F.transform(lines_of(F.col(f"`{text_col}`")), key_of)).alias("pos", "h"))
+    placed = written(placed.where("h is not null"))
+    bad = boilerplate(placed.select("site", "h"), min_sites)
+    hits = written(placed.drop("site").join(bad, "h"))
     order = F.struct("id", "pos", "text_h")
-    firsts = hits.groupBy("h").agg(F.min(order).alias("first"))
-    firsts = F.broadcast(firsts) if bad.count() <= MAX_BROADCAST else firsts
+    firsts = written(hits.groupBy("h").agg(F.min(order).alias("first")))
     gone = hits.join(firsts, "h").where(~order.eqNullSafe(F.col("first"))).groupBy("id", "text_h").agg(F.collect_set("pos").alias("__gone"))
     own = docs.withColumns(key)
     met = own.join(gone, own["__id"].eqNullSafe(gone["id"]) & own["__h"].eqNullSafe(gone["text_h"]), "left")
     lines = lines_of(F.col(f"`{text_col}`"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(stay, lambda i: all_lines[i]), "\n"))[0]
     cleaned = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     return met.select(*[cleaned.alias(c) if c == text_col else own[f"`{c}`"] for c in docs.columns], F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).alias("n_lines"), F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).alias("n_removed"))
