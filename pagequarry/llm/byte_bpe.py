@@ -7,8 +7,9 @@ After each byte the open prefixes are those from which some vocabulary entry can
 encodings agree are emitted at once, which takes a lookahead of at most the longest entry. States and steps are made
 when first met and kept in a bounded table.
 
-Cases: null text encodes as empty; an empty text has no tokens (``ids`` empty); very long texts stream through in
-pieces; repeated rows and ids each keep their own result row; other columns are not read.
+Cases: null text encodes as empty; an empty text has no tokens (``ids`` empty); a very long text goes through the machines
+piece by piece, and one text's ids and decoded text at a time are held whole; repeated rows and null ids each keep
+their own result row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -310,7 +311,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         for batch in batches:
             gc.freeze()
             count, first, second = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (x.as_py() for x in batch.column(1)):
                 ids = ",".join([memo[p] for p in split(text)]) if text else ""
                 names = ids.split(",") if ids else []
                 decoded = decoder.decode(names)
@@ -322,4 +323,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"`{id_col}` {kind}, {out}")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(work, f"`{id_col}` {kind}, {out}")

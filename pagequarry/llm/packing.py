@@ -1,7 +1,8 @@
 """Packing into optimal length buckets.
 
 The histogram of lengths over all documents goes to the driver; dynamic programming over it chooses the bucket
-boundaries that minimise padding, a document being padded to its bucket's boundary. Within a bucket, documents in the
+boundaries that minimise padding. A document is padded to its bucket's longest member: the boundary, or under 0.2 % less
+where the histogram rounds lengths over ``EXACT`` up, so no bucket is padded beyond what a member needs. Within a bucket, documents in the
 order of their ids form batches of at most ``budget`` padded tokens; a document longer than that is a batch alone.
 
 Cases: a null length counts as 0; documents of length 0 go to the first bucket, which pads them like any other; ties in
@@ -63,11 +64,14 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
     rows = written(docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(length.cast("long"), F.lit(0).cast("long")).alias("n")))
     histogram = rows.groupBy(grid(F.col("n")).alias("n")).count().collect()
     ends = boundaries([r["n"] for r in histogram], [r["count"] for r in histogram], buckets)
-    bucket, padded = F.lit(0), F.lit(0)
+    bucket = F.lit(0)
     for k, end in reversed(list(enumerate(ends))):
-        inside = grid(F.col("n")) <= end
-        bucket, padded = F.when(inside, F.lit(k)).otherwise(bucket), F.when(inside, F.lit(end)).otherwise(padded)
-    ranged = rows.select("id", "n", bucket.alias("bucket"), padded.cast("long").alias("padded_to"))
+        bucket = F.when(grid(F.col("n")) <= end, F.lit(k)).otherwise(bucket)
+    ranged = rows.select("id", "n", bucket.alias("bucket"))
+    padded = F.lit(0)
+    for r in ranged.groupBy("bucket").agg(F.max("n").alias("most")).collect():  # a row for each bucket
+        padded = F.when(F.col("bucket") == r["bucket"], F.lit(r["most"])).otherwise(padded)
+    ranged = ranged.withColumn("padded_to", padded.cast("long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = written(ranged.repartitionByRange(parts, "bucket", "id", "n").withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("bucket", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))

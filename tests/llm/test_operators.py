@@ -45,7 +45,7 @@ def test_url_rules_against_brute_force(spark):
     urls = [None, "", "nothing", "HTTP://A.EXAMPLE.NET/en/x", "http://example.net/en/", "http://net", "http://net/", "http://x.net?q=/", "https://example.com/de/1#f", "https://m.example.com/fr/de/", "http://example.org/fr/?a=1&b=2", "http://xorg/fr/", "http://é.org/fr/É", "ftp://u:p@h.net:80/a?b#c", "http://a.net/x\ny"]
     urls += ["https://x.org/" + "a" * 20_000, urls[3]]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = {r["page_id"]: r for r in url_filter.judge(df, url_filter.Filter(None, "allow", {}, 0.0), queries.URL_RULES).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge(df, url_filter.Filter(None, "allow", None, 0.0), queries.URL_RULES).collect()}
     for i, u in enumerate(urls):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host = "".join(c.lower() if c.isascii() else c for c in m[1]) if m else ""
@@ -64,6 +64,9 @@ def test_url_trees_learn(spark):
     fitted = url_filter.train(df.where("page_id % 2 = 0").select("url", F.col("truth").alias("verdict")), trees=5, depth=3)
     held = url_filter.judge(df.where("page_id % 2 = 1"), fitted, []).join(df, "page_id")
     assert held.where("verdict = truth").count() >= 0.95 * held.count()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "https://x.org/" + "a/" * 40_000 + "?b=1"), (4, "https://x.org/" + "a/" * 40_000 + "?b=1"), (None, "https://ü.example/ß.PDF#f")], "page_id long, url string").withColumns({c: F.lit(c) for c in ("host", "features", "kind", "suffix", "rate", "probability", "label")})
+    judged = url_filter.judge(odd, fitted, queries.URL_RULES).collect()
+    assert len(judged) == 6 and all(r["verdict"] in ("allow", "block") and 0 <= r["block_score"] <= 1 for r in judged)
     empty = df.limit(0)
     none = url_filter.train(empty.select("url", F.col("truth").alias("verdict")))
     assert none.model is None and url_filter.judge(empty, none, queries.URL_RULES).count() == 0
@@ -382,7 +385,32 @@ def test_fingerprint_edits_against_brute_force(spark):
         assert r["near_next"] == pytest.approx(fingerprints.likeness(fingerprints.sketch(t), fingerprints.sketch(after)))
         if len(t) > 400:
             assert r["near_edited"] > 0.5
-    assert fingerprints.parsed(got[0]["fingerprint"]).shape[1] == 2
+    back = fingerprints.parsed(got[0]["fingerprint"])
+    assert fingerprints.printed(back) == got[0]["fingerprint"] and back.rows.shape[1] == 2
+
+
+def test_fingerprints_grow_with_the_text():
+    rnd = random.Random(14)
+    for n, halved in ((0, 0), (127, 0), (128, 1), (511, 1), (512, 2), (2047, 2), (2048, 3), (1 << 19, 7)):
+        assert fingerprints.halvings(n) == halved, n
+    text = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(40_000))
+    sizes = [len(fingerprints.sketch(text[:n]).rows) for n in (1000, 2500, 10_000, 40_000)]
+    assert all(1.1 * a < b < 2.7 * a for a, b in zip(sizes, sizes[1:], strict=False))
+    full = lambda t: set(fingerprints.anchors(t)[0].tolist())
+    for n in (1500, 6000, 40_000):  # the sketch's likeness against that of all anchors
+        t = text[:n]
+        edited = t[: n // 3] + "an insertion of some eighty characters, which moves all that stands behind it " + t[n // 3 : n - n // 5] + text[-(n // 5) :][::-1]
+        a, b = full(t), full(edited)
+        want = 2 * len(a & b) / (len(a) + len(b))
+        assert fingerprints.likeness(fingerprints.sketch(t), fingerprints.sketch(edited)) == pytest.approx(want, abs=0.12)
+
+
+def test_anchors_in_order_against_brute_force():
+    rnd = random.Random(15)
+    for _ in range(200):
+        x = rnd.sample(range(30), rnd.randint(0, 9))
+        want = max((r for r in range(len(x) + 1) for c in itertools.combinations(x, r) if list(c) == sorted(c)), default=0)
+        assert fingerprints.in_order(x) == want
 
 
 # Byte-level BPE
@@ -448,7 +476,7 @@ def test_batches(spark):
     assert len(got) == len(rows)
     groups = collections.defaultdict(list)
     for r in got:
-        assert r["n_tokens"] <= r["padded_to"]
+        assert r["n_tokens"] <= r["padded_to"] == max(x["n_tokens"] for x in got if x["bucket"] == r["bucket"])
         groups[r["bucket"], r["batch"]].append(r)
     for (bucket, batch), members in groups.items():
         fit = max(1, 1000 // members[0]["padded_to"])
@@ -492,10 +520,10 @@ def test_lm_scores_against_brute_force(spark):
             assert (got[d]["mean_log10"] is None) == (not w)
 
 
-def test_lm_trigram_query_backs_off_from_trigrams(spark, tmp_path):
+def test_lm_query_backs_off_from_trigrams(spark, tmp_path):
     texts = ["a b c", "a b c", "x b d", "x b d", "x b c"]
     docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["log10_score"] for r in queries.QUERIES["op8_lm_score_trigrams"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["log10_score"] for r in queries.QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()}
     # a: 1 of 12, b after a: 1 of 1, c after a b: 1 of 1; bigrams alone give c after b 2 of 4
     assert got[0] == pytest.approx(np.log10(1 / 12), abs=1e-4)
     # x b c: x 2 of 12, b after x 2 of 2; no other x b c, so c after b, 2 of 4, at a step back
@@ -637,5 +665,5 @@ def test_empty_table(spark, name):
 
 def test_url_filter_odd_and_empty(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "http://x.net/")], "page_id long, url string").withColumns({"rule": F.lit(1), "features": F.lit(2)})
-    f = url_filter.Filter(None, "block", {}, 0.0)
+    f = url_filter.Filter(None, "block", None, 0.0)
     assert sorted((r["verdict"], r["rule"]) for r in url_filter.judge(df, f, queries.URL_RULES).select("verdict", F.coalesce("rule", F.lit("")).alias("rule")).collect()) == [("block", ""), ("block", ""), ("block", "net/")]
