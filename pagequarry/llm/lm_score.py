@@ -30,7 +30,7 @@ from .common import split_words, written_by
 #: Longest n-gram, factor of a step back.
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a chunk, and n-grams that one partition of the count tables gathers, about.
-CHUNK_BYTES, BUCKET_GRAMS = 16 << 20, 4_000_000
+CHUNK_BYTES, BUCKET_GRAMS = 10 << 20, 2_000_000
 M64, G64 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,8 +87,12 @@ def loose_hashes(data: bytes) -> np.ndarray:
 
 
 def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams, ascending, and how often each is there; sorted in place, as a chunk has millions."""
     all_of = np.concatenate(found)
-    return np.unique(all_of[all_of != 0], return_counts=True)
+    all_of.sort()
+    all_of = all_of[np.searchsorted(all_of, 1) :]  # 0 stands for none
+    first = np.flatnonzero(np.concatenate([all_of[:1] == all_of[:1], all_of[1:] != all_of[:-1]]))
+    return all_of[first], np.diff(first, append=len(all_of))
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
