@@ -28,9 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    ``files``: at most so many, for small tables, whose size the planner would else overrate by their files' heads and feet.
+    """
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

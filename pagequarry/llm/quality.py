@@ -30,6 +30,8 @@ SYMBOLS, SPACE = "#*$%&|<>", r"[\x20\x09-\x0D]+"
 #: Share of a group that an estimate rests on, most concentration steps, fall of the log determinant that still counts,
 #: and weight of the wider estimate in documents.
 H, STEPS, SETTLED, PRIOR = 0.75, 12, 1e-3, 30
+#: Files of a table of estimates.
+FILES = 4
 #: Squared distance beyond which a document is rejected: the 1 - 1e-9 quantile of chi-square with five degrees.
 CUT_OFF = 50.0
 #: Variances are held above the square of these, one for each statistic, which also bound what counts as spread.
@@ -120,7 +122,7 @@ def with_distance(rows: DataFrame) -> DataFrame:
 def starts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """For each key three first estimates, ``start`` 0 to 2, around the medians: no correlation, that of spatial signs, that of hyperbolic tangents."""
     middle = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q_{s}") for s in STATS])
-    middle = written(middle.select(*keys, "n", *[F.col(f"q_{s}")[1].alias(f"m_{s}") for s in STATS], *[F.sqrt(F.pow((F.col(f"q_{s}")[2] - F.col(f"q_{s}")[0]) / 1.349, 2) + FLOORS[s] ** 2).alias(f"w_{s}") for s in STATS]))
+    middle = written(middle.select(*keys, "n", *[F.col(f"q_{s}")[1].alias(f"m_{s}") for s in STATS], *[F.sqrt(F.pow((F.col(f"q_{s}")[2] - F.col(f"q_{s}")[0]) / 1.349, 2) + FLOORS[s] ** 2).alias(f"w_{s}") for s in STATS]), FILES)
     z = {s: (F.col(s) - F.col(f"m_{s}")) / F.col(f"w_{s}") for s in STATS}
     norm = F.sqrt(sum((z[s] * z[s] for s in STATS), F.lit(1e-12)))
     forms = {1: {s: z[s] / norm for s in STATS}, 2: {s: F.tanh(z[s]) for s in STATS}}
@@ -131,7 +133,7 @@ def starts(rows: DataFrame, keys: list[str]) -> DataFrame:
         cell = lambda a, b: F.pow(f"w_{a}", 2) if a == b else F.col(f"w_{a}") * F.col(f"w_{b}") * (like(a, b) if k else F.lit(0.0))
         return middle.join(seen, keys).select(*keys, F.lit(k).alias("start"), "n", *[f"m_{s}" for s in STATS], *[cell(a, b).alias(f"c_{a}_{b}") for a, b in PAIRS])
 
-    return written(with_factor(of(0).unionAll(of(1)).unionAll(of(2))))
+    return written(with_factor(of(0).unionAll(of(1)).unionAll(of(2))), FILES)
 
 
 def robust(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,9 +148,9 @@ def robust(rows: DataFrame, keys: list[str]) -> DataFrame:
     now, ends = now.drop("n"), []
     for step in range(STEPS):
         far = with_distance(rows.join(now, keys)).select(*own, *STATS, "d2", F.col("log_det").alias("before"))
-        cut = written(far.groupBy(*own).agg(F.percentile_approx("d2", H, 1000).alias("cut"), F.first("before").alias("before")))
+        cut = written(far.groupBy(*own).agg(F.percentile_approx("d2", H, 1000).alias("cut"), F.first("before").alias("before")), FILES)
         near = far.drop("before").join(cut, own).where("d2 <= cut")
-        after = written(with_factor(moments(near, own)).join(cut.select(*own, "before"), own))
+        after = written(with_factor(moments(near, own)).join(cut.select(*own, "before"), own), FILES)
         fell = F.col("log_det") < F.col("before") - SETTLED if step else F.lit(True)
         ends.append(after.where(~fell if step < STEPS - 1 else F.lit(True)).drop("before"))
         now = after.where(fell).drop("before")
@@ -158,10 +160,10 @@ def robust(rows: DataFrame, keys: list[str]) -> DataFrame:
     every = ends[0]
     for more in ends[1:]:
         every = every.unionAll(more)
-    best = written(with_factor(every.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("e")).select(*keys, "e.*")))
+    best = written(with_factor(every.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("e")).select(*keys, "e.*")), FILES)
     # the nearest share understates the spread; scaled so that its median distance is that of chi-square with five degrees
     scale = with_distance(rows.join(best, keys)).groupBy(*keys).agg((F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(4.351)) / 4.351).alias("scale"))
-    return written(best.join(scale, keys).join(sizes, keys).select(*keys, "n", *[f"m_{s}" for s in STATS], *[(F.col(f"c_{a}_{b}") * F.col("scale")).alias(f"c_{a}_{b}") for a, b in PAIRS]))
+    return written(best.join(scale, keys).join(sizes, keys).select(*keys, "n", *[f"m_{s}" for s in STATS], *[(F.col(f"c_{a}_{b}") * F.col("scale")).alias(f"c_{a}_{b}") for a, b in PAIRS]), FILES)
 
 
 def mixed(own: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,7 +188,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = robust(rows, LEVEL)
     level = lambda n, *keys: found.where(F.col("level") == n).select(*keys, F.lit(1).alias("one"), "n", *[c for c in found.columns if c[:2] in ("m_", "c_")])
     by_lang = mixed(level(1, "lang"), level(2), ["one"])
-    own = written(with_factor(mixed(level(0, "lang", "source"), by_lang, ["lang"])).select("lang", "source", *[f"m_{s}" for s in STATS], *[f"l_{a}_{b}" for a, b in PAIRS]))
+    own = written(with_factor(mixed(level(0, "lang", "source"), by_lang, ["lang"])).select("lang", "source", *[f"m_{s}" for s in STATS], *[f"l_{a}_{b}" for a, b in PAIRS]), FILES)
     met = with_distance(base.join(own, ["lang", "source"], "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return met.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & (F.col("d2") <= cut_off), F.lit(False)).alias("kept"), distance.alias("distance"))
