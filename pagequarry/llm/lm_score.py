@@ -177,9 +177,17 @@ def counted(requests: DataFrame) -> DataFrame:
     return requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "bucket int, chunk string, others binary")
 
 
+def places(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where each of ``g`` stands in the ascending ``h``; looked up in ascending order, which memory likes better."""
+    order = np.argsort(g)
+    out = np.empty(len(g), np.int64)
+    out[order] = np.searchsorted(h, g[order])
+    return out
+
+
 def text_scores(found: list[np.ndarray], at: np.ndarray, h: np.ndarray, totals: np.ndarray, n_all: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Number of words, and sum of log10 scores, of each text, from the chunk's n-grams and their totals."""
-    place = [np.searchsorted(h, g) for g in found]
+    place = [places(h, g) for g in found]
     n_words, sums = np.diff(at), np.zeros(len(at) - 1)
     for d in range(len(n_words)):
         lo, hi = at[d], at[d + 1]
