@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from html.entities import name2codepoint
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import squeezed, text_of
+from .text import let, squeezed, text_of
+
+
+class Page(NamedTuple):
+    """A page whose meta and link tags were found once, as columns; the functions here take it in place of the HTML."""
+
+    html: Column
+    metas: Column
+    links: Column
+
+
+def scanned(pages: DataFrame, html_col: str) -> tuple[DataFrame, Page]:
+    """``pages`` with the meta and link tags beside, and the page to hand to the functions."""
+    html = F.col(f"`{html_col}`")
+    return pages.withColumns({"__metas": metas(html), "__links": tags(html, "link")}), Page(html, F.col("__metas"), F.col("__links"))
+
+
+def raw(page: Column | Page) -> Column:
+    """The page's HTML, empty for null."""
+    return text_of(page.html if isinstance(page, Page) else page)
+
+
+def unescaped(c: Column) -> Column:
+    """Character references replaced by their characters, each once: numbers, and the names of HTML 4; others stay."""
+    names = F.create_map(*[F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))])
+
+    def after(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});", 1)
+        code = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 7), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).cast("long")
+        real = code.between(1, 55_295) | code.between(57_344, 1_114_111)
+        char = F.coalesce(F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.when(name != "", F.try_element_at(names, name)))
+        return F.coalesce(F.concat(char, F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), after), ""))).otherwise(c)
 
 
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute in the text of one tag; null where it is missing."""
     value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
     bare = F.regexp_replace(F.regexp_replace(value, r"(?is)^\s[^=]*=\s*", ""), r"""^["']|["']$""", "")
-    return F.when(value != "", bare)
+    return F.when(value != "", unescaped(bare))
 
 
-def tags(html: Column, name: str) -> Column:
+def tags(html: Column | Page, name: str) -> Column:
     """The texts of all opening tags of a kind, in order."""
-    return F.regexp_extract_all(text_of(html), F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
+    if isinstance(html, Page) and name == "link":
+        return html.links
+    return F.regexp_extract_all(raw(html), F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
 
 
 def metas(html: Column) -> Column:
     """All meta tags in order as (pos, key, content): key is the name, else the property."""
+    if isinstance(html, Page):
+        return html.metas
     return F.transform(tags(html, "meta"), lambda t, i: F.struct(i.alias("pos"), F.coalesce(attribute(t, "name"), attribute(t, "property")).alias("key"), attribute(t, "content").alias("content")))
 
 
@@ -37,7 +78,7 @@ def link_href(html: Column, rel: str) -> Column:
 
 def title(html: Column) -> Column:
     """The title's text with white space collapsed; '' where there is none."""
-    return squeezed(F.regexp_extract(text_of(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return squeezed(unescaped(F.regexp_extract(raw(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def base_url(html: Column) -> Column:
@@ -56,14 +97,16 @@ def page_url(html: Column, resolved: Column) -> Column:
 
 
 def without_scripts(html: Column) -> Column:
-    return F.regexp_replace(text_of(html), r"(?is)<script\b.*?</script\s*>", "")
+    return F.regexp_replace(raw(html), r"(?is)<script\b.*?</script\s*>", "")
 
 
 def block_reason(html: Column) -> Column:
     """Why a cached page has no content, by the first of fifteen rules; null for a page that has."""
-    bare = F.regexp_replace(html, r"^\s+|\s+$", "")
-    low = F.lower(bare)
-    text = squeezed(F.regexp_replace(low, r"<[^>]+>", " "))
+    return F.when(html.isNull(), "missing").otherwise(let(F.regexp_replace(html, r"^\s+|\s+$", ""), lambda bare: let(F.lower(bare), lambda low: let(squeezed(F.regexp_replace(low, r"<[^>]+>", " ")), lambda text: reason_of(bare, low, text)))))
+
+
+def reason_of(bare: Column, low: Column, text: Column) -> Column:
+    """The first fitting rule for a trimmed page, the same in lower case, and its text without tags."""
     n = F.length(bare)
     bot = (
         low.contains("<title>just a moment") | F.substring(low, 1, 5000).contains(">just a moment...")
@@ -75,8 +118,7 @@ def block_reason(html: Column) -> Column:
         | ((n < 3000) & low.contains("document.cookie") & low.contains("document.location.reload"))
     )
     return (
-        F.when(html.isNull(), "missing")
-        .when(bare.startswith("%PDF-"), "cached_pdf")
+        F.when(bare.startswith("%PDF-"), "cached_pdf")
         .when(bot, "cached_bot_check")
         .when(text.isin("loading...", "loading ...", "loading") | (low.contains("enable javascript") & (n < 5000)), "js_rendered_required")
         .when(low.contains("<title>doi.org") | low.contains("the doi system"), "cached_router_only")
@@ -100,7 +142,7 @@ def retrieval_state(html: Column) -> Column:
 
 def bot_check(html: Column, url: Column) -> Column:
     """Whether the first 8000 characters or the address speak of a bot check."""
-    t = F.lower(F.concat(F.substring(text_of(html), 1, 8000), text_of(url)))
+    t = F.lower(F.concat(F.substring(raw(html), 1, 8000), text_of(url)))
     return F.greatest(*[t.contains(m) for m in rules.BOT_MARKERS])
 
 
@@ -112,18 +154,18 @@ def bad_landing(html: Column) -> Column:
 
 def anchors(html: Column) -> Column:
     """All anchors in order as (pos, href, anchor, title): the anchor's text without tags, squeezed and lower-cased."""
-    found = F.regexp_extract_all(text_of(html), F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), F.lit(1))
+    found = F.regexp_extract_all(raw(html), F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), F.lit(1))
     head = lambda a: F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1)
-    text = lambda a: F.lower(squeezed(F.regexp_replace(a, r"(?s)<[^>]*>", "")))
+    text = lambda a: F.lower(squeezed(unescaped(F.regexp_replace(a, r"(?s)<[^>]*>", ""))))
     return F.transform(found, lambda a, i: F.struct(i.alias("pos"), attribute(head(a), "href").alias("href"), text(a).alias("anchor"), attribute(head(a), "title").alias("title"), attribute(head(a), "data-tooltip").alias("tooltip"), attribute(F.regexp_extract(a, r"(?is)(<img\b[^>]*>)", 1), "src").alias("img")))
 
 
 def json_between(html: Column, start: str) -> Column:
     """The JSON text of a script that assigns or holds it after ``start``, up to the script's end; null where there is none."""
-    found = F.regexp_extract(text_of(html), rf"(?is){start}\s*=?\s*(\{{.*?\}}|\[.*?\])\s*;?\s*</script", 1)
+    found = F.regexp_extract(raw(html), rf"(?is){start}\s*=?\s*(\{{.*?\}}|\[.*?\])\s*;?\s*</script", 1)
     return F.when(found != "", found)
 
 
 def ld_json(html: Column) -> Column:
     """The texts of all LD-JSON blocks."""
-    return F.regexp_extract_all(text_of(html), F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script"""), F.lit(1))
+    return F.regexp_extract_all(raw(html), F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script"""), F.lit(1))

@@ -77,19 +77,31 @@ def strip_session(url: Column) -> Column:
     return F.regexp_replace(url, r";jsessionid=\w+", "")
 
 
+def without_dots(url: Column) -> Column:
+    """An address whose path has no ``.`` and ``..`` segments, by the rules for references: each ``..`` takes the segment before it along."""
+    host = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*([?#].*)?$", 1)
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"/\.\.$", "/../"), r"/\.$", "/./"), "/")
+    step = lambda kept, part: F.when(part == ".", kept).when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(part)))
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step)
+    return F.when((host != "") & F.regexp_like(path, F.lit(r"/\.\.?(?:/|$)")), F.concat(host, F.array_join(folded, "/"), rest)).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """``href`` seen from ``base``: absolute, protocol-relative, rooted, query, fragment or relative to the folder."""
+    """``href`` seen from ``base``: absolute, protocol-relative, rooted, query, fragment or relative to the folder; dot segments go."""
     h, b = strip_session(text_of(href)), text_of(base)
     origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*)", 1), r"(://[^/]+)$", r"$1/")
-    return (
-        F.when(F.regexp_like(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")) | (b == ""), h)
-        .when(h == "", b)
+    joined = (
+        F.when(h == "", b)
         .when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
         .when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("?") | h.startswith("#"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h))
+        .when(h.startswith("?"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h))
+        .when(h.startswith("#"), F.concat(F.regexp_extract(b, r"^([^#]*)", 1), h))
         .otherwise(F.concat(F.regexp_replace(folder, r"[^/]*$", ""), h))
     )
+    return F.when(F.regexp_like(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")) | (b == ""), h).otherwise(without_dots(joined))
 
 
 def rewrite_pdf_url(url: Column) -> Column:
@@ -115,9 +127,8 @@ def trusts_license(url: Column) -> Column:
 def bad_href(href: Column) -> Column:
     """Whether a link can't be the page's PDF by its address."""
     h = F.lower(text_of(href))
-    good = F.greatest(*[h.contains(w.lower()) for w in rules.GOOD_HREF_WORDS]) | F.regexp_like(h, F.lit(r"(?:^|onlinelibrary\.wiley\.com)/doi/(?:pdfdirect|pdf|epdf)/10\.1002/[^?#\s\"'<>]+\.fmatter(?:[?#].*)?$"))
-    api = F.regexp_like(h, F.lit(r"^https?://api\.taylorfrancis\.com/content/books/[^?#]+/download\?")) & h.contains("identifiername=doi") & h.contains("identifiervalue=10.") & h.contains("type=googlepdf")
-    return ~(good | api) & (F.exists(F.array(*[F.lit(w.lower()) for w in rules.BAD_HREF_WORDS]), lambda w: h.contains(w)) | F.greatest(*[F.regexp_like(h, F.lit(p)) for p in rules.BAD_HREF_PATTERNS], F.lit(False)))
+    good = F.greatest(*[h.contains(w.lower()) for w in rules.GOOD_HREF_WORDS], *[F.regexp_like(h, F.lit(p)) for p in rules.GOOD_HREF_PATTERNS])
+    return ~good & (F.exists(F.array(*[F.lit(w.lower()) for w in rules.BAD_HREF_WORDS]), lambda w: h.contains(w)) | F.greatest(*[F.regexp_like(h, F.lit(p)) for p in rules.BAD_HREF_PATTERNS], F.lit(False)))
 
 
 def bad_anchor(anchor: Column) -> Column:
@@ -126,17 +137,10 @@ def bad_anchor(anchor: Column) -> Column:
 
 
 def known_bad_link(page_url: Column, href: Column, anchor: Column) -> Column:
-    """Host rules for links that are something else than the page's PDF."""
+    """Whether a link is known to be something else than the page's PDF: by its own site's pattern, else by those for PDF meta tags, else by address."""
     u, h = text_of(page_url), text_of(href)
-    like = lambda c, p: F.regexp_like(c, F.lit(p))
-    meta = (anchor == "<meta citation_pdf_url>") & (F.greatest(*[like(h, p) for p in rules.BAD_META_LINKS]) | F.greatest(*[like(u, p) for p in rules.BAD_META_SITES]))
-    return F.coalesce(
-        F.when(like(u, r"^https?://repositorio\.uchile\.cl/handle"), like(h, r"item_\d+\.pdf"))
-        .when(like(u, r"^https?://dial\.uclouvain\.be"), like(h, r"downloader\.php\?.*disclaimer="))
-        .when(like(u, r"^https?://(?:www)?\.goodfellowpublishers\.com"), like(h, r"(?i)free_files/"))
-        .when(like(u, r"^https?://(?:www)?\.intellectbooks\.com"), like(h, r"(?i)_nfc"))
-        .when(like(u, r"^https?://philpapers.org/rec/FISBAI"), h.endswith("FISBAI.pdf"))
-        .when(like(u, r"^https?://eresearch\.qmu\.ac\.uk/"), h.contains("appendix.pdf"))
-        .otherwise(meta | (h == "https://dsq-sds.org/article/download/298/345")),
-        F.lit(False),
-    )
+    like = lambda c, patterns: F.greatest(*[F.regexp_like(c, F.lit(p)) for p in patterns], F.lit(False))
+    bad = ((anchor == "<meta citation_pdf_url>") & (like(h, rules.BAD_META_LINKS) | like(u, rules.BAD_META_SITES))) | h.isin(rules.BAD_LINKS)
+    for site, link in reversed(rules.SITE_BAD_LINKS):
+        bad = F.when(F.regexp_like(u, F.lit(site)), F.regexp_like(h, F.lit(link))).otherwise(bad)
+    return F.coalesce(bad, F.lit(False))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,37 +45,41 @@ def key_of(name: str) -> tuple[str, str]:
     return (alpha(last) or words[-1], (alpha(first) or words[0])[:1]) if words else ("", "")
 
 
-def greedy(scored: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
-    """Best pair first, each side once; of equal scores the later indexes first."""
-    left, right, out = set(), set(), []
-    for score, i, j in sorted(scored, reverse=True):
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-            out.append((score, i, j))
+def assigned(ratio: np.ndarray, least: float, first: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """One-to-one pairs of rows and columns of a table of ratios, taken in order: those in ``first``, then by ratio, later rows and columns before earlier ones.
+
+    Pairs under ``least`` count only if in ``first``.
+    """
+    first = np.zeros(ratio.shape, bool) if first is None else first
+    rows, columns = np.nonzero(first | (ratio >= least))
+    order = np.lexsort((-columns, -rows, -ratio[rows, columns], ~first[rows, columns]))
+    free_rows, free_columns, out = np.ones(ratio.shape[0], bool), np.ones(ratio.shape[1], bool), []
+    for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
+        if free_rows[i] and free_columns[j]:
+            free_rows[i] = free_columns[j] = False
+            out.append((i, j))
     return out
 
 
+def ratios(gold: list[str], parsed: list[str], ratio: Callable[[str, str], float]) -> np.ndarray:
+    """A table of ratios; below every threshold where a side is empty."""
+    return np.array([[ratio(g, p) if g and p else -1.0 for p in parsed] for g in gold], float).reshape(len(gold), len(parsed))
+
+
 def match_names(gold: list[str], parsed: list[str], soft: float = SOFT) -> dict:
-    """Names of gold and parsed authors assigned to each other: equal keys first, then by token-set ratio."""
-    gold, parsed = [(g or "").strip() for g in gold], [(p or "").strip() for p in parsed]
-    gk, pk, ga, pa_ = [key_of(g) for g in gold], [key_of(p) for p in parsed], [alpha(g) for g in gold], [alpha(p) for p in parsed]
-    scored = []
-    for i, g in enumerate(gold):
-        for j, p in enumerate(parsed):
-            if g and p:
-                same = bool(gk[i][0]) and gk[i] == pk[j]
-                ratio = token_set(ga[i], pa_[j])
-                if same or ratio >= soft:
-                    scored.append((ratio + 1000 * same, i, j))
-    matched = [{"gold_index": i, "parsed_index": j, "key_match": s >= 1000, "name_ratio": s - 1000 if s >= 1000 else s} for s, i, j in greedy(scored)]
-    n_gold, n_parsed = sum(map(bool, gold)), sum(map(bool, parsed))
-    strict = rates(sum(m["key_match"] for m in matched), n_gold, n_parsed)
-    loose = rates(len(matched), n_gold, n_parsed)
-    used = ({m["gold_index"] for m in matched}, {m["parsed_index"] for m in matched})
+    """Names of gold and parsed authors assigned to each other: equal keys (last name, first initial) first, then by token-set ratio."""
+    gold, parsed = ([(x or "").strip() for x in side] for side in (gold, parsed))
+    table = ratios([alpha(g) if g else "" for g in gold], [alpha(p) if p else "" for p in parsed], token_set)
+    keys = [[key_of(x) if x else ("", "") for x in side] for side in (gold, parsed)]
+    same = np.array([[bool(g[0]) and g == p for p in keys[1]] for g in keys[0]], bool).reshape(table.shape)
+    pairs = assigned(table, soft, same)
+    sizes = [sum(map(bool, side)) for side in (gold, parsed)]
+    strict, loose = (rates(n, *sizes) for n in (sum(bool(same[p]) for p in pairs), len(pairs)))
+    left, right = ({p[k] for p in pairs} for k in (0, 1))
     return {
-        "matched": matched, "gold_unmatched": [i for i, g in enumerate(gold) if g and i not in used[0]], "parsed_unmatched": [j for j, p in enumerate(parsed) if p and j not in used[1]],
-        "precision": strict[0], "recall": strict[1], "f1": strict[2], "precision_soft": loose[0], "recall_soft": loose[1], "f1_soft": loose[2],
+        "matched": [{"gold_index": i, "parsed_index": j, "key_match": bool(same[i, j]), "name_ratio": float(table[i, j])} for i, j in pairs],
+        "gold_unmatched": [i for i, g in enumerate(gold) if g and i not in left], "parsed_unmatched": [j for j, p in enumerate(parsed) if p and j not in right],
+        **dict(zip(("precision", "recall", "f1", "precision_soft", "recall_soft", "f1_soft"), (*strict, *loose), strict=True)),
     }
 
 
@@ -105,7 +110,7 @@ def match_affiliations(gold: list[str], parsed: list[str]) -> dict:
         if not g or not p:
             out[name] = float(not g and not p)
             continue
-        n = len(greedy([(s, i, j) for i, x in enumerate(g) for j, y in enumerate(p) if (s := ratio(x, y)) >= least]))
+        n = len(assigned(ratios(g, p, ratio), least))
         out[name] = rates(n, len(g), len(p))[2]
         out["matched"] = n
     return out

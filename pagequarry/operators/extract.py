@@ -128,7 +128,7 @@ def links(html: Column) -> Column:
     """Candidate links of a page in order: PDF meta tag, script variables, anchors with a telling text, tooltip, title, query or PDF image; as (rank, href, anchor, title, img)."""
     link = lambda href, anchor, title, img: F.struct(href.alias("href"), anchor.alias("anchor"), title.alias("title"), img.alias("img"))
     none = F.lit(None).cast("string")
-    script = F.try_element_at(F.regexp_extract_all(X.text_of(html), F.lit(r'"(?:pdfUrl|downloadPdfUrl|fullTextPdfUrl|exportPdfDownloadUrl)": ?"(.*?)"'), F.lit(1)), F.lit(1))
+    script = F.try_element_at(F.regexp_extract_all(H.raw(html), F.lit(r'"(?:pdfUrl|downloadPdfUrl|fullTextPdfUrl|exportPdfDownloadUrl)": ?"(.*?)"'), F.lit(1)), F.lit(1))
     script = F.replace(F.replace(script, F.lit("\\u002F"), F.lit("/")), F.lit("\\/"), F.lit("/"))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     name = lambda a: (
@@ -179,7 +179,7 @@ def pdf_link(page_url: Column, html: Column) -> Column:
 
 def version_of(html: Column, publisher: bool) -> Column:
     """publishedVersion on a publisher's page; on a repository's accepted or submitted, by its words."""
-    return F.lit("publishedVersion") if publisher else F.when(F.lower(X.text_of(html)).contains("accepted manuscript"), "acceptedVersion").otherwise("submittedVersion")
+    return F.lit("publishedVersion") if publisher else F.when(F.lower(H.raw(html)).contains("accepted manuscript"), "acceptedVersion").otherwise("submittedVersion")
 
 
 def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", namespace: Column | None = None) -> DataFrame:
@@ -192,17 +192,18 @@ def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     blocked = F.coalesce(H.block_reason(html).isin("cached_bot_check", "cached_pdf", "missing"), F.lit(False))
     live = space.isin("doi", "pmh") & ~F.col("__blocked")
     shaped = lambda a: F.struct(a["name"].alias("name"), F.transform(a["affiliations"], lambda x: F.struct(x.alias("name"))).alias("affiliations"), a["is_corresponding"].alias("is_corresponding"))
-    authors = F.transform(dedupe_authors(fold_metas(html)), shaped)
+    pages, page = H.scanned(pages, html_col)
+    authors = F.transform(dedupe_authors(fold_metas(page)), shaped)
     own, pdf = F.col("__own"), F.col("__pdf")
-    rows = pages.withColumn("__blocked", blocked).withColumn("__own", H.page_url(html, url)).withColumn("__pdf", F.coalesce(openaccess.science_direct_pdf(own, html), pdf_link(own, html), openaccess.fallback_pdf(own, html)))
-    rows = rows.withColumn("__pdf", F.when(F.col("__pdf").startswith("http") & ~openaccess.journal_index(html), F.col("__pdf"))).withColumn("__oa", F.when(live & (space == "doi"), openaccess.status(own, html)))
+    rows = pages.withColumn("__blocked", blocked).withColumn("__own", H.page_url(page, url)).withColumn("__pdf", F.coalesce(openaccess.science_direct_pdf(own, page), pdf_link(own, page), openaccess.fallback_pdf(own, page)))
+    rows = rows.withColumn("__pdf", F.when(F.col("__pdf").startswith("http") & ~openaccess.journal_index(page), F.col("__pdf"))).withColumn("__oa", F.when(live & (space == "doi"), openaccess.status(own, page)))
     return rows.select(
         F.col(f"`{id_col}`"),
         F.when(live, authors).otherwise(F.array().cast("array<struct<name:string,affiliations:array<struct<name:string>>,is_corresponding:boolean>>")).alias("authors"),
         F.when(live & pdf.isNotNull(), F.array(F.struct(pdf.alias("url"), F.lit("pdf").alias("content_type")))).otherwise(F.array().cast("array<struct<url:string,content_type:string>>")).alias("urls"),
         F.when(live & U.trusts_license(own), F.coalesce(F.when(F.col("__oa.oa_status") == "hybrid", F.col("__oa.license")), X.license_of(html))).alias("license"),
         F.when(live & pdf.isNotNull(), F.when(space == "doi", version_of(html, True)).otherwise(version_of(html, False))).alias("version"),
-        F.when(live, abstract_of(html)).alias("abstract"),
+        F.when(live, abstract_of(page)).alias("abstract"),
         F.col("__oa.oa_status").alias("oa_status"),
         F.when(F.col("__blocked"), F.lit("UnusualTraffic")).alias("error"),
     )

@@ -181,7 +181,7 @@ def ld_authors(html: Column) -> Column:
 
 def script_authors(html: Column, start: str = r"xplGlobal\.document\.metadata") -> Column:
     """Authors of a page whose script assigns a JSON record with ``authors`` of (name, affiliation list)."""
-    record = F.regexp_extract(X.text_of(html), rf"{start}\s*=\s*(\{{.*\}});", 1)
+    record = F.regexp_extract(H.raw(html), rf"{start}\s*=\s*(\{{.*\}});", 1)
     read = F.from_json(F.get_json_object(record, "$.authors"), "array<struct<name:string,affiliation:string>>")
     affs = lambda a: F.when(a.startswith("["), F.from_json(a, "array<string>")).when(a.isNotNull(), F.array(a)).otherwise(F.array().cast("array<string>"))
     return F.transform(read, lambda p: F.struct(p["name"].alias("name"), affs(p["affiliation"]).alias("affiliations"), F.lit(None).cast("boolean").alias("is_corresponding")))

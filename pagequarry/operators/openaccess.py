@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import url as U
@@ -82,7 +83,7 @@ def phrase_license(page_url: Column, text: Column) -> Column:
 
 def status(page_url: Column, html: Column) -> Column:
     """(oa_status, source, license): bronze before hybrid; null without a sign."""
-    page = X.text_of(html)
+    page = H.raw(html)
     bronze = any_rule(BRONZE, page_url, page) | F.coalesce(F.regexp_like(H.meta(html, "citation_pdf_url"), F.lit(f"(?i){BRONZE_PDF}")), F.lit(False))
     phrase = phrase_license(page_url, page)
     row = lambda s, source, lic: F.struct(F.lit(s).alias("oa_status"), source.alias("source"), lic.alias("license"))
@@ -92,39 +93,35 @@ def status(page_url: Column, html: Column) -> Column:
 
 def journal_index(html: Column) -> Column:
     """Whether the page is an issue's table of contents, which has no full text of its own."""
-    return F.coalesce(H.meta(html, "generator").startswith("Open Journal Systems"), F.lit(False)) & (F.size(F.regexp_extract_all(X.text_of(html), F.lit(r"(?i)(<a[^>]*id=.article-)"), F.lit(1))) > 1)
+    return F.coalesce(H.meta(html, "generator").startswith("Open Journal Systems"), F.lit(False)) & (F.size(F.regexp_extract_all(H.raw(html), F.lit(r"(?i)(<a[^>]*id=.article-)"), F.lit(1))) > 1)
+
+
+def found(text: Column, pattern: str) -> Column:
+    """What the pattern's group finds; null for nothing."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def science_direct_pdf(page_url: Column, html: Column) -> Column:
-    """By the article's identifier, with the keys of a download if the page has them."""
-    page = X.text_of(html)
-    value = lambda p: F.nullif(F.regexp_extract(page, p, 1), F.lit(""))
-    pii = F.coalesce(value(r'<meta\s+content="([^"]+)"\s+name="citation_pii"'), value(r'"pii":"([^"]+)"'))
-    base = F.concat(F.lit("https://www.sciencedirect.com/science/article/pii/"), pii)
-    keys = F.concat(base, F.lit("/pdfft?md5="), value(r'"md5":"([^"]+)"'), F.lit("&pid="), value(r'"pid":"([^"]+)"'))
-    shown = value(r"(https://www\.sciencedirect\.com/science/article/pii/[A-Za-z0-9]+/pdf(?:ft)?(?:\?[^\"'&\s]+)?)")
-    return F.when(X.text_of(page_url).contains("sciencedirect.com"), F.coalesce(keys, F.concat(base, F.lit("/pdf")), shown))
+    """By the page's own view link, else by the article's identifier, with the keys of a download if the page has them."""
+    page = H.raw(html)
+    view = H.attribute(F.nullif(F.regexp_extract(page, rules.PII_VIEW, 0), F.lit("")), "href")
+    base = F.concat(F.lit(rules.PII_BASE), F.coalesce(*[found(page, p) for p in rules.PII_PATTERNS]))
+    md5, pid = (found(page, p) for p in rules.PII_KEYS)
+    keys = F.concat(base, F.lit("/pdfft?md5="), md5, F.lit("&pid="), pid)
+    return F.when(X.text_of(page_url).contains(rules.PII_HOST), F.coalesce(F.when(X.text_of(view) != "", U.resolve(page_url, view)), keys, F.concat(base, F.lit("/pdf")), found(page, rules.PII_SHOWN)))
 
 
 def fallback_pdf(page_url: Column, html: Column) -> Column:
     """A PDF's address where no link is accepted, by the page's host."""
-    page, host = X.text_of(html), U.publisher_domain(page_url)
-    value = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    own = X.text_of(F.coalesce(H.link_href(html, "canonical"), H.meta(html, "og:url")))
-    return F.coalesce(
-        F.when(host.endswith("ieeexplore.ieee.org"), F.concat(F.lit("https://ieeexplore.ieee.org"), F.replace(value(page, r'"pdfPath":\s*"(/ielx?7/[\d/]*\.pdf)"'), F.lit("/iel7/"), F.lit("/ielx7/")))),
-        F.when(host.endswith("osf.io") | host.endswith("psyarxiv.com"), U.resolve(page_url, F.lit("download"))),
-        F.when(host.endswith("degruyter.com") | host.endswith("degruyterbrill.com"), F.concat(F.lit("https://www.degruyterbrill.com"), value(own, r"(/document/doi/10\..*)/html"), F.lit("/pdf"))),
-        F.when(host.endswith("tandfonline.com"), F.concat(F.lit("https://www.tandfonline.com/doi/pdf/"), value(own, r"tandfonline\.com/doi/(?:full|abs|epdf)/(10\.[^?#]+)"))),
-    )
+    host, own = U.publisher_domain(page_url), X.text_of(F.coalesce(H.link_href(html, "canonical"), H.meta(html, "og:url")))
+    told = [F.when(host.endswith(site), F.concat(F.lit(front), found(H.raw(html) if where == "page" else own, pattern), F.lit(behind))) for site, where, pattern, front, behind in rules.PDF_FALLBACKS]
+    beside = [F.when(host.endswith(site), U.resolve(page_url, F.lit(path))) for site, path in rules.PDF_BESIDE]
+    return F.coalesce(*told, *beside)
 
 
 def router_base(href: Column, page_url: Column) -> Column:
     """The host to which a relative DOI link belongs where only the router's address is known."""
-    doi = F.regexp_extract(F.lower(X.text_of(href)), r"/doi/(?:pdfdirect|pdf|epdf)/(10\.[^?&#]+)", 1)
-    starts = lambda *p: F.greatest(*[doi.startswith(x) for x in p], F.lit(False))
-    site = (
-        F.when(X.text_of(href).contains("/doi/pdfdirect/") | starts("10.1002/", "10.1111/"), "https://onlinelibrary.wiley.com").when(starts("10.1080/", "10.3109/", "10.4324/", "10.1201/", "10.1517/"), "https://www.tandfonline.com")
-        .when(starts("10.1177/"), "https://journals.sagepub.com").when(starts("10.1021/"), "https://pubs.acs.org")
-    )
-    return F.when(U.is_doi_router(page_url) & X.text_of(href).startswith("/doi/"), F.coalesce(site, page_url)).otherwise(page_url)
+    h = X.text_of(href)
+    doi = F.regexp_extract(F.lower(h), r"/doi/(?:pdfdirect|pdf|epdf)/(10\.[^?&#]+)", 1)
+    by_path, by_doi = [F.when(h.contains(p), F.lit(site)) for p, site in rules.PATH_SITES], [F.when(doi.startswith(p), F.lit(site)) for p, site in rules.DOI_SITES]
+    return F.when(U.is_doi_router(page_url) & h.startswith("/doi/"), F.coalesce(*by_path, *by_doi, page_url)).otherwise(page_url)

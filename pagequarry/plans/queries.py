@@ -56,7 +56,7 @@ REASON = f"""case when html is null then 'missing'
 ANY_BOT, ANY_ROUTER = ("|".join(f"(?:{p})" for p in ps).replace("'", "''") for ps in (rules.BOT_PATTERNS, rules.ROUTER_PATTERNS))
 STATE = f"""case when html is null then 'missing' when regexp_matches(substr(html, 1, {rules.HEAD_BYTES}), '(?i){ANY_BOT}') then 'cached_bot_check'
  when regexp_matches(substr(html, 1, {rules.HEAD_BYTES}), '(?i){ANY_ROUTER}') then 'cached_router_only' when octet_length(encode(html)) < {rules.MIN_PAGE_BYTES} then 'cached_tiny' else 'cached_ok' end"""
-TITLE = SQUEEZE.format("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")
+TITLE = SQUEEZE.format("replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', chr(34)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")
 FOLD = f"replace(translate({{}}, '{text.ACCENTED}', '{text.PLAIN}'), 'ß', 'ss')"
 NORMAL = SQUEEZE.format(FOLD.format("lower(coalesce({}, ''))"))
 LICENSE_T = "lower(replace(replace(coalesce(text, ''), ' ', ''), '-', ''))"
@@ -122,8 +122,11 @@ def link_pdf_first(spark, sf_dir):
 
 
 @query(ANCHOR_SQL + """, b as (select *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as origin, regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*)', 1), '(://[^/]+)$', '\\1/') as folder from l where href is not null)
-select page_id, pos, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href when starts_with(href, '//') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href when starts_with(href, '/') then origin || href
- when starts_with(href, '?') or starts_with(href, '#') then regexp_extract(url, '^([^?#]*)', 1) || href else regexp_replace(folder, '[^/]*$', '') || href end as target from b""")
+select page_id, pos, case when not regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') and regexp_matches(target, '^[^:]*://[^/?#]*[^?#]*/\\.\\.?(/|$|[?#])')
+ then regexp_extract(target, '^([^:]*://[^/?#]*)', 1) || array_to_string(list_reduce(list_transform(string_split(regexp_replace(regexp_replace(regexp_extract(target, '^[^:]*://[^/?#]*([^?#]*)', 1), '/\\.\\.$', '/../'), '/\\.$', '/./'), '/'), lambda x: [x]),
+ lambda kept, part: case when part[1] = '.' then kept when part[1] = '..' then kept[1:greatest(len(kept) - 1, 1)] else list_concat(kept, part) end), '/') || regexp_extract(target, '^[^?#]*([?#].*)?$', 1) else target end as target from (
+select page_id, pos, href, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href when starts_with(href, '//') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href when starts_with(href, '/') then origin || href
+ when starts_with(href, '?') then regexp_extract(url, '^([^?#]*)', 1) || href when starts_with(href, '#') then regexp_extract(url, '^([^#]*)', 1) || href else regexp_replace(folder, '[^/]*$', '') || href end as target from b)""")
 def url_join_resolve(spark, sf_dir):
     return page_anchors(spark, sf_dir).where("href is not null").select("page_id", "pos", url.resolve(F.col("url"), F.col("href")).alias("target"))
 

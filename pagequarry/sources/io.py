@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 AUTHOR_IN = "array<struct<name:string,affiliations:string,rasses:string,address:string,is_corresponding:string,corresponding_author:string>>"
 AUTHORS = "array<struct<name:string,affiliations:array<string>,is_corresponding:boolean>>"
@@ -14,7 +15,7 @@ EVENT = (
 CLAIM = "run_id string, task_id string, publisher_id string, field string, queue_type string, agent_id string, claimed_at string, status string"
 TASK = "task_id string, publisher_id string, field string, queue_type string, status string, priority double, row_count long, gold_empty_parser_present long, next_action string"
 CANDIDATE = (
-    "doi string, publisher string, field string, gold_value string, parseland_candidate string, confidence string, evidence_excerpt string, browserbase_url string, browserbase_session string, "
+    "doi string, publisher string, field string, gold_value string, candidate_value string, confidence string, evidence_excerpt string, rendered_url string, rendered_session string, "
     "approving_agent string, status string, rejection_reason string, proposed_at string, source_run string"
 )
 RUN = "doi string, parsed struct<authors:array<struct<name:string,affiliations:array<struct<name:string>>,is_corresponding:boolean>>,urls:array<struct<url:string,content_type:string>>,license:string,version:string,abstract:string>, error string, duration_ms double, html_cached boolean, publisher_domain string"
@@ -22,11 +23,11 @@ KPI = "timestamp string, run_id string, rows long, authors double, affiliations
 
 
 def page_store(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of cached pages, one file each, named by the SHA-1 of the lower-cased DOI: (key, content, is_pdf, html). Only the first bytes decide on PDFs."""
+    """A folder of cached pages, one file each, named by the SHA-1 of the lower-cased DOI: (key, is_pdf, html). The first bytes decide on PDFs; bytes that aren't UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").load(path)
     key = F.regexp_extract("path", r"([0-9a-f]{40})", 1)
     pdf = F.substring(F.col("content"), 1, 5) == F.lit(b"%PDF-")
-    return files.select(key.alias("key"), pdf.alias("is_pdf"), F.when(~pdf, F.try_validate_utf8(F.col("content").cast("string"))).alias("html"))
+    return files.select(key.alias("key"), pdf.alias("is_pdf"), F.when(~pdf, F.make_valid_utf8(F.col("content").cast("string"))).alias("html"))
 
 
 def cache_key(doi: Column) -> Column:
@@ -74,6 +75,18 @@ def gold_ndjson(rows: DataFrame, path: str, prefix: str) -> None:
     first.select("doi", F.lit("human-goldie").alias("source"), F.lit(None).cast("string").alias("captured_at"), "annotation").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def renamed(schema: str, names: dict[str, str]) -> str:
+    """``schema`` for files that call some columns otherwise: ``names`` maps a column's name here to that in the files."""
+    out = StructType.fromDDL(schema)
+    return ", ".join(f"`{names.get(f.name, f.name)}` {f.dataType.simpleString()}" for f in out.fields)
+
+
+def candidates(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
+    """A ledger of candidates from JSON lines, whose files may call columns otherwise."""
+    names = names or {}
+    return ndjson(spark, path, renamed(CANDIDATE, names)).withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines by a schema; lines that can't be read are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -96,3 +96,21 @@ def test_fuzzy():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert fuzzy.lcs(a, b) == table[-1][-1]
+
+
+def test_character_references(spark):
+    rows = [("a &amp;lt; b", "a &lt; b"), ("M&uuml;ller &#233; &#xE9; &#128578;", "Müller é é 🙂"), ("AT&T &unknown; & &;", "AT&T &unknown; & &;"), ("&quot;&apos;&#39;&nbsp;", "\"'' "), ("&#55296; &#0; &#9999999;", "&#55296; &#0; &#9999999;"), ("none", "none"), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string").select(html.unescaped(F.col("t")).alias("got"), "want")
+    assert [r["got"] for r in df.collect()] == [r["want"] for r in df.collect()]
+    page = '<title>Caf&eacute; &quot;x&quot;</title><meta name="citation_pdf_url" content="/d?a=1&amp;b=2"><a href="/x?p=1&amp;q=2">R&amp;D</a>'
+    got = spark.createDataFrame([(page,)], "h string").select(html.title(F.col("h")).alias("t"), html.meta(F.col("h"), "citation_pdf_url").alias("m"), html.anchors(F.col("h"))[0].alias("a")).first()
+    assert (got["t"], got["m"], got["a"]["href"], got["a"]["anchor"]) == ('Café "x"', "/d?a=1&b=2", "/x?p=1&q=2", "r&d")
+
+
+def test_references_of_rfc_3986(spark):
+    base = "http://a/b/c/d;p?q"
+    cases = {"g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "g;x?y#s": "http://a/b/c/g;x?y#s"}
+    cases |= {".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g"}
+    cases |= {"/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/../x": "http://a/b/c/g#s/../x"}
+    df = spark.createDataFrame(list(cases.items()), "h string, want string").select("h", "want", url.resolve(F.lit(base), F.col("h")).alias("got"))
+    assert [(r["h"], r["got"]) for r in df.collect()] == [(r["h"], r["want"]) for r in df.collect()]
