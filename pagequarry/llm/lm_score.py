@@ -230,6 +230,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 totals = n_own + np.concatenate([np.zeros(0, np.int64), *(loose(t) for _, t in parts)])
                 n, total = text_scores(found, at, h, totals, n_all, alpha)
                 mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
+                del found, h, n_own, parts, totals
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(batch.column(0)[i].as_py(), to_arrow_type(kind)), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean, pa.float64())], names=names)
 
     return met.mapInArrow(work, f"`{id_col}` {kind.simpleString()}, n_words long, log10_score double, mean_log10 double")
