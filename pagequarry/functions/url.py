@@ -144,3 +144,24 @@ def known_bad_link(page_url: Column, href: Column, anchor: Column) -> Column:
     for site, link in reversed(rules.SITE_BAD_LINKS):
         bad = F.when(F.regexp_like(u, F.lit(site)), F.regexp_like(h, F.lit(link))).otherwise(bad)
     return F.coalesce(bad, F.lit(False))
+
+
+def host_ends(url: Column, hosts: list[str]) -> Column:
+    """Whether the address's host ends with one of ``hosts``."""
+    host = F.lower(F.regexp_extract(text_of(url), r"^[^:]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.greatest(*[host.endswith(h) for h in hosts], F.lit(False))
+
+
+def unstable_pdf(pdf_url: Column, page_url: Column) -> Column:
+    """Whether a PDF's address works for a while only, or the page holds many papers."""
+    host, word = rules.UNSTABLE_PDF
+    query = F.regexp_extract(text_of(pdf_url), r"\?([^#]*)", 1)
+    return (host_ends(pdf_url, [host]) & query.contains(word)) | F.coalesce(page_url.isin(rules.MANY_PAPERS), F.lit(False))
+
+
+def serves_documents(url: Column) -> Column:
+    return host_ends(url, rules.DOCUMENT_HOSTS)
+
+
+def trusts_repository_license(url: Column) -> Column:
+    return host_ends(url, rules.LICENSE_HOSTS)

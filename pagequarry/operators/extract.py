@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import url as U
@@ -124,8 +125,11 @@ def abstract_of(html: Column) -> Column:
     return X.strip_abstract_label(F.coalesce(*[X.abstract_gate(H.meta(html, k)) for k in ABSTRACT_KEYS]))
 
 
-def links(html: Column) -> Column:
-    """Candidate links of a page in order: PDF meta tag, script variables, anchors with a telling text, tooltip, title, query or PDF image; as (rank, href, anchor, title, img)."""
+def links(html: Column, anchors: Column | None = None) -> Column:
+    """Candidate links of a page in order: PDF meta tag, script variables, anchors with a telling text, tooltip, title, query or PDF image, buttons that open a PDF; as (href, anchor, title, img).
+
+    ``anchors``, where not null, are the page's own ones outside related content.
+    """
     link = lambda href, anchor, title, img: F.struct(href.alias("href"), anchor.alias("anchor"), title.alias("title"), img.alias("img"))
     none = F.lit(None).cast("string")
     script = F.try_element_at(F.regexp_extract_all(H.raw(html), F.lit(r'"(?:pdfUrl|downloadPdfUrl|fullTextPdfUrl|exportPdfDownloadUrl)": ?"(.*?)"'), F.lit(1)), F.lit(1))
@@ -136,11 +140,14 @@ def links(html: Column) -> Column:
         .when(low(a["title"]).contains("download fulltext") | low(a["title"]).contains("download pdf"), F.concat(F.lit("title: "), a["title"]))
         .when(low(a["href"]).contains("?create_pdf_query"), F.lit("pdf_generator")).when(low(a["img"]).contains("pdf"), F.concat(F.lit("image: "), a["img"]))
     )
-    useful = F.filter(F.transform(H.anchors(H.without_scripts(html)), lambda a: link(a["href"], name(a), a["title"], a["img"])), lambda x: x["href"].isNotNull() & x["anchor"].isNotNull())
+    every = H.anchors(H.without_scripts(html))
+    every = every if anchors is None else F.coalesce(anchors, every)
+    useful = F.filter(F.transform(every, lambda a: link(a["href"], name(a), a["title"], a["img"])), lambda x: x["href"].isNotNull() & x["anchor"].isNotNull())
     pdf_meta = H.meta(html, "citation_pdf_url")
     head = F.filter(F.array(F.when(pdf_meta.isNotNull(), link(pdf_meta, F.lit("<meta citation_pdf_url>"), none, none)), F.when(script.isNotNull(), link(script, F.lit("JavaScript PDF"), none, none))), lambda x: x.isNotNull())
+    buttons = F.transform(F.filter(F.transform(H.tags(html, "button"), lambda b: F.regexp_extract(F.coalesce(H.attribute(b, "onclick"), F.lit("")), r"(https?://[^\s'\"]+\.pdf)", 1)), lambda u: u != ""), lambda u: link(u, F.lit("<button onclick>"), none, none))
     first = lambda found: F.concat(F.filter(found, lambda x: U.looks_like_pdf(x["href"])), F.filter(found, lambda x: ~U.looks_like_pdf(x["href"])))
-    return F.slice(X.let(F.concat(head, useful), first), 1, CAP)
+    return F.slice(X.let(F.concat(head, useful, buttons), first), 1, CAP)
 
 
 def accepts(page_url: Column, link: Column) -> Column:
@@ -152,7 +159,7 @@ def accepts(page_url: Column, link: Column) -> Column:
     press = u.contains("utpjournals.press")
     title = F.lower(X.text_of(link["title"]))
     given = (
-        (low.contains("pdf") & ~(press & h.contains("epdf")))
+        (a == "<button onclick>") | (low.contains("pdf") & ~(press & h.contains("epdf")))
         | ((a.contains("download") | a.contains("télécharger")) & ~a.contains("citation"))
         | (h.contains("/bitstreams/") & like(h, r"/download/*$"))
         | ((low.contains("full text") | low.contains("текст статьи")) & ~press)
@@ -166,10 +173,22 @@ def accepts(page_url: Column, link: Column) -> Column:
     return ~against & given
 
 
-def pdf_link(page_url: Column, html: Column) -> Column:
-    """The first accepted link as (href, anchor, title, img), resolved against the page's base and rewritten; null without one."""
+def document_link(html: Column) -> Column:
+    """The address of the first link to a word-processor document that nothing speaks against; null without one."""
+    fits = lambda x: ~U.bad_href(x["href"]) & ~U.bad_anchor(x["anchor"]) & (x["href"].contains(".doc") | x["anchor"].contains(".doc"))
+    return F.try_element_at(F.filter(links(html), fits), F.lit(1))["href"]
+
+
+def view_link(page_url: Column, html: Column) -> Column:
+    """The link by which a library of one host shows the article; null elsewhere."""
+    found = F.filter(links(html), lambda x: x["anchor"] == rules.VIEW_ANCHOR)
+    return F.when(F.regexp_extract(X.text_of(page_url), r"^[^:]*://([^/?#:]*)", 1).endswith(rules.VIEW_HOST), F.try_element_at(found, F.lit(1))["href"])
+
+
+def pdf_link(page_url: Column, html: Column, anchors: Column | None = None) -> Column:
+    """The address of the first accepted link, resolved against the page's base and rewritten; null without one."""
     def of(u: Column) -> Column:
-        first = F.try_element_at(F.filter(links(html), lambda x: accepts(u, x)), F.lit(1))["href"]
+        first = F.try_element_at(F.filter(links(html, anchors), lambda x: accepts(u, x)), F.lit(1))["href"]
         base = X.let(H.base_url(html), lambda b: F.when(b != "", b).otherwise(u))
         target = X.let(first, lambda href: X.let(base, lambda b: F.when(href.isNotNull(), U.resolve(openaccess.router_base(href, b), href))))
         return X.let(target, U.rewrite_pdf_url)
@@ -192,10 +211,14 @@ def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     blocked = F.coalesce(H.block_reason(html).isin("cached_bot_check", "cached_pdf", "missing"), F.lit(False))
     live = space.isin("doi", "pmh") & ~F.col("__blocked")
     shaped = lambda a: F.struct(a["name"].alias("name"), F.transform(a["affiliations"], lambda x: F.struct(x.alias("name"))).alias("affiliations"), a["is_corresponding"].alias("is_corresponding"))
+    from . import related
+
+    own_links = related.own_anchors(pages, id_col, html_col).withColumnsRenamed({id_col: "__key", "own": "__anchors"})
+    pages = pages.join(own_links, F.col(f"`{id_col}`").eqNullSafe(F.col("__key")), "left")
     pages, page = H.scanned(pages, html_col)
     authors = F.transform(dedupe_authors(fold_metas(page)), shaped)
     own, pdf = F.col("__own"), F.col("__pdf")
-    rows = pages.withColumn("__blocked", blocked).withColumn("__own", H.page_url(page, url)).withColumn("__pdf", F.coalesce(openaccess.science_direct_pdf(own, page), pdf_link(own, page), openaccess.fallback_pdf(own, page)))
+    rows = pages.withColumn("__blocked", blocked).withColumn("__own", H.page_url(page, url)).withColumn("__pdf", F.coalesce(openaccess.science_direct_pdf(own, page), pdf_link(own, page, F.col("__anchors")), openaccess.fallback_pdf(own, page)))
     rows = rows.withColumn("__pdf", F.when(F.col("__pdf").startswith("http") & ~openaccess.journal_index(page), F.col("__pdf"))).withColumn("__oa", F.when(live & (space == "doi"), openaccess.status(own, page)))
     return rows.select(
         F.col(f"`{id_col}`"),

@@ -81,9 +81,15 @@ def phrase_license(page_url: Column, text: Column) -> Column:
     return F.when(U.trusts_license(page_url), out)
 
 
+def license_text(html: Column) -> Column:
+    """The page without what speaks of other papers' licences: a block of featured articles (up to the next one of its kind or the page's sections) and reference meta tags."""
+    page = F.regexp_replace(H.raw(html), r"""(?is)<meta\b[^>]*\bname\s*=\s*["'][^"']*citation_reference[^>]*>""", "")
+    return F.regexp_replace(page, r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*view-pnas-featured.*?(?=<(?:section|article|footer|main)\b|</body|$)""", "")
+
+
 def status(page_url: Column, html: Column) -> Column:
     """(oa_status, source, license): bronze before hybrid; null without a sign."""
-    page = H.raw(html)
+    page = license_text(html)
     bronze = any_rule(BRONZE, page_url, page) | F.coalesce(F.regexp_like(H.meta(html, "citation_pdf_url"), F.lit(f"(?i){BRONZE_PDF}")), F.lit(False))
     phrase = phrase_license(page_url, page)
     row = lambda s, source, lic: F.struct(F.lit(s).alias("oa_status"), source.alias("source"), lic.alias("license"))
