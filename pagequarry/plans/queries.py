@@ -477,3 +477,6 @@ def page_extraction(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     best = families.extract_pages(pages).select("page_id", "rule_id", "rung", F.size("authors").alias("n_authors"), "abstract")
     return pages.select("page_id", openaccess.status(F.col("url"), F.col("html"))["oa_status"].alias("oa_status")).join(best, "page_id", "left")
+
+
+from . import report_queries  # noqa: E402, F401  registers its queries beside these
