@@ -169,3 +169,28 @@ def json_between(html: Column, start: str) -> Column:
 def ld_json(html: Column) -> Column:
     """The texts of all LD-JSON blocks."""
     return F.regexp_extract_all(raw(html), F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script"""), F.lit(1))
+
+
+def preloaded_state(html: Column) -> Column:
+    """The JSON text of a page's state: a JSON script, an assigned object, or a parsed string literal, whose escapes are undone; null without one."""
+    page = raw(html)
+    script = F.nullif(F.regexp_extract(page, r"""(?is)<script[^>]*type\s*=\s*["']?application/json["']?[^>]*>(.*?)</script""", 1), F.lit(""))
+    inner = F.when(F.trim(script).startswith('"'), F.from_json(F.concat(F.lit("["), script, F.lit("]")), "array<string>")[0]).otherwise(script)
+    given = F.nullif(F.regexp_extract(page, r"(?is)__PRELOADED_STATE__\s*=\s*(\{.*?\})\s*;?\s*</script", 1), F.lit(""))
+    literal = F.nullif(F.regexp_extract(page, r'(?is)__PRELOADED_STATE__\s*=\s*JSON\.parse\("(.*?)"\)\s*;?\s*</script', 1), F.lit(""))
+    plain = F.replace(F.replace(literal, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    return F.coalesce(inner, given, plain)
+
+
+def next_data(html: Column, path: str) -> Column:
+    """A value of the data script of one kind of pages, by its path from ``$``."""
+    script = F.regexp_extract(raw(html), r"""(?is)<script[^>]*id\s*=\s*["']?__NEXT_DATA__["']?[^>]*>(.*?)</script""", 1)
+    return F.get_json_object(script, path)
+
+
+def quoted_json(text: Column) -> Column:
+    """JSON whose signs are written as ``&q;``, ``&a;``, ``&l;``, ``&g;`` and ``&s;``."""
+    out = text
+    for name, sign in (("&q;", '"'), ("&l;", "<"), ("&g;", ">"), ("&s;", "'"), ("&a;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out

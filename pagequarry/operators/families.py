@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
-from . import dom, extract
+from . import dom, extract, people
 
 # --- fixed values: (rule, signal, needle, author, name, affiliation, corresponding, abstract); an empty selector is not used ---
 FAMILIES = [
@@ -164,9 +164,18 @@ def generic(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """The chosen candidate of each page that has one: (``id_col``, rule_id, rung, authors, abstract)."""
+    """The chosen candidate of each page that has one: (``id_col``, rule_id, rung, authors, abstract).
+
+    Authors of a generic candidate are marked as corresponding where a block of the page, or a star and its note, says so.
+    """
     named = by_ids(pages, id_col, html_col).withColumn("ord", F.col("ord") - 1000)  # before the lists of the same publisher
-    return extract.ladder(named.unionByName(candidates(pages, id_col, html_col)).unionByName(generic(pages, id_col, html_col)), id_col)
+    plain = generic(pages, id_col, html_col)
+    best = extract.ladder(named.unionByName(candidates(pages, id_col, html_col)).unionByName(plain), id_col)
+    authors = plain.select(id_col, "authors")
+    names = people.corresponding_blocks(pages, authors, id_col, html_col).unionAll(people.starred_authors(pages, authors, id_col, html_col)).distinct()
+    told = best.withColumn("__plain", F.col("rule_id") == "generic").join(names.groupBy(id_col).agg(F.collect_set("name").alias("__who")), id_col, "left")
+    mark = lambda a: people.with_parts(a, mark=F.when(F.array_contains("__who", a["name"]), True).otherwise(F.coalesce(a["is_corresponding"], F.lit(False))))
+    return told.withColumn("authors", F.when(F.col("__plain") & F.col("__who").isNotNull(), F.transform("authors", mark)).otherwise(F.col("authors"))).drop("__plain", "__who")
 
 
 def ld_authors(html: Column) -> Column:

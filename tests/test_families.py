@@ -70,3 +70,10 @@ def test_names(spark):
     df = spark.createDataFrame([("J. Smith", "Smith, John"), ("A Smith", "B Smith"), (None, "x")], "a string, b string")
     assert [r["m"] for r in df.select(names.names_match(F.col("a"), F.col("b")).alias("m")).collect()] == [True, False, False]
     assert df.select(names.parts(F.col("a")).alias("p")).first()["p"]["last"] == "Smith"
+
+
+def test_generic_authors_are_marked_by_their_page(spark):
+    metas = '<meta name="citation_author" content="Ann Lee"><meta name="citation_author_institution" content="U"><meta name="citation_author" content="Bob Ray">'
+    rows = [(1, f"<html><head>{metas}</head><body><div><p>Corresponding author: Bob Ray</p></div></body></html>"), (2, f"<html><head>{metas}</head><body><p>text</p></body></html>")]
+    got = {r["page_id"]: [a["is_corresponding"] for a in r["authors"]] for r in families.extract_pages(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got == {1: [False, True], 2: [None, None]}
