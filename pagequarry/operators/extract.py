@@ -213,8 +213,7 @@ def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     shaped = lambda a: F.struct(a["name"].alias("name"), F.transform(a["affiliations"], lambda x: F.struct(x.alias("name"))).alias("affiliations"), a["is_corresponding"].alias("is_corresponding"))
     from . import related
 
-    own_links = related.own_anchors(pages, id_col, html_col).withColumnsRenamed({id_col: "__key", "own": "__anchors"})
-    pages = pages.join(own_links, F.col(f"`{id_col}`").eqNullSafe(F.col("__key")), "left")
+    pages = pages.withColumn("__anchors", related.own_anchors(html))
     pages, page = H.scanned(pages, html_col)
     authors = F.transform(dedupe_authors(fold_metas(page)), shaped)
     own, pdf = F.col("__own"), F.col("__pdf")

@@ -1,12 +1,15 @@
 """Related content: sections whose links are not the page's own, and the page's links without them.
 
-Only pages that name such a section are parsed. The sections are found by joins of element rows with small tables of
-rules, and the links inside them go by an anti-join on intervals.
+Only pages that name such a section are parsed, each by itself where it lies. The axes over element tables (siblings,
+smallest elements, an abstract's surroundings) are joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -48,59 +51,75 @@ def in_abstract_context(table: DataFrame, found: DataFrame, id_col: str = "page_
     return found.join(marks, [id_col, "id"], "left").withColumn("explicit", F.coalesce("explicit", F.lit(False)))
 
 
-def how(kind: Column, value: Column, wanted: Column) -> Column:
-    v = F.coalesce(value, F.lit(""))
-    return F.when(kind == "=", v == wanted).when(kind == "*=", v.contains(wanted)).when(kind == "^=", v.startswith(wanted)).otherwise(F.lit(True))
-
-
-def attr(name: str | Column) -> Column:
-    return F.try_element_at("attrs", F.lit(name) if isinstance(name, str) else name)
-
-
-def one(table: DataFrame, rule: tuple[str, str, str, str]) -> DataFrame:
-    tag, name, kind, wanted = rule
-    return table.where((F.col("tag") == tag) & how(F.lit(kind), attr(name), F.lit(wanted)))
+TESTS = {"=": lambda v, w: v == w, "*=": lambda v, w: w in v, "^=": lambda v, w: v.startswith(w), "": lambda v, w: True}
 
 
-def sections(table: DataFrame, spark: SparkSession, id_col: str = "page_id") -> DataFrame:
-    """The subtrees of related content as (``id_col``, pre, post)."""
-    simple = F.broadcast(spark.createDataFrame(rules.RELATED, "tag string, name string, kind string, wanted string"))  # under a hundred rows
-    parts = [table.join(simple, "tag").where(how(F.col("kind"), attr(F.col("name")), F.col("wanted")))]
-    heads = F.broadcast(spark.createDataFrame(rules.RELATED_AFTER, "tag string, kind string, wanted string, sibling string"))
-    says = F.when(F.col("kind") == "src", F.coalesce(attr("src"), F.lit("")).contains(F.col("wanted"))).when(F.col("kind") == "*=", F.col("text").contains(F.col("wanted"))).otherwise(F.col("text") == F.col("wanted"))
-    parts.append(siblings_after(table, table.join(heads, "tag").where(says).select(id_col, "parent", "pre", "sibling"), id_col).where("tag = sibling"))
-    for outer, inner in rules.RELATED_INSIDE:
-        above = one(table, outer).select(F.col(id_col).alias("__p"), F.col("pre").alias("__pre"), F.col("post").alias("__post"))
-        parts.append(one(table, inner).join(above, (F.col(id_col) == F.col("__p")) & (F.col("pre") > F.col("__pre")) & (F.col("pre") <= F.col("__post")), "left_semi"))
+def sections(rows: list[list]) -> list[tuple[int, int]]:
+    """The subtrees of related content in one page's element rows (as ``dom.Tree`` makes them), as (pre, post)."""
+    attrs = [dict(r[6]) for r in rows]
+    text = [" ".join(r[7]) for r in rows]
+    children: dict[int, list[int]] = {}
+    for r in rows:
+        children.setdefault(r[1], []).append(r[0])
+    after = lambda i, tag: [j for j in children[rows[i][1]] if j > i and rows[j][5] == tag]
+    fits = lambda i, rule: rows[i][5] == rule[0] and TESTS[rule[2]](attrs[i].get(rule[1], ""), rule[3])
+    inside = lambda i, rule: [j for j in range(i + 1, rows[i][3] + 1) if fits(j, rule)]
+    by_tag: dict[str, list[tuple]] = {}
+    for rule in rules.RELATED:
+        by_tag.setdefault(rule[0], []).append(rule)
     row, cell, mark, words = rules.RELATED_ROW
-    up = lambda below, tag: table.where(F.col("tag") == tag).join(below.select(F.col(id_col).alias("__p"), F.col("parent").alias("__up")).distinct(), (F.col(id_col) == F.col("__p")) & (F.col("id") == F.col("__up")), "left_semi")
-    parts.append(up(up(table.where((F.col("tag") == mark) & F.col("text").contains(words)), cell), row))
     head, title, listed, style = rules.RELATED_NOTES
-    notes = siblings_after(table, table.where((F.col("tag") == head) & (F.col("text") == title)).select(id_col, "parent", "pre"), id_col).where(F.col("tag") == listed).select(F.col(id_col).alias("__p"), F.col("pre").alias("__pre"), F.col("post").alias("__post"))
-    parts.append(one(table, ("p", "class", "=", style)).join(notes, (F.col(id_col) == F.col("__p")) & (F.col("pre") > F.col("__pre")) & (F.col("pre") <= F.col("__post")), "left_semi"))
-    out = parts[0].select(id_col, "pre", "post")
-    for p in parts[1:]:
-        out = out.unionAll(p.select(id_col, "pre", "post"))
-    return out.distinct()
+    found: set[int] = set()
+    for i, r in enumerate(rows):
+        if any(fits(i, rule) for rule in by_tag.get(r[5], ())):
+            found.add(i)
+        for tag, kind, wanted, sibling in rules.RELATED_AFTER:
+            if r[5] == tag and (wanted in attrs[i].get("src", "") if kind == "src" else TESTS[kind](text[i], wanted)):
+                found.update(after(i, sibling))
+        for outer, inner in rules.RELATED_INSIDE:
+            if fits(i, outer):
+                found.update(inside(i, inner))
+        up = r[1]
+        if r[5] == mark and words in text[i] and up >= 0 and rows[up][5] == cell and rows[up][1] >= 0 and rows[rows[up][1]][5] == row:
+            found.add(rows[up][1])
+        if r[5] == head and text[i] == title:
+            for j in after(i, listed):
+                found.update(inside(j, ("p", "class", "=", style)))
+    return [(rows[i][2], rows[i][3]) for i in found]
+
+
+def page_anchors(html: str) -> list[dict]:
+    """The anchors of one page outside related content, in order."""
+    tree = dom.Tree()
+    tree.feed(html)
+    rows = tree.finish()
+    gone = sections(rows)
+    out = []
+    for r in rows:
+        if r[5] != "a" or any(low <= r[2] <= high for low, high in gone):
+            continue
+        attrs, below = dict(r[6]), rows[r[0] : r[3] + 1]
+        words = " ".join(" ".join(x[7]) for x in below)
+        image = next((dict(x[6]).get("src") for x in below if x[5] == "img"), None)
+        out.append({"pos": r[2], "href": attrs.get("href"), "anchor": " ".join(words.split()).lower(), "title": attrs.get("title"), "tooltip": attrs.get("data-tooltip"), "img": image})
+    return out
+
+
+def anchor_batches(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in pages:
+        yield pd.Series([None if html is None else page_anchors(html) for html in batch], dtype=object)
+
+
+def own_anchors(html: Column) -> Column:
+    """A page's anchors outside related content, as ``html.anchors`` gives them; null for pages that name no such section, which are not parsed. No shuffle."""
+    return F.pandas_udf(anchor_batches, "array<struct<pos:int,href:string,anchor:string,title:string,tooltip:string,img:string>>")(F.when(names_one(html), html))
 
 
 def names_one(html: Column) -> Column:
     """Whether a page's text names a section of related content at all: the cheap test that saves parsing."""
     words = sorted({w for _, _, _, w in rules.RELATED if w} | {t for t, n, _, _ in rules.RELATED if not n} | {w for _, _, w, _ in rules.RELATED_AFTER} | {rules.RELATED_ROW[3]} | {i[3] for _, i in rules.RELATED_INSIDE} | {rules.RELATED_NOTES[3]})
     short = [w for w in words if not any(o != w and o in w for o in words)]  # a word within another one speaks for both
-    return F.regexp_like(X.text_of(html), F.lit("|".join(w.replace("-", "\\-") for w in short)))
-
-
-def own_anchors(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """For pages with related content, their anchors outside it in order: (``id_col``, own), ``own`` as ``html.anchors`` gives them; other pages have no row."""
-    table = dom.nodes(pages.where(names_one(F.col(f"`{html_col}`"))), id_col, html_col)
-    kept = dom.outside(table, sections(table, pages.sparkSession, id_col), id_col)
-    links = kept.where("tag = 'a'")
-    told = dom.texts(links, table, id_col).withColumnsRenamed({"id": "t_id", id_col: "t_p"})
-    images = table.where("tag = 'img'").select(F.col(id_col).alias("i_p"), F.col("pre").alias("i_pre"), attr("src").alias("src"))
-    rows = links.join(images, (F.col(id_col) == F.col("i_p")) & (F.col("i_pre") > F.col("pre")) & (F.col("i_pre") <= F.col("post")), "left").groupBy(id_col, "id", "pre").agg(F.first("attrs").alias("attrs"), F.min_by("src", "i_pre").alias("img"))
-    rows = rows.join(told, (F.col(id_col) == F.col("t_p")) & (F.col("id") == F.col("t_id")), "left")
-    link = F.struct(F.col("pre").alias("pos"), attr("href").alias("href"), F.lower(X.squeezed(F.coalesce("full_text", F.lit("")))).alias("anchor"), attr("title").alias("title"), attr("data-tooltip").alias("tooltip"), F.col("img"))
-    lists = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(link)).alias("own"))
-    none = pages.where(names_one(F.col(f"`{html_col}`"))).select(id_col)
-    return none.join(lists, id_col, "left").select(id_col, F.coalesce("own", F.array().cast("array<struct<pos:int,href:string,anchor:string,title:string,tooltip:string,img:string>>")).alias("own"))
+    out = F.lit(False)
+    for w in short:
+        out = out | X.text_of(html).contains(w)
+    return out
