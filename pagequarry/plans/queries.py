@@ -179,21 +179,49 @@ def failure_modes_explode(spark, sf_dir):
     return rows.groupBy("mode").agg(F.count("*").alias("docs"), F.countDistinct("source").alias("sources"))
 
 
-OPENING = f"regexp_replace({FOLD.format('lower(substr(text, 1, 120))')}, '[^ -~]', '', 'g')"
+#: Rows of runs, of 24 bytes each, up to which a side is sent to every executor.
+MOST_BROADCAST = 1_000_000
 
 
-def opening() -> F.Column:
-    """The first 120 characters, folded to plain letters, so that a letter is one unit of editing everywhere."""
-    return F.regexp_replace(text.fold_latin(F.lower(F.substring("text", 1, 120))), "[^ -~]", "")
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most ``MOST_BROADCAST`` rows of fixed width; otherwise it is shuffled."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-@query(f"""select d.doc_id, b.item_id, round(case when greatest(length(d.p), length(b.p)) = 0 then 1.0 else 1 - levenshtein(d.p, b.p) / greatest(length(d.p), length(b.p)) end, 6) as ratio
-from (select doc_id, {OPENING} as p, lower(substr(text, 1, 4)) as k from documents) d join (select item_id, {OPENING} as p, lower(substr(text, 1, 4)) as k from benchmark) b using (k)""")
+def runs_of_words(words: F.Column, n: int, short: bool = False) -> F.Column:
+    """128-bit keys of the runs of ``n`` words; of a shorter text none, or (``short``) one of all its words."""
+    key = lambda run: F.struct(F.xxhash64(run).alias("g1"), F.xxhash64(F.lit(n), run).alias("g2"))
+    none = F.array().cast("array<struct<g1: bigint, g2: bigint>>")
+    fewer = F.when(F.size(words) > 0, F.array(key(words))).otherwise(none) if short else none
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: key(F.slice(words, i, n)))).otherwise(fewer)
+
+
+def shared_runs(docs: DataFrame, items: DataFrame, key: str, item: str, runs: Callable[[], F.Column]) -> DataFrame:
+    """(key, item, g): the runs that a document and an item share, once for each place in the document."""
+    b = items.select(item, F.explode(runs()).alias("g")).select(item, "g.*").distinct()
+    d = docs.select(key, F.explode(runs()).alias("g")).select(key, "g.*")
+    return d.join(broadcast_if_small(b), ["g1", "g2"]).select(key, item, F.struct("g1", "g2").alias("g"))
+
+
+BARE_WORDS = r"[^\x20\x09-\x0D]+"
+FIVE = f"(select {{id}}, text, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w] else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as g from (select {{id}}, text, regexp_extract_all(coalesce(text, ''), '{BARE_WORDS}') as w from {{table}}))"
+
+
+@query(f"""with p as (select distinct d.doc_id, b.item_id, d.text as p, b.text as q from {FIVE.format(id="doc_id", table="documents")} d join {FIVE.format(id="item_id", table="benchmark")} b using (g))
+select doc_id, item_id, round(1 - levenshtein(p, q) / greatest(strlen(p), strlen(q)), 6) as ratio from p""")
 def near_dup_ratio(spark, sf_dir):
-    """Edit ratio of openings of documents and benchmark items that begin alike, as its SQL has it; ``fuzzy_ratios`` has the ratio of whole texts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", opening().alias("p"), F.lower(F.substring("text", 1, 4)).alias("k"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", opening().alias("q"), F.lower(F.substring("text", 1, 4)).alias("k"))
-    return d.join(b, "k").select("doc_id", "item_id", F.round(fuzzy.levenshtein_ratio(F.col("p"), F.col("q")), 6).alias("ratio"))
+    """Edit ratio, over the bytes of whole texts, of documents and benchmark items that share a run of five words.
+
+    Words are what stands between spaces; a text of fewer than five is one run, one of none meets nothing. Equal rows count once.
+    """
+    d, b = (table(spark, sf_dir, name).select(F.col(i), F.col("text").alias(c), F.xxhash64("text").alias(f"{c}h")) for name, i, c in (("documents", "doc_id", "p"), ("benchmark", "item_id", "q")))
+    words = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(BARE_WORDS), F.lit(0))
+    keys = lambda df, c: df.select(F.struct(*[n for n in df.columns if n != c]).alias(f"{c}k"), F.col(c).alias("text"))
+    met = shared_runs(keys(d, "p"), keys(b, "q"), "pk", "qk", lambda: text.let(words("text"), lambda ws: runs_of_words(ws, 5, short=True))).select("pk.doc_id", "pk.ph", "qk.item_id", "qk.qh").distinct().alias("x")
+    with_docs = met.join(d.distinct().alias("d"), F.expr("x.ph = d.ph and x.doc_id <=> d.doc_id")).select("x.doc_id", "x.item_id", "x.qh", "p").alias("y")
+    pairs = with_docs.join(b.distinct().alias("b"), F.expr("y.qh = b.qh and y.item_id <=> b.item_id")).select("y.doc_id", "y.item_id", "p", "q")
+    one_char = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")  # noqa: E731  a byte becomes a character
+    return pairs.select("doc_id", "item_id", F.round(fuzzy.levenshtein_ratio(one_char("p"), one_char("q")), 6).alias("ratio"))
 
 
 GRAMS = "list_transform(range(1, greatest(len(w) - 11, 0) + 1), lambda i: md5(array_to_string(w[i:i + 11], ' ')))"
@@ -202,17 +230,15 @@ WORDS_SQL = f"list_filter(string_split(trim(regexp_replace({NORMAL.format('text'
 
 def grams_of(column: str) -> F.Column:
     words = F.filter(F.split(F.regexp_replace(text.normalize_text(F.col(column)), "[^a-z0-9_ ]+", " "), " "), lambda w: w != "")
-    runs = lambda ws: F.when(F.size(ws) >= 12, F.transform(F.sequence(F.lit(1), F.size(ws) - 11), lambda i: F.md5(F.array_join(F.slice(ws, i, F.lit(12)), " ").cast("binary"))))
-    return text.let(words, runs)
+    return text.let(words, lambda ws: runs_of_words(ws, 12))
 
 
 @query(f"""with b as (select item_id, unnest({GRAMS}) as g from (select item_id, {WORDS_SQL} as w from benchmark)), d as (select doc_id, unnest({GRAMS}) as g from (select doc_id, {WORDS_SQL} as w from documents))
 select d.doc_id, b.item_id, count(distinct d.g) as shared from d join b using (g) group by 1, 2""")
 def ngram_grounding(spark, sf_dir):
     """Benchmark items found in documents by shared runs of twelve words."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(grams_of("text")).alias("g")).distinct()
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(grams_of("text")).alias("g"))
-    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.countDistinct("g").alias("shared"))
+    met = shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", lambda: grams_of("text"))
+    return met.groupBy("doc_id", "item_id").agg(F.countDistinct("g").alias("shared"))
 
 
 STATUS = "case when {g} <> '' and {p} <> '' then 'both_present' when {g} <> '' then 'gold_present_parser_empty' when {p} <> '' then 'gold_empty_parser_present' else 'empty_empty_pass' end"
