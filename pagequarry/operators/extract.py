@@ -246,8 +246,8 @@ def ladder(candidates: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 def dispatch(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Which rules (rule_id, signal, needle) a page answers to: (``id_col``, ``rule_id``, ``ord``). Signals: canonical, og_url, journal, publisher (any case), site (case kept)."""
-    html = F.col(f"`{html_col}`")
-    signals = {"canonical": H.link_href(html, "canonical"), "og_url": H.meta(html, "og:url"), "journal": F.lower(H.meta(html, "citation_journal_title")), "publisher": F.lower(H.meta(html, "citation_publisher")), "site": H.meta(html, "og:site_name")}
+    pages, page = H.scanned(pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")), html_col)
+    signals = {"canonical": H.link_href(page, "canonical"), "og_url": H.meta(page, "og:url"), "journal": F.lower(H.meta(page, "citation_journal_title")), "publisher": F.lower(H.meta(page, "citation_publisher")), "site": H.meta(page, "og:site_name")}
     rows = pages.select(F.col(f"`{id_col}`"), *[c.alias(f"__{n}") for n, c in signals.items()])
     hits = [F.when(F.col(f"__{signal}").contains(needle.lower() if signal in ("journal", "publisher") else needle), F.struct(F.lit(i).alias("ord"), F.lit(rule).alias("rule_id"))) for i, (rule, signal, needle) in enumerate(rules)]
     return rows.select(id_col, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r")).groupBy(id_col, "r.rule_id").agg(F.min("r.ord").alias("ord"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
-from . import dom, extract, people
+from . import dom, extract, people, publishers
 
 # --- fixed values: (rule, signal, needle, author, name, affiliation, corresponding, abstract); an empty selector is not used ---
 FAMILIES = [
@@ -158,7 +158,7 @@ def by_ids(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fa
 
 def generic(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The generic candidate: meta fold, else the people of LD-JSON; abstract from the metas."""
-    html = F.col(f"`{html_col}`")
+    pages, html = H.scanned(pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")), html_col)
     folded = X.let(extract.fold_metas(html), lambda a: F.when(F.size(a) > 0, a).otherwise(ld_authors(html)))
     return pages.select(F.col(f"`{id_col}`"), F.lit("generic").alias("rule_id"), F.lit(False).alias("is_specific"), F.lit(False).alias("prefer"), F.lit(1000).alias("ord"), folded.alias("authors"), extract.abstract_of(html).alias("abstract"))
 
@@ -170,7 +170,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """
     named = by_ids(pages, id_col, html_col).withColumn("ord", F.col("ord") - 1000)  # before the lists of the same publisher
     plain = generic(pages, id_col, html_col)
-    best = extract.ladder(named.unionByName(candidates(pages, id_col, html_col)).unionByName(plain), id_col)
+    own = publishers.candidates(pages, id_col, html_col)  # before these, as they know more of the same pages
+    best = extract.ladder(own.unionByName(named).unionByName(candidates(pages, id_col, html_col)).unionByName(plain), id_col)
     authors = plain.select(id_col, "authors")
     names = people.corresponding_blocks(pages, authors, id_col, html_col).unionAll(people.starred_authors(pages, authors, id_col, html_col)).distinct()
     told = best.withColumn("__plain", F.col("rule_id") == "generic").join(names.groupBy(id_col).agg(F.collect_set("name").alias("__who")), id_col, "left")
