@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 4 << 20
+#: A key with more than one row in so many is joined by a broadcast; there are fewer such keys.
+HEAVY = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,24 @@ def written_by(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` with what ``facts``, written and with one row for each ``key``, says of their key; ``copies`` there is how many rows have it.
+
+    Keys with more than 1 / ``HEAVY`` of all rows, fewer than ``HEAVY``, are broadcast, so that none gathers in one task; the
+    other rows meet theirs by shuffle.
+    """
+    total = facts.agg(F.sum(copies)).first()[0] or 0
+    heavy = (F.col(copies) * HEAVY > total) & (F.col(copies) > 1)
+    names = [c for c in facts.columns if c not in (key, copies)]
+    if not facts.where(heavy).limit(1).count():
+        return rows.join(facts.drop(copies), key)
+    at = F.struct(*names).alias("heavy_fact")
+    met = rows.join(F.broadcast(facts.where(heavy).select(key, at)), key, "left")
+    hot = met.where("heavy_fact is not null").select(*rows.columns, "heavy_fact.*")
+    rest = met.where("heavy_fact is null").select(*rows.columns).join(facts.where(~heavy).drop(copies), key)
+    return hot.select(*rows.columns, *names).unionAll(rest.select(*rows.columns, *names))
+
+
 def id_remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id's decimal text modulo ``divisor``; null for a null id."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
