@@ -125,10 +125,10 @@ class Traversal:
             self.next[level] = Treehash(self.leaves, level, self.i + ARITY ** (level + 1))
 
 
-def levels_of(n: int, size: int) -> int:
-    """Levels of a block of ``n`` leaves in a tree of ``size``: up to its only node if the tree has no other block, else all that a block spans."""
-    if size > ARITY**HEIGHT:
-        return HEIGHT
+def levels_of(n: int, size: int, most: int) -> int:
+    """Levels of a block of ``n`` leaves in a tree of ``size``: up to its only node if the tree has no other block, else all ``most`` that a block spans."""
+    if size > ARITY**most:
+        return most
     height = 0
     while n > 1:
         n, height = -(-n // ARITY), height + 1
@@ -153,24 +153,24 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return laid.join(offsets, ["g", "part"]).select(*rows.columns, (F.col("before") + F.col("row") - F.col("first")).alias("pos"), "size")
 
 
-def in_blocks(nodes: DataFrame) -> DataFrame:
+def in_blocks(nodes: DataFrame, most: int) -> DataFrame:
     """``nodes`` with ``block``, the number of its aligned block within its group."""
-    return nodes.withColumn("block", F.floor(F.col("pos") / ARITY**HEIGHT).cast("long"))
+    return nodes.withColumn("block", F.floor(F.col("pos") / ARITY**most).cast("long"))
 
 
-def block_roots(blocks: DataFrame) -> DataFrame:
+def block_roots(blocks: DataFrame, most: int) -> DataFrame:
     """(g, pos, size, digest): each block's root, as a leaf of the tree above."""
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         size = table.column("size")[0].as_py()
-        digest = Treehash(table.column("digest").to_pylist(), levels_of(table.num_rows, size), 0).run()[0]
-        return pa.table({"g": table.column("g")[:1], "pos": table.column("block")[:1], "size": pa.array([-(-size // ARITY**HEIGHT)], pa.int64()), "digest": pa.array([digest])})
+        digest = Treehash(table.column("digest").to_pylist(), levels_of(table.num_rows, size, most), 0).run()[0]
+        return pa.table({"g": table.column("g")[:1], "pos": table.column("block")[:1], "size": pa.array([-(-size // ARITY**most)], pa.int64()), "digest": pa.array([digest])})
 
     return blocks.select("g", "block", "pos", "size", "digest").groupBy("g", "block").applyInArrow(work, "g string, pos long, size long, digest string")
 
 
-def walked(blocks: DataFrame, above: DataFrame) -> DataFrame:
+def walked(blocks: DataFrame, above: DataFrame, most: int) -> DataFrame:
     """The leaves of ``blocks`` with ``path``, up through their block and on by the path that ``above`` (g, pos, path and more) has for it, and with what else ``above`` has."""
     kept, shared = [c for c in blocks.columns if c not in ("block", "size")], [c for c in above.columns if c not in ("g", "pos", "path")]
     schema = ", ".join([f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in kept] + [f"path {PATH}"] + [f"`{c}` {above.schema[c].dataType.simpleString()}" for c in shared])
@@ -178,7 +178,7 @@ def walked(blocks: DataFrame, above: DataFrame) -> DataFrame:
     def work(rows: pa.Table, upper: pa.Table) -> pa.Table:
         rows = rows.sort_by("pos")
         n, leaves = rows.num_rows, rows.column("digest").to_pylist()
-        walk = Traversal(leaves, levels_of(n, rows.column("size")[0].as_py()))
+        walk = Traversal(leaves, levels_of(n, rows.column("size")[0].as_py(), most))
         rest = upper.column("path")[0].as_py()
         lefts, rights = [], []
         for i in range(n):
@@ -199,34 +199,34 @@ def walked(blocks: DataFrame, above: DataFrame) -> DataFrame:
     return blocks.groupBy("g", "block").cogroup(above.withColumnRenamed("pos", "block").groupBy("g", "block")).applyInArrow(work, schema)
 
 
-def upward(blocks: DataFrame) -> DataFrame:
+def upward(blocks: DataFrame, most: int) -> DataFrame:
     """(g, pos, path, root): for each block its path to the root of its group's tree, by the same walk over blocks of block roots."""
-    roots = written(block_roots(blocks))
+    roots = written(block_roots(blocks, most))
     done = roots.where("size = 1").select("g", "pos", F.array().cast(PATH).alias("path"), F.col("digest").alias("root"))
     below = roots.where("size > 1")
     if below.limit(1).count():
-        done = done.unionAll(authenticated(below).select("g", "pos", "path", "root"))
+        done = done.unionAll(authenticated(below, most).select("g", "pos", "path", "root"))
     return done
 
 
-def authenticated(nodes: DataFrame) -> DataFrame:
+def authenticated(nodes: DataFrame, most: int) -> DataFrame:
     """``nodes`` (g, pos, size, digest and more) with the ``path`` to, and the ``root`` of, each group's tree."""
-    blocks = in_blocks(nodes)
-    return walked(blocks, upward(blocks))
+    blocks = in_blocks(nodes, most)
+    return walked(blocks, upward(blocks, most), most)
 
 
-def prove(leaves: DataFrame, id_col: str = "doc_id", group_col: str = "source", digest_col: str = "leaf", keep: list[str] | None = None) -> DataFrame:
+def prove(leaves: DataFrame, id_col: str = "doc_id", group_col: str = "source", digest_col: str = "leaf", keep: list[str] | None = None, most: int = HEIGHT) -> DataFrame:
     """One row for each leaf: ``id_col``, the columns in ``keep``, ``leaf``, ``path`` (left and right siblings of each level, from the leaf to the root of all), ``subroot``, ``root``.
 
-    ``leaves`` has the id, the group and the row's digest (see ``leaf``). Ids and kept columns travel; keep them narrow. A
+    Blocks span ``most`` levels. ``leaves`` has the id, the group and the row's digest (see ``leaf``). Ids and kept columns travel; keep them narrow. A
     result's own columns win over kept ones of their names.
     """
     keep = [c for c in keep or [] if c.lower() not in {id_col.lower(), "leaf", "path", "subroot", "root"}]
     group = F.col(f"`{group_col}`").cast("string")
     inner = {"id": F.col(f"`{id_col}`"), "digest": F.col(f"`{digest_col}`"), "g": F.coalesce(F.concat(F.lit("s"), group), F.lit(""))} | {f"k{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
-    blocks = in_blocks(written(placed(written(leaves.select(*[c.alias(n) for n, c in inner.items()])), ["id", "digest"])))
-    within = written(upward(blocks))
+    blocks = in_blocks(written(placed(written(leaves.select(*[c.alias(n) for n, c in inner.items()])), ["id", "digest"])), most)
+    within = written(upward(blocks, most))
     groups = written(within.where("pos = 0").select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("root").alias("digest")))
-    tops = authenticated(written(placed(groups, ["name"]))).select(F.col("name").alias("g"), F.col("path").alias("rest"), F.col("root").alias("top"))
+    tops = authenticated(written(placed(groups, ["name"])), most).select(F.col("name").alias("g"), F.col("path").alias("rest"), F.col("root").alias("top"))
     above = within.join(tops, "g").select("g", "pos", F.concat("path", "rest").alias("path"), F.col("root").alias("subroot"), F.col("top").alias("root"))
-    return walked(blocks, above).select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("digest").alias("leaf"), "path", "subroot", "root")
+    return walked(blocks, above, most).select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("digest").alias("leaf"), "path", "subroot", "root")
