@@ -20,7 +20,7 @@ count for each document and a spanning forest of the links, never all pairs.
 
 Cases: a null text is empty; a text without words has no shingles, no links and a class of its own; a text of fewer words
 than a shingle has one shingle, all its words; repeated rows are members of one class and link to each other; equal
-ids count as members each; classes are named by their least id; an empty table gives an empty result. Only id and text
+ids count as members each; classes are named by their least id, null being less than any other; an empty table gives an empty result. Only id and text
 are read. Shingle sets are told apart by 128 bits, shingles by 64.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, split_words, written
@@ -345,8 +345,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     reps = written(reps.select("key", "first.*", "copies", "n", "sig"))
     label = lambda tree, values: F.substring(F.col("sig"), 2 * DEPTH * tree + 1, F.lit(2 * values))
     tries = reps.select("key", "n", F.posexplode(F.array(*[label(F.lit(t), least) for t in range(TREES)])).alias("tree", "root"))
-    node = Window.partitionBy("tree", "root")
-    met = written(tries.withColumns({"size": F.count("*").over(node), "shingled": F.sum("n").over(node)}).where("size > 1").drop("n"))
+    nodes = tries.groupBy("tree", "root").agg(F.count("*").alias("size"), F.sum("n").alias("shingled")).where("size > 1")
+    met = written(tries.drop("n").join(nodes, ["tree", "root"]))
     cells = blocked(met.join(reps.select("key", "sig"), "key").withColumn("label", label(F.col("tree"), DEPTH)), "size", "shingled")
     walks = written(walked(cells, threshold, least))
     ends = written(reps.join(stops(walks, threshold, recall, least), "key"))
@@ -359,9 +359,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     named = reps.join(classes, reps["key"] == classes["node"], "left").select("key", "id", "h", "copies", F.coalesce("label", "key").alias("label"))
     leaders = named.groupBy("label").agg(F.min(F.struct("id", "h")).alias("leader"))
     by_key = named.join(leaders, "label").join(degree, "key", "left").select("key", F.col("id").alias("representative"), "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    led = lambda of_class, own: F.when(F.col("leader").isNotNull(), F.col(of_class)).otherwise(F.col(own))  # noqa: E731  a leader's id may be null
     return sets.drop("sig").join(by_key, "key", "left").select(
-        F.col("id").alias(id_col), F.coalesce("leader.id", "id").alias("class_id"), F.coalesce("representative", "id").alias("representative"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.col("n").alias("n_shingles"), F.col("h").alias("text_hash"), F.coalesce("leader.h", "h").alias("class_text_hash"),
+        F.col("id").alias(id_col), led("leader.id", "id").alias("class_id"), led("representative", "id").alias("representative"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.col("n").alias("n_shingles"), F.col("h").alias("text_hash"), led("leader.h", "h").alias("class_text_hash"),
     )
 
 
