@@ -2,14 +2,13 @@
 
 A k-mer of characters is a closed syncmer if its smallest s-mer (by hash) is its first or its last one. Whether a k-mer
 is chosen depends on its own characters alone, so equal passages give equal anchors wherever they stand. A
-fingerprint holds the anchors whose hash lies under a bound, with their positions. All are held where there are less than
-``WHOLE`` different ones (about 1,090 characters); the bound halves with each fourfold number, so that what is held grows
-as the square root of what there is and isn't cut off at a fixed size. Two fingerprints are compared under the lower of their bounds: anchors
-count as shared as far as they come in the same order in both (the longest common run of places, gaps allowed), so an
-insertion moves what follows it without harm. An anchor that occurs repeatedly keeps its first position.
-
-Cases: null is an empty text; a text shorter than ``K`` characters has one anchor, its own hash; two texts without
-anchors (both empty, or none under the bound) have likeness 1, one without and another with some 0; equal texts have
+fingerprint holds all anchors (about one for each 8.5 characters) with their positions; none is left out for the sake of
+others. Anchors count as shared as far as they come in the same order in both texts (the longest common run of places, gaps allowed),
+so an insertion moves what follows it without harm. An anchor that occurs repeatedly keeps its first position.
+
+Cases: null is an empty text; a text without anchors, as all that are shorter than ``K`` characters and some of up to two or three
+times that, has one in their place, the hash of the whole text, so that it is like equal texts only; two empty texts have
+likeness 1, an empty and another one 0; equal texts have
 equal fingerprints. Very long texts are read whole. Ids are integers (others raise a TypeError). Documents of one id are
 ordered by the hash of their text, null ids come first; repeated rows each keep a row, and all rows of one id are in one
 task, row by row; the only document is its own next; an empty table gives an empty result. Only the id and the text are
@@ -18,6 +17,7 @@ read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from bisect import bisect_left
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Characters of an anchor and of its inner substrings; number of different anchors from which not all are held.
-K, S, WHOLE = 24, 8, 128
+#: Characters of an anchor and of its inner substrings.
+K, S = 24, 8
 #: Fixed odd multipliers of the rolling hash and of its finish.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -52,19 +52,13 @@ def window_hash(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and positions of the text's closed syncmers, in order."""
+    """Hashes (32 bits) and positions of the text's closed syncmers, in order; of a text without any, its own hash."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     codes += np.uint64(1)
-    if len(codes) < K:
+    at = closed(codes) if len(codes) >= K else np.zeros(0, np.int64)
+    if not len(at):
         whole = window_hash(codes, len(codes)) if len(codes) else codes
         return (whole >> np.uint64(32)).astype(np.uint32), np.zeros(len(whole), np.uint32)
-    inner = window_hash(codes, S)
-    n, width = len(codes) - K + 1, K - S + 1
-    low = inner[1 : n + 1].copy()  # the smallest of those between the first and the last
-    for i in range(2, width - 1):
-        np.minimum(low, inner[i : i + n], out=low)
-    first, last = inner[:n], inner[width - 1 : width - 1 + n]
-    at = np.flatnonzero((first <= np.minimum(low, last)) | (last <= np.minimum(low, first)))
     h = codes[at].copy()
     for i in range(1, K):
         h *= BASE
@@ -72,37 +66,46 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (scrambled(h) >> np.uint64(32)).astype(np.uint32), at.astype(np.uint32)
 
 
-def halvings(n: int) -> int:
-    """How often the bound on hashes is halved for a text with so many different anchors: once more from ``WHOLE``, 4 ``WHOLE``, 16 ``WHOLE``, ... on."""
-    return 0 if n < WHOLE else 1 + ((n // WHOLE).bit_length() - 1) // 2
+def closed(codes: np.ndarray) -> np.ndarray:
+    """Where the windows of ``K`` characters start whose least inner hash is the first or the last."""
+    inner = window_hash(codes, S)
+    n, width = len(codes) - K + 1, K - S + 1
+    low = inner[1 : n + 1].copy()  # the smallest of those between the first and the last
+    for i in range(2, width - 1):
+        np.minimum(low, inner[i : i + n], out=low)
+    first, last = inner[:n], inner[width - 1 : width - 1 + n]
+    return np.flatnonzero((first <= np.minimum(low, last)) | (last <= np.minimum(low, first)))
 
 
 class Sketch:
-    """Anchors under the bound 2^32 / 2^``halved``: ``rows`` of (hash, position), ascending by hash."""
-
-    def __init__(self, halved: int, rows: np.ndarray):
-        self.halved, self.rows = halved, rows
+    """A text's anchors: different hashes, ascending, and the position of each."""
 
-    def under(self, halved: int) -> np.ndarray:
-        return self.rows[: np.searchsorted(self.rows[:, 0], 1 << (32 - halved))] if halved > self.halved else self.rows
+    def __init__(self, hashes: np.ndarray, places: np.ndarray):
+        self.hashes, self.places = hashes, places
 
 
 def sketch(text: str) -> Sketch:
     """The text's fingerprint."""
     h, at = anchors(text)
     h, first = np.unique(h, return_index=True)
-    halved = halvings(len(h))
-    n = int(np.searchsorted(h, 1 << (32 - halved)))
-    return Sketch(halved, np.stack([h[:n], at[first[:n]]], axis=1))
+    return Sketch(h, at[first])
 
 
 def printed(f: Sketch) -> str:
-    """Hexadecimal, two digits for the bound and eight for each hash and each position."""
-    return f"{f.halved:02x}" + f.rows.astype(">u4").tobytes().hex()
+    """Base64 of the number of anchors and, in the order of their positions, their hashes, the steps between positions in a byte each (255 for more), and the longer steps."""
+    order = np.argsort(f.places, kind="stable")
+    steps = np.diff(f.places[order].astype(np.int64), prepend=0)
+    raw = [np.uint32(len(order)).astype("<u4").tobytes(), f.hashes[order].astype("<u4").tobytes(), np.minimum(steps, 255).astype(np.uint8).tobytes(), steps[steps >= 255].astype("<u4").tobytes()]
+    return base64.b64encode(b"".join(raw)).decode()
 
 
 def parsed(text: str) -> Sketch:
-    return Sketch(int(text[:2], 16), np.frombuffer(bytes.fromhex(text[2:]), ">u4").astype(np.uint32).reshape(-1, 2))
+    raw = base64.b64decode(text)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    hashes, steps = np.frombuffer(raw, "<u4", n, 4).astype(np.uint32), np.frombuffer(raw, np.uint8, n, 4 + 4 * n).astype(np.int64)
+    steps[steps == 255] = np.frombuffer(raw, "<u4", -1, 4 + 5 * n)
+    order = np.argsort(hashes)
+    return Sketch(hashes[order], np.cumsum(steps).astype(np.uint32)[order])
 
 
 def in_order(places: list[int]) -> int:
@@ -115,13 +118,12 @@ def in_order(places: list[int]) -> int:
 
 
 def likeness(a: Sketch, b: Sketch) -> float:
-    """Twice the anchors that both have in the same order, over the sum of both's anchors, under the lower bound."""
-    halved = max(a.halved, b.halved)
-    x, y = a.under(halved), b.under(halved)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
-    return 2 * in_order(y[j[np.argsort(x[i, 1])], 1].tolist()) / (len(x) + len(y))
+    """Twice the anchors that both have in the same order, over the sum of both's anchors."""
+    total = len(a.hashes) + len(b.hashes)
+    if not total:
+        return 1.0
+    _, i, j = np.intersect1d(a.hashes, b.hashes, assume_unique=True, return_indices=True)
+    return 2 * in_order(b.places[j[np.argsort(a.places[i], kind="stable")]].tolist()) / total
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, pieces: int) -> DataFrame:
