@@ -8,7 +8,7 @@ comes first (least document id, then line number), so that no content is lost, a
 Cases: lines are compared after trimming white space, blank lines stay; a null text stays null, an empty one empty; a
 null site counts as one site of its own; the last line needs no line end; repeated rows are each treated alike, and rows
 with equal id and text all keep a line that comes first in one of them; an empty table gives an empty result. Other
-columns are carried along as they are.
+columns are carried along as they are, but for those named ``n_lines`` and ``n_removed``, which give way to the result's.
 """
 
 from __future__ import annotations
@@ -51,18 +51,21 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site
     the numbers of the lines to be removed. Which side of a join is small, the planner sees from the tables' bytes;
     where none is, it splits a line that is on every page.
     """
-    key = {"__id": F.col(f"`{id_col}`"), "__h": F.xxhash64(F.col(f"`{text_col}`"))}
-    site = F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\x00"))
-    placed = docs.select(site.alias("site"), key["__id"].alias("id"), key["__h"].alias("text_h"), F.posexplode(F.transform(lines_of(F.col(f"`{text_col}`")), key_of)).alias("pos", "h"))
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of the table's can clash
+    own_id, text, site = (F.col(f"c{names.index(c)}") for c in (id_col, text_col, site_col))
+    docs = docs.withColumn("text_h", F.xxhash64(text))
+    placed = docs.select(F.coalesce(site.cast("string"), F.lit("\x00")).alias("site"), own_id.alias("id"), "text_h", F.posexplode(F.transform(lines_of(text), key_of)).alias("pos", "h"))
     placed = written(placed.where("h is not null"))
     bad = boilerplate(placed.select("site", "h"), min_sites)
     hits = written(placed.drop("site").join(bad, "h"))
     order = F.struct("id", "pos", "text_h")
     firsts = written(hits.groupBy("h").agg(F.min(order).alias("first")))
-    gone = hits.join(firsts, "h").where(~order.eqNullSafe(F.col("first"))).groupBy("id", "text_h").agg(F.collect_set("pos").alias("__gone"))
-    own = docs.withColumns(key)
-    met = own.join(gone, own["__id"].eqNullSafe(gone["id"]) & own["__h"].eqNullSafe(gone["text_h"]), "left")
-    lines = lines_of(F.col(f"`{text_col}`"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    cleaned = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    return met.select(*[cleaned.alias(c) if c == text_col else own[f"`{c}`"] for c in docs.columns], F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).alias("n_lines"), F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).alias("n_removed"))
+    gone = hits.join(firsts, "h").where(~order.eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("gone_id"), F.col("text_h").alias("gone_h")).agg(F.collect_set("pos").alias("gone"))
+    met = docs.join(gone, own_id.eqNullSafe(F.col("gone_id")) & F.col("text_h").eqNullSafe(F.col("gone_h")), "left")
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))  # noqa: E731  by hashing, linear in the lines
+    kept = F.transform(F.array(lines_of(text)), lambda lines: F.array_join(F.transform(left(lines), lambda i: lines[i]), "\n"))[0]
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    number = lambda xs: F.greatest(F.coalesce(F.size(xs), F.lit(0)), F.lit(0))
+    columns = [(cleaned if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names) if c.lower() not in ("n_lines", "n_removed")]
+    return met.select(*columns, number(lines_of(text)).alias("n_lines"), number(F.col("gone")).alias("n_removed"))
