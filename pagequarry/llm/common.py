@@ -43,11 +43,14 @@ def written(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def written_by(df: DataFrame, key: str) -> DataFrame:
-    """As ``written``, in as many buckets by ``key`` as a shuffle has partitions, so that a join on it need not move these rows again."""
+    """As ``written``, in as many buckets by ``key`` as a shuffle has partitions, so that a join on it need not move these rows again. The catalog knows the table only until it has been resolved here; its files stay."""
     spark, name = df.sparkSession, f"by_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    made = spark.table(name)
+    made.schema  # resolved now
+    spark.sql(f"drop table {name}")
+    return made
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
