@@ -216,6 +216,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_near_duplicates_with_null_ids(spark):
+    """A class whose least id is null is one class, named null; one of it stays."""
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, base, "en", "s", 0), (5, base, "en", "s", 0), (7, base, "en", "s", 0), (8, base + " ", "en", "s", 0), (9, "something else that no other row has said here", "en", "s", 0), (None, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    got = near_duplicates.join(df).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["representative"], r["n_links"]) for r in got if r["n_links"]), key=repr) == sorted([(i, None, None, 3) for i in (None, 5, 7, 8)], key=repr)
+    assert [(r["class_id"], r["n_links"]) for r in got if r["doc_id"] == 9] == [(9, 0)] and len(got) == 7
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_duplicates.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(None, base), (9, rows[4][1]), (None, ""), (None, None)], key=repr)
+
+
 def test_shortening_ends_at_the_recall():
     d = near_duplicates.shortest(0.8, 0.999)
     assert near_duplicates.meets(0.8, d) >= 0.999 > near_duplicates.meets(0.8, d + 1)
@@ -386,23 +398,41 @@ def test_fingerprint_edits_against_brute_force(spark):
         if len(t) > 400:
             assert r["near_edited"] > 0.5
     back = fingerprints.parsed(got[0]["fingerprint"])
-    assert fingerprints.printed(back) == got[0]["fingerprint"] and back.rows.shape[1] == 2
+    assert fingerprints.printed(back) == got[0]["fingerprint"]
+    again = fingerprints.sketch(texts[0])
+    assert back.hashes.tolist() == again.hashes.tolist() and back.places.tolist() == again.places.tolist()
 
 
-def test_fingerprints_grow_with_the_text():
+def test_fingerprints_hold_all_anchors():
     rnd = random.Random(14)
-    for n, halved in ((0, 0), (127, 0), (128, 1), (511, 1), (512, 2), (2047, 2), (2048, 3), (1 << 19, 7)):
-        assert fingerprints.halvings(n) == halved, n
     text = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(40_000))
-    sizes = [len(fingerprints.sketch(text[:n]).rows) for n in (1000, 2500, 10_000, 40_000)]
-    assert all(1.1 * a < b < 2.7 * a for a, b in zip(sizes, sizes[1:], strict=False))
-    full = lambda t: set(fingerprints.anchors(t)[0].tolist())
-    for n in (1500, 6000, 40_000):  # the sketch's likeness against that of all anchors
+    for n in (0, 5, 30, 1500, 6000, 40_000):
         t = text[:n]
-        edited = t[: n // 3] + "an insertion of some eighty characters, which moves all that stands behind it " + t[n // 3 : n - n // 5] + text[-(n // 5) :][::-1]
-        a, b = full(t), full(edited)
-        want = 2 * len(a & b) / (len(a) + len(b))
-        assert fingerprints.likeness(fingerprints.sketch(t), fingerprints.sketch(edited)) == pytest.approx(want, abs=0.12)
+        f = fingerprints.sketch(t)
+        assert set(f.hashes.tolist()) == set(fingerprints.anchors(t)[0].tolist())
+        back = fingerprints.parsed(fingerprints.printed(f))
+        assert back.hashes.tolist() == f.hashes.tolist() and back.places.tolist() == f.places.tolist()
+    long_gap = text[:500] + "x" * 3000 + text[500:900]  # one character over and over has one anchor
+    f = fingerprints.sketch(long_gap)
+    assert fingerprints.parsed(fingerprints.printed(f)).places.tolist() == f.places.tolist()
+    n, tail = 6000, 1200  # an insertion costs the anchors that it breaks, a changed end those of the end
+    t = text[:n]
+    inserted = t[:2000] + "an insertion of some characters " + t[2000:]
+    assert fingerprints.likeness(fingerprints.sketch(t), fingerprints.sketch(inserted)) > 0.98
+    changed = t[: n - tail] + text[n : n + tail]
+    assert fingerprints.likeness(fingerprints.sketch(t), fingerprints.sketch(changed)) == pytest.approx(1 - tail / n, abs=0.03)
+
+
+def test_short_texts_are_like_equal_ones_only(spark):
+    rnd = random.Random(15)
+    texts = ["The harbour lay still here", "Money is never a problem!!", "", "a"] + ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(1, 45))) for _ in range(150)]
+    sketches = [fingerprints.sketch(t) for t in texts]
+    printed = [fingerprints.printed(f) for f in sketches]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert (printed[i] == printed[j]) == (texts[i] == texts[j])
+        assert fingerprints.likeness(sketches[i], sketches[j]) == float(texts[i] == texts[j])
+    got = fingerprints.fingerprint_edits(docs_of(spark, texts[:3] + texts[:1]), pieces=2).orderBy("doc_id").collect()
+    assert [r["near_next"] for r in got] == [0.0, 0.0, 0.0, 1.0]
 
 
 def test_anchors_in_order_against_brute_force():
@@ -485,10 +515,17 @@ def test_batches(spark):
         assert sorted(m["place"] for m in members) == list(range(len(members)))
 
 
-def test_length_grid(spark):
-    rows = [(n,) for n in [*range(1000, 1100), 2047, 2048, 2049, 10**6 + 1, 10**9 + 7]]
-    for n, g in spark.createDataFrame(rows, "n long").select("n", packing.grid(F.col("n"))).collect():
-        assert n <= g <= n * 1.002 + 1 and (n > packing.EXACT or g == n)
+def test_boundaries_of_many_lengths_against_the_quadratic_program():
+    rnd = random.Random(18)
+    for size, k in ((1, 3), (7, 8), (300, 5), (600, 8)):
+        xs = sorted(rnd.sample(range(100_000), size))
+        ns = [rnd.randint(1, 1000) for _ in xs]
+        docs, tokens = np.cumsum([0, *ns]), np.cumsum([0, *[x * n for x, n in zip(xs, ns, strict=True)]])
+        best = np.array([0.0] + [np.inf] * size)
+        for _ in range(k):
+            best = np.array([0.0] + [min(best[i] + xs[j - 1] * (docs[j] - docs[i]) - (tokens[j] - tokens[i]) for i in range(j)) for j in range(1, size + 1)])
+        ends = packing.boundaries(xs, ns, k)
+        assert sum(n * (min(e for e in ends if e >= x) - x) for x, n in zip(xs, ns, strict=True)) == best[-1] and len(ends) <= k
 
 
 # LM scores
@@ -530,6 +567,12 @@ def test_lm_query_backs_off_from_trigrams(spark, tmp_path):
     assert got[4] == pytest.approx(np.log10(2 / 12 * lm_score.ALPHA * 2 / 4), abs=1e-4)
 
 
+def test_lm_scores_leave_no_catalog_table(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert lm_score.score(docs_of(spark, ["a b c", "a b d"])).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_lm_hashes_survive_packing():
     x = np.unique(np.random.default_rng(3).integers(0, np.iinfo(np.uint64).max, 5000, np.uint64))
     for part in (x, x[:1], x[:0], np.array([1, (1 << 64) - 1], np.uint64)):
@@ -579,6 +622,23 @@ def test_line_dedup_against_brute_force(spark):
 # Language identification
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(i, f"own {i}\nShared\n\nShared", "en", f"site{i}", 0) for i in range(12)] + [(None, "Shared\nnew", None, None, 0), (20, None, None, None, 0)]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(f"own {c}") for c in ("n_lines", "N_removed", "gone", "gone_id", "gone_h", "text_h", "h", "id", "pos", "site", "c0", "c1", "__id", "__h", "first")})
+    got = {r["doc_id"]: r for r in line_dedup.remove(df).collect()}
+    assert len(got) == 14 and got[3]["gone"] == "own gone" and got[3]["c1"] == "own c1"
+    assert (got[3]["text"], got[3]["n_lines"], got[3]["n_removed"]) == ("own 3\n", 4, 2) and got[None]["n_lines"] == 2
+    assert (got[20]["text"], got[20]["n_lines"], got[20]["n_removed"]) == (None, 0, 0)
+    assert sum(r["text"].count("Shared") for r in got.values() if r["text"]) == 1
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    lines = [f"line {i}" for i in range(60_000)]
+    df = spark.createDataFrame([(i, "\n".join(lines), "en", f"site{i}", 0) for i in range(11)], DOC)
+    got = {r["doc_id"]: r for r in line_dedup.remove(df).collect()}
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 60_000 and got[i]["text"] == "" for i in range(1, 11))
+
+
 def test_codes_keep_their_distance():
     for n in (2, 3, 4, 5, 9):
         m = language_id.code_matrix(n)
