@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +21,18 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: Columns that were built for the running Spark context, by name.
+BUILT: dict[tuple, object] = {}
+
+
+def once(name: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` makes, built once for a Spark context: columns of names alone serve any table, and large ones take seconds to put together."""
+    key = (id(SparkContext._active_spark_context), *name)
+    if key not in BUILT:
+        BUILT[key] = build()
+    return BUILT[key]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often the body names it."""
     return F.transform(F.array(value), body)[0]

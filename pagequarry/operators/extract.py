@@ -231,26 +231,42 @@ def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     )
 
 
-def ladder(candidates: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """For each page the best candidate of its extractors: (rule_id, is_specific, prefer, ord, authors, abstract).
+def rung_of(c: Column) -> Column:
+    """The rung of a candidate (rule_id, is_specific, prefer, authors, abstract): specific with affiliations; specific and preferred with authors; any other with affiliations; specific with authors or abstract; the generic one with either; null for none."""
+    affs, some = F.exists(c["authors"], lambda a: F.size(a["affiliations"]) > 0), F.size(c["authors"]) > 0
+    content = some | (F.coalesce(c["abstract"], F.lit("")) != "")
+    return F.when(c["is_specific"] & affs, 1).when(c["is_specific"] & c["prefer"] & some, 2).when(~c["is_specific"] & affs, 3).when(c["is_specific"] & content, 4).when((c["rule_id"] == "generic") & content, 5)
 
-    Rungs: specific with affiliations; specific and preferred with authors; any other with affiliations; specific with authors
-    or abstract; the generic one with either. Within a rung the order of the rules decides. Authors and abstract stay together.
-    """
-    affs = F.exists("authors", lambda a: F.size(a["affiliations"]) > 0)
-    some = F.size("authors") > 0
-    content = some | (F.coalesce(F.col("abstract"), F.lit("")) != "")
-    rung = F.when(F.col("is_specific") & affs, 1).when(F.col("is_specific") & F.col("prefer") & some, 2).when(~F.col("is_specific") & affs, 3).when(F.col("is_specific") & content, 4).when((F.col("rule_id") == "generic") & content, 5)
+
+def best_of(candidates: Column, before: Column | None = None) -> Column:
+    """(rung, ord, rule_id, authors, abstract) of the best among a page's candidates and what was best ``before``; within a rung the order of the rules decides. Null without one."""
+    ranked = lambda c: F.struct(rung_of(c).alias("rung"), c["ord"].alias("ord"), c["rule_id"].alias("rule_id"), c["authors"].alias("authors"), c["abstract"].alias("abstract"))
+    found = F.filter(F.transform(candidates, ranked), lambda c: c["rung"].isNotNull())
+    found = found if before is None else F.concat(F.filter(F.array(before), lambda c: c.isNotNull()), found)
+    return F.array_min(found)
+
+
+def ladder(candidates: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """For each page the best candidate of its extractors, given as rows: (rule_id, is_specific, prefer, ord, authors, abstract), see ``rung_of``. Authors and abstract stay together."""
+    rung = rung_of({c: F.col(c) for c in ("rule_id", "is_specific", "prefer", "authors", "abstract")})
     return candidates.withColumn("rung", rung).where("rung is not null").groupBy(id_col).agg(F.min_by(F.struct("rule_id", "rung", "authors", "abstract"), F.struct("rung", "ord")).alias("best")).select(id_col, "best.*")
 
 
+def answers(page: H.Page, rules: Iterable[tuple[str, str, str]]) -> Column:
+    """The names of the rules (rule_id, signal, needle) that a scanned page answers to, in order. Signals: canonical, og_url, journal, publisher (any case), site (case kept), title (any case)."""
+    rules = list(rules)
+    signals = {"canonical": H.link_href(page, "canonical"), "og_url": H.meta(page, "og:url"), "journal": F.lower(H.meta(page, "citation_journal_title")), "publisher": F.lower(H.meta(page, "citation_publisher")), "site": H.meta(page, "og:site_name"), "title": F.lower(H.title(page))}
+    named = F.struct(*[signals[n].alias(n) for n in dict.fromkeys(r[1] for r in rules)])
+    hit = lambda s, signal, needle: s[signal].contains(needle.lower() if signal in ("journal", "publisher", "title") else needle)
+    return X.let(named, lambda s: F.array_distinct(F.filter(F.array(*[F.when(hit(s, signal, needle), F.lit(rule)) for rule, signal, needle in rules]), lambda x: x.isNotNull())))
+
+
 def dispatch(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Which rules (rule_id, signal, needle) a page answers to: (``id_col``, ``rule_id``, ``ord``). Signals: canonical, og_url, journal, publisher (any case), site (case kept)."""
+    """Which rules a page answers to, in rows: (``id_col``, ``rule_id``, ``ord``)."""
+    rules = list(rules)
     pages, page = H.scanned(pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")), html_col)
-    signals = {"canonical": H.link_href(page, "canonical"), "og_url": H.meta(page, "og:url"), "journal": F.lower(H.meta(page, "citation_journal_title")), "publisher": F.lower(H.meta(page, "citation_publisher")), "site": H.meta(page, "og:site_name")}
-    rows = pages.select(F.col(f"`{id_col}`"), *[c.alias(f"__{n}") for n, c in signals.items()])
-    hits = [F.when(F.col(f"__{signal}").contains(needle.lower() if signal in ("journal", "publisher") else needle), F.struct(F.lit(i).alias("ord"), F.lit(rule).alias("rule_id"))) for i, (rule, signal, needle) in enumerate(rules)]
-    return rows.select(id_col, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r")).groupBy(id_col, "r.rule_id").agg(F.min("r.ord").alias("ord"))
+    places = F.array(*[F.lit(r[0]) for r in rules])
+    return pages.select(F.col(f"`{id_col}`"), F.explode(answers(page, rules)).alias("rule_id")).withColumn("ord", F.array_position(places, F.col("rule_id")) - 1)
 
 
 def by_css(table: DataFrame, author: str, name: str = "", affiliation: str = "", corresponding: str = "", id_col: str = "page_id") -> DataFrame:

@@ -1,20 +1,18 @@
 """Extractor families as rule rows: which pages a rule answers to, and which elements hold authors, names, affiliations, marks and abstract.
 
-One engine reads all rules: pages are matched to rules by their signals, the elements of those pages are joined with the
-rules' selectors (a small table, broadcast), and what lies inside an author's element becomes the author's. The best
-candidate of a page is chosen by the ladder together with the generic meta fold.
+One engine reads all rules: pages are matched to rules by their signals, the selectors of all rules mark the elements of those
+pages in one pass, and what lies inside an author's element becomes the author's. The best candidate of a page is
+chosen by the ladder, stage after stage, together with the generic meta fold.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
-from . import dom, extract, people, publishers
+from . import dom, extract, people, publishers, selectors
 
 # --- fixed values: (rule, signal, needle, author, name, affiliation, corresponding, abstract); an empty selector is not used ---
 FAMILIES = [
@@ -63,54 +61,6 @@ FAMILIES = [
     ("wiley", "og_url", "onlinelibrary.wiley.com", "span.accordion__closed", "p.author-name", "div.author-affiliation", "a[href*=mailto]", "section[class*=abstract]"),
     ("world_scientific", "og_url", "worldscientific.com", "div.accordion-tabbed__tab-mobile", "a", "div.author-info", "div.bottom-info", "div.abstractInFull"),
 ]
-ROLES = ["author", "name", "affiliation", "corresponding", "abstract"]
-
-
-def parsed(selector: str) -> tuple[str, str, str, str, str, str] | None:
-    """(tag, id, class, attribute, operator, value) of one simple selector."""
-    m = re.fullmatch(r"([a-zA-Z][\w]*)?(?:#([\w-]+))?(?:\.([\w-]+))?(?:\[([\w-]+)(?:([*^]?=)([^\]]+))?\])?", selector)
-    return tuple(x or "" for x in m.groups()) if m and selector else None
-
-
-def selector_table(spark: SparkSession, families: list[tuple] = FAMILIES) -> DataFrame:
-    rows = [(f[0], role, *p) for f in families for role, s in zip(ROLES, f[3:], strict=True) if (p := parsed(s))]
-    return spark.createDataFrame(rows, "rule_id string, role string, s_tag string, s_id string, s_class string, s_attr string, s_op string, s_value string")
-
-
-def fits() -> Column:
-    """Whether a node row fits the selector row beside it."""
-    attr = F.try_element_at("attrs", F.col("s_attr"))
-    value = F.when(F.col("s_op") == "=", attr == F.col("s_value")).when(F.col("s_op") == "*=", attr.contains(F.col("s_value"))).when(F.col("s_op") == "^=", attr.startswith(F.col("s_value"))).otherwise(attr.isNotNull())
-    classes = F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+")
-    return (
-        ((F.col("s_tag") == "") | (F.col("tag") == F.col("s_tag"))) & ((F.col("s_id") == "") | F.coalesce(F.try_element_at("attrs", F.lit("id")) == F.col("s_id"), F.lit(False)))
-        & ((F.col("s_class") == "") | F.array_contains(classes, F.col("s_class"))) & ((F.col("s_attr") == "") | F.coalesce(value, F.lit(False)))
-    )
-
-
-def candidates(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", families: list[tuple] = FAMILIES) -> DataFrame:
-    """What each rule that a page answers to finds: (``id_col``, rule_id, is_specific, prefer, ord, authors, abstract). Pages without a rule are not parsed."""
-    met = extract.dispatch(pages, [f[:3] for f in families], id_col, html_col)
-    found = dom.nodes(pages.join(met.select(id_col).distinct(), id_col, "left_semi"), id_col, html_col)
-    marked = found.join(met, id_col).join(F.broadcast(selector_table(pages.sparkSession, families)), "rule_id").where(fits()).select(id_col, "rule_id", "ord", "role", "id", "pre", "post")
-    inner = found.select(F.col(id_col).alias("__p"), F.col("pre").alias("__at"), "text").where("text <> ''")
-    whole = marked.join(inner, (F.col(id_col) == F.col("__p")) & F.col("__at").between(F.col("pre"), F.col("post")))
-    told = whole.groupBy(id_col, "rule_id", "ord", "role", "id", "pre", "post").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "text"))), lambda x: x["text"]), " ").alias("t"))
-    people = told.where("role = 'author'").select(id_col, "rule_id", F.col("id").alias("a"), F.col("pre").alias("a_pre"), F.col("post").alias("a_post"), F.col("t").alias("whole"))
-    parts = told.where("role not in ('author', 'abstract')").select(id_col, "rule_id", "role", F.col("id").alias("part"), F.col("pre").alias("p_pre"), "t")
-    own = people.join(parts, [id_col, "rule_id"], "left").withColumn("inside", F.coalesce(F.col("p_pre").between(F.col("a_pre"), F.col("a_post")), F.lit(False)))
-    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("inside") & (F.col("role") == role), F.struct("part", "t")))), lambda x: X.squeezed(x["t"]))
-    rows = own.groupBy(id_col, "rule_id", "a").agg(F.first("whole").alias("whole"), of("name").alias("names"), of("affiliation").alias("affs"), of("corresponding").alias("marks"))
-    name = F.trim(F.regexp_replace(F.coalesce(F.try_element_at("names", F.lit(1)), F.col("whole")), r"[\s\d,;*†‡§]+$", ""))
-    one = F.struct("a", F.struct(name.alias("name"), F.array_distinct("affs").alias("affiliations"), F.when(F.size("marks") > 0, True).alias("is_corresponding")).alias("author"))
-    authors = rows.where(name != "").groupBy(id_col, "rule_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["author"]).alias("authors"))
-    abstracts = told.where("role = 'abstract'").groupBy(id_col, "rule_id").agg(F.max_by("t", F.length("t")).alias("abstract"))
-    none = F.array().cast(f"array<{extract.AUTHOR}>")
-    return met.join(authors, [id_col, "rule_id"], "left").join(abstracts, [id_col, "rule_id"], "left").select(
-        id_col, "rule_id", F.lit(True).alias("is_specific"), (F.col("rule_id") == "cup").alias("prefer"), F.col("ord").cast("int").alias("ord"), F.coalesce("authors", none).alias("authors"), X.strip_abstract_label(F.col("abstract")).alias("abstract")
-    )
-
-
 # --- fixed values: families whose authors carry the ids of their affiliations: (rule, signal, needle, author, ids inside it, affiliation, label inside that) ---
 ID_FAMILIES = [
     ("mdpi_ids", "og_url", "mdpi.com", "span.inlineblock", "sup", "div.affiliation", "sup"),
@@ -125,58 +75,111 @@ ID_FAMILIES = [
 ]
 
 
-def by_ids(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", families: list[tuple] = ID_FAMILIES) -> DataFrame:
-    """Candidates of the families whose authors name their affiliations by ids: labels such as ``1`` or ``a`` in small raised text.
+LISTED = ["author", "author/name", "author/affiliation", "author/corresponding", "abstract"]
+LABELLED = ["author", "author/-ids", "affiliation", "affiliation/-label"]
+
+
+def roles_of(families: list[tuple], roles: list[str]) -> dict[str, dict[str, str]]:
+    """Rules as the automaton reads them: the selectors of each rule by role."""
+    return {f[0]: {role: selector for role, selector in zip(roles, f[3:], strict=True) if selector} for f in families}
+
+
+def role(marks: Column, name: str) -> Column:
+    return F.filter(marks, lambda m: m["role"] == name)
+
+
+def part_texts(mark: Column, name: str) -> Column:
+    return F.transform(role(mark["parts"], name), lambda x: X.squeezed(x["text"]))
+
+
+def listed_authors(marks: Column) -> Column:
+    """Authors of a rule that lists them: the name is the first name part or the whole text, without what is raised behind it."""
+
+    def one(m: Column) -> Column:
+        name = F.trim(F.regexp_replace(F.coalesce(F.try_element_at(part_texts(m, "name"), F.lit(1)), m["text"]), r"[\s\d,;*†‡§]+$", ""))
+        return people.author(name, F.array_distinct(part_texts(m, "affiliation")), F.when(F.size(role(m["parts"], "corresponding")) > 0, True))
+
+    return F.filter(F.transform(role(marks, "author"), one), lambda a: a["name"] != "")
+
+
+def longest_abstract(marks: Column) -> Column:
+    texts = F.transform(role(marks, "abstract"), lambda m: F.struct(F.length(m["text"]).alias("n"), m["text"].alias("t")))
+    return X.strip_abstract_label(F.array_max(texts)["t"])
+
+
+def labelled_authors(marks: Column) -> Column:
+    """Authors that name their affiliations by ids: labels such as ``1`` or ``a`` in small raised text.
 
     Ids are cut at commas and spaces; a star among them marks a corresponding author. An author without ids gets the
     affiliations without a label, and a single affiliation goes to all.
     """
-    roles = ["author", "ids", "affiliation", "label"]
-    met = extract.dispatch(pages, [f[:3] for f in families], id_col, html_col)
-    found = dom.nodes(pages.join(met.select(id_col).distinct(), id_col, "left_semi"), id_col, html_col)
-    rows = [(f[0], role, *p) for f in families for role, s in zip(roles, f[3:], strict=True) if (p := parsed(s))]
-    table = pages.sparkSession.createDataFrame(rows, "rule_id string, role string, s_tag string, s_id string, s_class string, s_attr string, s_op string, s_value string")
-    marked = found.join(met, id_col).join(F.broadcast(table), "rule_id").where(fits())
-    outer = marked.where("role in ('author', 'affiliation')").select(id_col, "rule_id", "ord", "role", "id", "pre", "post")
-    raised = marked.where("role in ('ids', 'label')").select(F.col(id_col).alias("__p"), F.col("rule_id").alias("__r"), F.col("role").alias("__role"), F.col("pre").alias("s_pre"), F.col("post").alias("s_post"), F.col("text").alias("s_text"))
-    inner = found.select(F.col(id_col).alias("__q"), F.col("pre").alias("t_pre"), "text").where("text <> ''")
-    whole = outer.join(inner, (F.col(id_col) == F.col("__q")) & F.col("t_pre").between(F.col("pre"), F.col("post")))
-    labels = outer.join(raised, (F.col(id_col) == F.col("__p")) & (F.col("rule_id") == F.col("__r")) & (F.col("s_pre") > F.col("pre")) & (F.col("s_pre") <= F.col("post")) & (F.col("__role") == F.when(F.col("role") == "author", "ids").otherwise("label")))
-    inside = labels.select(id_col, "rule_id", "id", "s_pre", "s_post", "s_text")
-    own = whole.join(inside.select(id_col, "rule_id", "id", "s_pre", "s_post"), [id_col, "rule_id", "id"], "left").withColumn("raised", F.coalesce(F.col("t_pre").between(F.col("s_pre"), F.col("s_post")), F.lit(False)))
-    own = own.groupBy(id_col, "rule_id", "ord", "role", "id", "t_pre", "text").agg(F.bool_or("raised").alias("raised")).where("not raised")
-    told = own.groupBy(id_col, "rule_id", "ord", "role", "id").agg(X.squeezed(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_pre", "text"))), lambda x: x["text"]), " ")).alias("t"))
-    keys = inside.groupBy(id_col, "rule_id", "id").agg(F.array_join(F.sort_array(F.collect_list("s_text")), ",").alias("k"))
-    both = told.join(keys, [id_col, "rule_id", "id"], "left")
-    ids = F.filter(F.split(F.regexp_replace(F.coalesce("k", F.lit("")), r"[^A-Za-z0-9,\s]", ""), r"[,\s]+"), lambda x: x != "")
-    person = F.struct(F.trim(F.regexp_replace("t", r"[\s,;*†‡§]+$", "")).alias("name"), ids.alias("aff_ids"), F.when(F.coalesce("k", F.lit("")).contains("*"), True).alias("is_corresponding"))
-    place = F.struct(F.trim(F.regexp_replace("t", r"^[\s,;]+", "")).alias("organization"), F.try_element_at(ids, F.lit(1)).alias("aff_id"))
-    listed = lambda role, what: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("id", what.alias("v"))))), lambda x: x["v"])
-    lists = both.groupBy(id_col, "rule_id", "ord").agg(listed("author", person).alias("people"), listed("affiliation", place).alias("places"))
-    return lists.select(id_col, "rule_id", F.lit(True).alias("is_specific"), F.lit(False).alias("prefer"), F.col("ord").cast("int").alias("ord"), extract.join_affiliations(F.col("people"), F.col("places")).alias("authors"), F.lit(None).cast("string").alias("abstract"))
+    raised = lambda m, what: F.array_join(F.transform(role(m["parts"], what), lambda x: x["own"]), ",")
+    ids = lambda k: F.filter(F.split(F.regexp_replace(k, r"[^A-Za-z0-9,\s]", ""), r"[,\s]+"), lambda x: x != "")
+    person = lambda m: X.let(raised(m, "ids"), lambda k: F.struct(F.trim(F.regexp_replace(X.squeezed(m["rest"]), r"[\s,;*†‡§]+$", "")).alias("name"), ids(k).alias("aff_ids"), F.when(k.contains("*"), True).alias("is_corresponding")))
+    place = lambda m: F.struct(F.trim(F.regexp_replace(X.squeezed(m["rest"]), r"^[\s,;]+", "")).alias("organization"), F.try_element_at(ids(raised(m, "label")), F.lit(1)).alias("aff_id"))
+    lists = F.struct(F.transform(role(marks, "author"), person).alias("people"), F.transform(role(marks, "affiliation"), place).alias("places"))
+    return X.let(lists, lambda x: extract.join_affiliations(x["people"], x["places"]))
+
+
+def candidate(rule: Column, ord_: Column, authors: Column, abstract: Column, specific: bool = True) -> Column:
+    return F.struct(rule.alias("rule_id"), F.lit(specific).alias("is_specific"), (rule == "cup").alias("prefer"), ord_.cast("int").alias("ord"), authors.cast(f"array<{extract.AUTHOR}>").alias("authors"), abstract.alias("abstract"))
 
 
 def generic(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The generic candidate: meta fold, else the people of LD-JSON; abstract from the metas."""
     pages, html = H.scanned(pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")), html_col)
+    return pages.select(F.col(f"`{id_col}`"), generic_candidate(html).alias("c")).select(id_col, "c.*")
+
+
+def generic_candidate(html: H.Page) -> Column:
     folded = X.let(extract.fold_metas(html), lambda a: F.when(F.size(a) > 0, a).otherwise(ld_authors(html)))
-    return pages.select(F.col(f"`{id_col}`"), F.lit("generic").alias("rule_id"), F.lit(False).alias("is_specific"), F.lit(False).alias("prefer"), F.lit(1000).alias("ord"), folded.alias("authors"), extract.abstract_of(html).alias("abstract"))
+    return candidate(F.lit("generic"), F.lit(1000), folded, extract.abstract_of(html), False)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", families: list[tuple] = FAMILIES, id_families: list[tuple] = ID_FAMILIES) -> DataFrame:
     """The chosen candidate of each page that has one: (``id_col``, rule_id, rung, authors, abstract).
 
-    Authors of a generic candidate are marked as corresponding where a block of the page, or a star and its note, says so.
+    All happens beside the page, stage after stage, without a shuffle: a page that answers to rules is parsed once for all
+    of them; the extractors of single publishers come before the lists of the same publisher. Only a page that these give no
+    author with an affiliation (or a preferred author) is read by the generic extractor; and only where that one wins, and
+    the page has words or stars that may mark its authors, is the page parsed for them.
     """
-    named = by_ids(pages, id_col, html_col).withColumn("ord", F.col("ord") - 1000)  # before the lists of the same publisher
-    plain = generic(pages, id_col, html_col)
-    own = publishers.candidates(pages, id_col, html_col)  # before these, as they know more of the same pages
-    best = extract.ladder(own.unionByName(named).unionByName(candidates(pages, id_col, html_col)).unionByName(plain), id_col)
-    authors = plain.select(id_col, "authors")
-    names = people.corresponding_blocks(pages, authors, id_col, html_col).unionAll(people.starred_authors(pages, authors, id_col, html_col)).distinct()
-    told = best.withColumn("__plain", F.col("rule_id") == "generic").join(names.groupBy(id_col).agg(F.collect_set("name").alias("__who")), id_col, "left")
+    single = publishers.RULES
+    signals = [f[:3] for f in [*single, *id_families, *families]]
+    rules = publishers.SELECTORS | roles_of(id_families, LABELLED) | roles_of(families, LISTED)
+    rows, page = H.scanned(pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")), html_col)
+    built = X.once(("families", html_col, repr(signals)), lambda: expressions(page, signals, {f[0] for f in single}, {f[0] for f in id_families}))
+    rows = selectors.with_marks(rows.withColumn("__rules", built["rules"]), rules, "__rules", html_col, "__found")
+    rows = dom.with_elements(rows.withColumn("__parsed", built["parsed"]), "__parsed", "__els")
+    rows = publishers.with_candidates(rows, page, html_col).withColumn("__candidates", built["candidates"])
+    rows = rows.withColumn("__best", built["best"]).select(id_col, html_col, "__metas", "__links", "__best").withColumns(built["left"]).withColumn("__best", built["better"])
+    rows = dom.with_elements(rows.withColumn("__marked", built["unsure"]), "__marked", "__els").withColumn("__who", built["who"])
+    return rows.where("__best is not null").select(id_col, "__best.rule_id", "__best.rung", built["authors"].alias("authors"), "__best.abstract")
+
+
+def expressions(page: H.Page, signals: list[tuple[str, str, str]], single: set[str], labelled: set[str]) -> dict[str, object]:
+    """The columns of ``extract_pages``, by stage."""
+    names = F.array(*[F.lit(s[0]) for s in signals])
+    at = lambda rule: F.array_position(names, rule)
+    by_label = lambda f: f["rule_id"].isin(*labelled)
+    plain = F.transform(F.filter("__found", lambda f: ~f["rule_id"].isin(*single)), lambda f: candidate(f["rule_id"], at(f["rule_id"]), F.when(by_label(f), labelled_authors(f["marks"])).otherwise(listed_authors(f["marks"])), F.when(~by_label(f), longest_abstract(f["marks"]))))
+    own = F.transform("__own", lambda f: candidate(f["rule_id"], at(f["rule_id"]), f["c"]["authors"], f["c"]["abstract"]))
+    settled = F.coalesce(F.col("__best.rung") <= 2, F.lit(False))
+    left = H.Page(F.col("__left"), F.col("__left_metas"), F.col("__left_links"))
+    best = F.col("__best")
     mark = lambda a: people.with_parts(a, mark=F.when(F.array_contains("__who", a["name"]), True).otherwise(F.coalesce(a["is_corresponding"], F.lit(False))))
-    return told.withColumn("authors", F.when(F.col("__plain") & F.col("__who").isNotNull(), F.transform("authors", mark)).otherwise(F.col("authors"))).drop("__plain", "__who")
+    who = F.array_distinct(F.concat(people.named_by_blocks(F.col("__els"), best["authors"]), people.named_by_stars(F.col("__els"), best["authors"])))
+    return {
+        "rules": extract.answers(page, signals),
+        "parsed": F.when(publishers.reads_elements(F.col("__rules")), page.html),
+        "candidates": F.concat(own, plain),
+        "best": extract.best_of(F.col("__candidates")),
+        "left": {"__left": F.when(~settled, page.html), "__left_metas": F.when(~settled, page.metas), "__left_links": F.when(~settled, page.links)},
+        "better": F.when(settled, best).otherwise(extract.best_of(F.array(generic_candidate(left)), best)),
+        "unsure": F.when((best["rule_id"] == "generic") & (F.size(best["authors"]) > 0) & people.may_mark(F.col("__left")), F.col("__left")),
+        "who": F.when(F.col("__els").isNotNull(), who),
+        "authors": F.when(F.size("__who") > 0, F.transform(best["authors"], mark)).otherwise(best["authors"]),
+    }
 
 
 def ld_authors(html: Column) -> Column:

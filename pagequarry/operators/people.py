@@ -6,6 +6,8 @@ Column functions of such arrays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,9 +113,8 @@ def by_initials(authors: Column, prose: Column) -> Column:
     return F.transform(authors, lambda a: with_parts(a, F.array_distinct(F.concat(a["affiliations"], places(a)))))
 
 
-def repaired(authors: Column, short: Column, editors: Column) -> Column:
+def repaired(authors: Column, short: Column, editors: Column, key: Callable[[Column], Column] = X.normalize_key) -> Column:
     """The short list of names in place of the authors, where one is a true part of the other by keys, or where the editors' text names all authors; what the authors had goes along by key, a single shared list of affiliations to those who are new."""
-    key = lambda n: X.normalize_key(n)
     own, new = F.array_distinct(F.transform(authors, lambda a: key(a["name"]))), F.array_distinct(F.filter(F.transform(short, key), lambda k: k != ""))
     less = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) > 0)
     edited = (F.coalesce(editors, F.lit("")) != "") & F.forall(authors, lambda a: F.lower(editors).contains(F.lower(a["name"])))
@@ -159,42 +160,79 @@ def star_means(text: Column) -> Column:
     return F.regexp_like(said, F.lit(rules.STAR_MEANS)) & ~F.regexp_like(said, F.lit(rules.STAR_OTHERWISE))
 
 
-def corresponding_blocks(pages: DataFrame, authors: DataFrame, id_col: str = "page_id", html_col: str = "html", longest_block: int = 1200, above: int = 6) -> DataFrame:
-    """(``id_col``, name) of authors whom a compact block of their page calls corresponding.
+MAIL = r"(?i)[\w.+-]+@[\w.-]+\.[a-z]{2,}"
+
+
+def may_mark(html: Column) -> Column:
+    """Whether a page has words or stars that could mark its authors, so that it is worth parsing."""
+    body = H.raw(html)
+    return F.regexp_like(body, F.lit(rules.CA_BLOCK + "|corresponding-author")) | (F.regexp_like(body, F.lit("[*∗]")) & F.regexp_like(body, F.lit(rules.STAR_MEANS)))
+
+
+def whole_text(els: Column, e: Column) -> Column:
+    """An element's text with that of its descendants, which stand behind it in the page's list."""
+    inner = F.slice(els, e["pre"] + 1, e["post"] - e["pre"] + 1)
+    return F.array_join(F.filter(F.transform(inner, lambda x: x["text"]), lambda t: t != ""), " ")
+
+
+def attribute_of(e: Column, name: str) -> Column:
+    return F.coalesce(F.try_element_at(e["attrs"], F.lit(name)), F.lit(""))
+
+
+def named_by_blocks(els: Column, authors: Column, longest_block: int = 1200, above: int = 6) -> Column:
+    """The names of authors whom a compact block of their page calls corresponding.
 
     A block is an element with a marker, or one of its ``above`` elements above, of ``longest_block`` characters at most; it
     counts if it names exactly one author, or where the page has one author and the block an address. The innermost
-    counting block of each marker decides. Only pages with a marker are parsed. ``authors`` has (``id_col``, authors).
+    counting block of each marker decides. ``els`` are a page's elements in order (``dom.with_elements``).
     """
-    told = pages.where(F.regexp_like(H.raw(F.col(f"`{html_col}`")), F.lit(rules.CA_BLOCK + "|corresponding-author"))).join(authors.where(F.size("authors") > 0).select(id_col), id_col, "left_semi")
-    table = dom.nodes(told, id_col, html_col)
-    classes = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")))
-    marks = table.where((F.regexp_like("text", F.lit(rules.CA_BLOCK)) | classes.contains("corresponding-author")) & ~F.col("tag").isin("script", "style", "title")).select(F.col(id_col).alias("__p"), F.col("id").alias("mark"), F.col("pre").alias("m_pre"), F.col("post").alias("m_post"), F.col("depth").alias("m_depth"))
-    around = table.join(marks, (F.col(id_col) == F.col("__p")) & (F.col("pre") <= F.col("m_pre")) & (F.col("post") >= F.col("m_post")) & (F.col("depth") >= F.col("m_depth") - above)).drop("__p")
-    text = dom.texts(around.select(id_col, "id", "pre", "post").distinct(), table, id_col)
-    mails = table.where((F.col("tag") == "a") & F.regexp_like(F.coalesce(F.try_element_at("attrs", F.lit("href")), F.lit("")), F.lit("(?i)^mailto:[^?]"))).select(F.col(id_col).alias("e_p"), F.col("pre").alias("e_pre"))
-    blocks = around.select(id_col, "id", "pre", "post", "depth", "mark").join(text.where(F.length("full_text") <= longest_block), [id_col, "id"])
-    blocks = blocks.join(mails, (F.col(id_col) == F.col("e_p")) & F.col("e_pre").between(F.col("pre"), F.col("post")), "left").groupBy(id_col, "id", "mark", "depth", "full_text").agg(F.count("e_pre").alias("mails"))
-    named = blocks.join(authors, id_col).withColumn("who", F.filter("authors", lambda a: speaks_of(F.col("full_text"), a["name"])))
-    address = (F.col("mails") > 0) | F.regexp_like("full_text", F.lit(r"(?i)[\w.+-]+@[\w.-]+\.[a-z]{2,}"))
-    found = F.when(F.size("who") == 1, F.col("who")).when((F.size("authors") == 1) & address, F.col("authors"))
-    inner = named.withColumn("found", found).where("found is not null").groupBy(id_col, "mark").agg(F.max_by("found", "depth").alias("found"))
-    return inner.select(id_col, F.explode(F.transform("found", lambda a: a["name"])).alias("name")).distinct()
-
-
-def starred_authors(pages: DataFrame, authors: DataFrame, id_col: str = "page_id", html_col: str = "html", longest_block: int = 1200) -> DataFrame:
-    """(``id_col``, name) of authors with a star in their byline, where the star's note beside it speaks of correspondence. Only pages with a star and such words are parsed."""
-    body = H.raw(F.col(f"`{html_col}`"))
-    told = pages.where(F.regexp_like(body, F.lit("[*∗]")) & F.regexp_like(body, F.lit(rules.STAR_MEANS))).join(authors.where(F.size("authors") > 0).select(id_col), id_col, "left_semi")
-    table = dom.nodes(told, id_col, html_col)
-    value = lambda a: F.lower(F.coalesce(F.try_element_at("attrs", F.lit(a)), F.lit("")))
-    byline = F.regexp_like(F.concat_ws(" ", *[value(a) for a in ("class", "id", "role", "property", "name", "title", "aria-label")]), F.lit(r"\b(author|authors|byline|by-line|contrib|contributor|creator)\b"))
-    lines = table.where(byline & ~F.col("tag").isin("script", "style", "meta", "head", "title"))
-    parents = table.join(lines.select(F.col(id_col).alias("__p"), F.col("parent").alias("__up")).distinct(), (F.col(id_col) == F.col("__p")) & (F.col("id") == F.col("__up")), "left_semi")
-    text = dom.texts(lines.unionAll(parents).select(id_col, "id", "pre", "post").distinct(), table, id_col).where(F.length("full_text") <= longest_block)
-    both = lines.select(id_col, "id", "parent").join(text, [id_col, "id"]).join(text.select(id_col, F.col("id").alias("parent"), F.col("full_text").alias("beside")), [id_col, "parent"], "left")
-    rows = both.where(F.regexp_like("full_text", F.lit("[*∗]"))).join(authors, id_col).where(star_means(F.coalesce("beside", "full_text")))
-    return rows.select(id_col, F.explode(F.filter("authors", lambda a: starred(F.col("full_text"), a["name"]))).alias("a")).select(id_col, "a.name").distinct()
+    marker = lambda e: (F.regexp_like(e["text"], F.lit(rules.CA_BLOCK)) | F.lower(attribute_of(e, "class")).contains("corresponding-author")) & ~e["tag"].isin("script", "style", "title")
+    around = lambda m: F.filter(F.slice(els, 1, m["pre"] + 1), lambda e: (e["post"] >= m["post"]) & (e["depth"] >= m["depth"] - above))
+    mailed = lambda e: F.exists(F.slice(els, e["pre"] + 1, e["post"] - e["pre"] + 1), lambda x: (x["tag"] == "a") & F.regexp_like(attribute_of(x, "href"), F.lit("(?i)^mailto:[^?]")))
+    names = lambda xs: F.transform(xs, lambda a: a["name"])
+
+    def judged(e: Column) -> Column:
+        def by_text(t: Column) -> Column:
+            who = F.filter(authors, lambda a: speaks_of(t, a["name"]))
+            one = let(who, lambda w: F.when(F.size(w) == 1, names(w)).when((F.size(authors) == 1) & (mailed(e) | F.regexp_like(t, F.lit(MAIL))), names(authors)))
+            return F.when(F.length(t) <= longest_block, one)
+
+        return let(whole_text(els, e), by_text)
+
+    inner = lambda m: F.element_at(F.concat(F.array(none_of()), F.filter(F.transform(around(m), judged), lambda x: x.isNotNull())), -1)
+    return F.array_distinct(F.flatten(F.transform(F.filter(els, marker), inner)))
+
+
+def named_by_stars(els: Column, authors: Column, longest_block: int = 1200) -> Column:
+    """The names of authors with a star in their byline, where the star's note beside it speaks of correspondence."""
+    said = lambda e: F.lower(F.concat_ws(" ", *[attribute_of(e, a) for a in ("class", "id", "role", "property", "name", "title", "aria-label")]))
+    byline = lambda e: F.regexp_like(said(e), F.lit(r"\b(author|authors|byline|by-line|contrib|contributor|creator)\b")) & ~e["tag"].isin("script", "style", "meta", "head", "title")
+    parent = lambda e: F.try_element_at(els, e["parent"] + 1)
+
+    def read(e: Column) -> Column:
+        both = F.struct(whole_text(els, e).alias("t"), F.when(e["parent"] >= 0, whole_text(els, parent(e))).alias("up"))
+        beside = lambda x: F.when(F.length(x["up"]) <= longest_block, x["up"]).otherwise(x["t"])
+        fits = lambda x: (F.length(x["t"]) <= longest_block) & F.regexp_like(x["t"], F.lit("[*∗]")) & star_means(F.coalesce(beside(x), x["t"]))
+        return let(both, lambda x: F.when(fits(x), F.transform(F.filter(authors, lambda a: starred(x["t"], a["name"])), lambda a: a["name"])).otherwise(none_of()))
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(els, byline), read)))
+
+
+def named_on_pages(pages: DataFrame, authors: DataFrame, read: Callable[[Column, Column], Column], id_col: str, html_col: str) -> DataFrame:
+    """(``id_col``, name): ``read`` of the elements and the authors of each page that may mark some; ``authors`` has (``id_col``, authors)."""
+    told = pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")).where(may_mark(F.col(f"`{html_col}`"))).join(authors.where(F.size("authors") > 0), id_col)
+    rows = dom.with_elements(told, html_col, "__els").select(id_col, F.explode(read(F.col("__els"), F.col("authors"))).alias("name"))
+    return rows.distinct()
+
+
+def corresponding_blocks(pages: DataFrame, authors: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(``id_col``, name) of authors whom a compact block of their page calls corresponding, see ``named_by_blocks``."""
+    return named_on_pages(pages, authors, named_by_blocks, id_col, html_col)
+
+
+def starred_authors(pages: DataFrame, authors: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(``id_col``, name) of authors with a telling star, see ``named_by_stars``."""
+    return named_on_pages(pages, authors, named_by_stars, id_col, html_col)
 
 
 def marked(authors: DataFrame, names: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Extractors of publishers whose pages need more than a list of selectors: states in JSON, symbols, roles, marks that say nothing.
 
-Only pages that answer to one of these publishers are parsed, once each; a page's elements become one array, and everything
-after is a Column function of that array, so that nothing is shuffled but the elements to their page.
+Only pages that answer to one of these publishers are parsed; a page's elements, or what its rule marks among them, become one
+array, and everything after is a Column function of that array, so that nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,29 +13,38 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
-from . import dom, extract
+from . import dom, extract, selectors, springer
 from .people import author, none_of
 
 let = X.let
 
 # --- fixed values: (rule, signal, needle) of the pages; words and endings that the pages use ---
-PUBLISHERS = [("acs", "og_url", "pubs.acs.org"), ("acs", "canonical", "pubs.acs.org"), ("science_direct", "canonical", "sciencedirect.com"), ("wiley_marks", "og_url", "onlinelibrary.wiley.com"), ("wiley_marks", "site", "Wiley Online Library"), ("cup_roles", "og_url", "cambridge.org"), ("cup_roles", "canonical", "cambridge.org")]
+RULES = [*springer.RULES, ("acs", "og_url", "pubs.acs.org"), ("acs", "canonical", "pubs.acs.org"), ("science_direct", "canonical", "sciencedirect.com"), ("wiley_marks", "og_url", "onlinelibrary.wiley.com"), ("wiley_marks", "site", "Wiley Online Library"), ("cup_roles", "og_url", "cambridge.org"), ("cup_roles", "canonical", "cambridge.org")]
 SEPARATORS = r"^(?i:[\s,&]|\band\b)*$"
 SPEAKS_OF_ADDRESS = r"(?i)correspondence|corresponding author|e-mail|\bemail\s*:"
 NOTE = r"(?is)^.{0,14}correspond|^.{0,25}address reprint|author deceased|e-mail:|^contribution|^joint first authors|^†joint"
 AROUND_PLACE = r"^Authors are with |Direct inquiries.*|Fax.*"
-OTHER_ROLES = r"(?i)^\s*(?:appendix by|general editor|introduction by|preface by|translated by)"
+# contributors of chapters: (rank, whether the label says it, pattern on the label or else on the row's text)
+ROLES = [(1, True, r"^by$"), (1, False, r"^chapter by "), (3, True, r"^edited"), (3, False, r"^(?:chapter )?edited by"), (2, False, r"^(?!(?:chapter )?(?:appendix by|general editor|introduction by|preface by|translated by))")]
+EDGES = r"^[\s,]+|(?:\s+and)?[\s,]+$|\s+and$"
+MAIL_AND_REST = r"(?i)email:.*$|[\w.%+-]+@.*$"
 NO_TEXT = ["section-title", "alt-text"]
+SELECTORS = {
+    "springer_ladder": springer.SELECTORS,
+    "cup_roles": {
+        "chapter": "h1.chapter-title, li.author.chapter", "detail": "div.row.author", "detail/name": "dt", "detail/line": "div.d-sm-flex, div.d-sm-flex *", "row": "div.row.contributor-type, li.author", "row/name": "span.author-name",
+        "row/more": "a.more-by-this-author", "row/contributor": ".contributor-type__contributor", "row/affiliation": ".affiliation", "row/label": ".contributor-type__label",
+    },
+}
 NODE = "array<struct<`#name`:string,`_`:string,`$`:struct<id:string,refid:string>,`$$`:string>>"
 
 Of = Callable[[Column], Column]
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(``id_col``, els): each page's elements in order, with the attributes that the extractors look at."""
-    value = lambda a: F.coalesce(F.try_element_at("attrs", F.lit(a)), F.lit("")).alias(a)
-    one = F.struct("pre", "post", "depth", "id", "parent", "tag", F.split(F.trim(value("class")), r"\s+").alias("classes"), value("id").alias("name"), value("href"), value("title"), value("data-cfemail").alias("cfemail"), "text")
-    return dom.nodes(pages, id_col, html_col).groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("els"))
+def elements(els: Column) -> Column:
+    """A page's elements with the attributes that the extractors look at."""
+    value = lambda e, a: F.coalesce(F.try_element_at(e["attrs"], F.lit(a)), F.lit("")).alias(a)
+    return F.transform(els, lambda e: F.struct(*[e[c].alias(c) for c in ("pre", "post", "depth", "id", "parent", "tag", "classes")], value(e, "id").alias("name"), value(e, "href"), value(e, "title"), value(e, "data-cfemail").alias("cfemail"), e["text"].alias("text")))
 
 
 def is_a(tag: str = "", *classes: str) -> Of:
@@ -69,18 +78,24 @@ def first(xs: Column) -> Column:
 
 
 def owner(local: Column, name: Column) -> Column:
-    """Whether the part of an address before the @ is made of a name: the last name with the first or its initial, a long last name in front, or the initials."""
-    local = F.regexp_replace(X.normalize_alpha(local), "[^a-z0-9]+", "")
+    """Whether the part of an address before the @ is made of a name.
 
-    def made(words: Column) -> Column:
-        given, last = words[0], F.element_at(words, -1)
-        start = F.substring(given, 1, 1)
-        shape = F.concat(F.lit("^(?:(?=.*"), given, F.lit(").*"), last, F.lit(".*|"), start, last, F.lit(".*|"), last, start, F.lit(".*|"), start, F.lit(".*"), last, F.when(F.length(last) >= 5, F.concat(F.lit("|"), last, F.lit(".*"))).otherwise(""), F.lit(")$"))
-        letters = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-        return (F.size(words) > 0) & (((F.length(last) >= 3) & F.regexp_like(local, shape)) | ((F.length(letters) >= 2) & local.startswith(letters)))
+    It is if it starts with the name's initials, two at least; or holds the last name, of three letters at least, together with the given
+    name; or starts with the initial and has the last name later on; or starts with the last name, if that has five letters or the
+    initial follows it.
+    """
+
+    def made(x: Column) -> Column:
+        own, given, last, letters = x["local"], x["words"][0], F.element_at(x["words"], -1), x["letters"]
+        initial = F.substring(given, 1, 1)
+        after_initial = own.startswith(initial) & F.substring(own, 2, 1000).contains(last)
+        last_first = own.startswith(last) & ((F.length(last) >= 5) | own.startswith(F.concat(last, initial)))
+        whole = own.contains(last) & own.contains(given) & (F.size(x["words"]) > 0)
+        return ((F.length(last) >= 3) & (whole | after_initial | last_first)) | ((F.length(letters) >= 2) & own.startswith(letters))
 
     words = F.filter(F.split(F.regexp_replace(X.normalize_alpha(name), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 1)
-    return F.coalesce(let(words, lambda w: F.when(F.size(w) > 0, made(w))), F.lit(False))
+    parts = let(words, lambda w: F.struct(F.regexp_replace(X.normalize_alpha(local), "[^a-z0-9]+", "").alias("local"), w.alias("words"), F.array_join(F.transform(w, lambda one: F.substring(one, 1, 1)), "").alias("letters")))
+    return F.coalesce(let(parts, lambda x: F.when(F.size(x["words"]) > 0, made(x))), F.lit(False))
 
 
 def near_correspondence(els: Column, above: int = 4) -> Column:
@@ -238,56 +253,90 @@ def by_types(els: Column) -> Column:
     return F.coalesce(let(cards, judged), none_of(extract.AUTHOR))
 
 
-def by_roles(els: Column) -> Column:
-    """Contributors of a chapter: those it is by, else those without a role, else its editors; a name's places are its detail row's, else those of its own row."""
-    chapter = F.exists(els, lambda e: is_a("h1", "chapter-title")(e) | is_a("li", "author", "chapter")(e))
-    clean = lambda t: F.trim(F.regexp_replace(t, r"^[\s,]+|(?:\s+and)?[\s,]+$|\s+and$", ""))
-    without_mail = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)email:.*$|[\w.%+-]+@.*$", ""), r"^[., ()]+|[., ()]+$", ""))
-    strings = lambda d: F.filter(F.transform(F.filter(els, lambda e: e["pre"].between(d["pre"], d["post"]) & (e["text"] != "")), lambda e: without_mail(e["text"])), lambda t: t != "")
-    title = lambda d: clean(F.coalesce(first(texts(els, d, is_a("dt"))), F.substring_index(whole(els, d), "Affiliation:", 1)))
-    details = F.transform(F.filter(els, is_a("div", "row", "author")), lambda d: F.struct(title(d).alias("name"), F.coalesce(strings(first(under(els, d, is_a("div", "d-sm-flex")))), none_of()).alias("places")))
+def by_roles(marks: Column) -> Column:
+    """Contributors of a chapter, from what its rule marks: those of the best role that has any; a name's places are those of its detail, else of its row.
 
-    def row(known: Column) -> Of:
-        def read(e: Column) -> Column:
-            lists = [F.array_distinct(F.filter(F.transform(texts(els, e, cond), clean), lambda t: t != "")) for cond in (is_a("span", "author-name"), is_a("a", "more-by-this-author"), is_a("", "contributor-type__contributor"))]
-            names = F.when(F.size(lists[0]) > 0, lists[0]).when(F.size(lists[1]) > 0, lists[1]).otherwise(lists[2])
-            places = F.filter(F.transform(texts(els, e, is_a("", "affiliation")), clean), lambda t: t != "")
-            label, text = F.lower(F.coalesce(first(texts(els, e, is_a("", "contributor-type__label"))), F.lit(""))), F.lower(whole(els, e))
-            role = F.when((label == "by") | (F.array_contains(e["classes"], "chapter") & text.startswith("by ")), 1).when(label.startswith("edited") | text.startswith("edited by"), 3).when((label == "") & ~F.regexp_like(text, F.lit(OTHER_ROLES)), 2)
+    A row's role is the first of ``ROLES`` whose pattern its label, or without a label its text, answers to. Of a name that
+    comes twice the one with places stays.
+    """
+    tidy = lambda t: F.regexp_replace(X.squeezed(t), EDGES, "")
+    parts = lambda m, name: F.filter(m["parts"], lambda p: p["role"] == name)
+    told = lambda m, name: F.array_distinct(F.filter(F.transform(parts(m, name), lambda p: tidy(p["text"])), lambda t: t != ""))
+    of = lambda name: F.filter(marks, lambda m: m["role"] == name)
+    lines = lambda m: F.filter(F.transform(parts(m, "line"), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p["own"], MAIL_AND_REST, ""), r"^[., ()]+|[., ()]+$", ""))), lambda t: t != "")
+    details = F.transform(of("detail"), lambda m: F.struct(F.coalesce(first(told(m, "name")), tidy(F.substring_index(m["text"], "Affiliation:", 1))).alias("name"), lines(m).alias("places")))
+
+    def role_of(m: Column) -> Column:
+        label = F.lower(F.coalesce(first(told(m, "label")), F.lit("")))
+        text = F.concat(F.when(F.array_contains(F.split(F.coalesce(F.try_element_at(m["attrs"], F.lit("class")), F.lit("")), r"\s+"), "chapter"), "chapter ").otherwise(""), F.lower(X.squeezed(m["text"])))
+        answers = [F.when(F.regexp_like(label if by_label else text, F.lit(pattern)) & (F.lit(by_label) | (label == "")), rank) for rank, by_label, pattern in ROLES]
+        return F.coalesce(*answers)
+
+    def listed(known: Column) -> Of:
+        def read(m: Column) -> Column:
+            names = F.coalesce(*[let(told(m, kind), lambda ns: F.when(F.size(ns) > 0, ns)) for kind in ("name", "more", "contributor")], none_of())
+            beside = F.filter(F.transform(parts(m, "affiliation"), lambda p: tidy(p["text"])), lambda t: t != "")
 
             def people(x: Column) -> Column:
-                mine = lambda n: F.coalesce(first(F.filter(known, lambda k: (k["name"] == n) & (F.size(k["places"]) > 0)))["places"], none_of())
-                own = lambda i: F.when(F.size(x["places"]) == F.size(x["names"]), F.slice(x["places"], i + 1, F.lit(1))).when(F.size(x["names"]) == 1, x["places"]).otherwise(none_of())
-                return F.transform(x["names"], lambda n, i: author(n, let(mine(n), lambda m: F.when(F.size(m) > 0, m).otherwise(own(i))), F.lit(False)))
+                detailed = lambda n: first(F.filter(known, lambda k: (k["name"] == n) & (F.size(k["places"]) > 0)))["places"]
+                in_row = lambda i: F.when(F.size(x["names"]) == 1, x["beside"]).when(F.size(x["names"]) == F.size(x["beside"]), F.slice(x["beside"], i + 1, F.lit(1))).otherwise(none_of())
+                return F.transform(x["names"], lambda n, i: author(n, F.coalesce(detailed(n), in_row(i)), F.lit(False)))
 
-            return F.struct(role.alias("role"), let(F.struct(names.alias("names"), places.alias("places")), people).alias("people"))
+            return F.struct(role_of(m).alias("rank"), let(F.struct(names.alias("names"), beside.alias("beside")), people).alias("people"))
 
         return read
 
-    rows = let(details, lambda known: F.transform(F.filter(els, lambda e: is_a("div", "row", "contributor-type")(e) | is_a("li", "author")(e)), row(known)))
+    def best(rows: Column) -> Column:
+        some = F.filter(rows, lambda r: r["rank"].isNotNull() & (F.size(r["people"]) > 0))
+        return let(some, lambda xs: let(F.array_min(F.transform(xs, lambda r: r["rank"])), lambda top: F.flatten(F.transform(F.filter(xs, lambda r: r["rank"] == top), lambda r: r["people"]))))
 
     def once(people: Column) -> Column:
-        names = F.array_distinct(F.transform(people, lambda a: a["name"]))
         same = lambda n: F.filter(people, lambda a: a["name"] == n)
-        return F.transform(names, lambda n: let(same(n), lambda s: F.coalesce(first(F.filter(s, lambda a: F.size(a["affiliations"]) > 0)), s[0])))
-
-    def chosen(found: Column) -> Column:
-        of = lambda role: F.flatten(F.transform(F.filter(found, lambda r: r["role"] == role), lambda r: r["people"]))
-        return F.when(F.size(of(1)) > 0, of(1)).when(F.size(of(2)) > 0, of(2)).otherwise(of(3))
-
-    return F.when(chapter, let(let(rows, chosen), once)).otherwise(none_of(extract.AUTHOR))
+        return F.transform(F.array_distinct(F.transform(people, lambda a: a["name"])), lambda n: let(same(n), lambda xs: F.coalesce(first(F.filter(xs, lambda a: F.size(a["affiliations"]) > 0)), xs[0])))
+
+    rows = let(details, lambda known: F.transform(of("row"), listed(known)))
+    return F.when(F.size(of("chapter")) > 0, let(let(rows, best), once)).otherwise(none_of(extract.AUTHOR))
+
+
+def reads_elements(rules: Column) -> Column:
+    """Whether one of a page's rules reads the page's whole list of elements."""
+    return F.exists(rules, lambda r: r.isin("acs", "science_direct", "wiley_marks"))
+
+
+def steps(page: H.Page) -> list[dict[str, Column]]:
+    """Columns to be added one after another to scanned rows with ``__rules``, ``__found`` and ``__els``; the last adds ``__own``: what the extractors of single publishers find, an array of (rule_id, authors, abstract). Nested in one another the expressions would be too deep to analyse."""
+    kind = f"struct<authors:array<{extract.AUTHOR}>,abstract:string>"
+    answers = lambda rule: F.array_contains("__rules", rule)
+    marked = lambda rule: F.when(answers(rule), F.try_element_at(F.filter("__found", lambda f: f["rule_id"] == rule), F.lit(1))["marks"])
+    pair = lambda authors, abstract: F.struct(F.coalesce(authors, none_of(extract.AUTHOR)).alias("authors"), abstract.alias("abstract")).cast(kind)
+    nothing, own = F.lit(None).cast("string"), F.col("__elements")
+    shown, stated = listed_or_stated(own, page)
+    box = F.coalesce(X.strip_abstract_label(box_abstract(own)), extract.abstract_of(page))
+    plain = {
+        "__acs": F.when(answers("acs"), by_symbols(own)), "__acs_abstract": F.when(answers("acs"), box), "__wiley": F.when(answers("wiley_marks"), by_types(own)), "__cup": F.when(answers("cup_roles"), by_roles(F.col("__cup_marks"))),
+        "__science": F.when(answers("science_direct"), shown), "__science_abstract": F.when(answers("science_direct"), stated),
+    }
+    found = {
+        "springer_ladder": (F.col("__ladder.authors"), F.col("__ladder.abstract")), "acs": (F.col("__acs"), F.col("__acs_abstract")), "science_direct": (F.col("__science"), F.col("__science_abstract")),
+        "wiley_marks": (F.col("__wiley"), nothing), "cup_roles": (F.col("__cup"), nothing),
+    }
+    one = [F.when(answers(rule), F.struct(F.lit(rule).alias("rule_id"), pair(*both).alias("c"))) for rule, both in found.items()]
+    ladder = springer.steps(F.col("__ladder_marks"), page)
+    return [{"__ladder_marks": marked("springer_ladder"), "__cup_marks": marked("cup_roles"), "__elements": elements(F.col("__els"))}, ladder[0] | plain, *ladder[1:], {"__own": F.filter(F.array(*one), lambda x: x.isNotNull())}]
+
+
+def with_candidates(rows: DataFrame, page: H.Page, html_col: str) -> DataFrame:
+    """``rows`` with ``__own``, see ``steps``."""
+    columns = rows.columns
+    for step in X.once(("publishers", html_col), lambda: steps(page)):
+        rows = rows.withColumns(step)
+    return rows.select(*columns, "__own")
 
 
 def candidates(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """What these extractors find: (``id_col``, rule_id, is_specific, prefer, ord, authors, abstract); before the plain lists of the same publisher.
-
-    A null, empty or other page has no row; one of these publishers' without authors has an empty list.
-    """
-    met = extract.dispatch(pages, PUBLISHERS, id_col, html_col).groupBy(id_col).agg(F.min_by("rule_id", "ord").alias("rule_id"), F.min("ord").alias("ord"))
-    own = pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`").alias("__html")).join(met, id_col)
-    rows, page = H.scanned(own.join(elements(own.select(id_col, "__html"), id_col, "__html"), id_col), "__html")
-    els, rule = F.col("els"), F.col("rule_id")
-    both = listed_or_stated(els, page)
-    authors = F.when(rule == "acs", by_symbols(els)).when(rule == "science_direct", both[0]).when(rule == "wiley_marks", by_types(els)).when(rule == "cup_roles", by_roles(els))
-    abstract = F.when(rule == "acs", F.coalesce(X.strip_abstract_label(box_abstract(els)), extract.abstract_of(page))).when(rule == "science_direct", both[1])
-    return rows.select(id_col, "rule_id", F.lit(True).alias("is_specific"), F.lit(False).alias("prefer"), (F.col("ord") - 2000).cast("int").alias("ord"), F.coalesce(authors.cast(f"array<{extract.AUTHOR}>"), none_of(extract.AUTHOR)).alias("authors"), abstract.alias("abstract"))
+    """What these extractors find: (``id_col``, rule_id, authors, abstract). A null, empty or other page has no row; one of these publishers' without authors has an empty list."""
+    rows, page = H.scanned(pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")), html_col)
+    rows = rows.withColumn("__rules", extract.answers(page, RULES)).where(F.size("__rules") > 0)
+    rows = with_candidates(dom.with_elements(selectors.with_marks(rows, SELECTORS, "__rules", html_col, "__found"), html_col, "__els"), page, html_col)
+    # not explode, whose filter on the array the optimiser would push through all steps, writing them out again and again
+    return rows.select(id_col, F.explode_outer("__own").alias("f")).where("f is not null").select(id_col, "f.rule_id", "f.c.authors", "f.c.abstract")
