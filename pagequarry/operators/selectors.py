@@ -194,7 +194,7 @@ class Marker(dom.Tree):
         for at in self.hits:
             while open_ and self.rows[open_[-1][0]][3] < at:
                 open_.pop()
-            row, found = self.rows[at], list(self.automaton.marked(self.states[at][0]))
+            row, found = self.rows[at], list(dict.fromkeys(self.automaton.marked(self.states[at][0])))  # alternatives of one selector count once
             for rule, role in found:
                 if "/" in role:
                     continue
