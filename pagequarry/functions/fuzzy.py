@@ -29,6 +29,36 @@ def indel(a: str, b: str) -> float:
     return 100.0 * 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance, by bit-parallel columns: a few big-integer steps for each character of the shorter text.
+
+    The bits of ``up`` and ``down`` tell where the distances of a column rise or fall by one from a row to the next.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for ch in b:
+        hit = masks.get(ch, 0)
+        level = ((((hit & up) + up) ^ up) | hit | down) & full
+        right_up, right_down = (down | (full & ~(level | up))), up & level
+        distance += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        fixed = hit | down
+        up, down = (right_down | (full & ~(fixed | right_up))), right_up & fixed
+    return distance
+
+
+def edited(a: str, b: str) -> float:
+    """1 - distance / longer length; 1 for two empty texts."""
+    return 1 - edits(a, b) / max(len(a), len(b)) if a or b else 1.0
+
+
 def token_set(a: str, b: str) -> float:
     """Indel ratio of the shared words against each side's words, whichever agrees best; 0 if a side has no word."""
     x, y = set(a.split()), set(b.split())
@@ -48,6 +78,11 @@ def indel_batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([indel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def edit_batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([edited(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def token_set_batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([token_set(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
@@ -58,6 +93,11 @@ def indel_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(indel_batches, "double")(a, b)
 
 
+def edit_ratio(a: Column | str, b: Column | str) -> Column:
+    """``levenshtein_ratio`` for long texts; null counts as empty."""
+    return F.pandas_udf(edit_batches, "double")(a, b)
+
+
 def token_set_ratio(a: Column | str, b: Column | str) -> Column:
     """Token-set ratio of two texts, 0 to 100; null counts as empty."""
     return F.pandas_udf(token_set_batches, "double")(a, b)

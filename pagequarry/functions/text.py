@@ -217,3 +217,52 @@ def first_last(c: Column) -> Column:
     """'Last, First' turned to 'First Last'; other names with single spaces."""
     parts = F.split(squeezed(c), r"\s*,\s*")
     return F.when(F.size(parts) == 2, F.concat_ws(" ", parts[1], parts[0])).otherwise(squeezed(c))
+
+
+# --- fixed values: the characters of code page 1252 at 0x80 to 0x9F (five places are empty) ---
+CODE_PAGE = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
+#: A run of characters that, as bytes, are whole UTF-8 characters beyond ASCII; and what rarely stands in a text unless by a wrong decoding.
+WRONG_RUN = r"((?:[\u00C2-\u00DF][\u0080-\u00BF]|[\u00E0-\u00EF][\u0080-\u00BF]{2}|[\u00F0-\u00F4][\u0080-\u00BF]{3})+)"
+UNLIKELY = r"[\u0080-\u009F\uFFFD]|[\u00C2-\u00F4][\u0080-\u00BF]"
+ROUNDS = 3
+
+
+def as_bytes(c: Column) -> Column:
+    """The characters of code page 1252 put at their bytes' numbers."""
+    return F.translate(c, "".join(CODE_PAGE.values()), "".join(map(chr, CODE_PAGE)))
+
+
+def as_characters(c: Column) -> Column:
+    return F.translate(c, "".join(map(chr, CODE_PAGE)), "".join(CODE_PAGE.values()))
+
+
+def decoded_again(c: Column) -> Column:
+    """One round trip: runs that are UTF-8 read as code page 1252 (or Latin 1) are read as UTF-8; all else stays."""
+    def parts(raw: Column) -> Column:
+        cut = F.split(F.regexp_replace(raw, WRONG_RUN, "\u0000\u0001$1\u0000"), "\u0000")
+        read = lambda p: F.try_validate_utf8(F.encode(F.substring(p, 2, F.length(p)), "ISO-8859-1").cast("string"))
+        return F.array_join(F.transform(cut, lambda p: F.when(p.startswith("\u0001"), F.coalesce(read(p), as_characters(F.substring(p, 2, F.length(p))))).otherwise(as_characters(p))), "")
+
+    return let(as_bytes(F.translate(c, "\u0000\u0001", "")), parts)
+
+
+def unlikely(c: Column) -> Column:
+    """How many characters a wrong decoding would explain."""
+    return F.regexp_count(as_bytes(c), F.lit(UNLIKELY))
+
+
+def repaired(c: Column) -> Column:
+    """A wrongly decoded text as it was meant: of the text after no, one, two or ``ROUNDS`` round trips, the first with the fewest unlikely characters.
+
+    Text without such a run stays as it is, as does null. The two control characters that mark places here (U+0000, U+0001) go where a round trip is made.
+    """
+    def chosen(text: Column) -> Column:
+        tries = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.array(text), lambda done, _: F.concat(done, F.array(decoded_again(F.element_at(done, -1)))))
+        return F.array_min(F.transform(tries, lambda t, i: F.struct(unlikely(t).alias("n"), i.alias("i"), t.alias("t"))))["t"]
+
+    return F.when(F.regexp_like(as_bytes(c), F.lit(WRONG_RUN)), let(c, chosen)).otherwise(c)
+
+
+def stripped_message(c: Column) -> Column:
+    """A message without what surrounds it: repaired, then without line ends, spaces and semicolons at both ends."""
+    return F.regexp_replace(repaired(c), r"^[\r\n ;]+|[\r\n ;]+$", "")

@@ -470,7 +470,7 @@ def word_runs(words: F.Column, n: F.Column | int) -> F.Column:
 
 
 def alike_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, p, q): whole texts of documents and items that begin alike or share a run of words anywhere; texts shorter than a run are looked for as a whole.
+    """(doc_id, item_id, p, q): whole texts of documents and items that share a run of words anywhere; texts shorter than a run are looked for as a whole.
 
     Words are letters and digits of any script, ideographs and kana one by one. A row is known by its id and its text's hash, so repeated rows stay.
     """
@@ -485,18 +485,18 @@ def alike_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     of_doc = text.let(words("p"), lambda ws: F.struct(word_runs(ws, RUN).alias("full"), F.concat(F.array().cast("array<bigint>"), *[word_runs(ws, n) for n in short]).alias("item"), whole(ws).alias("doc")))
     of_item = text.let(words("q"), lambda ws: F.struct(word_runs(ws, RUN).alias("full"), whole(ws).alias("item"), F.concat(*[word_runs(ws, n) for n in range(1, RUN)]).alias("doc")))
     runs_of = lambda df, made, *keys: df.select(*keys, made.alias("r")).select(*keys, tagged([(k, F.col(f"r.{k}")) for k in ("full", "item", "doc")]).alias("g")).select(*keys, "g.kind", "g.h")
-    begins = lambda df, c, *keys: df.select(*keys, F.lower(F.substring(c, 1, 4)).alias("k"))
-    met = runs_of(d, of_doc, "doc_id", "dh").join(runs_of(b, of_item, "item_id", "bh").distinct(), ["kind", "h"]).select("doc_id", "dh", "item_id", "bh")
-    pairs = met.union(begins(d, "p", "doc_id", "dh").join(begins(b, "q", "item_id", "bh"), "k").select("doc_id", "dh", "item_id", "bh")).distinct().alias("x")
+    wanted = runs_of(b, of_item, "item_id", "bh").distinct()
+    met = runs_of(d, of_doc, "doc_id", "dh").join(broadcast_if_small(wanted), ["kind", "h"]).select("doc_id", "dh", "item_id", "bh")
+    pairs = met.distinct().alias("x")
     with_docs = pairs.join(d.alias("d"), F.expr("x.dh = d.dh and x.doc_id <=> d.doc_id")).select("x.doc_id", "x.item_id", "x.bh", "p").alias("y")
     return with_docs.join(b.alias("b"), F.expr("y.bh = b.bh and y.item_id <=> b.item_id")).select("y.doc_id", "y.item_id", "p", "q")
 
 
 @query()
 def fuzzy_ratios(spark, sf_dir):
-    """Indel, token-set and Levenshtein ratios of whole documents and benchmark items that begin alike or share a run of words."""
+    """Indel, token-set and Levenshtein ratios, over the characters of whole texts, of documents and benchmark items that share a run of words."""
     pairs = alike_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    ratios = F.round(fuzzy.indel_ratio("p", "q"), 4).alias("indel"), F.round(fuzzy.token_set_ratio("p", "q"), 4).alias("token_set"), F.round(fuzzy.levenshtein_ratio(F.col("p"), F.col("q")), 6).alias("levenshtein")
+    ratios = F.round(fuzzy.indel_ratio("p", "q"), 4).alias("indel"), F.round(fuzzy.token_set_ratio("p", "q"), 4).alias("token_set"), F.round(fuzzy.edit_ratio("p", "q"), 6).alias("levenshtein")
     return pairs.select("doc_id", "item_id", *ratios)
 
 

@@ -35,7 +35,7 @@ def test_fuzzy_ratios_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(tuple(r) for r in engine.fuzzy_ratios(spark, str(tmp_path)).select("doc_id", "item_id", "indel", "token_set", "levenshtein").collect())
-    pairs = [(0, 0), (9, 0), (1, 0), (1, 4), (2, 1), (3, 2), (4, 3), (5, 4)]
+    pairs = [(0, 0), (9, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]  # texts that share no run of words, only their first letters, aren't compared
     want = []
     for d, b in pairs:
         p, q = docs[d][1], items[b][1]
