@@ -240,11 +240,11 @@ def kpi_milestone(spark, sf_dir):
     return reports.milestone(k, "at", ["orders", "price"]).withColumn("change", F.round("change", 2))
 
 
-@query("select c_custkey::varchar as doi, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select doc_id::varchar as doi, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def gold_bootstrap(spark, sf_dir):
-    """Configured rows that gold hasn't yet."""
-    config = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doi"), "c_mktsegment")
-    return reports.bootstrap(config, table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doi")))
+    """Configured documents that the labels don't have yet."""
+    config = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doi"), "source")
+    return reports.bootstrap(config, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doi")))
 
 
 @query("""with g as (select distinct s.source, f.lang from (select distinct source from documents) s, (select distinct lang from documents) f)
