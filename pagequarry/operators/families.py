@@ -7,6 +7,9 @@ chosen by the ladder, stage after stage, together with the generic meta fold.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +124,18 @@ def labelled_authors(marks: Column) -> Column:
     return X.let(lists, lambda x: extract.join_affiliations(x["people"], x["places"]))
 
 
+@dataclass(frozen=True)
+class Extractor:
+    """An extractor of one's own: the pages that it answers to (see ``extract.answers``), what is marked on them (see ``selectors``), and Column functions of these marks that give the authors and the abstract."""
+
+    rule_id: str
+    signal: str
+    needle: str
+    selectors: Mapping[str, str]
+    authors: Callable[[Column], Column]
+    abstract: Callable[[Column], Column] | None = None
+
+
 def candidate(rule: Column, ord_: Column, authors: Column, abstract: Column, specific: bool = True) -> Column:
     return F.struct(rule.alias("rule_id"), F.lit(specific).alias("is_specific"), (rule == "cup").alias("prefer"), ord_.cast("int").alias("ord"), authors.cast(f"array<{extract.AUTHOR}>").alias("authors"), abstract.alias("abstract"))
 
@@ -136,19 +151,25 @@ def generic_candidate(html: H.Page) -> Column:
     return candidate(F.lit("generic"), F.lit(1000), folded, extract.abstract_of(html), False)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", families: list[tuple] = FAMILIES, id_families: list[tuple] = ID_FAMILIES) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", families: list[tuple] = FAMILIES, id_families: list[tuple] = ID_FAMILIES, extractors: Sequence[Extractor] = ()) -> DataFrame:
     """The chosen candidate of each page that has one: (``id_col``, rule_id, rung, authors, abstract).
 
     All happens beside the page, stage after stage, without a shuffle: a page that answers to rules is parsed once for all
     of them; the extractors of single publishers come before the lists of the same publisher. Only a page that these give no
     author with an affiliation (or a preferred author) is read by the generic extractor; and only where that one wins, and
-    the page has words or stars that may mark its authors, is the page parsed for them.
+    the page has words or stars that may mark its authors, is the page parsed for them. ``extractors`` are registered for this
+    call and come before all others of their rung.
     """
     single = publishers.RULES
-    signals = [f[:3] for f in [*single, *id_families, *families]]
+    signals = [*[(e.rule_id, e.signal, e.needle) for e in extractors], *[f[:3] for f in [*single, *id_families, *families]]]
     rules = publishers.SELECTORS | roles_of(id_families, LABELLED) | roles_of(families, LISTED)
+    taken = [e.rule_id for e in extractors if e.rule_id in rules or e.rule_id in {f[0] for f in single} | {"generic"}]
+    if taken or len({e.rule_id for e in extractors}) < len(extractors):
+        raise ValueError(f"extractors need names of their own: {taken}")
+    rules |= {e.rule_id: dict(e.selectors) for e in extractors}
     rows, page = H.scanned(pages.select(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")), html_col)
-    built = X.once(("families", html_col, repr(signals)), lambda: expressions(page, signals, {f[0] for f in single}, {f[0] for f in id_families}))
+    make = lambda: expressions(page, signals, {f[0] for f in single}, {f[0] for f in id_families}, extractors)
+    built = make() if extractors else X.once(("families", html_col, repr(signals)), make)
     rows = selectors.with_marks(rows.withColumn("__rules", built["rules"]), rules, "__rules", html_col, "__found")
     rows = dom.with_elements(rows.withColumn("__parsed", built["parsed"]), "__parsed", "__els")
     rows = publishers.with_candidates(rows, page, html_col).withColumn("__candidates", built["candidates"])
@@ -157,12 +178,16 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return rows.where("__best is not null").select(id_col, "__best.rule_id", "__best.rung", built["authors"].alias("authors"), "__best.abstract")
 
 
-def expressions(page: H.Page, signals: list[tuple[str, str, str]], single: set[str], labelled: set[str]) -> dict[str, object]:
+def expressions(page: H.Page, signals: list[tuple[str, str, str]], single: set[str], labelled: set[str], extractors: Sequence[Extractor] = ()) -> dict[str, object]:
     """The columns of ``extract_pages``, by stage."""
     names = F.array(*[F.lit(s[0]) for s in signals])
     at = lambda rule: F.array_position(names, rule)
     by_label = lambda f: f["rule_id"].isin(*labelled)
-    plain = F.transform(F.filter("__found", lambda f: ~f["rule_id"].isin(*single)), lambda f: candidate(f["rule_id"], at(f["rule_id"]), F.when(by_label(f), labelled_authors(f["marks"])).otherwise(listed_authors(f["marks"])), F.when(~by_label(f), longest_abstract(f["marks"]))))
+    authors, abstract = lambda f: F.when(by_label(f), labelled_authors(f["marks"])).otherwise(listed_authors(f["marks"])), lambda f: F.when(~by_label(f), longest_abstract(f["marks"]))
+    for e in extractors:
+        authors = lambda f, e=e, rest=authors: F.when(f["rule_id"] == e.rule_id, e.authors(f["marks"]).cast(f"array<{extract.AUTHOR}>")).otherwise(rest(f).cast(f"array<{extract.AUTHOR}>"))
+        abstract = lambda f, e=e, rest=abstract: F.when(f["rule_id"] == e.rule_id, e.abstract(f["marks"]) if e.abstract else F.lit(None).cast("string")).otherwise(rest(f))
+    plain = F.transform(F.filter("__found", lambda f: ~f["rule_id"].isin(*single)), lambda f: candidate(f["rule_id"], at(f["rule_id"]), F.coalesce(authors(f), people.none_of(extract.AUTHOR)), abstract(f)))
     own = F.transform("__own", lambda f: candidate(f["rule_id"], at(f["rule_id"]), f["c"]["authors"], f["c"]["abstract"]))
     settled = F.coalesce(F.col("__best.rung") <= 2, F.lit(False))
     left = H.Page(F.col("__left"), F.col("__left_metas"), F.col("__left_links"))

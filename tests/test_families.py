@@ -80,3 +80,23 @@ def test_generic_authors_are_marked_by_their_page(spark):
     rows = [(1, f"<html><head>{metas}</head><body><div><p>Corresponding author: Bob Ray</p></div></body></html>"), (2, f"<html><head>{metas}</head><body><p>text</p></body></html>")]
     got = {r["page_id"]: [a["is_corresponding"] for a in r["authors"]] for r in families.extract_pages(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert got == {1: [False, True], 2: [None, None]}
+
+
+def test_an_extractor_registered_for_a_call(spark):
+    """Its gate, its marks, its functions; it comes before the lists, null and nobody included."""
+    import pytest
+
+    from pagequarry.operators import people
+
+    upper = families.Extractor(
+        "own", "og_url", "own.org", {"who": "p.by", "who/place": "i", "text": "div.sum"},
+        lambda marks: F.transform(families.role(marks, "who"), lambda m: people.author(F.upper(m["own"]), families.part_texts(m, "place"), F.lit(None).cast("boolean"))),
+        lambda marks: F.try_element_at(families.role(marks, "text"), F.lit(1))["text"],
+    )
+    page = '<meta property="og:url" content="https://{}/1"><p class="by">ann <i>Inst A</i></p><div class="sum">All.</div><div class="author-tooltip-1"><span class="author-tooltip-name">Bo</span><div class="author-affiliation">B</div></div>'
+    df = pages(spark, ("", page.format("own.org")), ("", page.format("pnas.org")), ("", page.format("own.org/pnas.org")), ("", '<meta property="og:url" content="https://own.org/2">'), ("", None))
+    got = {r["page_id"]: (r["rule_id"], [(a["name"], a["affiliations"]) for a in r["authors"]], r["abstract"]) for r in families.extract_pages(df, extractors=[upper]).collect()}
+    assert got == {0: ("own", [("ANN", ["Inst A"])], "All."), 1: ("nas", [("Bo", ["B"])], None), 2: ("own", [("ANN", ["Inst A"])], "All.")}
+    for name in ("nas", "acs", "generic"):
+        with pytest.raises(ValueError):
+            families.extract_pages(df, extractors=[families.Extractor(name, "og_url", "x", {}, lambda m: m)])
