@@ -87,9 +87,9 @@ def names_within(name: Column, text: Column) -> Column:
     return let(F.split(X.normalize_alpha(text), " "), lambda own: (F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(own, w)))
 
 
-def own_affiliations(authors: Column, notes: Column) -> Column:
-    """Authors with the notes that name them; a note that names someone goes from all whom it doesn't name."""
-    named = F.transform(notes, lambda n: F.struct(n.alias("note"), F.transform(F.filter(authors, lambda a: names_within(a["name"], n)), lambda a: a["name"]).alias("who")))
+def own_affiliations(authors: Column, notes: Column, within: Callable[[Column, Column], Column] = names_within) -> Column:
+    """Authors with the notes that name them, as ``within`` tells of a name and a text; a note that names someone goes from all whom it doesn't name."""
+    named = F.transform(notes, lambda n: F.struct(n.alias("note"), F.transform(F.filter(authors, lambda a: within(a["name"], n)), lambda a: a["name"]).alias("who")))
     telling = F.filter(named, lambda n: F.size(n["who"]) > 0)
     mine = lambda a: F.transform(F.filter(telling, lambda n: F.array_contains(n["who"], a["name"])), lambda n: n["note"])
     rest = lambda a: F.filter(a["affiliations"], lambda x: ~F.exists(telling, lambda n: n["note"] == x))

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
-from . import dom, extract, selectors, springer
+from . import dom, extract, folds, selectors, springer
 from .people import author, none_of
 
 let = X.let
 
 # --- fixed values: (rule, signal, needle) of the pages; words and endings that the pages use ---
-RULES = [*springer.RULES, ("acs", "og_url", "pubs.acs.org"), ("acs", "canonical", "pubs.acs.org"), ("science_direct", "canonical", "sciencedirect.com"), ("wiley_marks", "og_url", "onlinelibrary.wiley.com"), ("wiley_marks", "site", "Wiley Online Library"), ("cup_roles", "og_url", "cambridge.org"), ("cup_roles", "canonical", "cambridge.org")]
+RULES = [*springer.RULES, *folds.RULES, ("acs", "og_url", "pubs.acs.org"), ("acs", "canonical", "pubs.acs.org"), ("science_direct", "canonical", "sciencedirect.com"), ("wiley_marks", "og_url", "onlinelibrary.wiley.com"), ("wiley_marks", "site", "Wiley Online Library"), ("cup_roles", "og_url", "cambridge.org"), ("cup_roles", "canonical", "cambridge.org")]
 SEPARATORS = r"^(?i:[\s,&]|\band\b)*$"
 SPEAKS_OF_ADDRESS = r"(?i)correspondence|corresponding author|e-mail|\bemail\s*:"
 NOTE = r"(?is)^.{0,14}correspond|^.{0,25}address reprint|author deceased|e-mail:|^contribution|^joint first authors|^†joint"
@@ -30,7 +30,7 @@ EDGES = r"^[\s,]+|(?:\s+and)?[\s,]+$|\s+and$"
 MAIL_AND_REST = r"(?i)email:.*$|[\w.%+-]+@.*$"
 NO_TEXT = ["section-title", "alt-text"]
 SELECTORS = {
-    "springer_ladder": springer.SELECTORS,
+    "springer_ladder": springer.SELECTORS, **folds.SELECTORS,
     "cup_roles": {
         "chapter": "h1.chapter-title, li.author.chapter", "detail": "div.row.author", "detail/name": "dt", "detail/line": "div.d-sm-flex, div.d-sm-flex *", "row": "div.row.contributor-type, li.author", "row/name": "span.author-name",
         "row/more": "a.more-by-this-author", "row/contributor": ".contributor-type__contributor", "row/affiliation": ".affiliation", "row/label": ".contributor-type__label",
@@ -318,11 +318,14 @@ def steps(page: H.Page) -> list[dict[str, Column]]:
     }
     found = {
         "springer_ladder": (F.col("__ladder.authors"), F.col("__ladder.abstract")), "acs": (F.col("__acs"), F.col("__acs_abstract")), "science_direct": (F.col("__science"), F.col("__science_abstract")),
-        "wiley_marks": (F.col("__wiley"), nothing), "cup_roles": (F.col("__cup"), nothing),
+        "wiley_marks": (F.col("__wiley"), nothing), "cup_roles": (F.col("__cup"), nothing), **{rule: (F.col(f"__{rule}_authors"), F.col(f"__{rule}_abstract")) for rule in folds.SELECTORS},
     }
     one = [F.when(answers(rule), F.struct(F.lit(rule).alias("rule_id"), pair(*both).alias("c"))) for rule, both in found.items()]
     ladder = springer.steps(F.col("__ladder_marks"), page)
-    return [{"__ladder_marks": marked("springer_ladder"), "__cup_marks": marked("cup_roles"), "__elements": elements(F.col("__els"))}, ladder[0] | plain, *ladder[1:], {"__own": F.filter(F.array(*one), lambda x: x.isNotNull())}]
+    lists = folds.columns(lambda rule: F.col(f"__{rule}_marks"), page)
+    walked = {f"__{rule}_{name}": F.when(answers(rule), c) for rule, both in lists.items() for name, c in zip(("authors", "abstract"), both, strict=True)}
+    by_rule = {f"__{rule}_marks": marked(rule) for rule in lists}
+    return [{"__ladder_marks": marked("springer_ladder"), "__cup_marks": marked("cup_roles"), "__elements": elements(F.col("__els"))} | by_rule, ladder[0] | plain | walked, *ladder[1:], {"__own": F.filter(F.array(*one), lambda x: x.isNotNull())}]
 
 
 def with_candidates(rows: DataFrame, page: H.Page, html_col: str) -> DataFrame:

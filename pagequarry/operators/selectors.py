@@ -1,7 +1,7 @@
 """Selectors of all rules, compiled into one automaton that marks a page's elements in the single pass that parses it.
 
 A rule names roles and the selector of each: ``author`` for elements of their own, ``author/name`` for parts inside an
-author, ``author/-ids`` for parts whose text is cut from the author's. Selectors are lists (``a, b``) of steps joined by descent
+author, ``author/-ids`` for parts whose text is cut from the author's, ``+list`` for elements whose child nodes, elements and texts, come along. Selectors are lists (``a, b``) of steps joined by descent
 (a space), ``>``, ``+`` or ``~``; a step has a tag, ids, classes, and attributes compared by ``=``, ``*=``, ``^=``, ``$=``, ``~=`` or, as a
 pattern found anywhere in the value, ``/=``.
 
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from . import dom
 
 PART = "struct<role:string,pre:int,tag:string,text:string,own:string,attrs:map<string,string>>"
-MARK = f"struct<role:string,pre:int,post:int,depth:int,tag:string,text:string,rest:string,own:string,attrs:map<string,string>,parts:array<{PART}>>"
+NODE = "struct<pre:int,post:int,tag:string,classes:array<string>,text:string>"
+MARK = f"struct<role:string,pre:int,post:int,depth:int,tag:string,text:string,rest:string,own:string,attrs:map<string,string>,parts:array<{PART}>,nodes:array<{NODE}>>"
 STRING, INT, ATTRS = pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())
 PART_TYPE = pa.struct([("role", STRING), ("pre", INT), ("tag", STRING), ("text", STRING), ("own", STRING), ("attrs", ATTRS)])
-MARK_TYPE = pa.struct([("role", STRING), ("pre", INT), ("post", INT), ("depth", INT), ("tag", STRING), ("text", STRING), ("rest", STRING), ("own", STRING), ("attrs", ATTRS), ("parts", pa.list_(PART_TYPE))])
+NODE_TYPE = pa.struct([("pre", INT), ("post", INT), ("tag", STRING), ("classes", pa.list_(STRING)), ("text", STRING)])
+MARK_TYPE = pa.struct([("role", STRING), ("pre", INT), ("post", INT), ("depth", INT), ("tag", STRING), ("text", STRING), ("rest", STRING), ("own", STRING), ("attrs", ATTRS), ("parts", pa.list_(PART_TYPE)), ("nodes", pa.list_(NODE_TYPE))])
 #: Elements whose content is not text of the page.
 UNSEEN = {"script", "style", "template"}
 STEP = re.compile(r"""\s*([>+~])\s*|(\s+)|(\*|[a-zA-Z][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([*^$~/]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]""")
@@ -187,6 +189,22 @@ class Marker(dom.Tree):
             lo = max(lo, b)
         return " ".join(out + self.pieces[lo:hi])
 
+    def nodes(self, at: int) -> list[dict]:
+        """The element's children in order, each with its whole text; a text between them has no tag."""
+        out, lo, child, (_, end) = [], self.spans[at][0], at + 1, self.spans[at]
+
+        def said(until: int) -> None:
+            out.extend({"pre": -1, "post": -1, "tag": "", "classes": [], "text": text} for text in self.pieces[lo:until])
+
+        while child <= self.rows[at][3]:
+            row = self.rows[child]
+            said(self.spans[child][0])
+            lo = self.spans[child][1]
+            out.append({"pre": child, "post": row[3], "tag": row[5], "classes": dict(row[6]).get("class", "").split(), "text": self.text(child)})
+            child = row[3] + 1
+        said(end)
+        return out
+
     def marks(self) -> dict[str, list[dict]]:
         """The marked elements of each rule, in order, with their marked parts; each inner element goes to all open ones that have a role for it."""
         out: dict[str, list[dict]] = {}
@@ -198,7 +216,7 @@ class Marker(dom.Tree):
             for rule, role in found:
                 if "/" in role:
                     continue
-                mark = {"role": role, "pre": at, "post": row[3], "depth": row[4], "tag": row[5], "own": " ".join(row[7]), "attrs": row[6], "parts": [], "cut": []}
+                mark = {"role": role.lstrip("+"), "pre": at, "post": row[3], "depth": row[4], "tag": row[5], "own": " ".join(row[7]), "attrs": row[6], "parts": [], "cut": [], "nodes": self.nodes(at) if role.startswith("+") else None}
                 out.setdefault(rule, []).append(mark)
                 open_.append((at, rule, mark))
             for rule, role in found:
