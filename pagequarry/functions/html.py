@@ -160,6 +160,14 @@ def anchors(html: Column) -> Column:
     return F.transform(found, lambda a, i: F.struct(i.alias("pos"), attribute(head(a), "href").alias("href"), text(a).alias("anchor"), attribute(head(a), "title").alias("title"), attribute(head(a), "data-tooltip").alias("tooltip"), attribute(F.regexp_extract(a, r"(?is)(<img\b[^>]*>)", 1), "src").alias("img")))
 
 
+def anchors_under(html: Column, classes: str) -> Column:
+    """The anchors right under an element whose class has one of ``classes`` (a pattern), as ``anchors`` has them: those before which it holds only texts, anchors, images and breaks."""
+    opened = rf"""<(?!a\b)[a-z][\w-]*\b[^>]*\bclass\s*=\s*(?:"[^">]*|'[^'>]*)(?:{classes})[^>]*>"""
+    beside = r"((?:[^<]++|<a\b[^>]*+>.*?</a\s*+>|<(?:br|img|hr)\b[^>]*+>)*+)"
+    inside = lambda page: F.array_join(F.regexp_extract_all(page, F.lit(f"(?is){opened}{beside}"), F.lit(1)), " ")
+    return let(raw(html), lambda page: anchors(F.when(F.regexp_like(page, F.lit(f"(?i){classes}")), inside(page)).otherwise(F.lit(""))))
+
+
 def json_between(html: Column, start: str) -> Column:
     """The JSON text of a script that assigns or holds it after ``start``, up to the script's end; null where there is none."""
     found = F.regexp_extract(raw(html), rf"(?is){start}\s*=?\s*(\{{.*?\}}|\[.*?\])\s*;?\s*</script", 1)

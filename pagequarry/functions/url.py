@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import text_of
+from .text import let, text_of
 
 
 def scheme_of(url: Column) -> Column:
@@ -112,6 +112,21 @@ def rewrite_pdf_url(url: Column) -> Column:
     return out
 
 
+def stable_pdf_url(url: Column) -> Column:
+    """A document's PDF at its publisher's present host, without what its viewers add; other addresses as they are."""
+    return F.regexp_replace(url, *rules.STABLE_PDF)
+
+
+def rewrite_meta_pdf(url: Column, page: Column) -> Column:
+    """The address of a PDF meta tag turned to that of the PDF; a preview's to the whole one if the page names it."""
+    out = url
+    for pattern, replacement in rules.META_PDF_REWRITES:
+        out = F.regexp_replace(out, pattern, replacement)
+    preview, end, other = rules.PREVIEW_PDF
+    whole = lambda u: F.regexp_replace(F.nullif(F.regexp_extract(u, preview, 1), F.lit("")), end, other)
+    return let(out, lambda u: F.when(F.coalesce(page.contains(whole(u)), F.lit(False)), whole(u)).otherwise(u))
+
+
 def looks_like_pdf(href: Column) -> Column:
     h = F.lower(text_of(href))
     return F.greatest(*[h.contains(t) for t in ("/pdf", "/epdf", "pdfft", ".pdf", "downloadpdf")])

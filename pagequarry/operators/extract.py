@@ -126,7 +126,7 @@ def abstract_of(html: Column) -> Column:
 
 
 def links(html: Column, anchors: Column | None = None) -> Column:
-    """Candidate links of a page in order: PDF meta tag, script variables, anchors with a telling text, tooltip, title, query or PDF image, buttons that open a PDF; as (href, anchor, title, img).
+    """Candidate links of a page in order: PDF meta tag, script variables, anchors with a telling text, tooltip, title, query or PDF image, anchors right under an element for downloads, buttons that open a PDF; as (href, anchor, title, img).
 
     ``anchors``, where not null, are the page's own ones outside related content.
     """
@@ -143,15 +143,16 @@ def links(html: Column, anchors: Column | None = None) -> Column:
     every = H.anchors(H.without_scripts(html))
     every = every if anchors is None else F.coalesce(anchors, every)
     useful = F.filter(F.transform(every, lambda a: link(a["href"], name(a), a["title"], a["img"])), lambda x: x["href"].isNotNull() & x["anchor"].isNotNull())
-    pdf_meta = H.meta(html, "citation_pdf_url")
+    pdf_meta = U.rewrite_meta_pdf(H.meta(html, "citation_pdf_url"), H.raw(html))
     head = F.filter(F.array(F.when(pdf_meta.isNotNull(), link(pdf_meta, F.lit("<meta citation_pdf_url>"), none, none)), F.when(script.isNotNull(), link(script, F.lit("JavaScript PDF"), none, none))), lambda x: x.isNotNull())
     buttons = F.transform(F.filter(F.transform(H.tags(html, "button"), lambda b: F.regexp_extract(F.coalesce(H.attribute(b, "onclick"), F.lit("")), r"(https?://[^\s'\"]+\.pdf)", 1)), lambda u: u != ""), lambda u: link(u, F.lit("<button onclick>"), none, none))
+    under = F.filter(F.transform(H.anchors_under(H.without_scripts(html), rules.PDF_PARENTS), lambda a: link(a["href"], a["anchor"], none, none)), lambda x: x["href"].isNotNull())
     first = lambda found: F.concat(F.filter(found, lambda x: U.looks_like_pdf(x["href"])), F.filter(found, lambda x: ~U.looks_like_pdf(x["href"])))
-    return F.slice(X.let(F.concat(head, useful, buttons), first), 1, CAP)
+    return F.slice(X.let(F.concat(head, useful, under, buttons), first), 1, CAP)
 
 
-def accepts(page_url: Column, link: Column) -> Column:
-    """Whether a link leads to the page's PDF: none of the six reasons against it, one of those for it."""
+def accepts(page_url: Column, link: Column, no_full_text: Column | None = None) -> Column:
+    """Whether a link leads to the page's PDF: none of the six reasons against it, one of those for it. ``no_full_text`` tells pages where a link to the full text isn't one."""
     a, h, u = X.text_of(link["anchor"]), X.text_of(link["href"]), X.text_of(page_url)
     low, href = F.lower(a), F.lower(h)
     like = lambda c, p: F.regexp_like(c, F.lit(p))
@@ -162,7 +163,7 @@ def accepts(page_url: Column, link: Column) -> Column:
         (a == "<button onclick>") | (low.contains("pdf") & ~(press & h.contains("epdf")))
         | ((a.contains("download") | a.contains("télécharger")) & ~a.contains("citation"))
         | (h.contains("/bitstreams/") & like(h, r"/download/*$"))
-        | ((low.contains("full text") | low.contains("текст статьи")) & ~press)
+        | ((low.contains("full text") | low.contains("текст статьи")) & ~press & ~(F.lit(False) if no_full_text is None else no_full_text))
         | (like(u, r"^https?://(www\.)?oclc\.org") & h.endswith(".pdf") & (low.contains("download") | low.contains("read")))
         | (u.contains("aida-itea.org") & h.contains("pdf"))
         | (like(u, r"^https?://(www\.)?rudmet\.ru/journal/") & like(h, r"^https?://(www\.)?rudmet\.net/media/articles/.*\.pdf$"))
@@ -187,11 +188,13 @@ def view_link(page_url: Column, html: Column) -> Column:
 
 def pdf_link(page_url: Column, html: Column, anchors: Column | None = None) -> Column:
     """The address of the first accepted link, resolved against the page's base and rewritten; null without one."""
+    other_text = F.exists(H.metas(html), lambda m: F.coalesce(m["key"].contains(rules.NO_FULL_TEXT), F.lit(False)))
+
     def of(u: Column) -> Column:
-        first = F.try_element_at(F.filter(links(html, anchors), lambda x: accepts(u, x)), F.lit(1))["href"]
+        first = F.try_element_at(F.filter(links(html, anchors), lambda x: accepts(u, x, other_text)), F.lit(1))["href"]
         base = X.let(H.base_url(html), lambda b: F.when(b != "", b).otherwise(u))
         target = X.let(first, lambda href: X.let(base, lambda b: F.when(href.isNotNull(), U.resolve(openaccess.router_base(href, b), href))))
-        return X.let(target, U.rewrite_pdf_url)
+        return U.stable_pdf_url(X.let(target, U.rewrite_pdf_url))
 
     return X.let(X.text_of(page_url), of)
 

@@ -170,7 +170,7 @@ def aip(marks: Column) -> Column:
         return F.filter(F.transform(F.filter(rows, lambda e: ~e["shared"]), lambda e: author(named(e), places(e["block"]), unmarked())), lambda a: a["name"] != "")
 
     called = F.trim(first(role(first(role(marks, "corresponding"))["parts"], "sup"))["text"])
-    ids = lambda m: F.filter(F.transform(F.flatten(F.transform(role(m["parts"], "sup"), lambda p: F.split(p["text"], ","))), F.trim), lambda k: k != "")
+    ids = lambda m: F.filter(F.transform(F.flatten(F.transform(role(m["parts"], "sup"), lambda p: F.split(p["text"], ","))), lambda t: F.trim(t)), lambda k: k != "")
     person = lambda m: let(ids(m), lambda k: F.struct(F.coalesce(first(cleaned(role(m["parts"], "name"), lambda p: p["text"])), F.lit("")).alias("name"), k.alias("aff_ids"), F.coalesce(F.array_contains(k, called), F.lit(False)).alias("is_corresponding")))
     place = lambda m: F.struct(F.trim(F.regexp_replace(m["text"], r"^\d+", "")).alias("organization"), F.nullif(F.regexp_extract(m["text"], r"^(\d+)", 1), F.lit("")).alias("aff_id"))
     lists = F.struct(F.filter(F.transform(role(marks, "person"), person), lambda a: a["name"] != "").alias("people"), F.transform(role(marks, "place"), place).alias("places"))
@@ -255,7 +255,7 @@ def lippincott(marks: Column) -> Column:
 
     def cards(x: Column) -> Column:
         telling = F.filter(x["notes"], lambda t: F.regexp_like(t, F.lit(r"^\(")))
-        mine = lambda last: F.transform(F.filter(telling, lambda t: F.array_contains(F.transform(F.split(F.regexp_extract(t, r"^\((.*?)\)", 1), ","), F.trim), last)), lambda t: F.trim(F.regexp_replace(t, r"^\(.*?\)", "")))
+        mine = lambda last: F.transform(F.filter(telling, lambda t: F.array_contains(F.transform(F.split(F.regexp_extract(t, r"^\((.*?)\)", 1), ","), lambda k: F.trim(k)), last)), lambda t: F.trim(F.regexp_replace(t, r"^\(.*?\)", "")))
         person = lambda n: let(given_and_last(n)["last"], lambda last: author(n, F.when(F.size(telling) > 0, mine(last)).otherwise(x["notes"]), F.coalesce(x["mail"].contains(F.lower(last)), F.lit(False))))
         return F.transform(x["names"], person)
 

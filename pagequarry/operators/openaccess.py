@@ -120,9 +120,9 @@ def science_direct_pdf(page_url: Column, html: Column) -> Column:
 def fallback_pdf(page_url: Column, html: Column) -> Column:
     """A PDF's address where no link is accepted, by the page's host."""
     host, own = U.publisher_domain(page_url), X.text_of(F.coalesce(H.link_href(html, "canonical"), H.meta(html, "og:url")))
-    told = [F.when(host.endswith(site), F.concat(F.lit(front), found(H.raw(html) if where == "page" else own, pattern), F.lit(behind))) for site, where, pattern, front, behind in rules.PDF_FALLBACKS]
+    told = [F.when(host.endswith(site), F.concat(F.lit(front), H.unescaped(found(H.raw(html), pattern)) if where == "page" else found(own, pattern), F.lit(behind))) for site, where, pattern, front, behind in rules.PDF_FALLBACKS]
     beside = [F.when(host.endswith(site), U.resolve(page_url, F.lit(path))) for site, path in rules.PDF_BESIDE]
-    return F.coalesce(*told, *beside)
+    return U.stable_pdf_url(F.coalesce(*told, *beside))
 
 
 def router_base(href: Column, page_url: Column) -> Column:
