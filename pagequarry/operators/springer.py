@@ -74,7 +74,8 @@ def unmarked() -> Column:
 
 
 def listed(marks: Column) -> Column:
-    return F.transform(role(marks, "listed"), lambda m: author(F.coalesce(first(texts(m, "name")), F.lit("")), texts(m, "place"), F.size(role(m["parts"], "corresponding")) > 0))
+    """Authors of items that hold their places; a star behind a name is not of it."""
+    return F.transform(role(marks, "listed"), lambda m: author(F.regexp_replace(F.coalesce(first(texts(m, "name")), F.lit("")), r"[\s*∗]+$", ""), texts(m, "place"), F.size(role(m["parts"], "corresponding")) > 0))
 
 
 def indexed(marks: Column, kind: str) -> Column:
