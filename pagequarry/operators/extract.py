@@ -256,9 +256,9 @@ def ladder(candidates: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def answers(page: H.Page, rules: Iterable[tuple[str, str, str]]) -> Column:
-    """The names of the rules (rule_id, signal, needle) that a scanned page answers to, in order. Signals: canonical, og_url, journal, publisher (any case), site (case kept), title (any case), description (at its start)."""
+    """The names of the rules (rule_id, signal, needle) that a scanned page answers to, in order. Signals: canonical, og_url, journal, publisher (any case), site (case kept), title (any case), description (at its start), words (anywhere in the page, lower case)."""
     rules = list(rules)
-    signals = {"canonical": H.link_href(page, "canonical"), "og_url": H.meta(page, "og:url"), "journal": F.lower(H.meta(page, "citation_journal_title")), "publisher": F.lower(H.meta(page, "citation_publisher")), "site": H.meta(page, "og:site_name"), "title": F.lower(H.title(page)), "description": H.meta(page, "description")}
+    signals = {"canonical": H.link_href(page, "canonical"), "og_url": H.meta(page, "og:url"), "journal": F.lower(H.meta(page, "citation_journal_title")), "publisher": F.lower(H.meta(page, "citation_publisher")), "site": H.meta(page, "og:site_name"), "title": F.lower(H.title(page)), "description": H.meta(page, "description"), "words": F.lower(H.raw(page))}
     named = F.struct(*[signals[n].alias(n) for n in dict.fromkeys(r[1] for r in rules)])
     hit = lambda s, signal, needle: s[signal].startswith(needle) if signal == "description" else s[signal].contains(needle.lower() if signal in ("journal", "publisher", "title") else needle)
     return X.let(named, lambda s: F.array_distinct(F.filter(F.array(*[F.when(hit(s, signal, needle), F.lit(rule)) for rule, signal, needle in rules]), lambda x: x.isNotNull())))

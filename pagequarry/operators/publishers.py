@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
-from . import dom, extract, folds, selectors, springer
+from . import dom, extract, folds, selectors, springer, states
 from .people import author, none_of
 
 let = X.let
 
 # --- fixed values: (rule, signal, needle) of the pages; words and endings that the pages use ---
-RULES = [*springer.RULES, *folds.RULES, ("acs", "og_url", "pubs.acs.org"), ("acs", "canonical", "pubs.acs.org"), ("science_direct", "canonical", "sciencedirect.com"), ("wiley_marks", "og_url", "onlinelibrary.wiley.com"), ("wiley_marks", "site", "Wiley Online Library"), ("cup_roles", "og_url", "cambridge.org"), ("cup_roles", "canonical", "cambridge.org")]
+RULES = [*springer.RULES, *folds.RULES, *states.RULES, ("acs", "og_url", "pubs.acs.org"), ("acs", "canonical", "pubs.acs.org"), ("science_direct", "canonical", "sciencedirect.com"), ("wiley_marks", "og_url", "onlinelibrary.wiley.com"), ("wiley_marks", "site", "Wiley Online Library"), ("cup_roles", "og_url", "cambridge.org"), ("cup_roles", "canonical", "cambridge.org")]
 SEPARATORS = r"^(?i:[\s,&]|\band\b)*$"
 SPEAKS_OF_ADDRESS = r"(?i)correspondence|corresponding author|e-mail|\bemail\s*:"
 NOTE = r"(?is)^.{0,14}correspond|^.{0,25}address reprint|author deceased|e-mail:|^contribution|^joint first authors|^†joint"
@@ -28,9 +28,8 @@ AROUND_PLACE = r"^Authors are with |Direct inquiries.*|Fax.*"
 ROLES = [(1, True, r"^by$"), (1, False, r"^chapter by "), (3, True, r"^edited"), (3, False, r"^(?:chapter )?edited by"), (2, False, r"^(?!(?:chapter )?(?:appendix by|general editor|introduction by|preface by|translated by))")]
 EDGES = r"^[\s,]+|(?:\s+and)?[\s,]+$|\s+and$"
 MAIL_AND_REST = r"(?i)email:.*$|[\w.%+-]+@.*$"
-NO_TEXT = ["section-title", "alt-text"]
 SELECTORS = {
-    "springer_ladder": springer.SELECTORS, **folds.SELECTORS,
+    "springer_ladder": springer.SELECTORS, **folds.SELECTORS, **states.SELECTORS,
     "cup_roles": {
         "chapter": "h1.chapter-title, li.author.chapter", "detail": "div.row.author", "detail/name": "dt", "detail/line": "div.d-sm-flex, div.d-sm-flex *", "row": "div.row.contributor-type, li.author", "row/name": "span.author-name",
         "row/more": "a.more-by-this-author", "row/contributor": ".contributor-type__contributor", "row/affiliation": ".affiliation", "row/label": ".contributor-type__label",
@@ -187,15 +186,9 @@ def state_authors(state: Column) -> Column:
     return F.flatten(F.transform(F.concat(top, inner), group))
 
 
-def state_abstract(state: Column, depth: int = 5) -> Column:
-    """The texts of the state's abstracts without headings, down to ``depth`` levels; null without one."""
-
-    def gathered(text: Column, left: int) -> Column:
-        below = (lambda n: gathered(n["$$"], left - 1)) if left else (lambda n: F.lit(""))
-        own = lambda n: F.when(F.coalesce(n["_"], F.lit("")) == "", below(n)).when(n["#name"].isin(*NO_TEXT), "").otherwise(n["_"])
-        return F.array_join(F.transform(children(text), own), " ")
-
-    return F.nullif(F.trim(F.regexp_replace(gathered(F.get_json_object(state, "$.abstracts.content"), depth - 1), " +", " ")), F.lit(""))
+def state_abstract(tree: Column) -> Column:
+    """The texts of the state's abstracts without headings, however deep they lie; null without one."""
+    return F.nullif(F.trim(F.regexp_replace(states.gathered(tree), " +", " ")), F.lit(""))
 
 
 def grouped(els: Column) -> Column:
@@ -216,12 +209,12 @@ def collaborations(els: Column) -> Column:
     return F.flatten(F.transform(groups, lambda g: F.transform(texts(els, g, is_a("span", "button-link-text")), lambda t: author(t, place(g), F.lit(None).cast("boolean")))))
 
 
-def listed_or_stated(els: Column, html: Column) -> tuple[Column, Column]:
+def listed_or_stated(els: Column) -> tuple[Column, Column]:
     """Authors and abstract: the longer of the page's own list and its state's, collaborations after it; the shown abstract before the stated."""
     shown = F.flatten(F.transform(F.filter(els, is_a("div", "abstract", "author")), lambda d: texts(els, d, is_a("p"))))
-    state = H.preloaded_state(html)
+    state = F.col("__state")
     longer = let(F.struct(grouped(els).alias("l"), F.coalesce(state_authors(state), none_of(extract.AUTHOR)).alias("s")), lambda x: F.when(F.size(x["l"]) > F.size(x["s"]), x["l"]).otherwise(x["s"]))
-    return F.concat(longer, collaborations(els)), F.when(F.size(shown) > 0, F.array_join(shown, "\n")).otherwise(state_abstract(state))
+    return F.concat(longer, collaborations(els)), F.when(F.size(shown) > 0, F.array_join(shown, "\n")).otherwise(state_abstract(F.col("__abstract_tree")))
 
 
 def by_types(els: Column) -> Column:
@@ -310,22 +303,23 @@ def steps(page: H.Page) -> list[dict[str, Column]]:
     marked = lambda rule: F.when(answers(rule), F.try_element_at(F.filter("__found", lambda f: f["rule_id"] == rule), F.lit(1))["marks"])
     pair = lambda authors, abstract: F.struct(F.coalesce(authors, none_of(extract.AUTHOR)).alias("authors"), abstract.alias("abstract")).cast(kind)
     nothing, own = F.lit(None).cast("string"), F.col("__elements")
-    shown, stated = listed_or_stated(own, page)
+    shown, stated = listed_or_stated(own)
     box = F.coalesce(X.strip_abstract_label(box_abstract(own)), extract.abstract_of(page))
     plain = {
         "__acs": F.when(answers("acs"), by_symbols(own)), "__acs_abstract": F.when(answers("acs"), box), "__wiley": F.when(answers("wiley_marks"), by_types(own)), "__cup": F.when(answers("cup_roles"), by_roles(F.col("__cup_marks"))),
         "__science": F.when(answers("science_direct"), shown), "__science_abstract": F.when(answers("science_direct"), stated),
     }
+    state_rules = dict.fromkeys(r[0] for r in states.RULES)
     found = {
         "springer_ladder": (F.col("__ladder.authors"), F.col("__ladder.abstract")), "acs": (F.col("__acs"), F.col("__acs_abstract")), "science_direct": (F.col("__science"), F.col("__science_abstract")),
-        "wiley_marks": (F.col("__wiley"), nothing), "cup_roles": (F.col("__cup"), nothing), **{rule: (F.col(f"__{rule}_authors"), F.col(f"__{rule}_abstract")) for rule in folds.SELECTORS},
+        "wiley_marks": (F.col("__wiley"), nothing), "cup_roles": (F.col("__cup"), nothing), **{rule: (F.col(f"__{rule}_authors"), F.col(f"__{rule}_abstract")) for rule in [*folds.SELECTORS, *state_rules]},
     }
     one = [F.when(answers(rule), F.struct(F.lit(rule).alias("rule_id"), pair(*both).alias("c"))) for rule, both in found.items()]
     ladder = springer.steps(F.col("__ladder_marks"), page)
-    lists = folds.columns(lambda rule: F.col(f"__{rule}_marks"), page)
+    lists = folds.columns(lambda rule: F.col(f"__{rule}_marks"), page) | states.columns(lambda rule: F.col(f"__{rule}_marks"), page)
     walked = {f"__{rule}_{name}": F.when(answers(rule), c) for rule, both in lists.items() for name, c in zip(("authors", "abstract"), both, strict=True)}
     by_rule = {f"__{rule}_marks": marked(rule) for rule in lists}
-    return [{"__ladder_marks": marked("springer_ladder"), "__cup_marks": marked("cup_roles"), "__elements": elements(F.col("__els"))} | by_rule, ladder[0] | plain | walked, *ladder[1:], {"__own": F.filter(F.array(*one), lambda x: x.isNotNull())}]
+    return [*states.steps(answers, page), {"__ladder_marks": marked("springer_ladder"), "__cup_marks": marked("cup_roles"), "__elements": elements(F.col("__els"))} | by_rule, ladder[0] | plain | walked, *ladder[1:], {"__own": F.filter(F.array(*one), lambda x: x.isNotNull())}]
 
 
 def with_candidates(rows: DataFrame, page: H.Page, html_col: str) -> DataFrame:
