@@ -204,10 +204,10 @@ def version_of(html: Column, publisher: bool) -> Column:
     return F.lit("publishedVersion") if publisher else F.when(F.lower(H.raw(html)).contains("accepted manuscript"), "acceptedVersion").otherwise("submittedVersion")
 
 
-def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", namespace: Column | None = None) -> DataFrame:
+def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", namespace: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Each page's record: authors, urls, license, version, abstract, oa_status, and ``error`` for blocked pages, whose payload is empty.
 
-    ``namespace`` 'doi' reads a publisher's page, 'pmh' a repository's, anything else gives an empty record.
+    ``namespace`` 'doi' reads a publisher's page, 'pmh' a repository's, anything else gives an empty record. Columns in ``keep`` come along.
     """
     url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
     space = namespace if namespace is not None else F.lit("doi")
@@ -231,9 +231,30 @@ def response(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         F.when(live, abstract_of(page)).alias("abstract"),
         F.col("__oa.oa_status").alias("oa_status"),
         F.when(F.col("__blocked"), F.lit("UnusualTraffic")).alias("error"),
+        *(keep or []),
     )
 
 
+# --- fixed values: what each kind of request answers to without a page or a link: (status, message) ---
+NO_PAGE = {"post": (400, "No html in request body"), "get": (404, "No landing page found"), "find_pdf": (404, "No landing page found")}
+NO_LINK = (404, "No PDF link found")
+
+
+def answered(pages: DataFrame, kind: str = "get", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", namespace: Column | None = None) -> DataFrame:
+    """``response`` with the ``status`` and the ``msg`` that a request of that kind is answered with.
+
+    ``post`` brings the page along, ``get`` names a cached one, ``find_pdf`` asks for the link alone: ``id_col``, ``status``, ``msg``, ``pdf_url``. A page that is
+    missing, or not wanted as it has no link, has an empty payload. A blocked page is an answer of its own kind (200), as its ``error`` says.
+    """
+    status, msg = NO_PAGE[kind]
+    asked = pages.withColumn("__missing", F.col(f"`{html_col}`").isNull())
+    rows = response(asked, id_col, url_col, html_col, namespace, keep=["__missing"])
+    told = lambda linked: {"status": F.when(F.col("__missing"), status).when(~linked, NO_LINK[0]).otherwise(200), "msg": F.when(F.col("__missing"), msg).when(~linked, NO_LINK[1])}
+    if kind == "find_pdf":
+        return rows.select(id_col, *[c.alias(n) for n, c in told(F.size("urls") > 0).items()], F.try_element_at("urls", F.lit(1))["url"].alias("pdf_url"))
+    return rows.withColumns(told(F.lit(True)) | {"error": F.when(~F.col("__missing"), F.col("error"))}).drop("__missing")
+
+
 def rung_of(c: Column) -> Column:
     """The rung of a candidate (rule_id, is_specific, prefer, authors, abstract): specific with affiliations; specific and preferred with authors; any other with affiliations; specific with authors or abstract; the generic one with either; null for none."""
     affs, some = F.exists(c["authors"], lambda a: F.size(a["affiliations"]) > 0), F.size(c["authors"]) > 0
