@@ -244,3 +244,45 @@ def compact_time(at: Column) -> Column:
 def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     """What is left at the pace so far; null before the first row."""
     return F.when(done > 0, elapsed / done * F.greatest(total - done, F.lit(0)))
+
+
+def coverage(rows: DataFrame, group: str, reason: str) -> DataFrame:
+    """How much of each group, and of all (``level`` all), can be scored: (``level``, ``group``, total_rows, html_available, retrieval_blocked, by_reason).
+
+    ``reason`` says why a row can't be, null for one that can; ``by_reason`` has ``reason=rows`` in order of the reasons. Rows are
+    counted by group and reason before anything is listed, so a list is as long as there are reasons.
+    """
+    counts = rows.groupingSets([[F.col(group), F.col(reason)], [F.col(reason)]], F.col(group), F.col(reason)).agg(F.count("*").alias("n"), F.grouping(group).alias("whole"))
+    blocked = F.col(reason).isNotNull()
+    named = F.array_sort(F.collect_list(F.when(blocked, F.struct(F.col(reason).alias("r"), F.col("n").alias("n")))))
+    told = F.array_join(F.transform(named, lambda x: F.concat_ws("=", x["r"], x["n"])), ";")
+    number = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0).cast("long"))
+    sums = counts.groupBy("whole", group).agg(F.sum("n").alias("total_rows"), number(~blocked).alias("html_available"), number(blocked).alias("retrieval_blocked"), told.alias("by_reason"))
+    return sums.select(F.when(F.col("whole") == 1, "all").otherwise("group").alias("level"), group, "total_rows", "html_available", "retrieval_blocked", "by_reason")
+
+
+def repeated_patterns(rows: DataFrame, keys: list[str], id_col: str, least: int = 3, examples: int = 5) -> DataFrame:
+    """What comes up ``least`` times or more: (keys, n, examples), the examples being the ``examples`` least ids, repeated ones included.
+
+    Null keys are a pattern, too. Examples are ranked with a limit that Spark applies before it shuffles, so a hot pattern sends a few rows from each partition.
+    """
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(id_col).asc_nulls_last()))
+    some = rows.select(*keys, id_col).withColumn("__at", first).where(F.col("__at") <= examples)
+    listed = some.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", id_col))), lambda x: x[id_col]).alias("examples"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    return counts.alias("c").join(listed.alias("l"), same).select(*[f"c.{k}" for k in keys], "c.n", "l.examples")
+
+
+def console(events: DataFrame, roles: list[str], role: str, order: list[str], shown: list[str], n: int = 10) -> DataFrame:
+    """The head of an event log: (part, at, ``role``, ``shown``): for each of ``roles`` its latest event (``latest``, nulls for a role without one), and the last ``n`` of all (``recent``, newest first by ``at``).
+
+    ``order`` columns tell later events from earlier ones. The latest is an aggregate, the last ``n`` a top-k: nothing is sorted as a whole.
+    """
+    own = events.select(role, *order, *[c for c in shown if c not in order])
+    heads = own.groupBy(role).agg(F.max_by(F.struct(*shown), F.struct(*order)).alias("e"))
+    known = events.sparkSession.createDataFrame([(i, r) for i, r in enumerate(roles)], f"at int, `{role}` string")
+    latest = known.join(heads, role, "left").select(F.lit("latest").alias("part"), "at", role, *[F.col("e")[c].alias(c) for c in shown])
+    last = own.orderBy(*[F.desc(c) for c in order]).limit(n)
+    recent = last.withColumn("at", F.row_number().over(Window.orderBy(*[F.desc(c) for c in order])) - 1)  # n rows
+    return latest.unionByName(recent.select(F.lit("recent").alias("part"), "at", role, *shown))

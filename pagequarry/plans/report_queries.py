@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import evaluate, grounding, reports
-from .queries import DOMAIN, query, quoted, table
+from .queries import DOMAIN, REASON, query, quoted, table
 
 SCORED = """(select d.doc_id, d.source as publisher, d.lang, l.quality::double as authors_f1, l.toxic::double as pdf_accuracy, d.n_chars::double as duration_ms, d.n_chars < 300 as blocked, d.n_chars > 600 as present,
  case when d.n_chars % 7 = 0 then 'crash' end as error from documents d left join labels l using (doc_id))"""
@@ -348,3 +348,33 @@ def queue_slice(spark, sf_dir):
     """Tasks of one type and publisher."""
     tasks = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("queue_type"), F.lit("authors").alias("field"), F.col("c_nationkey").alias("publisher_id"))
     return reports.of_queue(tasks, queue_type="BUILDING", publisher=3).select("c_custkey")
+
+
+@query(f"""with r as (select {DOMAIN} as publisher, {REASON} as reason from pages),
+c as (select 'group' as level, publisher, reason, count(*) as n from r group by all union all select 'all', null, reason, count(*) from r group by reason)
+select level, publisher, sum(n)::bigint as total_rows, coalesce(sum(n) filter (reason is null), 0)::bigint as html_available, coalesce(sum(n) filter (reason is not null), 0)::bigint as retrieval_blocked,
+ coalesce(string_agg(reason || '=' || n, ';' order by reason) filter (reason is not null), '') as by_reason from c group by level, publisher""")
+def coverage_reasons(spark, sf_dir):
+    """Pages that can be scored, and why the others can't, by domain and altogether."""
+    from ..functions import html, url
+
+    pages = table(spark, sf_dir, "pages").select(url.publisher_domain(F.col("url")).alias("publisher"), html.block_reason(F.col("html")).alias("reason"))
+    return reports.coverage(pages, "publisher", "reason")
+
+
+@query("""with r as (select source as publisher, lang as marker_type, doc_id, row_number() over (partition by source, lang order by doc_id) as place, count(*) over (partition by source, lang) as n from documents join labels using (doc_id) where quality = 0)
+select publisher, marker_type, any_value(n) as doc_count, string_agg(doc_id, ',' order by doc_id) filter (place <= 5) as examples from r where n >= 3 group by all""")
+def repeated_patterns(spark, sf_dir):
+    """Patterns (source and language) that three bad documents or more share, with five of them."""
+    bad = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id").select("doc_id", F.col("source").alias("publisher"), F.col("lang").alias("marker_type"))
+    found = reports.repeated_patterns(bad, ["publisher", "marker_type"], "doc_id")
+    return found.select("publisher", "marker_type", F.col("n").alias("doc_count"), F.array_join("examples", ",").alias("examples"))
+
+
+@query("""with roles(place, event_type) as (values (0, 'view'), (1, 'error'), (2, 'scribe'), (3, 'purchase')),
+e as (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as own, row_number() over (order by ts desc, event_id desc) as overall from events)
+select 'latest' as part, r.place as "at", r.event_type, e.event_id, e.user_id from roles r left join e on e.event_type = r.event_type and e.own = 1
+union all select 'recent', (overall - 1)::int, event_type, event_id, user_id from e where overall <= 10""")
+def role_heads(spark, sf_dir):
+    """The latest event of each of four roles (event types, one of which has none), and the last ten of all."""
+    return reports.console(table(spark, sf_dir, "events"), ["view", "error", "scribe", "purchase"], "event_type", ["ts", "event_id"], ["event_id", "user_id"])
