@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +35,27 @@ def rates(tp: int, gold: int, parsed: int) -> tuple[float, float, float]:
     return p, r, 2 * p * r / (p + r) if p + r else 0.0
 
 
+#: ASCII as ``alpha`` has it: letters and digits in lower case, white space and the underscore as they are, all else a space.
+PLAIN = {c: chr(c).lower() if chr(c).isalnum() or chr(c) == "_" or chr(c).isspace() else " " for c in range(128)}
+
+
 def alpha(name: str) -> str:
     import re
 
+    if name.isascii():
+        return " ".join(name.translate(PLAIN).split())
     return " ".join(re.sub(r"[^\w\s]+", " ", X.folded(name.replace("ß", "ss"))).split())
 
 
 def key_of(name: str) -> tuple[str, str]:
     """(last name, first initial), without titles and suffixes."""
+    return keyed(name, alpha(name))
+
+
+def keyed(name: str, plain: str) -> tuple[str, str]:
+    """``key_of`` a name whose ``alpha`` is known."""
     _, first, _, last, _ = split_name(name)
-    words = alpha(name).split()
+    words = plain.split()
     return (alpha(last) or words[-1], (alpha(first) or words[0])[:1]) if words else ("", "")
 
 
@@ -66,31 +80,149 @@ def ratios(gold: list[str], parsed: list[str], ratio: Callable[[str, str], float
     return np.array([[ratio(g, p) if g and p else -1.0 for p in parsed] for g in gold], float).reshape(len(gold), len(parsed))
 
 
+class Names:
+    """The distinct names of a batch: their ``alpha``, numbers of their keys and words, and what bounds the ratio of two of them.
+
+    A ratio is the greatest of three indel ratios. Two of them follow from the lengths of the words that both names have; the third
+    is at most what the lengths, or the characters of both names, leave room for. Only pairs that this doesn't settle are compared.
+    """
+
+    #: Words of a name up to which shared words are found side by side; pairs with a longer one are compared.
+    MOST = 8
+
+    def __init__(self, names: list[str]):
+        self.plain = [alpha(n) for n in names]
+        keys: dict[tuple[str, str], int] = {}
+        words: dict[str, int] = {}
+        of_key = [keyed(n, a) for n, a in zip(names, self.plain, strict=True)]
+        self.key = np.array([keys.setdefault(k, len(keys)) if k[0] else -1 for k in of_key], np.int64)
+        sets = [sorted(set(a.split())) for a in self.plain]
+        self.count = np.array([len(ws) for ws in sets], np.int64)
+        self.length = np.array([sum(map(len, ws)) + len(ws) - 1 if ws else 0 for ws in sets], np.int64)
+        self.word = np.full((len(names), min(self.MOST, max(self.count, default=0))), -1, np.int64)
+        for i, ws in enumerate(sets):
+            for k, w in enumerate(ws[: self.MOST]):
+                self.word[i, k] = words.setdefault(w, len(words))
+        self.size = np.array([*map(len, words), 0], np.int64)  # the last one stands for no word
+        self.sets, self.known = sets, {}
+
+    @functools.cached_property
+    def characters(self) -> np.ndarray:
+        """How often each of 32 kinds of characters stands in a name."""
+        points = np.frombuffer("".join(map(" ".join, self.sets)).encode("utf-32-le"), np.uint32)
+        at = np.repeat(np.arange(len(self.sets)), self.length) * 32 + points % 32
+        return np.bincount(at, minlength=32 * len(self.sets)).reshape(-1, 32).astype(np.int32)
+
+    def compared(self, a: int, b: int) -> float:
+        """The ratio itself, once for a pair."""
+        if (a, b) not in self.known:
+            self.known[a, b] = token_set(self.plain[a], self.plain[b])
+        return self.known[a, b]
+
+    def candidates(self, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of names (by number), those with equal keys or a ratio of at least ``least``: their places, whether keys are equal, ratios."""
+        same = (self.key[a] == self.key[b]) & (self.key[a] >= 0)
+        x, y, n, m = self.count[a], self.count[b], self.length[a], self.length[b]
+        shared, chars = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for i in range(self.word.shape[1]):
+            word = self.word[a, i]
+            hit = np.zeros(len(a), bool)
+            for j in range(self.word.shape[1]):
+                hit |= word == self.word[b, j]
+            hit &= word >= 0
+            shared += hit
+            chars += self.size[word] * hit
+        chars += np.maximum(shared - 1, 0)
+        ratio = np.where(shared > 0, 200.0 * chars / np.maximum(chars + np.minimum(n, m), 1), 0.0)
+        whole = (shared > 0) & ((shared == x) | (shared == y))
+        ratio[whole] = 100.0
+        ratio[(x == 0) | (y == 0)] = -1.0
+        unsure = (x > self.MOST) | (y > self.MOST)  # shared words are not all known
+        most = 200.0 * np.minimum(n, m) / np.maximum(n + m, 1)
+        open_ = (ratio >= 0) & (unsure | (~whole & (most > ratio) & (same | (most >= least))))
+        at = np.nonzero(open_ & ~unsure)[0]
+        if len(at):
+            room = 200.0 * np.minimum(self.characters[a[at]], self.characters[b[at]]).sum(1) / (n[at] + m[at])
+            open_[at[(room <= ratio[at]) | ~(same[at] | (room >= least))]] = False
+        at = np.nonzero(open_)[0]
+        ratio[at] = [self.compared(*p) for p in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+        at = np.nonzero(same | (ratio >= least))[0]
+        return at, same[at], ratio[at]
+
+
+#: Pairs of names looked at together.
+PAIRS = 1 << 18
+
+
+def flat(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct stripped elements of all lists, each element's number among them, and where each list begins (and the last one ends); a null list is empty, a null element an empty name."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = pc.fill_null(lists.flatten().cast(pa.string()), "").dictionary_encode()
+    names = [x.strip() for x in coded.dictionary.to_pylist()]
+    return names, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def listed(values: pa.Array, row: np.ndarray, rows: int) -> pa.ListArray:
+    """The values as lists by the number of their row, which ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), values)
+
+
+def match_lists(gold: pa.Array, parsed: pa.Array, soft: float = SOFT) -> pa.StructArray:
+    """Rows' names of gold and parsed authors assigned to each other: equal keys (last name, first initial) first, then by token-set ratio, later names before earlier ones.
+
+    All rows' pairs are looked at side by side; a row's assignment follows the order of its candidates.
+    """
+    rows = len(gold)
+    (left, g, gs), (right, p, ps) = flat(gold), flat(parsed)
+    numbers = {n: i for i, n in enumerate(dict.fromkeys([*left, *right]))}
+    names, g, p = Names(list(numbers)), np.array([numbers[n] for n in left], np.int64)[g], np.array([numbers[n] for n in right], np.int64)[p]
+    said = np.array([bool(n) for n in numbers], bool)
+    width = np.diff(ps)
+    ends = np.concatenate([[0], np.cumsum(np.diff(gs) * width)])
+    parts = []
+    for start in range(0, int(ends[-1]), PAIRS):
+        k = np.arange(start, min(start + PAIRS, int(ends[-1])))
+        row = np.searchsorted(ends, k, "right") - 1
+        within = k - ends[row]
+        i, j = gs[row] + within // width[row], ps[row] + within % width[row]
+        at, same, ratio = names.candidates(g[i], p[j], soft)
+        parts.append((row[at], i[at], j[at], same, ratio))
+    row, i, j, same, ratio = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool, float))
+    order = np.lexsort((-j, -i, -ratio, ~same, row))
+    free_i, free_j, taken = bytearray(b"\1" * len(g)), bytearray(b"\1" * len(p)), []
+    for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        if free_i[x] and free_j[y]:
+            free_i[x] = free_j[y] = 0
+            taken.append(k)
+    taken = np.array(taken, np.int64)
+    row, i, j, same, ratio = row[taken], i[taken], j[taken], same[taken], ratio[taken]
+    matched = pa.StructArray.from_arrays([pa.array(i - gs[row], pa.int32()), pa.array(j - ps[row], pa.int32()), pa.array(same), pa.array(ratio)], names=["gold_index", "parsed_index", "key_match", "name_ratio"])
+    out, sizes = [listed(matched, row, rows)], []
+    for codes, starts, free in ((g, gs, free_i), (p, ps, free_j)):
+        owner = np.repeat(np.arange(rows), np.diff(starts))
+        sizes.append(np.bincount(owner, said[codes], rows))
+        rest = np.nonzero(np.frombuffer(free, np.uint8).astype(bool) & said[codes])[0]
+        out.append(listed(pa.array(rest - starts[owner[rest]], pa.int32()), owner[rest], rows))
+    for tp in (np.bincount(row, same, rows), np.bincount(row, minlength=rows).astype(float)):
+        right_of, found_of = tp / np.maximum(sizes[1], 1), tp / np.maximum(sizes[0], 1)
+        both = right_of + found_of
+        out += [pa.array(right_of), pa.array(found_of), pa.array(np.where(both > 0, 2 * right_of * found_of / np.where(both > 0, both, 1), 0.0))]
+    return pa.StructArray.from_arrays(out, names=["matched", "gold_unmatched", "parsed_unmatched", "precision", "recall", "f1", "precision_soft", "recall_soft", "f1_soft"])
+
+
 def match_names(gold: list[str], parsed: list[str], soft: float = SOFT) -> dict:
-    """Names of gold and parsed authors assigned to each other: equal keys (last name, first initial) first, then by token-set ratio."""
-    gold, parsed = ([(x or "").strip() for x in side] for side in (gold, parsed))
-    table = ratios([alpha(g) if g else "" for g in gold], [alpha(p) if p else "" for p in parsed], token_set)
-    keys = [[key_of(x) if x else ("", "") for x in side] for side in (gold, parsed)]
-    same = np.array([[bool(g[0]) and g == p for p in keys[1]] for g in keys[0]], bool).reshape(table.shape)
-    pairs = assigned(table, soft, same)
-    sizes = [sum(map(bool, side)) for side in (gold, parsed)]
-    strict, loose = (rates(n, *sizes) for n in (sum(bool(same[p]) for p in pairs), len(pairs)))
-    left, right = ({p[k] for p in pairs} for k in (0, 1))
-    return {
-        "matched": [{"gold_index": i, "parsed_index": j, "key_match": bool(same[i, j]), "name_ratio": float(table[i, j])} for i, j in pairs],
-        "gold_unmatched": [i for i, g in enumerate(gold) if g and i not in left], "parsed_unmatched": [j for j, p in enumerate(parsed) if p and j not in right],
-        **dict(zip(("precision", "recall", "f1", "precision_soft", "recall_soft", "f1_soft"), (*strict, *loose), strict=True)),
-    }
+    """``match_lists`` of one row."""
+    return match_lists(*[pa.array([side], pa.list_(pa.string())) for side in (gold, parsed)], soft)[0].as_py()
 
 
 def score_authors(gold: Column, parsed: Column) -> Column:
     """Of two arrays of names. Two empty lists score 0."""
-    return F.pandas_udf(author_batches, AUTHORS_SCORE)(gold, parsed)
+    return F.arrow_udf(author_batches, AUTHORS_SCORE)(gold, parsed)
 
 
-def author_batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def author_batches(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for gold, parsed in pairs:
-        yield pd.DataFrame([match_names([] if g is None else list(g), [] if p is None else list(p)) for g, p in zip(gold, parsed, strict=True)])
+        yield match_lists(gold, parsed)
 
 
 def clean_org(text: str) -> str:

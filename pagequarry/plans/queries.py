@@ -452,9 +452,10 @@ def author_matching(spark, sf_dir):
     """Matching of name lists, small as a page's: the suppliers of each order's lines, against the same names turned around without the first of them."""
     names = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", F.lit("Ann"), F.translate("s_name", "#0", " o")).alias("n"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(names, "s_suppkey")
-    turned = F.concat_ws(", ", F.element_at(F.split("n", " "), -1), F.element_at(F.split("n", " "), 1))
-    g = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("n")).alias("gold"), F.array_sort(F.collect_list(turned)).alias("parsed"))  # the lines of one order
-    scored = g.select("l_orderkey", evaluate.score_authors(F.col("gold"), F.slice("parsed", 2, F.size("parsed"))).alias("s"))
+    turned = lambda n: text.let(F.split(n, " "), lambda ws: F.concat_ws(", ", F.element_at(ws, -1), F.element_at(ws, 1)))
+    g = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("n")).alias("gold"))  # the lines of one order
+    parsed = text.let(F.array_sort(F.transform("gold", turned)), lambda p: F.slice(p, 2, F.size(p)))
+    scored = g.select("l_orderkey", evaluate.score_authors(F.col("gold"), parsed).alias("s"))
     return scored.select("l_orderkey", F.size("s.matched").alias("matched"), F.round("s.f1", 6).alias("f1"), F.round("s.f1_soft", 6).alias("f1_soft"))
 
 
