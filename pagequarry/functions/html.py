@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import let, squeezed, text_of
+from .text import holds, let, squeezed, text_of
 
 
 class Page(NamedTuple):
@@ -102,27 +102,29 @@ def without_scripts(html: Column) -> Column:
 
 def block_reason(html: Column) -> Column:
     """Why a cached page has no content, by the first of fifteen rules; null for a page that has."""
-    return F.when(html.isNull(), "missing").otherwise(let(F.regexp_replace(html, r"^\s+|\s+$", ""), lambda bare: let(F.lower(bare), lambda low: let(squeezed(F.regexp_replace(low, r"<[^>]+>", " ")), lambda text: reason_of(bare, low, text)))))
+    words = ("cookies", "robot", "protected", "shieldsquare", "radware", "loading")  # one of them is in every text that a rule looks for
+    text_of_tagged = lambda low: F.when(holds(low, words), squeezed(F.regexp_replace(low, r"<[^>]+>", " "))).otherwise(F.lit(""))
+    return F.when(html.isNull(), "missing").otherwise(let(F.btrim(html, F.lit(" \t\n\x0b\f\r")), lambda bare: let(F.lower(bare), lambda low: let(text_of_tagged(low), lambda text: reason_of(bare, low, text)))))
 
 
 def reason_of(bare: Column, low: Column, text: Column) -> Column:
-    """The first fitting rule for a trimmed page, the same in lower case, and its text without tags."""
+    """The first fitting rule for a trimmed page, the same in lower case, and its text without tags (which may be empty without the words that ``block_reason`` names)."""
     n = F.length(bare)
+    has = lambda *words: holds(low, words)
     bot = (
-        low.contains("<title>just a moment") | F.substring(low, 1, 5000).contains(">just a moment...")
-        | low.contains("<title>error - cookies turned off") | text.contains("cookies turned off")
-        | low.contains("checking your browser") | low.contains("cf-browser-verification") | low.contains("cf-chl")
-        | text.contains("help us confirm that you are not a robot")
-        | (low.contains("akamai") & (text.contains("powered and protected by") | low.contains("bm-verify=")))
-        | text.contains("shieldsquare captcha") | text.contains("radware bot manager captcha") | low.contains("captcha.perfdrive.com")
-        | ((n < 3000) & low.contains("document.cookie") & low.contains("document.location.reload"))
+        has("<title>just a moment") | (has(">just a moment...") & F.substring(low, 1, 5000).contains(">just a moment..."))
+        | has("<title>error - cookies turned off", "checking your browser", "cf-browser-verification", "cf-chl", "captcha.perfdrive.com")
+        | text.contains("cookies turned off") | text.contains("help us confirm that you are not a robot")
+        | (has("akamai") & (text.contains("powered and protected by") | has("bm-verify=")))
+        | text.contains("shieldsquare captcha") | text.contains("radware bot manager captcha")
+        | ((n < 3000) & has("document.cookie") & has("document.location.reload"))
     )
     return (
         F.when(bare.startswith("%PDF-"), "cached_pdf")
         .when(bot, "cached_bot_check")
-        .when(text.isin("loading...", "loading ...", "loading") | (low.contains("enable javascript") & (n < 5000)), "js_rendered_required")
-        .when(low.contains("<title>doi.org") | low.contains("the doi system"), "cached_router_only")
-        .when(low.contains("<title>cybercrime") | low.contains("<title>cyber crime"), "cached_error_page")
+        .when(text.isin("loading...", "loading ...", "loading") | ((n < 5000) & has("enable javascript")), "js_rendered_required")
+        .when(has("<title>doi.org", "the doi system"), "cached_router_only")
+        .when(has("<title>cybercrime", "<title>cyber crime"), "cached_error_page")
         .when(n < 512, "cached_too_small")
     )
 
@@ -161,11 +163,11 @@ def anchors(html: Column) -> Column:
 
 
 def anchors_under(html: Column, classes: str) -> Column:
-    """The anchors right under an element whose class has one of ``classes`` (a pattern), as ``anchors`` has them: those before which it holds only texts, anchors, images and breaks."""
+    """The anchors right under an element whose class has one of ``classes`` (parts of a name, set apart by ``|``), as ``anchors`` has them: those before which it holds only texts, anchors, images and breaks."""
     opened = rf"""<(?!a\b)[a-z][\w-]*\b[^>]*\bclass\s*=\s*(?:"[^">]*|'[^'>]*)(?:{classes})[^>]*>"""
     beside = r"((?:[^<]++|<a\b[^>]*+>.*?</a\s*+>|<(?:br|img|hr)\b[^>]*+>)*+)"
     inside = lambda page: F.array_join(F.regexp_extract_all(page, F.lit(f"(?is){opened}{beside}"), F.lit(1)), " ")
-    return let(raw(html), lambda page: anchors(F.when(F.regexp_like(page, F.lit(f"(?i){classes}")), inside(page)).otherwise(F.lit(""))))
+    return let(raw(html), lambda page: anchors(F.when(holds(F.lower(page), classes.split("|")), inside(page)).otherwise(F.lit(""))))
 
 
 def json_between(html: Column, start: str) -> Column:

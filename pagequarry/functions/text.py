@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark import SparkContext
@@ -38,6 +40,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def holds(c: Column, words: Iterable[str]) -> Column:
+    """Whether a text has one of ``words``, as they are written; false for null."""
+    return F.coalesce(functools.reduce(operator.or_, [c.contains(w) for w in words]), F.lit(False))
+
+
+def shortest(words: Iterable[str]) -> list[str]:
+    """The words without those that have another one within: a text that has any of ``words`` has one of these."""
+    words = set(words)
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
+
+
 def squeezed(c: Column) -> Column:
     """White space collapsed to single spaces and trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -153,13 +166,13 @@ def issue_class(c: Column) -> Column:
 
 def license_of(c: Column, dataset: bool = False) -> Column:
     """The licence a text names, by the first fitting phrase; null where none fits or a public-domain hit is denied."""
-    phrases = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n")) for p, n in rules.LICENSES + (rules.DATASET_LICENSES if dataset else [])])
+    phrases = rules.LICENSES + (rules.DATASET_LICENSES if dataset else [])
 
     def first(t: Column) -> Column:
-        hit = F.try_element_at(F.filter(phrases, lambda x: t.contains(x["p"])), F.lit(1))["n"]
+        hit = F.when(holds(t, shortest(p for p, _ in phrases)), F.coalesce(*[F.when(t.contains(p), F.lit(n)) for p, n in phrases]))
         return let(hit, lambda n: F.when((n != "public-domain") | ~t.contains(rules.NOT_PUBLIC_DOMAIN), n))
 
-    return let(F.lower(F.translate(text_of(c), " -", "")), first)
+    return let(F.lower(F.replace(F.replace(text_of(c), F.lit(" "), F.lit("")), F.lit("-"), F.lit(""))), first)
 
 
 def abstract_gate(c: Column, least: int = 200) -> Column:

@@ -140,15 +140,15 @@ def links(html: Column, anchors: Column | None = None) -> Column:
         .when(low(a["title"]).contains("download fulltext") | low(a["title"]).contains("download pdf"), F.concat(F.lit("title: "), a["title"]))
         .when(low(a["href"]).contains("?create_pdf_query"), F.lit("pdf_generator")).when(low(a["img"]).contains("pdf"), F.concat(F.lit("image: "), a["img"]))
     )
-    every = H.anchors(H.without_scripts(html))
-    every = every if anchors is None else F.coalesce(anchors, every)
-    useful = F.filter(F.transform(every, lambda a: link(a["href"], name(a), a["title"], a["img"])), lambda x: x["href"].isNotNull() & x["anchor"].isNotNull())
+    every = lambda bare: H.anchors(bare) if anchors is None else F.coalesce(anchors, H.anchors(bare))
+    useful = lambda bare: F.filter(F.transform(every(bare), lambda a: link(a["href"], name(a), a["title"], a["img"])), lambda x: x["href"].isNotNull() & x["anchor"].isNotNull())
     pdf_meta = U.rewrite_meta_pdf(H.meta(html, "citation_pdf_url"), H.raw(html))
-    head = F.filter(F.array(F.when(pdf_meta.isNotNull(), link(pdf_meta, F.lit("<meta citation_pdf_url>"), none, none)), F.when(script.isNotNull(), link(script, F.lit("JavaScript PDF"), none, none))), lambda x: x.isNotNull())
+    named = F.array(F.struct(pdf_meta.alias("href"), F.lit("<meta citation_pdf_url>").alias("anchor")), F.struct(script.alias("href"), F.lit("JavaScript PDF").alias("anchor")))
+    head = F.transform(F.filter(named, lambda x: x["href"].isNotNull()), lambda x: link(x["href"], x["anchor"], none, none))
     buttons = F.transform(F.filter(F.transform(H.tags(html, "button"), lambda b: F.regexp_extract(F.coalesce(H.attribute(b, "onclick"), F.lit("")), r"(https?://[^\s'\"]+\.pdf)", 1)), lambda u: u != ""), lambda u: link(u, F.lit("<button onclick>"), none, none))
-    under = F.filter(F.transform(H.anchors_under(H.without_scripts(html), rules.PDF_PARENTS), lambda a: link(a["href"], a["anchor"], none, none)), lambda x: x["href"].isNotNull())
+    under = lambda bare: F.filter(F.transform(H.anchors_under(bare, rules.PDF_PARENTS), lambda a: link(a["href"], a["anchor"], none, none)), lambda x: x["href"].isNotNull())
     first = lambda found: F.concat(F.filter(found, lambda x: U.looks_like_pdf(x["href"])), F.filter(found, lambda x: ~U.looks_like_pdf(x["href"])))
-    return F.slice(X.let(F.concat(head, useful, under, buttons), first), 1, CAP)
+    return F.slice(X.let(X.let(H.without_scripts(html), lambda bare: F.concat(head, useful(bare), under(bare), buttons)), first), 1, CAP)
 
 
 def accepts(page_url: Column, link: Column, no_full_text: Column | None = None) -> Column:
@@ -171,7 +171,7 @@ def accepts(page_url: Column, link: Column, no_full_text: Column | None = None)
         | F.lower(X.text_of(link["img"])).contains("pdf") | title.contains("pdf") | (link["title"].isNotNull() & h.contains("download/pdf"))
         | (like(low, r"^(submitted|accepted|published) version(?:\s+\([0-9.,gmkb ]+\))?$") & (href.endswith(".pdf") | href.contains(".pdf?")))
     )
-    return ~against & given
+    return given & ~against  # few links have what speaks for them
 
 
 def document_link(html: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,9 +65,14 @@ LICENSE_PHRASES = [
 ]
 
 
+def opening(pattern: str) -> str:
+    """The words with which all that a pattern finds begins, in lower case: what lower-cased text without them can't fit."""
+    return re.match(r"\(?([^.()\[\]*+?|\\^$]+)(?![*?+])", pattern)[1].lower()
+
+
 def any_rule(rules: list[tuple[str, str]], page_url: Column, html: Column) -> Column:
     u = F.lower(X.text_of(page_url))
-    hits = [u.contains(part) & F.regexp_like(html, F.lit(f"(?is){pattern}")) if part else F.regexp_like(html, F.lit(f"(?is){pattern}")) for part, pattern in rules]
+    hits = [(u.contains(part) if part else X.holds(F.lower(html), [opening(pattern)])) & F.regexp_like(html, F.lit(f"(?is){pattern}")) for part, pattern in rules]
     out = hits[0]
     for h in hits[1:]:
         out = out | h
@@ -74,27 +81,39 @@ def any_rule(rules: list[tuple[str, str]], page_url: Column, html: Column) -> Co
 
 def phrase_license(page_url: Column, text: Column) -> Column:
     """The licence that the last fitting phrase names, ``unspecified-oa`` if it names none, null without a phrase or trust."""
-    out = F.lit(None).cast("string")
-    for p in LICENSE_PHRASES:
-        pattern = f"(?i){p}"
-        out = F.when(F.regexp_like(text, F.lit(pattern)), F.coalesce(X.license_of(F.regexp_extract(text, pattern, 1)), F.lit("unspecified-oa"))).otherwise(out)
-    return F.when(U.trusts_license(page_url), out)
+    def last(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for p in LICENSE_PHRASES:
+            pattern = f"(?i){p}"
+            out = F.when(X.holds(low, [opening(p)]) & F.regexp_like(text, F.lit(pattern)), F.coalesce(X.license_of(F.regexp_extract(text, pattern, 1)), F.lit("unspecified-oa"))).otherwise(out)
+        return out
+
+    return F.when(U.trusts_license(page_url), X.let(F.lower(text), last))
 
 
 def license_text(html: Column) -> Column:
     """The page without what speaks of other papers' licences: a block of featured articles (up to the next one of its kind or the page's sections) and reference meta tags."""
-    page = F.regexp_replace(H.raw(html), r"""(?is)<meta\b[^>]*\bname\s*=\s*["'][^"']*citation_reference[^>]*>""", "")
-    return F.regexp_replace(page, r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*view-pnas-featured.*?(?=<(?:section|article|footer|main)\b|</body|$)""", "")
+    def without(raw: Column) -> Column:
+        page = F.regexp_replace(raw, r"""(?is)<meta\b[^>]*\bname\s*=\s*["'][^"']*citation_reference[^>]*>""", "")
+        page = F.regexp_replace(page, r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*view-pnas-featured.*?(?=<(?:section|article|footer|main)\b|</body|$)""", "")
+        return F.when(X.holds(F.lower(raw), ["citation_reference", "view-pnas-featured"]), page).otherwise(raw)
+
+    return X.let(H.raw(html), without)
 
 
 def status(page_url: Column, html: Column) -> Column:
     """(oa_status, source, license): bronze before hybrid; null without a sign."""
-    page = license_text(html)
-    bronze = any_rule(BRONZE, page_url, page) | F.coalesce(F.regexp_like(H.meta(html, "citation_pdf_url"), F.lit(f"(?i){BRONZE_PDF}")), F.lit(False))
-    phrase = phrase_license(page_url, page)
     row = lambda s, source, lic: F.struct(F.lit(s).alias("oa_status"), source.alias("source"), lic.alias("license"))
-    says = F.when(phrase.isNotNull() & (phrase != "unspecified-oa"), "open (via page says license)").otherwise("open (via page says Open Access)")
-    return F.when(bronze, row("bronze", F.lit("open (via free article)"), X.license_of(page))).when(phrase.isNotNull() | any_rule(HYBRID, page_url, page), row("hybrid", says, F.coalesce(phrase, F.lit("unspecified-oa"))))
+
+    def hybrid(phrase: Column, page: Column) -> Column:
+        says = F.when(phrase.isNotNull() & (phrase != "unspecified-oa"), "open (via page says license)").otherwise("open (via page says Open Access)")
+        return F.when(phrase.isNotNull() | any_rule(HYBRID, page_url, page), row("hybrid", says, F.coalesce(phrase, F.lit("unspecified-oa"))))
+
+    def of(page: Column) -> Column:
+        bronze = any_rule(BRONZE, page_url, page) | F.coalesce(F.regexp_like(H.meta(html, "citation_pdf_url"), F.lit(f"(?i){BRONZE_PDF}")), F.lit(False))
+        return F.when(bronze, row("bronze", F.lit("open (via free article)"), X.license_of(page))).otherwise(X.let(phrase_license(page_url, page), lambda phrase: hybrid(phrase, page)))
+
+    return X.let(license_text(html), of)
 
 
 def journal_index(html: Column) -> Column:

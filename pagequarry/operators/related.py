@@ -107,19 +107,23 @@ def page_anchors(html: str) -> list[dict]:
 
 def anchor_batches(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in pages:
-        yield pd.Series([None if html is None else page_anchors(html) for html in batch], dtype=object)
+        yield pd.Series([page_anchors(html) if html is not None and named(html) else None for html in batch], dtype=object)
 
 
 def own_anchors(html: Column) -> Column:
     """A page's anchors outside related content, as ``html.anchors`` gives them; null for pages that name no such section, which are not parsed. No shuffle."""
-    return F.pandas_udf(anchor_batches, "array<struct<pos:int,href:string,anchor:string,title:string,tooltip:string,img:string>>")(F.when(names_one(html), html))
+    return F.pandas_udf(anchor_batches, "array<struct<pos:int,href:string,anchor:string,title:string,tooltip:string,img:string>>")(html)
+
+
+#: Words of which a page that names a section of related content has one.
+WORDS = X.shortest({w for _, _, _, w in rules.RELATED if w} | {t for t, n, _, _ in rules.RELATED if not n} | {w for _, _, w, _ in rules.RELATED_AFTER} | {rules.RELATED_ROW[3]} | {i[3] for _, i in rules.RELATED_INSIDE} | {rules.RELATED_NOTES[3]})
 
 
 def names_one(html: Column) -> Column:
     """Whether a page's text names a section of related content at all: the cheap test that saves parsing."""
-    words = sorted({w for _, _, _, w in rules.RELATED if w} | {t for t, n, _, _ in rules.RELATED if not n} | {w for _, _, w, _ in rules.RELATED_AFTER} | {rules.RELATED_ROW[3]} | {i[3] for _, i in rules.RELATED_INSIDE} | {rules.RELATED_NOTES[3]})
-    short = [w for w in words if not any(o != w and o in w for o in words)]  # a word within another one speaks for both
-    out = F.lit(False)
-    for w in short:
-        out = out | X.text_of(html).contains(w)
-    return out
+    return X.holds(html, WORDS)
+
+
+def named(html: str) -> bool:
+    """``names_one`` of a page in a batch, where the search for a word is many times faster."""
+    return any(w in html for w in WORDS)
