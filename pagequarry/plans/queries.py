@@ -6,8 +6,12 @@ ranking looks at, the sample of a bucket, the head of a queue.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,18 +192,59 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def runs_of_words(words: F.Column, n: int, short: bool = False) -> F.Column:
-    """128-bit keys of the runs of ``n`` words; of a shorter text none, or (``short``) one of all its words."""
-    key = lambda run: F.struct(F.xxhash64(run).alias("g1"), F.xxhash64(F.lit(n), run).alias("g2"))
-    none = F.array().cast("array<struct<g1: bigint, g2: bigint>>")
-    fewer = F.when(F.size(words) > 0, F.array(key(words))).otherwise(none) if short else none
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: key(F.slice(words, i, n)))).otherwise(fewer)
+def runs_of_words(words: pa.ListArray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, g1, g2): 128-bit keys of the runs of ``n`` words of each row; of a shorter text none, or (``short``) one of all its words.
 
-
-def shared_runs(docs: DataFrame, items: DataFrame, key: str, item: str, runs: Callable[[], F.Column]) -> DataFrame:
-    """(key, item, g): the runs that a document and an item share, once for each place in the document."""
-    b = items.select(item, F.explode(runs()).alias("g")).select(item, "g.*").distinct()
-    d = docs.select(key, F.explode(runs()).alias("g")).select(key, "g.*")
+    A run's key sums its words' hashes, each times a power of an odd number by its place, and its length: a few additions over all words at once.
+    """
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])
+    coded = words.flatten().dictionary_encode()
+    code, distinct = coded.indices.to_numpy(zero_copy_only=False), np.array(coded.dictionary.to_pylist(), object)
+    runs = np.where(size >= n, size - n + 1, ((size > 0) & short).astype(np.int64))
+    row = np.repeat(np.arange(len(size)), runs)
+    first = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+    length = np.minimum(size, n)[row]
+    keys = []
+    for seed, base in ((b"the first hashes", 0x9E3779B97F4A7C15), (b"the second ones.", 0xC2B2AE3D27D4EB4F)):
+        hashes = np.concatenate([pd.util.hash_array(distinct, hash_key=seed.decode())[code] if len(code) else np.zeros(0, np.uint64), np.zeros(n, np.uint64)])
+        key, power = length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 1
+        for i in range(n):
+            power = power * base % 2**64
+            key += np.where(i < length, hashes[first + i], np.uint64(0)) * np.uint64(power)
+        keys.append(key.view(np.int64))
+    return row, *keys
+
+
+#: What stays of a text's bytes for its plain words; all else is a space.
+PLAIN = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for b in range(256))
+
+
+def split_plain(texts: pa.Array) -> pa.ListArray:
+    """Words of letters a to z, digits and underscores; null for none."""
+    return pc.ascii_split_whitespace(pa.array([t.encode().translate(PLAIN).decode().strip() or None for t in texts.to_pylist()], pa.string()))
+
+
+def with_runs(df: DataFrame, key: str, words: F.Column, n: int, short: bool, most: int = 500_000) -> DataFrame:
+    """(key, g1, g2): the runs of each row's words (an array, or a text for ``split_plain``), one after the other, from some ``most`` words at a time, or one text."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = split_plain(batch.column(1)) if pa.types.is_string(batch.schema.types[1]) or pa.types.is_large_string(batch.schema.types[1]) else batch.column(1)
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False))
+            cuts = np.nonzero(np.diff(upto // most, prepend=0))[0].tolist()
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                row, g1, g2 = runs_of_words(given.slice(a, b - a), n, short)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(g1), pa.array(g2)], names=[key, "g1", "g2"])
+
+    return df.select(key, words.alias("words")).mapInArrow(work, f"`{key}` {kind}, g1 bigint, g2 bigint")
+
+
+def shared_runs(docs: DataFrame, items: DataFrame, key: str, item: str, words: F.Column, n: int, short: bool = False) -> DataFrame:
+    """(key, item, g): the runs of ``n`` words that a document and an item share, once for each place in the document."""
+    b = with_runs(items, item, words, n, short).distinct()
+    d = with_runs(docs, key, words, n, short)
     return d.join(broadcast_if_small(b), ["g1", "g2"]).select(key, item, F.struct("g1", "g2").alias("g"))
 
 
@@ -215,9 +260,9 @@ def near_dup_ratio(spark, sf_dir):
     Words are what stands between spaces; a text of fewer than five is one run, one of none meets nothing. Equal rows count once.
     """
     d, b = (table(spark, sf_dir, name).select(F.col(i), F.col("text").alias(c), F.xxhash64("text").alias(f"{c}h")) for name, i, c in (("documents", "doc_id", "p"), ("benchmark", "item_id", "q")))
-    words = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(BARE_WORDS), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(BARE_WORDS), F.lit(0))
     keys = lambda df, c: df.select(F.struct(*[n for n in df.columns if n != c]).alias(f"{c}k"), F.col(c).alias("text"))
-    met = shared_runs(keys(d, "p"), keys(b, "q"), "pk", "qk", lambda: text.let(words("text"), lambda ws: runs_of_words(ws, 5, short=True))).select("pk.doc_id", "pk.ph", "qk.item_id", "qk.qh").distinct().alias("x")
+    met = shared_runs(keys(d, "p"), keys(b, "q"), "pk", "qk", words, 5, short=True).select("pk.doc_id", "pk.ph", "qk.item_id", "qk.qh").distinct().alias("x")
     with_docs = met.join(d.distinct().alias("d"), F.expr("x.ph = d.ph and x.doc_id <=> d.doc_id")).select("x.doc_id", "x.item_id", "x.qh", "p").alias("y")
     pairs = with_docs.join(b.distinct().alias("b"), F.expr("y.qh = b.qh and y.item_id <=> b.item_id")).select("y.doc_id", "y.item_id", "p", "q")
     one_char = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")  # noqa: E731  a byte becomes a character
@@ -228,16 +273,17 @@ GRAMS = "list_transform(range(1, greatest(len(w) - 11, 0) + 1), lambda i: md5(ar
 WORDS_SQL = f"list_filter(string_split(trim(regexp_replace({NORMAL.format('text')}, '[^a-z0-9_ ]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-def grams_of(column: str) -> F.Column:
-    words = F.filter(F.split(F.regexp_replace(text.normalize_text(F.col(column)), "[^a-z0-9_ ]+", " "), " "), lambda w: w != "")
-    return text.let(words, lambda ws: runs_of_words(ws, 12))
+def folded(column: str) -> F.Column:
+    """Lower case, accents folded; '' for null."""
+    low = F.lower(text.text_of(F.col(column)))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(text.fold_latin(low))  # ASCII has nothing to fold
 
 
 @query(f"""with b as (select item_id, unnest({GRAMS}) as g from (select item_id, {WORDS_SQL} as w from benchmark)), d as (select doc_id, unnest({GRAMS}) as g from (select doc_id, {WORDS_SQL} as w from documents))
 select d.doc_id, b.item_id, count(distinct d.g) as shared from d join b using (g) group by 1, 2""")
 def ngram_grounding(spark, sf_dir):
     """Benchmark items found in documents by shared runs of twelve words."""
-    met = shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", lambda: grams_of("text"))
+    met = shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", folded("text"), 12)
     return met.groupBy("doc_id", "item_id").agg(F.countDistinct("g").alias("shared"))
 
 
