@@ -19,6 +19,7 @@ AUTHOR_KEYS = ["citation_author", "dc.Creator", "bepress_citation_author"]
 INSTITUTION_KEYS = ["citation_author_institution", "bepress_citation_author_institution"]
 EMAIL_KEYS = ["citation_author_email"]
 ABSTRACT_KEYS = ["citation_abstract", "og:description", "dc.description", "description"]
+#: Links of a page that the query ``link_pdf_first`` ranks; ``links`` gives all of them.
 CAP = 50
 
 
@@ -126,7 +127,7 @@ def abstract_of(html: Column) -> Column:
 
 
 def links(html: Column, anchors: Column | None = None) -> Column:
-    """Candidate links of a page in order: PDF meta tag, script variables, anchors with a telling text, tooltip, title, query or PDF image, anchors right under an element for downloads, buttons that open a PDF; as (href, anchor, title, img).
+    """All candidate links of a page, PDF-shaped ones first, else in order: PDF meta tag, script variables, anchors with a telling text, tooltip, title, query or PDF image, anchors right under an element for downloads, buttons that open a PDF; as (href, anchor, title, img).
 
     ``anchors``, where not null, are the page's own ones outside related content.
     """
@@ -148,7 +149,7 @@ def links(html: Column, anchors: Column | None = None) -> Column:
     buttons = F.transform(F.filter(F.transform(H.tags(html, "button"), lambda b: F.regexp_extract(F.coalesce(H.attribute(b, "onclick"), F.lit("")), r"(https?://[^\s'\"]+\.pdf)", 1)), lambda u: u != ""), lambda u: link(u, F.lit("<button onclick>"), none, none))
     under = lambda bare: F.filter(F.transform(H.anchors_under(bare, rules.PDF_PARENTS), lambda a: link(a["href"], a["anchor"], none, none)), lambda x: x["href"].isNotNull())
     first = lambda found: F.concat(F.filter(found, lambda x: U.looks_like_pdf(x["href"])), F.filter(found, lambda x: ~U.looks_like_pdf(x["href"])))
-    return F.slice(X.let(X.let(H.without_scripts(html), lambda bare: F.concat(head, useful(bare), under(bare), buttons)), first), 1, CAP)
+    return X.let(X.let(H.without_scripts(html), lambda bare: F.concat(head, useful(bare), under(bare), buttons)), first)
 
 
 def accepts(page_url: Column, link: Column, no_full_text: Column | None = None) -> Column:

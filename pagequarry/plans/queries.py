@@ -1,7 +1,7 @@
 """The engine's queries over the driver's tables, each with the SQL that gives the same rows where SQL can.
 
-Every query runs over its whole tables. Limits stand only where they are the feature: the fifty links of a page that the
-ranking looks at, the sample of a bucket, the head of a queue.
+Every query runs over its whole tables. Limits stand only where they are the feature: the fifty links of a page that
+``link_pdf_first`` ranks, the sample of a bucket, the head of a queue.
 """
 
 from __future__ import annotations

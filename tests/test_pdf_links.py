@@ -44,3 +44,20 @@ def test_publishers_own_places(spark):
         "https://journals.lww.com/a/_layouts/oaks.journals/downloadpdf.aspx?an=1&x=2", "https://www.cambridge.org/core/services/aop-cambridge-core/content/view/ABC/x.pdf", "https://www.degruyterbrill.com/document/doi/10.1/a/pdf",
         "https://www.degruyterbrill.com/document/doi/10.1/a/pdf", None, None,
     ]
+
+
+def test_links_behind_many_others(spark):
+    own, nav = "https://x.org/a/", "".join(f'<a href="/nav/{i}">topic {i}</a>' for i in range(70))
+    bad = "".join(f'<a href="/supplement/{i}.pdf">supplement pdf</a>' for i in range(70))  # PDF-shaped, and none of them the page's
+    rows = [
+        (own, nav + '<a href="/get/file">Download</a>'), (own, bad + '<a href="/get/file">Download</a>'), (own, bad + '<a href="/own.pdf">PDF</a>'), (own, nav + "<button onclick=\"open('https://x.org/b.pdf')\">Get</button>"),
+        (own, nav + '<div class="pdf-container"><a href="/get/1">Download</a></div>'), (own, nav * 30 + '<a href="/get/file">Download</a><a href="/later">Download</a>'), (own, nav), (own, bad),
+        (own, '<div class="references"><a href="/ref.pdf">PDF</a></div>' + nav + '<a href="/get/file">Download</a>'),
+    ]
+    found = ["https://x.org/get/file", "https://x.org/get/file", "https://x.org/own.pdf", "https://x.org/b.pdf", "https://x.org/get/1", "https://x.org/get/file", None, None, "https://x.org/get/file"]
+    assert values(spark, rows[:-1], extract.pdf_link) == found[:-1]  # the last needs the page's own anchors
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: [u["url"] for u in r["urls"]] for r in extract.response(df).collect()}
+    assert got == {i: [u] if u else [] for i, u in enumerate(found)}
+    assert values(spark, [(own, nav + '<a href="/a.docx">Text</a>')], lambda u, h: extract.document_link(h)) == ["/a.docx"]
+    assert values(spark, [("https://www.biodiversitylibrary.org/x", nav + '<a href="/v/1">View article</a>')], extract.view_link) == ["/v/1"]
